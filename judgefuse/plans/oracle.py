@@ -169,3 +169,80 @@ b_m AS (SELECT *, {mx} AS mx FROM b_l),
 bcases AS (
   SELECT test_case_id AS case_id, gt_case AS human_gt, c_case AS agent_original, {ps}{extra}
   FROM b_m)"""
+
+
+# ---- EM oracle: iterations unrolled as CTEs over the cell table ---------------
+EM_CELLS = """
+cells AS (
+  SELECT s.E1_gui, s.E2_code, s.E4_noresp, v.c_case, v.delta_case,
+         sum(s.weight) AS w_sum, count(*) AS n_rows
+  FROM steps s JOIN case_vals v USING (test_case_id)
+  GROUP BY ALL)"""
+
+_PCOLS = ("pi0", "pi1", "t00", "t01", "t02", "t10", "t11", "t12", "psi0", "psi1")
+
+
+def em_init_sql() -> str:
+    """CTE p0: initial parameters from unweighted channel means."""
+    means = [f"sum(n_rows * {e}) / sum(n_rows)" for e in ("E1_gui", "E2_code", "E4_noresp")]
+    env = [f"least(greatest({m}, 0.2), 0.8)" for m in means]
+    agent = [f"least(greatest({m} + 0.15, 0.2), 0.9)" for m in means]
+    return (f"\np0 AS (SELECT 0 AS it, 0.5 AS pi0, 0.5 AS pi1, {env[0]} AS t00, {env[1]} AS t01, "
+            f"{env[2]} AS t02, {agent[0]} AS t10, {agent[1]} AS t11, {agent[2]} AS t12, "
+            f"0.4 AS psi0, 0.8 AS psi1, CAST('-inf' AS DOUBLE) AS ll FROM cells)")
+
+
+def em_iter_sql(i: int, w: list[float], aw: float, temp: float, a_pi=5.0, b_pi=5.0,
+                a_c=(3.0, 3.0), b_c=(3.0, 3.0), floor=0.05, ceil=0.95, pi_floor=0.02) -> str:
+    """CTEs for iteration i reading p{i-1} and producing p{i}."""
+    q = f"p{i - 1}"
+    ls = []
+    for d in range(2):
+        terms = [f"ln({q}.pi{d} + 1e-9)"]
+        for j, e in enumerate(("E1_gui", "E2_code", "E4_noresp")):
+            t = f"{q}.t{d}{j}"
+            terms.append(f"{w[j]!r} * ({e} * ln({t} + 1e-9) + (1 - {e}) * ln(1 - {t} + 1e-9))")
+        ps = f"least(greatest({q}.psi{d}, 1e-4), 1 - 1e-4)"
+        terms.append(f"(CASE WHEN c_case IS NULL THEN 0.0 ELSE {aw!r} * (c_case * ln({ps}) + "
+                     f"(1 - c_case) * ln(1 - {ps})) END)")
+        ls.append(f"({' + '.join(terms)}) / {max(temp, 1e-3)!r} AS l{d}")
+    sums = ["sum(w_sum * r0) AS n0", "sum(w_sum * r1) AS n1"]
+    for d in range(2):
+        for j, e in enumerate(("E1_gui", "E2_code", "E4_noresp")):
+            sums.append(f"sum(w_sum * r{d} * {e}) AS o{d}{j}")
+        sums.append(f"coalesce(sum(w_sum * r{d}) FILTER (WHERE c_case IS NOT NULL), 0.0) AS den{d}")
+        sums.append(f"coalesce(sum(w_sum * r{d} * c_case) FILTER (WHERE c_case IS NOT NULL), 0.0) AS one{d}")
+    sums.append("sum(w_sum * lden) / (sum(w_sum) + 1e-9) AS ll")
+    th = []
+    for d in range(2):
+        for j in range(3):
+            th.append(f"least(greatest(CASE WHEN n{d} <= 0 THEN 0.5 ELSE (o{d}{j} + 0.5) / (n{d} + 1.0 + 1e-9) END, "
+                      f"{floor!r}), {ceil!r}) AS t{d}{j}")
+    psis = [f"CASE WHEN den{d} > 0 THEN least(greatest((one{d} + {a_c[d] - 1!r}) / (den{d} + {a_c[d] + b_c[d] - 2!r} + 1e-9), 0.02), 0.98) "
+            f"ELSE {q}.psi{d} END AS psi{d}" for d in range(2)]
+    tot = f"(n0 + n1 + {a_pi + b_pi - 2!r} + 1e-9)"
+    pis = [f"least(greatest((n0 + {a_pi - 1!r}) / {tot}, {pi_floor!r}), {1 - pi_floor!r}) AS pi0",
+           f"least(greatest((n1 + {b_pi - 1!r}) / {tot}, {pi_floor!r}), {1 - pi_floor!r}) AS pi1"]
+    return f""",
+e{i} AS (SELECT cells.*, {', '.join(ls)} FROM cells JOIN {q} ON true),
+x{i} AS (SELECT *, greatest(l0, l1) AS mx FROM e{i}),
+y{i} AS (SELECT *, mx + ln(exp(l0 - mx) + exp(l1 - mx) + 1e-9) AS lden FROM x{i}),
+r{i} AS (SELECT *, CASE WHEN delta_case IS NULL THEN exp(l0 - lden) WHEN delta_case = 0 THEN 1.0 ELSE 0.0 END AS r0,
+                   CASE WHEN delta_case IS NULL THEN exp(l1 - lden) WHEN delta_case = 1 THEN 1.0 ELSE 0.0 END AS r1 FROM y{i}),
+s{i} AS (SELECT {', '.join(sums)} FROM r{i}),
+p{i} AS (SELECT {i} AS it, {', '.join(pis)}, {', '.join(th)}, {', '.join(psis)}, s{i}.ll FROM s{i} JOIN {q} ON true)"""
+
+
+def em_fit_sql(n_iter: int, tol: float, w: list[float], aw: float, temp: float) -> str:
+    """Full statement body (after the step/case CTEs): unrolled EM with stop rule."""
+    parts = [",", em_init_sql()] + [em_iter_sql(i, w, aw, temp) for i in range(1, n_iter + 1)]
+    allp = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(0, n_iter + 1))
+    return "".join(parts) + f""",
+allp AS ({allp}),
+lagged AS (SELECT *, lag(ll) OVER (ORDER BY it) AS prev_ll FROM allp),
+stop AS (SELECT coalesce(min(it) FILTER (WHERE it > 0 AND abs(ll - prev_ll) < {tol!r}), {n_iter}) AS it FROM lagged)"""
+
+
+PARAM_SELECT = ("pi0 AS pi_env, pi1 AS pi_agent, t00 AS theta_env_gui, t01 AS theta_env_code, "
+                "t02 AS theta_env_noresp, t10 AS theta_agent_gui, t11 AS theta_agent_code, "
+                "t12 AS theta_agent_noresp, psi0 AS psi_env, psi1 AS psi_agent")
