@@ -67,3 +67,112 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised steps (C1-C6 applied)."""
     from judgefuse.operators.steps import prepare
     return prepare(steps_raw(spark, sf_dir))
+
+
+# ---- evaluation inputs (from labels / documents) -----------------------------------------
+def _case_name(doc_id="doc_id"):
+    return F.concat(F.lit("web_"), F.col(doc_id) % 50, F.lit("_"), F.col(doc_id))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_name, os_agent_score (1 - toxic, NULL when doc_id % 17 = 0), evidence JSON."""
+    lb = table(spark, sf_dir, "labels")
+    res0 = F.when(F.col("toxic") == 0, F.lit("Pass")).otherwise(F.lit("Fail"))
+    res1 = F.when(F.col("quality") == 1, F.lit("Pass")).otherwise(F.lit("Fail"))
+    item = lambda k, r: F.concat(F.lit(f'"{k}": {{"result": "'), r, F.lit('", "evidence": "doc '),
+                                 F.col("doc_id"), F.lit(f' item {k}", "case_desc": "q'),
+                                 F.col("quality"), F.lit('"}'))
+    return lb.select(
+        _case_name().alias("case_name"),
+        F.when(F.col("doc_id") % 17 != 0, (F.lit(1) - F.col("toxic"))).cast("int").alias("os_agent_score"),
+        F.concat(F.lit("{"), item(0, res0), F.lit("}")).alias("evidence"),
+        F.concat(F.lit("{"), item(0, res0), F.lit(", "), item(1, res1), F.lit("}")).alias("evidence_batch"),
+        F.col("doc_id").alias("ord"))
+
+
+def gt_webdev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth, layout A: web_id, task_id, label, code (doc_id % 11 = 0 missing)."""
+    lb = table(spark, sf_dir, "labels").filter(F.col("doc_id") % 11 != 0)
+    return lb.select(F.concat(F.lit("web_"), F.col("doc_id") % 50).alias("web_id"),
+                     F.col("doc_id").cast("string").alias("task_id"),
+                     F.col("quality").alias("label"),
+                     F.concat(F.lit("code "), F.col("doc_id")).alias("code"),
+                     F.col("doc_id").alias("ord"))
+
+
+def gt_realdev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth, layout B: test_case_name, GT_value."""
+    lb = table(spark, sf_dir, "labels").filter(F.col("doc_id") % 11 != 0)
+    return lb.select(_case_name().alias("test_case_name"), F.col("quality").alias("GT_value"),
+                     F.col("doc_id").alias("ord"))
+
+
+def gt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key/value lines with duplicates and NULLs for the last-wins lookup (A5)."""
+    lb = table(spark, sf_dir, "labels")
+    return lb.select(
+        F.concat(F.lit("web_"), F.col("doc_id") % 50).alias("web_id"),
+        F.when(F.col("doc_id") % 13 != 0, (F.col("doc_id") % 97).cast("string")).alias("task_id"),
+        F.when(F.col("doc_id") % 7 != 0, F.col("quality")).alias("label"),
+        F.col("doc_id").alias("ord"))
+
+
+def code_evidence_webdev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code evidence, layout A: web_id, task_id, label, code, code_review struct."""
+    lb = table(spark, sf_dir, "labels")
+    dc = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return lb.join(dc, "doc_id").select(
+        F.concat(F.lit("web_"), F.col("doc_id") % 50).alias("web_id"),
+        F.col("doc_id").cast("string").alias("task_id"),
+        (F.col("toxic") == 0).alias("label"),
+        F.lit("<html/>").alias("code"),
+        F.struct((F.col("quality") == 1).alias("is_implemented"),
+                 F.col("source").alias("evidence")).alias("code_review"))
+
+
+def code_evidence_realdev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code evidence, layout B: test_case_name, GT, Code_Result, Code_Evidence."""
+    lb = table(spark, sf_dir, "labels")
+    dc = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return lb.join(dc, "doc_id").select(
+        _case_name().alias("test_case_name"), (F.lit(1) - F.col("toxic")).alias("GT"),
+        F.col("quality").alias("Code_Result"), F.col("source").alias("Code_Evidence"))
+
+
+def gui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GUI-evidence records: one per event with a bounded ``results`` array of
+    1-3 actions; every fourth record uses the flat layout (fields at top level)."""
+    ev = table(spark, sf_dir, "events")
+    n = (F.col("event_id") % 3 + 1).cast("int")
+    flat = F.col("event_id") % 4 == 0
+
+    def action(i):
+        click = (F.col("event_type") == "click") & (i == 1)
+        acc_known = F.col("event_id") % 5 != 0
+        analysis = F.when(click, F.struct(
+            F.when(acc_known, (F.col("value") >= 20).cast("int")).alias("accuracy"),
+            F.lit("element_tree").alias("method")))
+        content = (F.when(F.col("event_type").isin("error", "purchase") & (i == n),
+                          F.concat(F.lit('Tell ({"0": {"result": "'),
+                                   F.when(F.col("event_type") == "purchase", F.lit("Pass")).otherwise(F.lit("Fail")),
+                                   F.lit('", "evidence": "event '), F.col("event_id"), F.lit(' done"}})')))
+                    .when(F.col("event_type") == "signup", F.lit("Stop()"))
+                    .when(F.col("event_id") % 23 == 0, F.lit(None))
+                    .otherwise(F.concat(F.lit("Click ("), F.col("event_id") % 97, F.lit(")"))))
+        return F.struct(i.alias("iter_num"), F.concat(F.col("event_type"), F.lit(" op "), i).alias("operation_desc"),
+                        content.alias("action_content"),
+                        F.concat(F.lit("thought "), i).alias("reflection_thought"),
+                        analysis.alias("coordinate_analysis"))
+
+    recs = ev.select(F.concat(F.lit("web_"), F.col("user_id") % 50, F.lit("_"), F.col("event_id") % 400)
+                      .alias("project_name"), "event_id", "event_type", "value", flat.alias("_flat"),
+                     F.transform(F.sequence(F.lit(1), n), action).alias("_acts"))
+    first = F.element_at("_acts", 1)
+    return recs.select(
+        "project_name", F.col("event_id").alias("ord"),
+        F.when(~F.col("_flat"), F.col("_acts")).alias("results"),
+        F.when(F.col("_flat"), (F.col("event_id") % 5 + 1).cast("int")).alias("iter_num"),
+        F.when(F.col("_flat"), first["operation_desc"]).alias("operation_desc"),
+        F.when(F.col("_flat"), first["action_content"]).alias("action_content"),
+        F.when(F.col("_flat"), first["reflection_thought"]).alias("reflection_thought"),
+        F.when(F.col("_flat"), first["coordinate_analysis"]).alias("coordinate_analysis"))
