@@ -139,6 +139,11 @@ def code_evidence_realdev(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").alias("Code_Result"), F.col("source").alias("Code_Evidence"))
 
 
+# Fixed phrases placed in Tell evidence and reflection texts of the fixtures.
+PHRASES = ["search results updated", "no visible change", "modal opened",
+           "page stuck loading", "navigated to target page"]
+
+
 def gui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GUI-evidence records: one per event with a bounded ``results`` array of
     1-3 actions; every fourth record uses the flat layout (fields at top level)."""
@@ -155,7 +160,10 @@ def gui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = (F.when(F.col("event_type").isin("error", "purchase") & (i == n),
                           F.concat(F.lit('Tell ({"0": {"result": "'),
                                    F.when(F.col("event_type") == "purchase", F.lit("Pass")).otherwise(F.lit("Fail")),
-                                   F.lit('", "evidence": "event '), F.col("event_id"), F.lit(' done"}})')))
+                                   F.lit('", "evidence": "event '), F.col("event_id"), F.lit(": "),
+                                   F.element_at(F.array(*[F.lit(p) for p in PHRASES]),
+                                                (F.col("event_id") % 5 + 1).cast("int")),
+                                   F.lit('"}})')))
                     .when(F.col("event_type") == "signup", F.lit("Stop()"))
                     .when(F.col("event_id") % 23 == 0, F.lit(None))
                     .otherwise(F.concat(F.lit("Click ("), F.col("event_id") % 97, F.lit(")"))))
@@ -164,7 +172,7 @@ def gui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(F.lit("thought "), i).alias("reflection_thought"),
                         analysis.alias("coordinate_analysis"))
 
-    recs = ev.select(F.concat(F.lit("web_"), F.col("user_id") % 50, F.lit("_"), F.col("event_id") % 400)
+    recs = ev.select(F.concat(F.lit("web_"), F.col("event_id") % 50, F.lit("_"), F.col("event_id") % 10000)
                       .alias("project_name"), "event_id", "event_type", "value", flat.alias("_flat"),
                      F.transform(F.sequence(F.lit(1), n), action).alias("_acts"))
     first = F.element_at("_acts", 1)

@@ -79,7 +79,7 @@ def q_code_acc(spark, sf):
 
 GUI_FLAT_SQL = """
 gui_src AS (
-  SELECT concat('web_', user_id % 50, '_', event_id % 400) AS project_name, event_id, event_type, value,
+  SELECT concat('web_', event_id % 50, '_', event_id % 10000) AS project_name, event_id, event_type, value,
          CAST(event_id % 3 + 1 AS INTEGER) AS n, event_id % 4 = 0 AS is_flat
   FROM events),
 gui_acts AS (
@@ -92,14 +92,17 @@ gui_rows AS (
          concat('thought ', i) AS reflection_thought,
          CASE WHEN event_type IN ('error', 'purchase') AND i = n
                 THEN concat('Tell ({"0": {"result": "', CASE WHEN event_type = 'purchase' THEN 'Pass' ELSE 'Fail' END,
-                            '", "evidence": "event ', event_id, ' done"}})')
+                            '", "evidence": "event ', event_id, ': ',
+                            list_extract(['search results updated', 'no visible change', 'modal opened',
+                                          'page stuck loading', 'navigated to target page'],
+                                         CAST(event_id % 5 + 1 AS INTEGER)), '"}})')
               WHEN event_type = 'signup' THEN 'Stop()'
               WHEN event_id % 23 = 0 THEN NULL
               ELSE concat('Click (', event_id % 97, ')') END AS action_content,
          CASE WHEN event_type = 'click' AND i = 1
               THEN (CASE WHEN event_id % 5 <> 0 THEN CAST(value >= 20 AS INTEGER) ELSE 0 END)
               ELSE -1 END AS gui_evidence,
-         event_id AS ord, i
+         event_id * 8 + i AS ord, i
   FROM gui_acts)"""
 
 

@@ -97,7 +97,7 @@ def code_review_accuracy(df: DataFrame, tag: str = "webdevjudge") -> DataFrame:
 
 
 # ---- A7 + C7: GUI evidence ------------------------------------------------------------------
-def gui_evidence_flatten(df: DataFrame) -> DataFrame:
+def gui_evidence_flatten(df: DataFrame, with_ord: bool = False) -> DataFrame:
     """One row per action.  Records with ``results`` explode it
     (iter = position + 1); flat records keep their stored iter_num.
     C7 gives gui_evidence: -1 without analysis, 0 if the analysis has no
@@ -108,8 +108,11 @@ def gui_evidence_flatten(df: DataFrame) -> DataFrame:
                   F.transform("results", lambda a, i: F.struct(
                       (i + 1).cast("int").alias("iter_num"), *[a[c].alias(c) for c in flat_fields])))
     acts = acts.otherwise(F.array(flat))
-    x = df.select("project_name", F.explode(acts).alias("a"))
-    return x.select(
+    keep = ["ord"] if with_ord else []
+    x = df.select("project_name", *keep, F.posexplode(acts).alias("_i", "a"))
+    # with_ord: a unique row order for later "last row wins" rules
+    extra = [(F.col("ord") * 8 + F.col("_i") + 1).alias("ord")] if with_ord else []
+    return x.select(*extra,
         F.col("project_name").alias("test_case_id"),
         F.concat(F.col("project_name"), F.lit("_iter_"), F.col("a.iter_num")).alias("action_id"),
         F.col("a.operation_desc").alias("operation_desc"),
