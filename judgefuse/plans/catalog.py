@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from judgefuse.plans import q_assembly, q_em, q_eval, q_scoring  # noqa: F401
+from judgefuse.plans import q_assembly, q_em, q_eval, q_scoring, q_spatial  # noqa: F401
 from judgefuse.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -184,3 +184,42 @@ def gui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("_flat"), first["action_content"]).alias("action_content"),
         F.when(F.col("_flat"), first["reflection_thought"]).alias("reflection_thought"),
         F.when(F.col("_flat"), first["coordinate_analysis"]).alias("coordinate_analysis"))
+
+
+# ---- screens: elements (from part) and clicks (from events) ---------------------------------
+# Control type by p_partkey % 6.
+CONTROL_TYPES = ["Pane", "Button", "Edit", "Text", "Group", "Image"]
+
+
+def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    x1 = (k * 37) % 1600
+    y1 = (k * 53) % 900
+    return p.select(
+        (k % 25).cast("int").alias("screen_id"), k.alias("el_id"),
+        F.when(k % 5 == 0, F.lit("")).otherwise(F.col("p_name")).alias("ui_name"),
+        F.element_at(F.array(*[F.lit(t) for t in CONTROL_TYPES]), (k % 6 + 1).cast("int")).alias("control_type"),
+        x1.cast("int").alias("x1"), y1.cast("int").alias("y1"),
+        (x1 + 20 + F.col("p_size") * 8).cast("int").alias("x2"),
+        (y1 + 10 + F.col("p_size") * 4).cast("int").alias("y2"),
+        k.alias("pos"))
+
+
+def elements_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements plus a copy of each box (el_id + 1e6, later position) whose
+    name emptiness is flipped, so every box appears twice."""
+    e = elements(spark, sf_dir)
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("el_id"), "p_name")
+    c = e.join(p, "el_id").select(
+        "screen_id", (F.col("el_id") + 1000000).alias("el_id"),
+        F.when(F.col("ui_name") == "", F.col("p_name")).otherwise(F.lit("")).alias("ui_name"),
+        "control_type", "x1", "y1", "x2", "y2", (F.col("pos") + 1000000).alias("pos"))
+    return e.unionByName(c)
+
+
+def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    return ev.select(F.col("event_id").alias("click_id"), (F.col("user_id") % 25).cast("int").alias("screen_id"),
+                     ((F.col("event_id") * 97) % 1920).cast("int").alias("cx"),
+                     ((F.col("event_id") * 61) % 1080).cast("int").alias("cy"))
