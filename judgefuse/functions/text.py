@@ -83,3 +83,111 @@ def reflection_rules_sql(expr: str) -> str:
     return (f"CASE WHEN {s} = '' THEN 'No' "
             f"WHEN regexp_matches({s}, '{_alt(REFLECTION_FAIL_PATTERNS)}') THEN 'No' "
             f"WHEN regexp_matches({s}, '{_alt(REFLECTION_SUCCESS_PATTERNS)}') THEN 'Yes' ELSE 'No' END")
+
+
+def strip_ws(c) -> Column:
+    """Strip leading/trailing whitespace (incl. newlines), like str.strip()."""
+    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+
+
+# ---- B1 / B4: Thought / Action ------------------------------------------------------------
+THOUGHT_RE = r"(?s)Thought:\s*(.*?)(?:\nAction:|$)"
+THOUGHT_LOOSE_RE = r"(?s)Thought:\s*(.*?)(?:Action:|$)"
+ACTION_RE = r"(?s)Action:\s*(.*)$"
+
+
+def thought_of(c, loose: bool = False) -> Column:
+    """B1 (or the B4 variant with ``loose``): text after ``Thought:`` up to
+    ``\\nAction:`` (``Action:`` when loose) or the end, stripped; '' if absent."""
+    c = _c(c)
+    pat = THOUGHT_LOOSE_RE if loose else THOUGHT_RE
+    return F.when(c.rlike(pat), strip_ws(F.regexp_extract(c, pat, 1))).otherwise(F.lit(""))
+
+
+def action_of(c) -> Column:
+    """B1: text after ``Action:`` to the end, stripped; '' if absent."""
+    c = _c(c)
+    return F.when(c.rlike(ACTION_RE), strip_ws(F.regexp_extract(c, ACTION_RE, 1))).otherwise(F.lit(""))
+
+
+# ---- B2: action grammar ----------------------------------------------------------------------
+# The nine anchored action forms (number = int or decimal).
+_NUM = r"(\d+(?:\.\d+)?)"
+_PT = r"""['"]<point>""" + _NUM + r"\s+" + _NUM + r"""</point>['"]"""
+ACTION_FORMS = {
+    "click": r"^click\s*\(\s*point\s*=\s*" + _PT,
+    "left_double": r"^left_double\s*\(\s*point\s*=\s*" + _PT,
+    "right_single": r"^right_single\s*\(\s*point\s*=\s*" + _PT,
+    "drag": r"^drag\s*\(\s*start_point\s*=\s*" + _PT + r"\s*,\s*end_point\s*=\s*" + _PT,
+    "type": r"""(?s)^type\s*\(\s*content\s*=\s*['"](.+?)['"]\s*\)""",
+    "scroll": r"^scroll\s*\(\s*point\s*=\s*" + _PT + r"""\s*,\s*direction\s*=\s*['"](\w+)['"]""",
+    "hotkey": r"""^hotkey\s*\(\s*key\s*=\s*['"](.+?)['"]\s*\)""",
+    "finished": r"""(?s)^finished\s*\(\s*content\s*=\s*['"](.+?)['"]\s*\)""",
+}
+CODE_CLICK_RE = r"pyautogui\.click\s*\(\s*" + _NUM + r"\s*,\s*" + _NUM
+
+
+def _int_of(s: Column) -> Column:
+    """float then truncate, as int(float(text))."""
+    return s.cast("double").cast("int")
+
+
+def parse_action(c) -> Column:
+    """B2: struct(action_type, action_target, x, y) for an action string.
+
+    Point actions give '(x, y)' targets and integer coordinates (drag: its
+    start point); type/hotkey/finished give their argument; wait gives no
+    target; anything else is typed by the text before '(' or its first word
+    ('Unknown' if empty) and keeps the whole text as target.
+    """
+    a = strip_ws(F.coalesce(_c(c), F.lit("")))
+    g = lambda form, i: F.regexp_extract(a, ACTION_FORMS[form], i)
+    xy = lambda form, i, j: F.concat(F.lit("("), _int_of(g(form, i)).cast("string"), F.lit(", "),
+                                     _int_of(g(form, j)).cast("string"), F.lit(")"))
+    point_forms = ["click", "left_double", "right_single"]
+    typ, tgt, x, y = None, None, None, None
+    branches = []
+    for f in point_forms:
+        branches.append((a.rlike(ACTION_FORMS[f]), F.lit(f), xy(f, 1, 2), _int_of(g(f, 1)), _int_of(g(f, 2))))
+    branches.append((a.rlike(ACTION_FORMS["drag"]), F.lit("drag"),
+                     F.concat(xy("drag", 1, 2), F.lit(" -> "), xy("drag", 3, 4)),
+                     _int_of(g("drag", 1)), _int_of(g("drag", 2))))
+    branches.append((a.rlike(ACTION_FORMS["type"]), F.lit("type"), g("type", 1), None, None))
+    branches.append((a.rlike(ACTION_FORMS["scroll"]), F.lit("scroll"),
+                     F.concat(xy("scroll", 1, 2), F.lit("; "), g("scroll", 3)),
+                     _int_of(g("scroll", 1)), _int_of(g("scroll", 2))))
+    branches.append((a.rlike(ACTION_FORMS["hotkey"]), F.lit("hotkey"), g("hotkey", 1), None, None))
+    branches.append((F.lower(a).startswith("wait"), F.lit("wait"), None, None, None))
+    branches.append((a.rlike(ACTION_FORMS["finished"]), F.lit("finished"), g("finished", 1), None, None))
+    first_word = F.element_at(F.split(a, r"\s+"), 1)
+    fb_type = (F.when(a.contains("("), F.substring_index(a, "(", 1))
+                .when(a != "", first_word).otherwise(F.lit("Unknown")))
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def chain(idx):
+        typ = tgt = xx = yy = None
+        for cond, t, tg, xv, yv in branches:
+            typ = (F.when(cond, t) if typ is None else typ.when(cond, t))
+            tgt = (F.when(cond, tg if tg is not None else none_s) if tgt is None
+                   else tgt.when(cond, tg if tg is not None else none_s))
+            xx = (F.when(cond, xv if xv is not None else none_i) if xx is None
+                  else xx.when(cond, xv if xv is not None else none_i))
+            yy = (F.when(cond, yv if yv is not None else none_i) if yy is None
+                  else yy.when(cond, yv if yv is not None else none_i))
+        return (typ.otherwise(fb_type), tgt.otherwise(a), xx.otherwise(none_i), yy.otherwise(none_i))
+
+    t, tg, xx, yy = chain(0)
+    return F.struct(t.alias("action_type"), tg.alias("action_target"), xx.alias("x"), yy.alias("y"))
+
+
+def code_click(c) -> Column:
+    """struct(x, y) of the first ``pyautogui.click(x, y`` in a code string, else NULL."""
+    c = _c(c)
+    return F.when(c.rlike(CODE_CLICK_RE), F.struct(
+        _int_of(F.regexp_extract(c, CODE_CLICK_RE, 1)).alias("x"),
+        _int_of(F.regexp_extract(c, CODE_CLICK_RE, 2)).alias("y")))
+
+
+def sql_lit(pattern: str) -> str:
+    """A regex as a DuckDB string literal."""
+    return "'" + pattern.replace("'", "''") + "'"

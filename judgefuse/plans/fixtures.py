@@ -223,3 +223,66 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_id").alias("click_id"), (F.col("user_id") % 25).cast("int").alias("screen_id"),
                      ((F.col("event_id") * 97) % 1920).cast("int").alias("cx"),
                      ((F.col("event_id") * 61) % 1080).cast("int").alias("cy"))
+
+
+# ---- trajectories (from conversations) ------------------------------------------------------
+def _coord(expr, half):
+    return F.concat(expr.cast("string"), F.when(half, F.lit(".5")).otherwise(F.lit("")))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task, turn, role, content; assistant content is 'Thought: ...\\nAction: <form>'
+    with the form chosen by (task + turn) % 9; tasks with task % 11 = 0 are malformed."""
+    cv = table(spark, sf_dir, "conversations")
+    c, t = F.col("conv_id"), F.col("turn")
+    half = t % 2 == 1
+    x = _coord((c * 37 + t * 11) % 1920, half)
+    y = _coord((c * 13 + t * 7) % 1080, half)
+    x2 = ((c * 37 + t * 11 + 100) % 1920).cast("string")
+    y2 = ((c * 13 + t * 7 + 50) % 1080).cast("string")
+    pt = lambda a, b: F.concat(F.lit("'<point>"), a, F.lit(" "), b, F.lit("</point>'"))
+    form = (c + t) % 9
+    act = (F.when(form == 0, F.concat(F.lit("click(point="), pt(x, y), F.lit(")")))
+            .when(form == 1, F.concat(F.lit("left_double(point="), pt(x, y), F.lit(")")))
+            .when(form == 2, F.concat(F.lit("right_single(point="), pt(x, y), F.lit(")")))
+            .when(form == 3, F.concat(F.lit("drag(start_point="), pt(x, y), F.lit(", end_point="), pt(x2, y2), F.lit(")")))
+            .when(form == 4, F.concat(F.lit("type(content='hello "), c, F.lit(" "), t, F.lit("')")))
+            .when(form == 5, F.concat(F.lit("scroll(point="), pt(x, y), F.lit(", direction='down')")))
+            .when(form == 6, F.lit("hotkey(key='ctrl c')"))
+            .when(form == 7, F.lit("wait()"))
+            .otherwise(F.concat(F.lit("finished(content='done "), c, F.lit("')"))))
+    bad = c % 11 == 0
+    act = F.when(bad & (t % 2 == 0), F.concat(F.lit("open_app name"), t)) \
+           .when(bad, F.lit("launch(app)")).otherwise(act)
+    body = F.when(bad, F.concat(F.substring("text", 1, 30), F.lit("\nAction: "), act)).otherwise(
+        F.concat(F.lit("Thought: "), F.substring("text", 1, 40), F.lit("\nAction: "), act))
+    content = F.when(F.col("role") == "assistant", body).otherwise(F.col("text"))
+    return cv.select(c.alias("task"), t.alias("turn"), "role", content.alias("content"))
+
+
+def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One screenshot per assistant turn, except the last one of tasks with task % 4 = 0."""
+    cv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    last = cv.groupBy("conv_id").agg(F.max("turn").alias("_m"))
+    s = cv.join(last, "conv_id").filter(~((F.col("conv_id") % 4 == 0) & (F.col("turn") == F.col("_m"))))
+    return s.select(F.col("conv_id").alias("task"), F.col("turn").alias("shot_no"),
+                    ((F.col("conv_id") * 7 + F.col("turn")) % 25).cast("int").alias("screen_id"))
+
+
+def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One executed code line per assistant turn; every fourth is FAILED."""
+    cv = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    c, t = F.col("conv_id"), F.col("turn")
+    code = F.when((c + t) % 4 != 0, F.concat(
+        F.lit("\npyautogui.click("), ((c * 5 + t * 3) % 1920).cast("string"), F.lit(".25, "),
+        ((c * 3 + t * 5) % 1080).cast("string"), F.lit(", button='left')"))).otherwise(F.lit("FAILED"))
+    return cv.select(c.alias("task"), t.alias("code_no"), code.alias("code"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """task -> web_id, task_id, final_result, instruction (metadata missing for task % 5 = 0)."""
+    cv = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    c = F.col("conv_id")
+    return cv.select(c.alias("task"), F.concat(F.lit("web_"), c % 10).alias("web_id"), c.cast("string").alias("task_id"),
+                     F.when(c % 3 != 0, F.lit("DONE")).otherwise(F.lit("FAILED")).alias("final_result"),
+                     F.when(c % 5 != 0, F.concat(F.lit("task "), c)).alias("instruction"))
