@@ -286,3 +286,85 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.select(c.alias("task"), F.concat(F.lit("web_"), c % 10).alias("web_id"), c.cast("string").alias("task_id"),
                      F.when(c % 3 != 0, F.lit("DONE")).otherwise(F.lit("FAILED")).alias("final_result"),
                      F.when(c % 5 != 0, F.concat(F.lit("task "), c)).alias("instruction"))
+
+
+# ---- trace logs (from events): one log text per event, 1-4 iterations ------------------------
+def _s(c):
+    return c.cast("string")
+
+
+def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """project_name = log_<event_id>; every log is built from the event id alone
+    (bounded size, no grouping), with the sections the parsers read."""
+    ev = table(spark, sf_dir, "events").select("event_id")
+    e = F.col("event_id")
+    n = (e % 4 + 1).cast("int")
+
+    def block(i):
+        x = (e * 97 + i * 13) % 1500 + 100
+        y = (e * 61 + i * 7) % 800 + 100
+        ak = (e * 3 + i) % 3
+        action = (F.when(ak == 0, F.concat(F.lit("pyautogui.click("), _s(x), F.lit(", "), _s(y), F.lit(")")))
+                   .when(ak == 1, F.lit("pyautogui.typewrite('abc')"))
+                   .otherwise(F.lit('Tell ({"0": {"result": "Pass", "evidence": "ok"}})')))
+        op = F.when((e + i) % 5 != 0, F.concat(F.lit("### Operation ###\nClick item "), _s(i), F.lit(" of "), _s(e),
+                                               F.lit("\n"))).otherwise(F.lit(""))
+        out_action = F.concat(F.lit("######################## output_action:\n### Action ###\n"), action, F.lit("\n"),
+                              op, F.lit("### Task List ###\n- do stuff\n######################## output_action end\n"))
+        rk = (e + i) % 4
+        ans = (F.when(rk == 0, F.lit("CORRECT")).when(rk == 1, F.lit("ERROR: wrong click"))
+                .when(rk == 2, F.lit("INCORRECT result")).otherwise(F.lit("UNSURE")))
+        refl = F.when((e + i) % 7 != 0, F.concat(
+            F.lit("######################## reflection_output:\n### Answer ###\n"), ans,
+            F.lit("\n\nmore text\n######################## reflection_output end\n"))).otherwise(F.lit(""))
+        tk = (e + 2 * i) % 3
+        thought = (F.when(tk == 0, F.concat(
+            F.lit("### Reflection Thought ###\nAnalyze whether the screen content and state match the expected outcome of step "),
+            _s(i), F.lit(".\n### Thought ###\nthinking\n### Reflection Thought ###\nPage "), _s(e),
+            F.lit(" changed after step "), _s(i), F.lit(".\n### Thought ###\nmore\n")))
+            .when(tk == 1, F.concat(F.lit("### Reflection Thought ###\n\nButton "), _s(i),
+                                    F.lit(" now enabled.\nsecond line\n### Action ###\nnext\n")))
+            .otherwise(F.lit("")))
+        hit = (e + i) % 2 == 0
+        bx1 = F.when(hit, x - 10).otherwise(x + 200)
+        by1 = F.when(hit, y - 10).otherwise(y + 150)
+        bx2 = F.when(hit, x + 30).otherwise(x + 240)
+        by2 = F.when(hit, y + 20).otherwise(y + 180)
+        rect = lambda a, b, c, d: F.concat(F.lit("rect: ("), _s(a), F.lit(", "), _s(b), F.lit(", "), _s(c),
+                                           F.lit(", "), _s(d), F.lit(")"))
+        lines = F.concat(
+            F.lit("("), _s(x), F.lit(", "), _s(y), F.lit("); text:btn"), _s(i), F.lit("; control_type:Button; "),
+            rect(bx1, by1, bx2, by2), F.lit("\n"),
+            F.lit("("), _s(x), F.lit(", "), _s(y), F.lit("); text:; control_type:Text; "), rect(bx1, by1, bx2, by2),
+            F.lit("\n\n(960, 540); text:; control_type:Pane; rect: (0, 0, 1920, 1080)\n"),
+            F.lit("("), _s(x + 90), F.lit(", "), _s(y + 50), F.lit("); text:label"), _s(i),
+            F.lit("; control_type:Text; "), rect(x + 60, y + 40, x + 120, y + 60), F.lit("\n"),
+            F.lit("("), _s(x + 90), F.lit(", "), _s(y + 50), F.lit("); text:; control_type:Group; "),
+            rect(x + 55, y + 35, x + 130, y + 70),
+            F.lit("\njunk line without format\n(1, 1); text:logo; control_type:Image; rect: (0, 0, 10, 10)\n"))
+        screen = F.when((e * i) % 9 != 4, F.concat(
+            F.lit("### Screenshot information ###\nThe information is as follow:\n"), lines,
+            F.lit("Please note that this information is not necessarily accurate\n### Hints ###\n"))).otherwise(F.lit(""))
+
+        def hstep(k):
+            hact = F.when(k % 2 == 1, F.concat(F.lit("pyautogui.click("), _s((e + k * 11) % 1000), F.lit(", "),
+                                               _s((e + k * 17) % 700), F.lit(")"))).otherwise(F.lit("pyautogui.press('enter')"))
+            return F.concat(F.lit("Step-"), _s(k), F.lit(": Operation: hist op "), _s(k), F.lit(" of "), _s(e),
+                            F.lit("\nAction: "), hact, F.lit("\nReflection_thought: hist refl "), _s(k),
+                            F.lit("\n\tMemory: mem "), _s(k), F.lit("\n"))
+        history = F.when((i == n) & (e % 8 != 0), F.concat(
+            F.lit("### History operations ###\n"), F.array_join(F.transform(F.sequence(F.lit(1), n), hstep), ""),
+            F.lit("### Last Task List ###\n- done\n"))).otherwise(F.lit(""))
+        return F.concat(F.lit("#### iter:"), _s(i), F.lit("\n"), out_action, refl, thought, screen, history)
+
+    text = F.concat(F.lit("log header\n"), F.array_join(F.transform(F.sequence(F.lit(1), n), block), ""))
+    return ev.select(F.concat(F.lit("log_"), _s(e)).alias("project_name"), text.alias("text"))
+
+
+def trace_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_name, iter_num, has_image): screenshots missing for event_id % 6 = 0."""
+    ev = table(spark, sf_dir, "events").select("event_id")
+    e = F.col("event_id")
+    return ev.select(F.concat(F.lit("log_"), _s(e)).alias("project_name"),
+                     F.explode(F.sequence(F.lit(1), (e % 4 + 1).cast("int"))).alias("iter_num"),
+                     (e % 6 != 0).alias("has_image"))
