@@ -95,24 +95,33 @@ def case_noisy_or(steps: DataFrame, params: EMParams,
     are accumulated in one aggregation and the right one is picked per case.
     ``product`` skips NULLs and keeps exact zeros (Q10).
     """
-    prods = []
-    for i, c in enumerate(VARIANTS):
+    agg = case_noisy_or_multi(steps, params, weights, [alpha])
+    return agg.select("case_id", "human_gt", "agent_original",
+                      (F.lit(1.0) - F.col("_pa0")).alias("P_case_EnvFail"),
+                      F.col("_pa0").alias("P_case_AgentFail"))
+
+
+def case_noisy_or_multi(steps: DataFrame, params: EMParams, weights: ChannelWeights,
+                        alphas: list[float]) -> DataFrame:
+    """E8 for several α in one aggregation: columns _pa<i> = P_case_AgentFail(α_i)."""
+    qs = []
+    for c in VARIANTS:
         post, _ = _posterior_cols(params, weights, c)
         q = sum(post[1:], F.lit(0.0)) if params.k > 2 else post[1]
-        q = F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))
-        prods.append(F.product(F.pow(F.lit(1.0) - q, F.lit(float(alpha)))).alias(f"_p{i}"))
+        qs.append(F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0)))
+    prods = [F.product(F.pow(F.lit(1.0) - q, F.lit(float(a)))).alias(f"_p{i}_{j}")
+             for j, a in enumerate(alphas) for i, q in enumerate(qs)]
     agg = steps.groupBy("test_case_id").agg(
         last_non_null("agent").alias("agent_original"),
         last_non_null("phi").alias("human_gt"),
         *prods)
-    chosen = (F.when(F.col("agent_original") == 1.0, F.col("_p2"))
-               .when(F.col("agent_original") == 0.0, F.col("_p1"))
-               .otherwise(F.col("_p0")))
-    p_agent = F.lit(1.0) - chosen
-    return agg.select(
-        F.col("test_case_id").alias("case_id"), "human_gt", "agent_original",
-        (F.lit(1.0) - p_agent).alias("P_case_EnvFail"),
-        p_agent.alias("P_case_AgentFail"))
+    out = [F.col("test_case_id").alias("case_id"), "human_gt", "agent_original"]
+    for j in range(len(alphas)):
+        chosen = (F.when(F.col("agent_original") == 1.0, F.col(f"_p2_{j}"))
+                   .when(F.col("agent_original") == 0.0, F.col(f"_p1_{j}"))
+                   .otherwise(F.col(f"_p0_{j}")))
+        out.append((F.lit(1.0) - chosen).alias(f"_pa{j}"))
+    return agg.select(*out)
 
 
 def case_bayes(steps: DataFrame, params: EMParams) -> DataFrame:
