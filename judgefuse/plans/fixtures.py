@@ -368,3 +368,25 @@ def trace_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.concat(F.lit("log_"), _s(e)).alias("project_name"),
                      F.explode(F.sequence(F.lit(1), (e % 4 + 1).cast("int"))).alias("iter_num"),
                      (e % 6 != 0).alias("has_image"))
+
+
+# ---- code-review responses (from documents) --------------------------------------------------
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One review response per document with 1-3 tagged test cases; doc_id % 7 = 0
+    lacks the closing tag, doc_id % 11 = 0 carries invalid JSON (trailing comma)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    i = F.col("doc_id")
+    n = (i % 3 + 1).cast("int")
+
+    def case(j):
+        files = F.concat(F.lit('["src/f'), _s((i + j) % 5), F.lit('.js", "src/main.js"]'))
+        return F.concat(F.lit('{"test_case": "case '), _s(i), F.lit("-"), _s(j),
+                        F.lit('", "related_requirement": "req", "requirement_id": "R'), _s(j),
+                        F.lit('", "code_review": {"is_implemented": '),
+                        F.when((i + j) % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
+                        F.lit(', "evidence": "'), F.col("source"), F.lit('"}, "files": '), files, F.lit("}"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), case), ", ")
+    body = F.when(i % 11 == 0, F.concat(body, F.lit(","))).otherwise(body)
+    close = F.when(i % 7 == 0, F.lit("")).otherwise(F.lit("</RESPONSE>"))
+    text = F.concat(F.lit("analysis of "), _s(i), F.lit("\n<RESPONSE>[\n"), body, F.lit("\n]"), close, F.lit("\ndone"))
+    return d.select(F.concat(F.lit("proj_"), _s(i)).alias("project_name"), text.alias("text"))
