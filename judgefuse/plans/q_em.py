@@ -41,9 +41,11 @@ def q_em_step(spark, sf):
     return EM.params_frame(spark, p1, {"avg_ll": ll})
 
 
-@register("em_fit", doubles=_PD, ops="H4",
-          sql=O.with_ctes(*_BASE) + O.em_fit_sql(UNROLL, RUN_CFG.tol, W.w, W.agent_weight, RUN_CFG.temp)
-          + f" SELECT {O.PARAM_SELECT}, CAST(it AS BIGINT) AS n_iter FROM allp WHERE it = (SELECT it FROM stop)")
+EM_FIT_SQL = (O.with_ctes(*_BASE) + O.em_fit_sql(UNROLL, RUN_CFG.tol, W.w, W.agent_weight, RUN_CFG.temp)
+              + f" SELECT {O.PARAM_SELECT}, CAST(it AS BIGINT) AS n_iter FROM allp WHERE it = (SELECT it FROM stop)")
+
+
+@register("em_fit", doubles=_PD, ops="H4", sql=EM_FIT_SQL)
 def q_em_fit(spark, sf):
     res = EM.fit(fx.steps(spark, sf), RUN_CFG)
     return EM.params_frame(spark, res.params, {"n_iter": int(res.n_iter)})

@@ -12,10 +12,8 @@ from judgefuse.plans import fixtures as fx
 from judgefuse.plans import oracle as O
 from judgefuse.plans.q_em import RUN_CFG
 from judgefuse.plans.q_scoring import _cases_sql_ctes
-from judgefuse.plans.registry import REGISTRY, register
-
-# the training job runs the same fit as em_fit, so it shares that oracle
-REGISTRY_EM_FIT_SQL = REGISTRY["em_fit"].sql.split("FROM (", 1)[1].rsplit(") AS q", 1)[0]
+from judgefuse.plans.q_em import EM_FIT_SQL
+from judgefuse.plans.registry import register
 
 RESP_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(doc_id % 3 + 1 AS INTEGER) AS n FROM documents),
@@ -82,7 +80,7 @@ def q_code_lookup(spark, sf):
     return CE.code_lookup(wanted, m).select("path", "page_id", F.length("html").alias("n_chars"))
 
 
-@register("train_pipeline", ops="H14", doubles=tuple(EM.PARAM_COLS), sql=REGISTRY_EM_FIT_SQL)
+@register("train_pipeline", ops="H14", doubles=tuple(EM.PARAM_COLS), sql=EM_FIT_SQL)  # same fit as em_fit
 def q_train_pipeline(spark, sf):
     res = EM.fit(fx.steps(spark, sf), RUN_CFG)
     return EM.params_frame(spark, res.params, {"n_iter": int(res.n_iter)})
