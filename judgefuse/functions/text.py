@@ -85,9 +85,17 @@ def reflection_rules_sql(expr: str) -> str:
             f"WHEN regexp_matches({s}, '{_alt(REFLECTION_SUCCESS_PATTERNS)}') THEN 'Yes' ELSE 'No' END")
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(c) -> Column:
     """Strip leading/trailing whitespace (incl. newlines), like str.strip()."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.btrim(_c(c), F.lit(WHITESPACE))
+
+
+def first_group(c, pattern: str, group: int = 1) -> Column:
+    """Group of the first match, NULL when nothing matches (one regex pass)."""
+    return F.try_element_at(F.regexp_extract_all(_c(c), F.lit(pattern), group), F.lit(1))
 
 
 # ---- B1 / B4: Thought / Action ------------------------------------------------------------

@@ -80,7 +80,9 @@ def container_removal(elements: DataFrame, g: int = DEFAULT_CELL) -> DataFrame:
     exact box test.  The dropped set leaves through a left-anti join.
     """
     e = elements
-    a = covered_cells(e.select("screen_id", "el_id", "ui_name", "control_type", "x1", "y1", "x2", "y2"), g) \
+    # container types are dropped anyway, so they never need to be probed as A
+    a_side = e.filter(~F.col("control_type").isin(*CONTAINER_TYPES))
+    a = covered_cells(a_side.select("screen_id", "el_id", "ui_name", "control_type", "x1", "y1", "x2", "y2"), g) \
         .select("screen_id", "_gx", "_gy", *[F.col(c).alias(f"a_{c}") for c in
                                              ("el_id", "ui_name", "control_type", "x1", "y1", "x2", "y2")])
     b = e.select("screen_id", _cell(F.col("x1"), g).alias("_gx"), _cell(F.col("y1"), g).alias("_gy"),

@@ -150,3 +150,43 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str = "project_name",
     rec = F.struct(*[F.col(c) for c in cols if c != key])
     pick = both.groupBy(key).agg(F.max_by(rec, F.struct(F.col("_v"), F.col(ord_col))).alias("_r"))
     return pick.select(key, "_r.*")
+
+
+# ---- A8: trajectory directory tree ------------------------------------------------------------------
+def read_trajectory_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``root/web_*/task_*/messages.json`` (one JSON document each) with
+    optional ``metadata.json`` beside it.  Returns one row per task:
+    web_id, task_id (metadata values, else taken from the directory names),
+    instruction ('' without metadata), final_result, trajectory, codes.
+    Unreadable documents are dropped by the scan (DROPMALFORMED)."""
+    msg_schema = "trajectory array<struct<role: string, content: string>>, codes array<string>, final_result string"
+    m = (spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").schema(msg_schema)
+         .json(f"{root}/web_*/task_*/messages.json")
+         .withColumn("_p", F.col("_metadata.file_path")))
+    dir_re = r"/(web_[^/]+)/(task_[^/]+)/[^/]+$"
+    m = m.select("*", F.regexp_extract("_p", dir_re, 1).alias("_web"), F.regexp_extract("_p", dir_re, 2).alias("_task"))
+    meta_schema = "web_id string, task_id string, instruction string"
+    try:
+        md = (spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").schema(meta_schema)
+              .json(f"{root}/web_*/task_*/metadata.json")
+              .withColumn("_p", F.col("_metadata.file_path")))
+        md = md.select(F.regexp_extract("_p", dir_re, 1).alias("_web"), F.regexp_extract("_p", dir_re, 2).alias("_task"),
+                       F.col("web_id").alias("_mweb"), F.col("task_id").alias("_mtask"), F.col("instruction").alias("_mins"))
+    except Exception:  # noqa: BLE001 - no metadata file anywhere
+        md = None
+    if md is not None:
+        m = m.join(md, ["_web", "_task"], "left")
+    else:
+        m = m.select("*", *[F.lit(None).cast("string").alias(c) for c in ("_mweb", "_mtask", "_mins")])
+    return m.select(
+        F.coalesce("_mweb", "_web").alias("web_id"),
+        F.coalesce("_mtask", F.regexp_replace("_task", "^task_", "")).alias("task_id"),
+        F.coalesce("_mins", F.lit("")).alias("instruction"),
+        F.coalesce("final_result", F.lit("UNKNOWN")).alias("final_result"), "trajectory", "codes")
+
+
+def trajectory_turns(tree: DataFrame) -> DataFrame:
+    """Row form of a trajectory tree: (task, turn, role, content) plus tasks."""
+    t = tree.withColumn("task", F.concat_ws("_", "web_id", "task_id"))
+    return t.select("task", F.posexplode("trajectory").alias("turn", "m")).select(
+        "task", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"))
