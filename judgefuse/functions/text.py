@@ -98,6 +98,36 @@ def first_group(c, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(_c(c), F.lit(pattern), group), F.lit(1))
 
 
+def _lit_re(s: str) -> str:
+    return "\\Q" + s + "\\E"
+
+
+# Each helper below uses its input exactly once (a limit-2 split on a quoted
+# literal, i.e. one substring search), so nesting them inside higher-order
+# functions never re-evaluates the inner text.
+def after(c, marker: str) -> Column:
+    """Text after the first ``marker``; NULL when it is absent."""
+    return F.try_element_at(F.split(_c(c), _lit_re(marker), 2), F.lit(2))
+
+
+def before(c, marker: str) -> Column:
+    """Text before the first ``marker``; NULL when it is absent."""
+    return F.try_element_at(F.reverse(F.split(_c(c), _lit_re(marker), 2)), F.lit(2))
+
+
+def between(c, start: str, end: str) -> Column:
+    """Text between the first ``start`` and the first ``end`` after it, NULL
+    when either is missing.  Same value as group 1 of the first match of
+    ``(?s)start(.*?)end`` for literal markers, found by substring search
+    instead of a regex scan of the whole text."""
+    return before(after(c, start), end)
+
+
+def up_to(c, end: str) -> Column:
+    """Text before the first ``end``, or all of it when ``end`` is absent."""
+    return F.element_at(F.split(_c(c), _lit_re(end), 2), F.lit(1))
+
+
 # ---- B1 / B4: Thought / Action ------------------------------------------------------------
 THOUGHT_RE = r"(?s)Thought:\s*(.*?)(?:\nAction:|$)"
 THOUGHT_LOOSE_RE = r"(?s)Thought:\s*(.*?)(?:Action:|$)"

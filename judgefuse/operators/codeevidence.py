@@ -19,10 +19,11 @@ def parse_responses(df: DataFrame, text: str = "text", key: str = "project_name"
     body = F.when(F.col(text).rlike(RESPONSE_RE), F.trim(F.regexp_extract(F.col(text), RESPONSE_RE, 1)))
     p = df.select(key, body.alias("_body"))
     p = p.withColumn("_cases", F.from_json("_body", CASE_SCHEMA))
-    ok = p.filter(F.col("_cases").isNotNull())
     rejected = p.filter(F.col("_cases").isNull()).select(
         key, F.when(F.col("_body").isNull(), F.lit("no RESPONSE block")).otherwise(F.lit("invalid JSON")).alias("reason"))
-    acc = ok.select(key, F.posexplode("_cases").alias("case_idx", "c")).select(
+    # NULL (rejected) and empty arrays give no accepted rows; the outer
+    # generator with a position filter parses the JSON once
+    acc = p.select(key, F.posexplode_outer("_cases").alias("case_idx", "c")).filter(F.col("case_idx").isNotNull()).select(
         key, "case_idx", F.col("c.test_case").alias("test_case"), F.col("c.requirement_id").alias("requirement_id"),
         F.col("c.code_review.is_implemented").alias("is_implemented"), F.col("c.code_review.evidence").alias("evidence"),
         F.col("c.files").alias("files"))
@@ -32,7 +33,8 @@ def parse_responses(df: DataFrame, text: str = "text", key: str = "project_name"
 def ordered_distinct_files(cases: DataFrame, key: str = "project_name") -> DataFrame:
     """Files of all cases of a project, first occurrence kept, in order:
     (key, file, first_pos) with first_pos = (case_idx, file_idx) rank order."""
-    f = cases.select(key, "case_idx", F.posexplode("files").alias("file_idx", "file"))
+    f = cases.select(key, "case_idx", F.posexplode_outer("files").alias("file_idx", "file")) \
+        .filter(F.col("file_idx").isNotNull())
     return f.groupBy(key, "file").agg(F.min(F.struct("case_idx", "file_idx")).alias("_first")) \
         .select(key, "file", F.col("_first.case_idx").alias("case_idx"), F.col("_first.file_idx").alias("file_idx"))
 

@@ -13,7 +13,10 @@ VERDICT_MAP = "map<string, struct<result: string, evidence: string, case_desc: s
 def multitest_explode(pred: DataFrame, evidence: str = "evidence") -> DataFrame:
     """A batched verdict row holds a JSON map {"0": {...}, "1": {...}};
     one output row per key: case_name_(key+1), score 1 iff result == "Pass"."""
-    x = pred.select("case_name", F.explode(F.from_json(F.col(evidence), VERDICT_MAP)).alias("k", "v"))
+    # explode_outer + key filter: parses the JSON once (a plain explode
+    # infers a not-empty filter that parses it a second time)
+    x = pred.select("case_name", F.explode_outer(F.from_json(F.col(evidence), VERDICT_MAP)).alias("k", "v")) \
+        .filter(F.col("k").isNotNull())
     return x.select(
         F.concat(F.col("case_name"), F.lit("_"), (F.col("k").cast("int") + 1).cast("string")).alias("case_name"),
         F.when(F.col("v.result") == "Pass", F.lit(1)).otherwise(F.lit(0)).alias("os_agent_score"),

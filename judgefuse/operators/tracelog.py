@@ -33,6 +33,18 @@ SCREEN_INFO_RE = r"(?s)### Screenshot information ###(.*?)### Hints ###"
 INFO_RE = r"(?s)The information is as follow:(.*?)Please note that this information is not necessarily accurate"
 ELEMENT_LINE_RE = (r"^\((\d+),\s*(\d+)\);\s*text:(.*?);\s*control_type:(.*?);\s*rect:\s*"
                    r"\((\d+),\s*(\d+),\s*(\d+),\s*(\d+)\)")
+# The literal start and end markers of the delimited sections
+# above.  A section is the text between the first start marker and the next
+# end marker, i.e. the first match of the matching *_RE pattern.
+SECTION_MARKERS = {
+    "output_action": ("######################## output_action:", "######################## output_action end"),
+    "reflection_output": ("######################## reflection_output:", "######################## reflection_output end"),
+    "screenshot": ("### Screenshot information ###", "### Hints ###"),
+    "info": ("The information is as follow:", "Please note that this information is not necessarily accurate"),
+    "operation": ("### Operation ###", "### Task List ###"),
+    "action": ("### Action ###", "### Operation ###"),
+}
+ANSWER_MARKER, ANSWER_END = "### Answer ###", "\n\n"
 TEMPLATE_MARKERS = [
     "Analyze whether the screen content and state match the expected outcome",
     "Write a comprehensive analysis of the last operation's outcome",
@@ -47,6 +59,27 @@ def _first(c: Column, pat: str, i: int = 1) -> Column:
     return TX.first_group(c, pat, i)
 
 
+def _section(c: Column, name: str) -> Column:
+    """A delimited section (``SECTION_MARKERS``) by substring search."""
+    return TX.between(c, *SECTION_MARKERS[name])
+
+
+def _answer(refl: Column) -> Column:
+    """ANSWER_RE group: after the marker and its whitespace, up to the first
+    blank line or the end."""
+    return TX.up_to(F.ltrim(TX.after(refl, ANSWER_MARKER), F.lit(TX.WHITESPACE)), ANSWER_END)
+
+
+def _first_line(c: Column) -> Column:
+    """ITER_RE is anchored and stays on one line, so it is matched on the
+    first line only instead of scanning the whole block."""
+    return F.substring_index(c, "\n", 1)
+
+
+def _info_block(c: Column) -> Column:
+    return TX.strip_ws(_section(_section(c, "screenshot"), "info"))
+
+
 # ---- A9 ---------------------------------------------------------------------------------------
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """One row per log file: (project_name from the file name, text)."""
@@ -67,11 +100,16 @@ def log_iterations(logs: DataFrame) -> DataFrame:
     """
     hist = F.try_element_at(F.regexp_extract_all(F.col("text"), F.lit(HISTORY_RE), 1), F.lit(-1))
     x = logs.select("project_name", F.split("text", ITER_SPLIT).alias("_segs"), hist.alias("_hist"))
+    # *_outer generators throughout: a plain one lets the optimizer infer a
+    # not-empty filter that re-evaluates the array expression (here the split
+    # of the whole text) in the scan; the rows without a block are dropped by
+    # the filter below instead
     x = x.select("project_name", "_hist", F.size("_segs").alias("_n"),
-                 F.posexplode("_segs").alias("seg", "content"))
-    x = x.filter(F.col("content").rlike(ITER_RE))
+                 F.posexplode_outer("_segs").alias("seg", "content"))
+    head = _first_line(F.col("content"))
+    x = x.filter(head.rlike(ITER_RE))
     return x.select(
-        "project_name", "seg", F.regexp_extract("content", ITER_RE, 1).cast("int").alias("iter_num"), "content",
+        "project_name", "seg", F.regexp_extract(head, ITER_RE, 1).cast("int").alias("iter_num"), "content",
         F.when(F.col("seg") == F.col("_n") - 1, F.coalesce(TX.strip_ws(F.col("_hist")), F.lit(""))).alias("history"))
 
 
@@ -85,47 +123,54 @@ def parse_iterations(logs: DataFrame) -> DataFrame:
     reflection_thought, click_x, click_y, operation_desc, info, history.
     """
     hist = F.try_element_at(F.regexp_extract_all(F.col("text"), F.lit(HISTORY_RE), 1), F.lit(-1))
-    segs = F.split(F.col("text"), ITER_SPLIT)
-
-    def cut(blk, i):
-        return F.struct(
-            i.alias("seg"), F.regexp_extract(blk, ITER_RE, 1).alias("it"),
-            _first(blk, OUTPUT_ACTION_RE).alias("out"), _first(blk, REFLECTION_OUT_RE).alias("refl"),
-            reflection_text(blk).alias("rt"),
-            TX.strip_ws(_first(_first(blk, SCREEN_INFO_RE), INFO_RE)).alias("info"))
-
-    def fields(r):
-        out = r["out"]
-        op = TX.strip_ws(_first(out, OPERATION_RE))
-        cx = _first(out, CLICK_RE, 1)
-        cy = _first(out, CLICK_RE, 2)
-        ans = TX.strip_ws(_first(r["refl"], ANSWER_RE))
-        both = cx.isNotNull() & op.isNotNull()
-        return F.struct(
-            r["seg"].alias("seg"), F.when(r["it"] != "", r["it"].cast("int")).alias("iter_num"),
-            F.when(ans.contains("CORRECT"), F.lit(1)).when(ans.contains("ERROR"), F.lit(0)).alias("reflection"),
-            TX.strip_ws(_first(out, ACTION_BLOCK_RE)).alias("action_content"),
-            r["rt"].alias("reflection_thought"),
-            F.when(both, cx.cast("int")).alias("click_x"), F.when(both, cy.cast("int")).alias("click_y"),
-            F.when(both, op).alias("operation_desc"), r["info"].alias("info"))
-
-    x = logs.select("project_name", hist.alias("_hist"), F.size(segs).alias("_n"),
-                    F.filter(F.transform(F.transform(segs, cut), fields),
-                             lambda r: r["iter_num"].isNotNull()).alias("_its"))
-    x = x.select("project_name", "_hist", "_n", F.inline("_its"))
+    # split once; the optimizer keeps a non-cheap expression used twice
+    # (size and transform) in its own projection instead of inlining it
+    x = logs.select("project_name", hist.alias("_hist"), F.split(F.col("text"), ITER_SPLIT).alias("_segs"))
+    x = x.select("project_name", "_hist", F.size("_segs").alias("_n"),
+                 F.transform(F.transform("_segs", _cut_block), _block_fields).alias("_its"))
+    # inline_outer: a plain inline lets the optimizer infer a not-empty
+    # filter that copies (and so re-runs) the whole parse expression
+    x = x.select("project_name", "_hist", "_n", F.inline_outer("_its")).filter(F.col("iter_num").isNotNull())
     return x.select("project_name", "seg", "iter_num", "reflection", "action_content", "reflection_thought",
                     "click_x", "click_y", "operation_desc", "info",
                     F.when(F.col("seg") == F.col("_n") - 1, F.coalesce(TX.strip_ws(F.col("_hist")), F.lit("")))
                     .alias("history"))
 
 
+def _cut_block(blk: Column, i: Column) -> Column:
+    """The sections of one iteration block (still long strings)."""
+    return F.struct(
+        i.alias("seg"), F.regexp_extract(_first_line(blk), ITER_RE, 1).alias("it"),
+        _section(blk, "output_action").alias("out"), _section(blk, "reflection_output").alias("refl"),
+        reflection_text(blk).alias("rt"),
+        _info_block(blk).alias("info"))
+
+
+def _block_fields(r: Column) -> Column:
+    """The parsed fields of one block from its cut sections (short strings)."""
+    out = r["out"]
+    op = TX.strip_ws(_section(out, "operation"))
+    cx = _first(out, CLICK_RE, 1)
+    cy = _first(out, CLICK_RE, 2)
+    ans = TX.strip_ws(_answer(r["refl"]))
+    both = cx.isNotNull() & op.isNotNull()
+    return F.struct(
+        r["seg"].alias("seg"), F.when(r["it"] != "", r["it"].cast("int")).alias("iter_num"),
+        F.when(ans.contains("CORRECT"), F.lit(1)).when(ans.contains("ERROR"), F.lit(0)).alias("reflection"),
+        TX.strip_ws(_section(out, "action")).alias("action_content"),
+        r["rt"].alias("reflection_thought"),
+        F.when(both, cx.cast("int")).alias("click_x"), F.when(both, cy.cast("int")).alias("click_y"),
+        F.when(both, op).alias("operation_desc"), r["info"].alias("info"))
+
+
 # ---- B7 ---------------------------------------------------------------------------------------
 def history_steps(iters: DataFrame) -> DataFrame:
     """Step-n segments of the history block -> operation, action,
     reflection (cut at Memory:, trailing whitespace removed, empty -> NULL)
     and click (ints)."""
     h = iters.filter(F.col("history").isNotNull() & (F.col("history") != ""))
-    m = h.select("project_name", F.posexplode(F.regexp_extract_all("history", F.lit(STEP_RE), 0)).alias("k", "s"))
+    m = h.select("project_name", F.posexplode_outer(F.regexp_extract_all("history", F.lit(STEP_RE), 0)).alias("k", "s")) \
+        .filter(F.col("k").isNotNull())
     s = F.col("s")
     body = F.regexp_extract(s, STEP_RE, 2)
     act = TX.strip_ws(_first(body, STEP_ACTION_RE))
@@ -147,8 +192,8 @@ def element_lines(iters: DataFrame) -> DataFrame:
     skipped but keep their number (id = element_<idx>).  A matching line is
     rewritten once into its eight fields (one regex pass, then a split)."""
     if "info" not in iters.columns:
-        iters = iters.withColumn("info", TX.strip_ws(_first(_first(F.col("content"), SCREEN_INFO_RE), INFO_RE)))
-    x = iters.select("project_name", "iter_num", F.posexplode(F.split("info", "\n")).alias("idx", "line"))
+        iters = iters.withColumn("info", _info_block(F.col("content")))
+    x = iters.select("project_name", "iter_num", F.posexplode_outer(F.split("info", "\n")).alias("idx", "line"))
     x = x.withColumn("line", TX.strip_ws(F.col("line"))).filter(F.col("line").rlike(ELEMENT_LINE_RE))
     f = F.split(F.regexp_replace("line", ELEMENT_LINE_RE + "(?s:.*)$",
                                  "\u0001".join(f"${i}" for i in range(1, 9))), "\u0001")
@@ -166,7 +211,7 @@ def reflection_verdict(content, strict: bool = False) -> Column:
     """Answer section containing CORRECT -> 1, else ERROR -> 0, else NULL.
     Parity: 'INCORRECT' contains 'CORRECT' (Q15); ``strict`` uses word bounds."""
     c = F.col(content) if isinstance(content, str) else content
-    ans = TX.strip_ws(_first(_first(c, REFLECTION_OUT_RE), ANSWER_RE))
+    ans = TX.strip_ws(_answer(_section(c, "reflection_output")))
     ok = ans.rlike(r"\bCORRECT\b") if strict else ans.contains("CORRECT")
     return F.when(ok, F.lit(1)).when(ans.contains("ERROR"), F.lit(0))
 
@@ -174,19 +219,19 @@ def reflection_verdict(content, strict: bool = False) -> Column:
 def operation_text(content) -> Column:
     """### Operation ### .. ### Task List ### inside output_action."""
     c = F.col(content) if isinstance(content, str) else content
-    return TX.strip_ws(_first(_first(c, OUTPUT_ACTION_RE), OPERATION_RE))
+    return TX.strip_ws(_section(_section(c, "output_action"), "operation"))
 
 
 def action_block(content) -> Column:
     """### Action ### .. ### Operation ### inside output_action."""
     c = F.col(content) if isinstance(content, str) else content
-    return TX.strip_ws(_first(_first(c, OUTPUT_ACTION_RE), ACTION_BLOCK_RE))
+    return TX.strip_ws(_section(_section(c, "output_action"), "action"))
 
 
 def click_in_output(content) -> Column:
     """Click coordinates of the output_action block, struct(x, y) or NULL."""
     c = F.col(content) if isinstance(content, str) else content
-    blk = _first(c, OUTPUT_ACTION_RE)
+    blk = _section(c, "output_action")
     return F.when(blk.rlike(CLICK_RE), F.struct(F.regexp_extract(blk, CLICK_RE, 1).cast("int").alias("x"),
                                                 F.regexp_extract(blk, CLICK_RE, 2).cast("int").alias("y")))
 
@@ -226,17 +271,17 @@ def iteration_records(iters: DataFrame) -> DataFrame:
     The output_action and reflection_output sections are cut out once and
     the fields are read from those short strings."""
     x = iters.select("project_name", "seg", "iter_num",
-                     _first(F.col("content"), OUTPUT_ACTION_RE).alias("_out"),
-                     _first(F.col("content"), REFLECTION_OUT_RE).alias("_refl"),
+                     _section(F.col("content"), "output_action").alias("_out"),
+                     _section(F.col("content"), "reflection_output").alias("_refl"),
                      reflection_text(F.col("content")).alias("reflection_thought"))
     out = F.col("_out")
-    op = TX.strip_ws(_first(out, OPERATION_RE))
+    op = TX.strip_ws(_section(out, "operation"))
     xy = F.when(out.rlike(CLICK_RE), F.struct(F.regexp_extract(out, CLICK_RE, 1).cast("int").alias("x"),
                                               F.regexp_extract(out, CLICK_RE, 2).cast("int").alias("y")))
-    ans = TX.strip_ws(_first(F.col("_refl"), ANSWER_RE))
+    ans = TX.strip_ws(_answer(F.col("_refl")))
     x = x.select("project_name", "seg", "iter_num", "reflection_thought",
                  F.when(ans.contains("CORRECT"), F.lit(1)).when(ans.contains("ERROR"), F.lit(0)).alias("reflection"),
-                 TX.strip_ws(_first(out, ACTION_BLOCK_RE)).alias("action_content"),
+                 TX.strip_ws(_section(out, "action")).alias("action_content"),
                  op.alias("_op"), xy.alias("_xy"))
     both = F.col("_xy").isNotNull() & F.col("_op").isNotNull()
     return x.select(

@@ -109,7 +109,7 @@ def gui_evidence_flatten(df: DataFrame, with_ord: bool = False) -> DataFrame:
                       (i + 1).cast("int").alias("iter_num"), *[a[c].alias(c) for c in flat_fields])))
     acts = acts.otherwise(F.array(flat))
     keep = ["ord"] if with_ord else []
-    x = df.select("project_name", *keep, F.posexplode(acts).alias("_i", "a"))
+    x = df.select("project_name", *keep, F.posexplode_outer(acts).alias("_i", "a")).filter(F.col("_i").isNotNull())
     # with_ord: a unique row order for later "last row wins" rules
     extra = [(F.col("ord") * 8 + F.col("_i") + 1).alias("ord")] if with_ord else []
     return x.select(*extra,
