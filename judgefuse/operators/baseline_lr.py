@@ -64,12 +64,15 @@ def class_balance(features: DataFrame) -> DataFrame:
 
 def scaler_stats(features: DataFrame) -> DataFrame:
     """Per feature mean and population std (zero std -> 1), one row."""
+    return features.filter(F.col("label").isNotNull()).agg(*_scaler_aggs())
+
+
+def _scaler_aggs() -> list[Column]:
     aggs = []
     for f in FEATURES:
         sd = F.stddev_pop(f)
-        aggs += [F.avg(f).alias(f"{f}__mean"),
-                 F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias(f"{f}__scale")]
-    return features.filter(F.col("label").isNotNull()).agg(*aggs)
+        aggs += [F.avg(f).alias(f"{f}__mean"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias(f"{f}__scale")]
+    return aggs
 
 
 def _z(params: LRParams) -> Column:
@@ -97,12 +100,19 @@ def fit(features: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float =
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    lab = features.filter(F.col("label").isNotNull())
-    st = scaler_stats(lab).first()
+    from judgefuse.session import checkpoint_dir
+
+    # the case table is aggregated from the steps once and cut from their
+    # lineage; the statistics below and every optimiser pass read it
+    checkpoint_dir(features.sparkSession)
+    lab = features.filter(F.col("label").isNotNull()).checkpoint(eager=True)
+    # scaler statistics (E13) and class counts (E12) in one pass
+    st = lab.agg(*_scaler_aggs(), F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label") == 1).alias("_n1")).first()
     mean = [float(st[f"{f}__mean"]) for f in FEATURES]
     scale = [float(st[f"{f}__scale"]) for f in FEATURES]
-    cw = {int(r["label"]): float(r["class_weight"]) for r in class_balance(lab).collect()}
-    n = sum(r for r in [lab.count()])
+    n, n1 = int(st["_n"]), int(st["_n1"])
+    # balanced weight n / (2 n_c); an absent class keeps weight 1
+    cw = {c: n / (2.0 * k) for c, k in ((1, n1), (0, n - n1)) if k > 0}
     scaled = lab.select(*[((F.col(f) - F.lit(m)) / F.lit(s)).alias(f) for f, m, s in zip(FEATURES, mean, scale)],
                         F.col("label").cast("double").alias("label"),
                         F.when(F.col("label") == 1, F.lit(cw.get(1, 1.0))).otherwise(F.lit(cw.get(0, 1.0))).alias("w"))
