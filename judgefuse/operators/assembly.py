@@ -118,33 +118,47 @@ def _case_hash(case: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), case.cast("string")))
 
 
+RANK_LIMIT = 200_000  # rows ranked in one task once the cut's prefix bucket is this small
+
+
 def split_threshold(df: DataFrame, case_col: str = "test_case_id", val_ratio: float = 0.2,
                     seed: int = 42, bucket_chars: int = 4) -> tuple[str | None, int, int]:
     """Hash of the ⌊n·ratio⌋-th case in md5(seed|case) order (exact).
 
-    Distinct cases are counted per hash prefix (≤ 16^4 rows reach the
-    driver); only the one prefix bucket holding the cut is ranked.
+    The distinct case hashes are computed once and checkpointed.  Cases are
+    counted per hash prefix (≤ 16^4 rows reach the driver per round); the
+    prefix is lengthened inside the bucket that holds the cut until that
+    bucket has at most ``RANK_LIMIT`` cases, and only those are ranked.
     Returns (threshold hash or None, n_cases, n_val).
     """
+    from pyspark.sql import Window
+
+    from judgefuse.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     cases = df.select(F.col(case_col).cast("string").alias("c")).distinct() \
-        .select(_case_hash(F.col("c"), seed).alias("h"))
-    cases = cases.withColumn("b", F.substring("h", 1, bucket_chars))
-    counts = sorted((r["b"], r["n"]) for r in cases.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect())
-    n = sum(c for _, c in counts)
-    k = int(n * val_ratio)
-    if k <= 0:
-        return None, n, 0
-    acc = 0
-    for b, c in counts:
-        if acc + c >= k:
-            j = k - acc
-            from pyspark.sql import Window
-            w = Window.partitionBy("b").orderBy("h")
-            row = cases.filter(F.col("b") == b).withColumn("r", F.row_number().over(w)) \
-                .filter(F.col("r") == j).select("h").first()
+        .select(_case_hash(F.col("c"), seed).alias("h")).checkpoint(eager=True)
+    sub, n, k, length = cases, None, None, bucket_chars
+    while True:
+        pre = F.substring("h", 1, length)
+        counts = sorted((r["b"], r["n"]) for r in sub.groupBy(pre.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+        if n is None:
+            n = sum(c for _, c in counts)
+            k = int(n * val_ratio)
+            if k <= 0:
+                return None, n, 0
+            rest = k
+        acc = 0
+        for b, c in counts:
+            if acc + c >= rest:
+                break
+            acc += c
+        rest -= acc
+        sub = sub.filter(pre == F.lit(b))
+        if c <= RANK_LIMIT or length >= 32:
+            row = sub.withColumn("r", F.row_number().over(Window.orderBy("h"))).filter(F.col("r") == rest) \
+                .select("h").first()
             return row["h"], n, k
-        acc += c
-    raise AssertionError("unreachable")
+        length += bucket_chars
 
 
 def grouped_split(df: DataFrame, case_col: str = "test_case_id", val_ratio: float = 0.2,

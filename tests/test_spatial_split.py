@@ -75,3 +75,15 @@ def test_split_exact_and_disjoint(spark):
     import hashlib
     order = sorted((hashlib.md5(f"42|c{i}".encode()).hexdigest(), f"c{i}") for i in range(103))
     assert val == {c for _, c in order[: int(103 * 0.25)]}
+
+
+def test_split_threshold_refines_large_buckets(spark, monkeypatch):
+    import hashlib
+    monkeypatch.setattr(A, "RANK_LIMIT", 3)
+    cases = [f"case{i}" for i in range(500)]
+    df = spark.createDataFrame([(c, j) for c in cases for j in range(2)], "test_case_id string, k int")
+    for ratio in (0.2, 0.5, 0.999):
+        h, n, k = A.split_threshold(df, val_ratio=ratio, seed=7, bucket_chars=1)
+        ranked = sorted(hashlib.md5(f"7|{c}".encode()).hexdigest() for c in cases)
+        assert (n, k) == (500, int(500 * ratio))
+        assert h == ranked[k - 1]
