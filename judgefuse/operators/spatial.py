@@ -151,6 +151,8 @@ def nearest_elements(clicks: DataFrame, elements: DataFrame, k: int = 5, g: int
         cand = cand.withColumn("distance", F.sqrt(F.pow(F.col("cx") - F.col("mx"), 2) +
                                                   F.pow(F.col("cy") - F.col("my"), 2))) \
                    .withColumn("area", area(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
+        # rank <= k is planned as WindowGroupLimit on both sides of the
+        # shuffle: each map task keeps at most k candidates per click
         w = Window.partitionBy("click_id").orderBy(*order)
         return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -66,10 +66,11 @@ def apply_defaults(df: DataFrame, cols: StepCols = DEFAULT_COLS, *,
         df = df.withColumn(cols.phi, F.lit(None).cast("int"))
     df = with_ord(df, cols.ord)
     if not ev.has_col(df, cols.step):
-        # Per-case position instead of a frame-wide counter.
-        from pyspark.sql import Window
-        w = Window.partitionBy(cols.case).orderBy(cols.ord)
-        df = df.withColumn(cols.step, (F.row_number().over(w) - 1).cast("string"))
+        # Per-case position instead of a frame-wide counter, computed
+        # without sending a whole (possibly hot) case to one task
+        from judgefuse.operators.ordering import group_positions
+        df = group_positions(df, [cols.case], [cols.ord], "_step_pos") \
+            .withColumn(cols.step, F.col("_step_pos").cast("string")).drop("_step_pos")
     return df
 
 

@@ -167,3 +167,10 @@ def test_result_independent_of_partitioning(spark):
     a = sorted(C.case_noisy_or(steps, P, W).collect())
     b = sorted(C.case_noisy_or(steps.repartition(3, "ord"), P, W).collect())
     assert a == b
+
+
+def test_default_step_is_position_in_case(spark):
+    rows = [("a", 30, 1.0, 0.0), ("b", 5, 0.0, 1.0), ("a", 10, 0.0, 0.0), ("a", 20, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "test_case_id string, ord long, E1_gui double, E2_code double")
+    got = {(r["test_case_id"], r["ord"]): r["step"] for r in S.prepare(df).collect()}
+    assert got == {("a", 10): "0", ("a", 20): "1", ("a", 30): "2", ("b", 5): "0"}
