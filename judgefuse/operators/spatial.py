@@ -156,6 +156,8 @@ def nearest_elements(clicks: DataFrame, elements: DataFrame, k: int = 5, g: int
         w = Window.partitionBy("click_id").orderBy(*order)
         return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
+    from judgefuse.session import checkpoint_dir
+    checkpoint_dir(clicks.sparkSession)
     done = None
     remaining = pts
     for r in radii:
@@ -163,7 +165,10 @@ def nearest_elements(clicks: DataFrame, elements: DataFrame, k: int = 5, g: int
             .select("click_id", "screen_id", "cx", "cy",
                     (_cell(F.col("cx"), g) + F.col("_dx")).alias("_gx"),
                     (_cell(F.col("cy"), g) + F.col("_dy")).alias("_gy"))
-        top = score(blk.join(el, ["screen_id", "_gx", "_gy"]))
+        # at most k rows per click; written once so that the exactness test,
+        # the kept part and the next round's open clicks do not each re-plan
+        # (and re-run) every earlier round
+        top = score(blk.join(el, ["screen_id", "_gx", "_gy"])).checkpoint(eager=True)
         # exact once k candidates exist and the k-th lies strictly inside the searched square
         ok = top.groupBy("click_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_dk")) \
             .filter((F.col("_n") >= k) & (F.col("_dk") < F.lit(float(r * g)))).select("click_id")

@@ -114,9 +114,13 @@ def trajectory_steps(turns: DataFrame, screenshots: DataFrame, codes: DataFrame,
     step of a task carries the Tell record (B13) and the final result.
     """
     from judgefuse.operators import spatial as SP
+    from judgefuse.session import checkpoint_dir
     st = positional_pairing(turns, screenshots, codes, compact)
     n = st.groupBy("task").agg(F.max("pos").alias("_last"))
-    st = st.join(n, "task").join(tasks, "task", "left")
+    # the paired steps feed the main chain and both spatial joins; written
+    # once so none of them re-plans the three positionings
+    checkpoint_dir(turns.sparkSession)
+    st = st.join(n, "task").join(tasks, "task", "left").checkpoint(eager=True)
     st = st.withColumn("click_id", F.concat_ws(":", F.col("task").cast("string"), F.col("pos").cast("string")))
     clicks = st.filter(F.col("click_x").isNotNull()).select(
         "click_id", "screen_id", F.col("click_x").alias("cx"), F.col("click_y").alias("cy"))
