@@ -334,7 +334,8 @@ def trace_log_pipeline(logs: DataFrame, has_image: DataFrame | None = None,
     # lost executor re-reads them instead of re-running the regex work
     iters = parse_iterations(logs).checkpoint(eager=True)
     rec = iters.drop("info", "history")
-    els = clean_elements(element_lines(iters), g)
+    # the cleaned elements feed both the hit test and the per-screen count
+    els = clean_elements(element_lines(iters), g).checkpoint(eager=True)
     rec = rec.withColumn("screen_id", F.concat_ws(":", "project_name", F.col("iter_num").cast("string")))
     clicks = rec.filter(F.col("click_x").isNotNull()).select(
         F.concat_ws(":", "screen_id", F.col("seg").cast("string")).alias("click_id"), "screen_id",
