@@ -15,17 +15,22 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # splitmix64 constants
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Where it is unset, a local master
+    (tests) uses one below the warehouse; elsewhere that is an error."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return folder.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``; unset on a local master
-    it goes below the warehouse, elsewhere that is an error."""
+    """Reliable checkpoint in ``shared_folder``."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -76,6 +81,11 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(acc)
 
 
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df`` (narrow rows) marked for a broadcast join if it has at most ``rows``; else unmarked, so it is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def n_blocks(df: DataFrame, text: str = "text", mb_per_block: int = 14) -> int:
     """How many blocks of about ``mb_per_block`` the texts fill (one scan)."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
