@@ -1,9 +1,9 @@
 """Byte-pair encoding and decoding with a given public vocabulary.
 
-Each Arrow batch gathers the pre-tokens it has not met, lays their symbols out
-in one array and keeps an index *pair -> all its positions*.  Active pairs are
-applied in ascending rank; a merge changes only the lists of the pairs beside
-it.  White-space-delimited chunks are then replaced by their ids.
+Each part of a partition gathers the pre-tokens it has not met, lays their
+symbols out in one array and keeps an index *pair -> all its positions*.  Active
+pairs are applied in ascending rank; a merge changes only the lists of the pairs
+beside it.  Every pre-token of a text is then replaced by its ids.
 
 No tokenizer is trained here, nothing is shuffled, and every task needs only
 the vocabulary file (``path``, read by the driver and broadcast).
@@ -14,9 +14,10 @@ from __future__ import annotations
 import gc
 import heapq
 import json
+import re
 import unicodedata
-from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,12 @@ from pyspark.sql import types as T
 from judgefuse.llm.common import text_bytes
 
 FLUSH_BYTES = 8 << 20   # texts per output batch
-REMEMBER = 400_000      # chunks (and pre-tokens) remembered per task; then forgotten, never skipped
+REMEMBER = 500_000      # pre-tokens remembered per task; then forgotten, never skipped
+MERGE_WORDS = 4096      # new pre-tokens that share one index: it stays in the processor's cache
 NEVER = 1 << 60         # the rank of a pair that no merge joins
+# The letters, numbers and spaces below U+0180, for the quick pattern.
+LOW_LETTERS, LOW_NUMBERS, LOW_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\\x09-\\x0D\\x20\\x85\\xA0"
+BEYOND_LOW = re.compile("[^\\x00-\u017F]")
 
 
 def byte_symbols() -> list[str]:
@@ -45,137 +50,147 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids.update(self.special)
         self.names = {i: t for t, i in self.ids.items()}
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: dict[tuple[int, int], int] = {}
+        self.by_rank: list[tuple[int, int, int]] = []
         for r, m in enumerate(model["merges"]):
             x, y = m if isinstance(m, list) else m.split(" ")
-            self.ranks[self.ids[x], self.ids[y]] = (r, self.ids[x + y])
-        self.by_rank = {r: (x, y, new) for (x, y), (r, new) in self.ranks.items()}
+            pair = (self.ids[x], self.ids[y])
+            self.rank_of[pair] = r
+            self.by_rank.append((*pair, self.ids[x + y]))
+        keys = np.array([x << 32 | y for x, y in self.rank_of] or [-1], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.key_ranks = keys[order], np.array([*self.rank_of.values()] or [NEVER], np.int64)[order]
         symbols = byte_symbols()
-        self.inner = [self.ids[s] for s in symbols]
-        self.last = [self.ids[s + self.end] for s in symbols]
+        self.inner = np.array([self.ids[s] for s in symbols], np.int32)
+        self.last = np.array([self.ids[s + self.end] for s in symbols], np.int32)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = split["pattern"]["Regex"]
 
+    def pair_ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Merge rank of each pair; NEVER where no merge joins it."""
+        key = x.astype(np.int64) << 32 | y.astype(np.int64) & 0xFFFFFFFF
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.key_ranks[at], NEVER)
+
     def decode(self, ids) -> str:
         """Without a decoder in its file the library joins token strings by a space."""
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
-def merge_words(words: list[str], vocab: Vocabulary) -> list[list[int]]:
+def merge_words(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
     """Ids of every pre-token, by one pair occurrence index over all of them."""
-    sym: list[int] = []
-    starts: list[int] = []
-    for w in words:
-        raw = w.encode()
-        starts.append(len(sym))
-        sym += [vocab.inner[b] for b in raw[:-1]]
-        sym.append(vocab.last[raw[-1]])
-        sym.append(-1)  # the border: in no pair
-    after = list(range(1, len(sym) + 1))
-    before = list(range(-1, len(sym) - 1))
-    rank_of, where = vocab.ranks.get, defaultdict(list)
-    for i, pair in enumerate(zip(sym, sym[1:])):  # the index: rank of a pair -> its positions
-        found = rank_of(pair)
-        if found is not None:
-            where[found[0]].append(i)
-    active = list(where)
-    heapq.heapify(active)
-
-    def note(i: int, pair: tuple[int, int]) -> int:
-        found = rank_of(pair)
-        if found is None:
-            return NEVER
-        if found[0] not in where:
-            heapq.heappush(active, found[0])
-        where[found[0]].append(i)
-        return found[0]
-
-    by_rank = vocab.by_rank
+    if not words:
+        return []
+    raw = [w.encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    ends = np.cumsum(size + 1) - 1                      # a border follows every pre-token
+    flat = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
+    start = vocab.inner[flat]
+    start[ends - 1] = vocab.last[flat[ends - 1]]
+    start[ends] = -1
+    # The index: rank of a pair -> its positions, in ascending order.
+    rank = vocab.pair_ranks(start[:-1], start[1:])
+    at = np.flatnonzero(rank < NEVER)
+    at = at[np.argsort(rank[at], kind="stable")]
+    active, low = np.unique(rank[at], return_index=True)
+    where = dict(zip(active.tolist(), (x.tolist() for x in np.split(at, low[1:]))))
+    active = active.tolist()                            # sorted, so already a heap
+    sym, after = start.tolist(), list(range(1, len(start) + 1))
+    before = list(range(-1, len(start) - 1))
+    rank_of, by_rank = vocab.rank_of.get, vocab.by_rank
+    push, pop = heapq.heappush, heapq.heappop
     while active:
-        rank = heapq.heappop(active)
-        left, right, new = by_rank[rank]
-        spots = sorted(where.pop(rank))
+        now = pop(active)
+        left, right, new = by_rank[now]
+        spots = where.pop(now)
+        spots.sort()
         for n, i in enumerate(spots):
             if sym[i] != left:
                 continue
             j = after[i]
             if sym[j] != right:
                 continue
-            sym[i], sym[j] = new, -2  # -2: swallowed
             k = after[j]
-            after[i] = k
-            before[k] = i
-            low = note(i, (new, sym[k])) if sym[k] >= 0 else NEVER
+            sym[i], sym[j] = new, -2                    # -2: swallowed
+            after[i], before[k] = k, i
+            earlier = False
+            r = rank_of((new, sym[k]))
+            if r is not None:
+                if r in where:
+                    where[r].append(i)
+                else:
+                    where[r] = [i]
+                    push(active, r)
+                earlier = r < now
             h = before[i]
-            if h >= 0 and sym[h] >= 0:
-                low = min(low, note(h, (sym[h], new)))
-            if low < rank and n + 1 < len(spots):  # an earlier rank became active
-                where[rank] += spots[n + 1:]
-                heapq.heappush(active, rank)
+            if h >= 0:
+                r = rank_of((sym[h], new))
+                if r is not None:
+                    if r in where:
+                        where[r].append(h)
+                    else:
+                        where[r] = [h]
+                        push(active, r)
+                    earlier = earlier or r < now
+            if earlier and n + 1 < len(spots):          # a lower rank became active: it goes first
+                where[now] = where.get(now, []) + spots[n + 1:]
+                push(active, now)
                 break
-    out = []
-    for s in starts:
-        ids, i = [], s
-        while sym[i] != -1:
-            ids.append(sym[i])
-            i = after[i]
-        out.append(ids)
-    return out
+    done = np.array(sym, np.int32)
+    alive = done >= 0
+    cut = np.cumsum(alive)[ends - 1]
+    return np.split(done[alive], cut[:-1])
 
 
 class Encoder:
+    """Pre-tokens of texts, and for each met so far its ids (int32 bytes) and its token strings."""
+
     def __init__(self, vocab: Vocabulary):
         import regex
         self.vocab = vocab
         self.find = regex.compile(vocab.pattern.replace(r"\s", r"\p{White_Space}")).findall
-        self.split = regex.compile("(" + "|".join(map(regex.escape, vocab.special)) + ")").split if vocab.special else None
-        self.chunks: dict[bytes, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def pretokens(self, chunk: str) -> list[str]:
-        """NFC, lower case character by character, then the file's pattern."""
-        if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
-            return self.find("".join(c.lower() for c in chunk))
-        return self.find(chunk.lower())
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Remember the ids of chunks not met before."""
-        plans: list[tuple[bytes, list]] = []
-        words, new = self.words, set()
-        if len(words) > REMEMBER:
-            words.clear()
-        for c in chunks:
-            text, plan = c.decode(), []
-            parts = self.split(text) if self.split and "<" in text else [text]
-            for p in parts:
-                if p in self.vocab.special:
-                    plan.append(self.vocab.special[p])
-                else:
-                    plan += self.pretokens(p)
-            plans.append((c, plan))
-            new.update([p for p in plan if p not in words and p.__class__ is str])
-        new = list(new)
-        words.update(zip(new, merge_words(new, self.vocab)))
-        for c, plan in plans:
-            got: list[int] = []
-            for p in plan:
-                if p.__class__ is str:
-                    got += words[p]
-                else:
-                    got.append(p)
-            self.chunks[c] = got
-
-    def encode(self, texts: list[bytes]) -> list[list[bytes]]:
-        """The texts' chunks; afterwards ``self.chunks`` holds the ids of each."""
-        split = [t.split() for t in texts]
-        known = self.chunks
-        new = {c for s in split for c in s if c not in known}
-        if len(known) + len(new) > REMEMBER:
-            known.clear()
-            new = {c for s in split for c in s}
-        self.learn(new)
-        return split
+        low = (vocab.pattern.replace(r"[\p{L}]", f"[{LOW_LETTERS}]").replace(r"[\p{N}]", f"[{LOW_NUMBERS}]")
+               .replace(r"\p{L}", LOW_LETTERS).replace(r"\p{N}", LOW_NUMBERS).replace(r"\s", LOW_SPACES))
+        self.find_low = re.compile(low).findall
+        self.split = re.compile("(" + "|".join(map(re.escape, vocab.special)) + ")").split if vocab.special else None
+        self.ids: dict[str, bytes] = {}
+        self.said: dict[str, str] = {}
+
+    def reset(self) -> None:
+        self.ids = {t: np.int32(i).tobytes() for t, i in self.vocab.special.items()}
+        self.said = {t: t for t in self.vocab.special}
+
+    def pretokens(self, text: str) -> list[str]:
+        """NFC, lower case character by character (so no final sigma), then the
+        file's pattern; strings of special tokens in the raw text are kept apart."""
+        if self.split and "<" in text:
+            parts = self.split(text)
+            if len(parts) > 1:
+                out = []
+                for k, p in enumerate(parts):
+                    out += [p] if k % 2 else self.pretokens(p)
+                return out
+        if text.isascii():
+            return self.find_low(text.lower())
+        text = unicodedata.normalize("NFC", text).replace("\u03A3", "\u03C3").lower()
+        return self.find(text) if BEYOND_LOW.search(text) else self.find_low(text)
+
+    def encode(self, texts: list[bytes]) -> list[list[str]]:
+        """Pre-tokens of each text; afterwards ``ids`` and ``said`` hold all of them."""
+        rows = [self.pretokens(t.decode("utf-8", "replace")) for t in texts]
+        if not self.ids or len(self.ids) > REMEMBER:
+            self.reset()
+        new = set()
+        for row in rows:
+            new.update(row)
+        new = [w for w in new if w not in self.ids]
+        names = self.vocab.names
+        for low in range(0, len(new), MERGE_WORDS):
+            part = new[low:low + MERGE_WORDS]
+            for w, got in zip(part, merge_words(part, self.vocab)):
+                self.ids[w] = got.tobytes()
+                self.said[w] = " ".join([names[i] for i in got.tolist()])
+        return rows
 
 
 def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_ids",
@@ -195,10 +210,8 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
     schema = df.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
 
     def run(batches):
-        gc.disable()  # many small lists, no cycles
+        gc.disable()  # many small objects, no cycles
         encoder = Encoder(Vocabulary(json.loads(spec.value)))
-        vocab = encoder.vocab
-        said: dict[bytes, str] = {}
         for batch in batches:
             raw = text_bytes(batch.column(place))
             low = 0
@@ -207,23 +220,14 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
                 while high < len(raw) and (size == 0 or size + len(raw[high]) <= FLUSH_BYTES):
                     size += len(raw[high]) + 1
                     high += 1
-                rows, chunks = encoder.encode(raw[low:high]), encoder.chunks
-                if len(said) > REMEMBER:
-                    said.clear()
-                out_ids, out_text = [], []
-                for row in rows:
-                    got: list[int] = []
-                    for c in row:
-                        got += chunks[c]
-                    out_ids.append(got)
-                    for c in row:
-                        if c not in said:
-                            said[c] = vocab.decode(chunks[c])
-                    out_text.append(" ".join([said[c] for c in row if chunks[c]]))
+                rows = encoder.encode(raw[low:high])
+                got = [b"".join(map(encoder.ids.__getitem__, row)) for row in rows]
+                ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
+                values = pa.array(np.frombuffer(b"".join(got), np.int32))
+                out_ids = pa.ListArray.from_arrays(pa.array(ends), values)
+                out_text = pa.array([" ".join(map(encoder.said.__getitem__, row)) for row in rows], pa.string())
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(out_ids, pa.list_(pa.int32())), pa.array(out_text, pa.string())],
-                    names=[*keep, ids, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, out_ids, out_text], names=[*keep, ids, decoded])
                 low = high
 
     return df.select(*keep).mapInArrow(run, schema)

@@ -169,15 +169,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
                .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)))
                .drop("slices"))
     queries = (contents.withColumnRenamed("gid", "q").join(asks.select("q", "t"), "q").join(slices, "t")
-               .select(F.col("t").alias("gid"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice"), "id", "mark", "text"))
+               .select(F.col("t").alias("qgid"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("qslice"),
+                       *[F.col(c).alias("q" + c) for c in ("id", "mark", "text")]))
 
     def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
         hasher = WordHash()
 
-        def sets(t: pa.Table) -> dict[int, np.ndarray]:
+        def sets(t: pa.Table, q: str = "") -> dict[int, np.ndarray]:
             out = {}
-            for i, mark, chunk in zip(t.column("id").to_pylist(), t.column("mark").to_pylist(),
-                                      (x for c in t.column("text").chunks for x in text_bytes(c))):
+            for i, mark, chunk in zip(t.column(q + "id").to_pylist(), t.column(q + "mark").to_pylist(),
+                                      (x for c in t.column(q + "text").chunks for x in text_bytes(c))):
                 if i not in out:
                     s = shingles(chunk, hasher, n)
                     if set_mark(s)[0] == mark:  # of rows that share an id, the class's own text
@@ -192,13 +193,13 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
                 for i, s in mine.items():
                     for j in group.partners(s, percent):
                         forest.unite(i, ids[j])
-            for i, s in (sets(asked) if len(asked) else {}).items():
+            for i, s in (sets(asked, "q") if len(asked) else {}).items():
                 for j in group.partners(s, percent):
                     forest.unite(i, ids[j])
         return pa.table({"a": pa.array([a for a, _ in forest.edges], pa.int64()),
                          "b": pa.array([b for _, b in forest.edges], pa.int64())})
 
-    edges = targets.groupBy("gid", "slice").cogroup(queries.groupBy("gid", "slice")).applyInArrow(compare, "a long, b long")
+    edges = targets.groupBy("gid", "slice").cogroup(queries.groupBy("qgid", "qslice")).applyInArrow(compare, "a long, b long")
     whole = components(edges).withColumnRenamed("node", "rep")
     labels = checkpoint(classes.select("s1", "s2", "rep").join(whole, "rep", "left")
                         .select("s1", "s2", F.coalesce("component", "rep").alias("c")))
