@@ -75,10 +75,20 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     k = len(h) - n + 1
     if k < 1:
         n, k = len(h), 1
-    acc = np.full(k, n, dtype=np.uint64)
-    for i in range(n):
-        acc = acc * M2 + h[i:i + k]
-    return mix(acc)
+    # The polynomial sum of h[i + j] * M2 ** (n - 1 - j), by doubling: spans of 1, 2, 4, ... words.
+    acc, done, factor = None, 0, 1
+    span, wide = h, 1
+    while True:
+        if n & wide:  # put this span behind what is done
+            acc = span[done:done + k] if acc is None else acc * np.uint64(factor) + span[done:done + k]
+            done += wide
+        # factor of the next span: M2 ** (2 * wide)
+        nxt = wide * 2
+        if nxt > n:
+            break
+        span = span[:len(span) - wide] * np.uint64(pow(int(M2), wide, 1 << 64)) + span[wide:]
+        wide, factor = nxt, pow(int(M2), nxt, 1 << 64)
+    return mix(acc + np.uint64(n))
 
 
 def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

@@ -17,6 +17,8 @@ so a passage in a third of all rows costs one row per block.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,12 +52,13 @@ class Block:
         self.words = [t.split() for chunk in table.column(text).chunks for t in text_bytes(chunk)]
         self.hashes = [hasher.of(w) for w in self.words]
 
-    def anchored(self, window: int):
-        """(document, anchor position per window, anchor hash per window)."""
+    def runs(self, window: int):
+        """(document, first window of each run of windows with one anchor, that anchor, number of windows)."""
         for d, h in enumerate(self.hashes):
             if len(h) >= window:
                 at, g = anchors(h, window)
-                yield d, at, g[at]
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                yield d, first, g[at[first]], len(at)
 
 
 def empty(*names: str) -> dict:
@@ -77,14 +80,14 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     made = ("n_words", "n_removed", "removed", "kept_text")
     keep = [c for c in df.columns if c.lower() not in (*made, "__block")]
     src = df.select(*keep)
-    blocks = max(n_blocks(src, text), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    blocks = max(n_blocks(src, text, 10), 2 * df.sparkSession.sparkContext.defaultParallelism)
     dealt = src.withColumn("__block", block_of(F.coalesce(F.col(key), F.lit(NO_KEY)), blocks)).repartition(blocks, "__block")
     by_block = dealt.groupBy("__block")
 
     def find_anchors(group: pa.Table) -> pa.Table:
         found = []
-        for _, at, a in Block(group, key, text).anchored(window):
-            found.append(a[np.r_[True, at[1:] != at[:-1]]])  # one for each run of windows
+        for _, _, a, _ in Block(group, key, text).runs(window):
+            found.append(a)
         a, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64),) * 2
         return pa.table({"block": pa.array(np.full(len(a), group.column("__block")[0].as_py(), np.int32)),
                          "anchor": pa.array(a.astype(np.int64)), "n": pa.array(np.minimum(n, 2).astype(np.int32))})
@@ -99,10 +102,11 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             want = np.sort(hits.column("anchor").to_numpy().astype(np.uint64))
             block = Block(docs, key, text)
             hashes, ids, starts = [], [], []
-            for d, _, a in block.anchored(window):
+            for d, first, a, total in block.runs(window):
                 i = np.minimum(np.searchsorted(want, a), len(want) - 1)
-                at = np.flatnonzero(want[i] == a)
-                if len(at):
+                hit = want[i] == a
+                if hit.any():
+                    at = np.flatnonzero(np.repeat(hit, np.diff(np.r_[first, total])))
                     hashes.append(gram_hashes(block.hashes[d], window)[at])
                     ids.append(np.full(len(at), block.ids[d], np.int64))
                     starts.append(at)
@@ -132,11 +136,9 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         block = Block(docs, key, text)
         gone: list[list[tuple[int, int]]] = [[] for _ in block.words]
         if len(docs) and len(found):
-            automaton, spell = compile_passages(block, found, window)
-            if automaton is not None:
-                for d, words in enumerate(block.words):
-                    if len(words) >= window:
-                        gone[d] = located(automaton, spell, words, block.ids[d])
+            automaton, how, holders = compile_passages(block, found, window)
+            for d in holders:  # a text without a recurring window holds no passage
+                gone[d] = located(automaton, how, block.words[d], block.ids[d])
         n_removed, spans, texts = [], [], []
         for words, cuts in zip(block.words, gone):
             spans.append([{"from": a, "to": b} for a, b in cuts])
@@ -154,12 +156,14 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         return out.append_column("kept_text", pa.array(texts, pa.string()))
 
     def compile_passages(block: Block, found: pa.Table, window: int):
-        """The block's automaton: each passage's value is (first id, first start, words)."""
+        """The block's automaton (each passage's value: first id, first start, words), how
+        words are spelled, and the documents that hold recurring windows."""
         hashes = found.column("hash").to_numpy()
         order = np.argsort(hashes)
         hashes = hashes[order]
         first_id, first_at = found.column("id").to_numpy()[order], found.column("start").to_numpy()[order]
         passages: dict[tuple[int, int, int], tuple[int, int]] = {}
+        holders = []
         for d, h in enumerate(block.hashes):
             if len(h) < window:
                 continue
@@ -168,13 +172,14 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             at = np.flatnonzero(hashes[i] == w)
             if not len(at):
                 continue
+            holders.append(d)
             fi, fs = first_id[i[at]], first_at[i[at]]
             new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(fi) != 0) | (np.diff(fs) != 1)])
             for a, b in zip(new, np.r_[new[1:], len(at)]):
                 if (fi[a], fs[a]) != (block.ids[d], at[a]):  # not the first occurrence itself
                     passages.setdefault((int(fi[a]), int(fs[a]), int(b - a) + window - 1), (d, int(at[a])))
         if not passages:
-            return None, None
+            return None, None, []
         codes: dict[bytes, int] = {}
         for (_, _, n), (d, s) in passages.items():
             for w in block.words[d][s:s + n]:
@@ -184,7 +189,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             digits += 1
 
         def spell(words: list[bytes]) -> str:
-            ids = np.fromiter((codes.get(w, 0) for w in words), np.int64, len(words))  # 0: in no passage
+            ids = np.fromiter(map(codes.get, words, repeat(0)), np.int64, len(words))  # 0: in no passage
             out = np.empty((len(ids), digits), np.uint32)
             for k in range(digits):
                 out[:, k] = 0x100 + (ids >> (6 * k) & 63)
@@ -194,7 +199,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         for (fi, fs, n), (d, s) in passages.items():
             automaton.add_word(spell(block.words[d][s:s + n]), (fi, fs, n))
         automaton.make_automaton()
-        return automaton, (spell, digits)
+        return automaton, (spell, digits), holders
 
     def located(automaton, how, words: list[bytes], own: int) -> list[tuple[int, int]]:
         """Word spans of ``words`` that a passage with an earlier start covers."""
