@@ -3,12 +3,14 @@
 Documents with one shingle set are one class.  Classes are partitioned into
 groups of similar ones (by their smallest shingle hash; crowded groups are cut
 into parts of about ``GROUP`` classes).  The matrix holds, per group, the union
-of its members' *prefix* tokens: two sets that reach the threshold share a token
-among the rarest ``n - need + 1`` of each, in any order that all sets follow.
-Here the order is the document frequency of a shingle's rarest word, then its
-hash; so shingles of frequent words, lines and passages come last.
-
-Groups that share a matrix token are candidates.  The smaller one's members
+of its members' *prefix* tokens: two sets that reach the threshold share ``SHARED``
+tokens (or all they need, if fewer) among the rarest ``n - need + SHARED`` of
+each, in any order that all sets follow.
+Here the order is the frequency expected of a shingle from its words' document
+frequencies, then its hash; so shingles of frequent words, lines and passages
+come last.
+
+Groups of fitting sizes that share so many matrix tokens are candidates.  The smaller one's members
 become queries to the other: its whole token union bounds what any member can
 share with a query, and only groups that qualify are opened and compared
 exactly.  Tasks return a spanning forest of the links, never the pairs.
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from judgefuse.llm.common import Forest, WordHash, checkpoint, components, gram_hashes, small_side, text_bytes
 
 GROUP = 128            # classes of a group, and queries that meet it in one task
-FREQUENT = 200_000     # words whose frequency the order knows: the bound of the broadcast table
+FREQUENT = 500_000     # words whose frequency the order knows: the bound of the broadcast table
+SHARED = 8             # matrix tokens that candidate groups share (fewer for tiny sets)
 FLUSH = 400_000        # words a task counts before it passes the counts on
 
 
@@ -44,7 +47,8 @@ def needed(n, percent: int):
 
 
 def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, documents) of the most frequent words, by hash; at most ``FREQUENT``."""
+    """(hash, documents) of the most frequent words, by hash: all words of at
+    least the document count that at most ``FREQUENT`` words reach."""
     import pyarrow as pa
 
     def count(batches):
@@ -64,8 +68,17 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     yield flush()
         yield flush()
 
-    top = (docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "w").limit(FREQUENT).toPandas())
+    counts = checkpoint(docs.select("text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    # 256 rows at most: the histogram of the counts by quarters of powers of two
+    step = F.floor(4 * F.log2("n")).cast("int")
+    hist = sorted(((r["k"], r["count"]) for r in counts.groupBy(step.alias("k")).count().collect()), reverse=True)
+    least, total = 1 << 30, 0
+    for k, c in hist:
+        total += c
+        if total > FREQUENT:
+            break
+        least = k
+    top = counts.filter(step >= least).toPandas()
     w, n = top["w"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(w)
     return w[order], n[order]
@@ -122,17 +135,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
                 if not len(u):
                     one.append(None), two.append(None), low.append(None), rare.append(None)
                     continue
-                f = np.zeros(len(h), np.int64)
+                f = np.zeros(len(h))
                 if len(words):
                     i = np.minimum(np.searchsorted(words, h), len(words) - 1)
                     f = np.where(words[i] == h, docs_of[i], 0)
-                least = f[at].copy()
-                for k in range(1, min(n, len(h))):
-                    np.minimum(least, f[at + k], out=least)
-                p = len(u) - needed(len(u), percent) + 1
+                weight = np.rint(16 * np.log2(1 + f)).astype(np.int64)
+                expected = sum(weight[at + k] for k in range(min(n, len(h))))
+                p = len(u) - needed(len(u), percent) + SHARED
                 a, b = set_mark(u)
                 one.append(a), two.append(b), low.append(int(u[0].astype(np.int64)))
-                rare.append(u[np.lexsort((u, least))[:p]].astype(np.int64))
+                rare.append(u[np.lexsort((u, expected))[:p]].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                  pa.array(low, pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
@@ -152,11 +164,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
     several = matrix.groupBy("token").count().filter("count > 1").select("token")
     shared = checkpoint(matrix.join(several, "token"))
     near = (shared.select("token", F.col("gid").alias("g1")).join(shared.select("token", F.col("gid").alias("g2")), "token")
-            .filter("g1 < g2").select("g1", "g2").distinct())
-    facts = grouped.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
-    f1, f2 = (facts.select(F.col("gid").alias(f"g{i}"), F.col("m").alias(f"m{i}"), F.col("size").alias(f"z{i}")) for i in (1, 2))
+            .filter("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("common")))
+    facts = grouped.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("n").alias("low"),
+                                       F.max("n").alias("high"))
+    f1, f2 = (facts.select(F.col("gid").alias(f"g{i}"), F.col("m").alias(f"m{i}"), F.col("size").alias(f"z{i}"),
+                           F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in (1, 2))
+    least = F.ceil(F.least("low1", "low2") * percent / 100)  # what the smallest members need to share
+    fits = ((F.col("common") >= F.least(F.lit(SHARED), least)) & (100 * F.col("high1") >= percent * F.col("low2"))
+            & (100 * F.col("high2") >= percent * F.col("low1")))
     swap = (F.col("z1") > F.col("z2")) | ((F.col("z1") == F.col("z2")) & (F.col("g1") > F.col("g2")))
-    asks = checkpoint(near.join(f1, "g1").join(f2, "g2").select(
+    asks = checkpoint(near.join(f1, "g1").join(f2, "g2").filter(fits).select(
         F.when(swap, F.col("g2")).otherwise(F.col("g1")).alias("q"),
         F.when(swap, F.col("g1")).otherwise(F.col("g2")).alias("t"),
         F.when(swap, F.col("m2")).otherwise(F.col("m1")).alias("m")))
