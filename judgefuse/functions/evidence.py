@@ -40,10 +40,12 @@ def mask(c) -> Column:
 
 
 def clip_weight(c, lo: float = 0.0, hi: float = 10.0) -> Column:
-    """Sample weight clipped to [0, 10]; missing column -> 1."""
+    """Sample weight clipped to [0, 10]; missing column -> 1; a NULL or NaN
+    weight stays NULL (``least``/``greatest`` would turn it into a bound)."""
     if c is None:
         return F.lit(1.0)
-    return F.least(F.greatest(nan_to_null(c), F.lit(lo)), F.lit(hi))
+    v = nan_to_null(c)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(lo)), F.lit(hi)))
 
 
 def agent_score(c) -> Column:
@@ -58,7 +60,7 @@ def delta_label(c, dtype: T.DataType) -> Column:
     case) -> 0/1; everything else (incl. the string "1") -> NULL."""
     c = _c(c)
     if isinstance(dtype, T.StringType):
-        s = F.lower(F.trim(c))
+        s = F.lower(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")))
         return (F.when(s.startswith("env"), F.lit(0.0))
                  .when(s.startswith("agent"), F.lit(1.0))
                  .otherwise(F.lit(None).cast("double")))

@@ -39,10 +39,10 @@ def tell_evidence(c) -> Column:
 def fenced_result(c) -> Column:
     """Strip a leading ```json / ``` fence and a trailing ``` fence,
     then read ``result``; anything unparsable gives "No"."""
-    s = F.trim(_c(c))
+    s = strip_ws(_c(c))
     s = F.regexp_replace(s, r"^```(json)?", "")
     s = F.regexp_replace(s, r"```$", "")
-    s = F.trim(s)
+    s = strip_ws(s)
     return F.coalesce(F.get_json_object(s, "$.result"), F.lit("No"))
 
 
@@ -70,7 +70,7 @@ def _alt(words: list[str]) -> str:
 def reflection_rules(c) -> Column:
     """B18 default scorer: "Yes" only for an explicit success statement that
     carries no failure cue; empty or whitespace-only text is "No"."""
-    s = F.trim(F.replace(F.coalesce(_c(c), F.lit("")), F.lit(REFLECTION_TEMPLATE_NOTE), F.lit("")))
+    s = strip_ws(F.replace(F.coalesce(_c(c), F.lit("")), F.lit(REFLECTION_TEMPLATE_NOTE), F.lit("")))
     return (F.when(s == "", F.lit("No"))
              .when(s.rlike(_alt(REFLECTION_FAIL_PATTERNS)), F.lit("No"))
              .when(s.rlike(_alt(REFLECTION_SUCCESS_PATTERNS)), F.lit("Yes"))
@@ -79,7 +79,7 @@ def reflection_rules(c) -> Column:
 
 def reflection_rules_sql(expr: str) -> str:
     """The same rule table for the DuckDB oracle."""
-    s = f"trim(replace(coalesce({expr}, ''), '{REFLECTION_TEMPLATE_NOTE}', ''))"
+    s = f"regexp_replace(replace(coalesce({expr}, ''), '{REFLECTION_TEMPLATE_NOTE}', ''), '^\\s+|\\s+$', '', 'g')"
     return (f"CASE WHEN {s} = '' THEN 'No' "
             f"WHEN regexp_matches({s}, '{_alt(REFLECTION_FAIL_PATTERNS)}') THEN 'No' "
             f"WHEN regexp_matches({s}, '{_alt(REFLECTION_SUCCESS_PATTERNS)}') THEN 'Yes' ELSE 'No' END")

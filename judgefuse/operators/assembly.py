@@ -28,6 +28,11 @@ def evidence_merge(code_ev: DataFrame, agent_judge: DataFrame, gui: DataFrame) -
     return cases.join(gui, "test_case_id", "left")
 
 
+def row_order(df: DataFrame) -> list[str]:
+    """Columns that order rows: the record, then (if present) the position in it."""
+    return [c for c in ("ord", "pos") if c in df.columns]
+
+
 def rule_scorer(df: DataFrame) -> DataFrame:
     """Default B18 scorer: adds ``agent_noresp`` Yes/No from ``evidence``."""
     return df.withColumn("agent_noresp", TX.reflection_rules(F.col("evidence")))
@@ -39,11 +44,11 @@ def tell_rows(merged: DataFrame, scorer: Scorer = rule_scorer) -> DataFrame:
     A Tell row without extractable evidence keeps agent_noresp = "-1" (Q19).
     """
     t = merged.filter(TX.is_tell(F.col("action_content"))) \
-        .select("action_id", "ord", TX.tell_evidence(F.col("action_content")).alias("evidence"))
+        .select("action_id", *row_order(merged), TX.tell_evidence(F.col("action_content")).alias("evidence"))
     scored = scorer(t.filter(F.col("evidence").isNotNull()))
     missing = t.filter(F.col("evidence").isNull()).withColumn("agent_noresp", F.lit("-1"))
-    return scored.select("action_id", "ord", "evidence", "agent_noresp") \
-        .unionByName(missing.select("action_id", "ord", "evidence", "agent_noresp"))
+    cols = ["action_id", *row_order(merged), "evidence", "agent_noresp"]
+    return scored.select(*cols).unionByName(missing.select(*cols))
 
 
 def tell_merge_back(merged: DataFrame, tells: DataFrame) -> DataFrame:
@@ -51,7 +56,7 @@ def tell_merge_back(merged: DataFrame, tells: DataFrame) -> DataFrame:
     come from the right.  The right side is first reduced to one row per
     action_id (largest ord) so the join cannot multiply rows (Q26)."""
     right = tells.groupBy("action_id").agg(
-        F.max_by(F.struct("agent_noresp", "evidence"), "ord").alias("_t"))
+        F.max_by(F.struct("agent_noresp", "evidence"), F.struct(*row_order(tells))).alias("_t"))
     return merged.join(right.select("action_id", "_t.agent_noresp", "_t.evidence"), "action_id", "left")
 
 
@@ -85,7 +90,7 @@ def train_rows(df: DataFrame, gt_lookup: DataFrame | None = None, label_col: str
     return out.select(
         "test_case_id",
         F.col("action_id").alias("step"),
-        F.col("ord"),
+        *row_order(df),
         F.col(label_col).cast("int").alias("phi"),
         "operation_desc", "action_content",
         F.when(no_gui, F.lit(0.0)).otherwise(gui.cast("double")).alias("E1_gui"),
@@ -107,9 +112,10 @@ def verdict_attach(rows: DataFrame, agent: str = "agent_testcase_score") -> Data
     """Per case, the last agent value and the last non-null phi, folded
     into one aggregation (no join back)."""
     from judgefuse.operators.steps import last_non_null
+    order = F.struct(*row_order(rows))
     return rows.groupBy("test_case_id").agg(
-        last_non_null(agent).alias("agent_original"),
-        last_non_null("phi").alias("human_gt"),
+        last_non_null(agent, order).alias("agent_original"),
+        last_non_null("phi", order).alias("human_gt"),
         F.count(F.lit(1)).alias("n_steps"))
 
 
@@ -118,21 +124,16 @@ def _case_hash(case: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), case.cast("string")))
 
 
-RANK_LIMIT = 200_000  # rows ranked in one task once the cut's prefix bucket is this small
-
-
 def split_threshold(df: DataFrame, case_col: str = "test_case_id", val_ratio: float = 0.2,
-                    seed: int = 42, bucket_chars: int = 4) -> tuple[str | None, int, int]:
+                    seed: int = 42, bucket_chars: int = 2) -> tuple[str | None, int, int]:
     """Hash of the ⌊n·ratio⌋-th case in md5(seed|case) order (exact).
 
     The distinct case hashes are computed once and checkpointed.  Cases are
-    counted per hash prefix (≤ 16^4 rows reach the driver per round); the
-    prefix is lengthened inside the bucket that holds the cut until that
-    bucket has at most ``RANK_LIMIT`` cases, and only those are ranked.
+    counted by the next ``bucket_chars`` digits of their hash (at most 256
+    rows reach the driver a round); inside the bucket that holds the cut the
+    prefix grows until one hash is left.  The same rounds at every size.
     Returns (threshold hash or None, n_cases, n_val).
     """
-    from pyspark.sql import Window
-
     from judgefuse.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     cases = df.select(F.col(case_col).cast("string").alias("c")).distinct() \
@@ -154,10 +155,8 @@ def split_threshold(df: DataFrame, case_col: str = "test_case_id", val_ratio: fl
             acc += c
         rest -= acc
         sub = sub.filter(pre == F.lit(b))
-        if c <= RANK_LIMIT or length >= 32:
-            row = sub.withColumn("r", F.row_number().over(Window.orderBy("h"))).filter(F.col("r") == rest) \
-                .select("h").first()
-            return row["h"], n, k
+        if c == 1 or length >= 32:
+            return sub.agg(F.min("h")).first()[0], n, k
         length += bucket_chars
 
 
@@ -171,7 +170,3 @@ def grouped_split(df: DataFrame, case_col: str = "test_case_id", val_ratio: floa
     is_val = F.lit(False) if h is None else hv <= F.lit(h)
     return df.withColumn("split", F.when(is_val, F.lit("val")).otherwise(F.lit("train")))
 
-
-def distinct_cases(df: DataFrame, case_col: str = "test_case_id") -> DataFrame:
-    """Distinct case ids."""
-    return df.select(F.col(case_col)).distinct()

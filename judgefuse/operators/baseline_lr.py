@@ -92,11 +92,12 @@ def score(features: DataFrame, params: LRParams) -> DataFrame:
         (F.lit(1.0) - p1).alias("P_case_EnvFail"), p1.alias("P_case_AgentFail"))
 
 
-def fit(features: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-10) -> LRParams:
+def fit(features: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6) -> LRParams:
     """L2 logistic regression with balanced class weights on
     standardised features.  sklearn minimises C·Σ wᵢ·lossᵢ + ½‖β‖²; Spark ML
     minimises (1/Σw)·Σ wᵢ·lossᵢ + (λ/2)‖β‖², so λ = 1/(C·Σw) (Σw = n for
-    balanced weights).  Scaling uses the population std, as sklearn does."""
+    balanced weights).  Scaling uses the population std, as sklearn does.
+    Raises if the optimiser stops where the gradient is not small."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
@@ -122,7 +123,26 @@ def fit(features: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float =
                             fitIntercept=True, tol=tol, family="binomial")
     m = lr.fit(vec)
     coef = [float(x) for x in m.coefficients.toArray()]
-    return LRParams(dict(zip(FEATURES, coef)), float(m.intercept), mean, scale, C)
+    params = LRParams(dict(zip(FEATURES, coef)), float(m.intercept), mean, scale, C)
+    worst = max(abs(r) for r in optimality(lab, params).values())
+    if worst > 1e-3:
+        raise RuntimeError(f"the logistic fit did not converge: gradient {worst:.2e} per case")
+    return params
+
+
+def optimality(features: DataFrame, params: LRParams) -> dict[str, float]:
+    """Gradient of the penalised loss at ``params``, per labelled case: zero for
+    every feature (and the intercept) at the optimum.  One aggregation."""
+    lab = features.filter(F.col("label").isNotNull())
+    counts = lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("n1")).first()
+    n, n1 = counts["n"], counts["n1"]
+    w = F.when(F.col("label") == 1, F.lit(n / (2.0 * n1) if n1 else 1.0)).otherwise(F.lit(n / (2.0 * (n - n1)) if n > n1 else 1.0))
+    gap = w * (F.lit(1.0) / (F.lit(1.0) + F.exp(-_z(params))) - F.col("label"))
+    sums = lab.agg(F.sum(gap).alias("intercept"), *[
+        F.sum(gap * (F.col(f) - F.lit(m)) / F.lit(s)).alias(f)
+        for f, m, s in zip(FEATURES, params.scaler_mean, params.scaler_scale)]).first()
+    out = {f: (params.C * sums[f] + params.coefficients[f]) / n for f in FEATURES}
+    return out | {"intercept": params.C * sums["intercept"] / n}
 
 
 def correct(scored: DataFrame, tau_agentfail: float = 0.75, tau_envfail: float = 0.75) -> DataFrame:

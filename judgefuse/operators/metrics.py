@@ -25,8 +25,8 @@ def accuracy(cases: DataFrame, gt: str = "human_gt") -> DataFrame:
     n = F.count(F.lit(1))
     return have.agg(
         n.alias("n_cases"),
-        (F.count_if(_eq("agent_original", gt)) / n).alias("acc_before"),
-        (F.count_if(_eq("corrected_label", gt)) / n).alias("acc_after"),
+        F.try_divide(F.count_if(_eq("agent_original", gt)), n).alias("acc_before"),
+        F.try_divide(F.count_if(_eq("corrected_label", gt)), n).alias("acc_after"),
     )
 
 
@@ -39,7 +39,7 @@ def confusion(cases: DataFrame, gt: str = "human_gt", pred: str = "corrected_lab
         F.count_if((g == 0) & (p == 1)).alias("gt0_pred1"),
         F.count_if((g == 1) & (p == 0)).alias("gt1_pred0"),
         F.count_if((g == 1) & (p == 1)).alias("gt1_pred1"),
-        (F.count_if(g == p) / F.count(F.lit(1))).alias("accuracy"),
+        F.try_divide(F.count_if(g == p), F.count(F.lit(1))).alias("accuracy"),
     )
 
 
@@ -100,16 +100,6 @@ def binary_metrics(df: DataFrame, gt: str, pred: str) -> DataFrame:
                     F.round(f1, 4).alias("f1"), F.round(acc, 4).alias("accuracy"), "total")
 
 
-def class_balance(df: DataFrame, label: str) -> DataFrame:
-    """Count per class and balanced weight n / (n_classes · n_c)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window
-    w = Window.partitionBy()  # tiny: one row per class
-    return counts.select(
-        label, "n",
-        (F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("class_weight"))
-
-
 def verdict_totals(df: DataFrame, score: str = "os_agent_score") -> DataFrame:
     """Rows, score = 1, score = 0."""
     return df.agg(F.count(F.lit(1)).alias("n_rows"),

@@ -72,8 +72,7 @@ def box_dedup(elements: DataFrame) -> DataFrame:
 # ---- D8 -----------------------------------------------------------------------------------------
 def container_removal(elements: DataFrame, g: int = DEFAULT_CELL) -> DataFrame:
     """Drop A if its type is a container, or if A's box contains another
-    element B and (A is unnamed, or B is named and A is not, or B is
-    functional and A is not).  Screens with a single element are kept whole.
+    element B and (A is unnamed, or B is functional and A is not).  Screens with a single element are kept whole.
 
     Containment candidates: B is keyed by the cell of its top-left corner,
     A is spread over its covered cells; (screen, cell) equi-join, then the
@@ -92,9 +91,7 @@ def container_removal(elements: DataFrame, g: int = DEFAULT_CELL) -> DataFrame:
                 (F.col("a_x2") >= F.col("b_x2")) & (F.col("a_y2") >= F.col("b_y2")) &
                 (F.col("a_el_id") != F.col("b_el_id")))
     a_named = F.coalesce(F.col("a_ui_name"), F.lit("")) != ""
-    b_named = F.coalesce(F.col("b_ui_name"), F.lit("")) != ""
-    rule = ((~a_named) | (b_named & ~a_named) |
-            (F.col("b_control_type").isin(*FUNCTIONAL_TYPES) & ~F.col("a_control_type").isin(*FUNCTIONAL_TYPES)))
+    rule = ~a_named | (F.col("b_control_type").isin(*FUNCTIONAL_TYPES) & ~F.col("a_control_type").isin(*FUNCTIONAL_TYPES))
     dropped_by_rule = pairs.filter(contains & rule).select("screen_id", F.col("a_el_id").alias("el_id")).distinct()
     multi = e.groupBy("screen_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select("screen_id")
     dropped_type = e.filter(F.col("control_type").isin(*CONTAINER_TYPES)).select("screen_id", "el_id") \

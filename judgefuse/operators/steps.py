@@ -36,10 +36,11 @@ DEFAULT_COLS = StepCols()
 
 
 def with_ord(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Attach a row-order column at ingest (increasing within each file split)."""
-    if ev.has_col(df, name):
-        return df
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """The row order decides every "last value of a case"; an engine cannot
+    invent it over several files, so a table without one is refused."""
+    if not ev.has_col(df, name):
+        raise ValueError(f"Missing column: {name} (the order of the rows)")
+    return df
 
 
 def apply_defaults(df: DataFrame, cols: StepCols = DEFAULT_COLS, *,
@@ -85,7 +86,7 @@ def normalise(df: DataFrame, cols: StepCols = DEFAULT_COLS, thresh: float = 0.5)
 
     return df.select(
         F.col(cols.case).cast("string").alias("test_case_id"),
-        F.col(cols.ord).alias("ord"),
+        (F.struct(F.col(cols.ord).alias("ord"), F.col("pos")) if ev.has_col(df, "pos") else F.col(cols.ord)).alias("ord"),
         F.col(cols.step).cast("string").alias("step"),
         F.col(cols.phi).cast("int").alias("phi"),
         ev.binarize(cols.gui, thresh).alias("E1_gui"),
@@ -104,13 +105,14 @@ def prepare(df: DataFrame, cols: StepCols = DEFAULT_COLS, thresh: float = 0.5) -
     return normalise(apply_defaults(df, cols), cols, thresh)
 
 
-def last_non_null(c: str, ord_col: str = "ord") -> Column:
+def last_non_null(c: str, ord_col: str | Column = "ord") -> Column:
     """Value at the largest ord among non-null values; NULL if none.
 
     ``max_by`` is a declarative aggregate, so it combines map-side: a case
     holding a third of all rows costs one partial row per map task.
     """
-    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(ord_col)))
+    order = F.col(ord_col) if isinstance(ord_col, str) else ord_col
+    return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order))
 
 
 def evidence_e(df_cols=("E1_gui", "E2_code", "E4_noresp")) -> list[Column]:

@@ -64,7 +64,7 @@ def sweep_thresholds(steps: DataFrame, params: EMParams, weights: ChannelWeights
     rate = lambda num, den: F.when(F.col(den) > 0, F.round(F.col(num) / F.col(den), 4)).otherwise(F.lit(0.0))
     return agg.select(
         *GRID_COLS, "n_cases",
-        (F.col("_b") / F.col("n_cases")).alias("acc_original"), (F.col("_a") / F.col("n_cases")).alias("acc_correct"),
+        F.try_divide("_b", "n_cases").alias("acc_original"), F.try_divide("_a", "n_cases").alias("acc_correct"),
         "subset_a_total", "misflip_count", rate("misflip_count", "subset_a_total").alias("misflip_rate"),
         "subset_b_total", "correction_count", rate("correction_count", "subset_b_total").alias("correction_rate"))
 

@@ -1,9 +1,10 @@
 """Agent trace logs -> per-iteration evidence.
 
 A log is one whole text per task (``read.text(wholetext=True)``).  It is cut
-into iteration blocks at ``#### iter:N`` markers; every block is parsed with
-built-in regex functions; element lines become an element table keyed by
-(task, iteration) that feeds the grid-cell spatial operators.
+into iteration blocks at ``#### iter:N`` markers and every block is parsed where
+it lies.  A block's elements stay one array: they are filtered, de-duplicated,
+stripped of containers, tested against the block's click and sorted by distance
+without a shuffle, and blocks that repeat an iteration number never mix.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgefuse.functions import text as TX
-from judgefuse.operators import spatial as SP
+from judgefuse.operators.spatial import CONTAINER_TYPES, DROPPED_TYPES, FUNCTIONAL_TYPES
 
 # Section markers and prompt-template markers of the log format.
 ITER_SPLIT = r"(?=#### iter:\d+)"
@@ -23,14 +24,7 @@ STEP_OPERATION_RE = r"(?s)Operation:\s*(.*?)(?=Action:|$)"
 STEP_ACTION_RE = r"(?s)Action:\s*(.*?)(?=Reflection_thought:|$)"
 STEP_REFLECTION_RE = r"(?s)Reflection_thought:\s*(.*?)(?=\n\tMemory:|\nMemory:|$)"
 CLICK_RE = r"pyautogui\.click\((\d+),\s*(\d+)\)"
-OUTPUT_ACTION_RE = r"(?s)######################## output_action:(.*?)######################## output_action end"
-OPERATION_RE = r"(?s)### Operation ###\s*(.*?)(?=### Task List ###)"
-ACTION_BLOCK_RE = r"(?s)### Action ###\s*(.*?)(?=### Operation ###)"
-REFLECTION_OUT_RE = r"(?s)######################## reflection_output:(.*?)######################## reflection_output end"
-ANSWER_RE = r"(?s)### Answer ###\s*(.*?)(?=\n\n|\z)"
 REFLECTION_THOUGHT_RE = r"(?sm)### Reflection Thought ###\s*\n(.*?)(?=\n### Thought ###|\n### Action ###|$)"
-SCREEN_INFO_RE = r"(?s)### Screenshot information ###(.*?)### Hints ###"
-INFO_RE = r"(?s)The information is as follow:(.*?)Please note that this information is not necessarily accurate"
 ELEMENT_LINE_RE = (r"^\((\d+),\s*(\d+)\);\s*text:(.*?);\s*control_type:(.*?);\s*rect:\s*"
                    r"\((\d+),\s*(\d+),\s*(\d+),\s*(\d+)\)")
 # The literal start and end markers of the delimited sections
@@ -82,35 +76,18 @@ def _info_block(c: Column) -> Column:
 
 # ---- A9 ---------------------------------------------------------------------------------------
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log file: (project_name from the file name, text)."""
-    df = spark.read.text(path, wholetext=True).withColumn("_p", F.input_file_name())
-    return df.select(F.regexp_extract("_p", r"([^/]+?)(\.[^./]*)?$", 1).alias("project_name"),
-                     F.col("value").alias("text"))
+    """One row per log file: (project_name = the file's path, text), so that
+    logs of one name in two folders stay apart."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("project_name"), F.col("value").alias("text"))
 
 
 # ---- B6 ---------------------------------------------------------------------------------------
 def log_iterations(logs: DataFrame) -> DataFrame:
-    """(project_name, seg, iter_num, content, history).  ``history`` is
-    the content of the last History-operations block of the whole log and
-    is attached to the last iteration only.
-
-    The split keeps each marker with its block; the last block is the last
-    array element, so no grouping or join is needed and the whole text is
-    never copied or shuffled.
-    """
-    hist = F.try_element_at(F.regexp_extract_all(F.col("text"), F.lit(HISTORY_RE), 1), F.lit(-1))
-    x = logs.select("project_name", F.split("text", ITER_SPLIT).alias("_segs"), hist.alias("_hist"))
-    # *_outer generators throughout: a plain one lets the optimizer infer a
-    # not-empty filter that re-evaluates the array expression (here the split
-    # of the whole text) in the scan; the rows without a block are dropped by
-    # the filter below instead
-    x = x.select("project_name", "_hist", F.size("_segs").alias("_n"),
-                 F.posexplode_outer("_segs").alias("seg", "content"))
-    head = _first_line(F.col("content"))
-    x = x.filter(head.rlike(ITER_RE))
-    return x.select(
-        "project_name", "seg", F.regexp_extract(head, ITER_RE, 1).cast("int").alias("iter_num"), "content",
-        F.when(F.col("seg") == F.col("_n") - 1, F.coalesce(TX.strip_ws(F.col("_hist")), F.lit(""))).alias("history"))
+    """(project_name, seg, iter_num, history) of the parsed blocks.  ``history``
+    is the content of the last History-operations block of the whole log and is
+    attached to the last iteration only."""
+    return parse_iterations(logs).select("project_name", "seg", "iter_num", "history")
 
 
 def parse_iterations(logs: DataFrame) -> DataFrame:
@@ -119,8 +96,9 @@ def parse_iterations(logs: DataFrame) -> DataFrame:
     Exploding whole iteration blocks copies every block once more; instead
     each block is parsed where it lies (higher-order ``transform``) and only
     the short parsed fields are exploded.  One row per iteration:
-    project_name, seg, iter_num, reflection, action_content,
+    project_name, seg, iter_num, reflection, operation, action_content,
     reflection_thought, click_x, click_y, operation_desc, info, history.
+    Empty sections are NULL; numbers beyond an int are no coordinates.
     """
     hist = F.try_element_at(F.regexp_extract_all(F.col("text"), F.lit(HISTORY_RE), 1), F.lit(-1))
     # split once; the optimizer keeps a non-cheap expression used twice
@@ -131,7 +109,7 @@ def parse_iterations(logs: DataFrame) -> DataFrame:
     # inline_outer: a plain inline lets the optimizer infer a not-empty
     # filter that copies (and so re-runs) the whole parse expression
     x = x.select("project_name", "_hist", "_n", F.inline_outer("_its")).filter(F.col("iter_num").isNotNull())
-    return x.select("project_name", "seg", "iter_num", "reflection", "action_content", "reflection_thought",
+    return x.select("project_name", "seg", "iter_num", "reflection", "operation", "action_content", "reflection_thought",
                     "click_x", "click_y", "operation_desc", "info",
                     F.when(F.col("seg") == F.col("_n") - 1, F.coalesce(TX.strip_ws(F.col("_hist")), F.lit("")))
                     .alias("history"))
@@ -149,17 +127,17 @@ def _cut_block(blk: Column, i: Column) -> Column:
 def _block_fields(r: Column) -> Column:
     """The parsed fields of one block from its cut sections (short strings)."""
     out = r["out"]
-    op = TX.strip_ws(_section(out, "operation"))
-    cx = _first(out, CLICK_RE, 1)
-    cy = _first(out, CLICK_RE, 2)
+    op = _non_empty(TX.strip_ws(_section(out, "operation")))
+    cx = _first(out, CLICK_RE, 1).try_cast("int")
+    cy = _first(out, CLICK_RE, 2).try_cast("int")
     ans = TX.strip_ws(_answer(r["refl"]))
-    both = cx.isNotNull() & op.isNotNull()
+    both = cx.isNotNull() & cy.isNotNull() & op.isNotNull()
     return F.struct(
-        r["seg"].alias("seg"), F.when(r["it"] != "", r["it"].cast("int")).alias("iter_num"),
-        F.when(ans.contains("CORRECT"), F.lit(1)).when(ans.contains("ERROR"), F.lit(0)).alias("reflection"),
-        TX.strip_ws(_section(out, "action")).alias("action_content"),
+        r["seg"].alias("seg"), F.when(r["it"] != "", r["it"].try_cast("int")).alias("iter_num"),
+        reflection_of(ans).alias("reflection"),
+        op.alias("operation"), _non_empty(TX.strip_ws(_section(out, "action"))).alias("action_content"),
         r["rt"].alias("reflection_thought"),
-        F.when(both, cx.cast("int")).alias("click_x"), F.when(both, cy.cast("int")).alias("click_y"),
+        F.when(both, cx).alias("click_x"), F.when(both, cy).alias("click_y"),
         F.when(both, op).alias("operation_desc"), r["info"].alias("info"))
 
 
@@ -178,62 +156,97 @@ def history_steps(iters: DataFrame) -> DataFrame:
     refl = F.when(refl.contains("Memory:"), TX.strip_ws(F.substring_index(refl, "Memory:", 1))).otherwise(refl)
     refl = F.regexp_replace(refl, r"[\n\t ]+$", "")
     return m.select(
-        "project_name", "k", F.regexp_extract(s, STEP_RE, 1).cast("int").alias("step_num"),
-        TX.strip_ws(_first(body, STEP_OPERATION_RE)).alias("h_operation"),
-        act.alias("h_action"),
+        "project_name", "k", F.regexp_extract(s, STEP_RE, 1).try_cast("int").alias("step_num"),
+        _non_empty(TX.strip_ws(_first(body, STEP_OPERATION_RE))).alias("h_operation"),
+        _non_empty(act).alias("h_action"),
         F.when(refl != "", refl).alias("h_reflection"),
-        _first(act, CLICK_RE, 1).cast("int").alias("h_x"), _first(act, CLICK_RE, 2).cast("int").alias("h_y"))
+        _first(act, CLICK_RE, 1).try_cast("int").alias("h_x"), _first(act, CLICK_RE, 2).try_cast("int").alias("h_y"))
+
+
+# ---- B8 / C12 / I1 / D8 / D7 / F1: the elements of one block -------------------------------------
+ELEMENT_FIELDS = ("cx", "cy", "ui_name", "control_type", "x1", "y1", "x2", "y2")
+
+
+def parsed_elements(info: Column) -> Column:
+    """Array of the information block's elements.  Lines are numbered after
+    the block is stripped; blank and non-matching lines, and lines whose
+    coordinates are no ints, are skipped but keep their number (id =
+    element_<idx>).  A matching line is rewritten once into its eight fields."""
+    rewrite = "\u0001".join(f"${i}" for i in range(1, 9))
+
+    def fields(line: Column, idx: Column) -> Column:
+        f = F.split(F.regexp_replace(TX.strip_ws(line), ELEMENT_LINE_RE + "(?s:.*)$", rewrite), "\u0001")
+        return F.struct(f.alias("f"), idx.alias("pos"))
+
+    def element(r: Column) -> Column:
+        g = lambda i: F.get(r["f"], F.lit(i))
+        return F.struct(F.concat(F.lit("element_"), r["pos"]).alias("el_id"), r["pos"].alias("pos"), *[
+            (TX.strip_ws(g(i)) if n in ("ui_name", "control_type") else g(i).try_cast("int")).alias(n)
+            for i, n in enumerate(ELEMENT_FIELDS)])
+
+    rows = F.filter(F.transform(F.split(info, "\n"), fields), lambda r: F.size(r["f"]) == 8)
+    return F.filter(F.transform(rows, element), lambda e: e["cx"].isNotNull() & e["cy"].isNotNull() & e["x1"].isNotNull()
+                    & e["y1"].isNotNull() & e["x2"].isNotNull() & e["y2"].isNotNull())
+
+
+def cleaned_elements(elements: Column) -> Column:
+    """C12 (no images), I1 (of one box the first named element, at the place of
+    the box's first) and D8 (no containers) inside one block's array.  A single
+    element stays whatever it is."""
+    kept = F.filter(elements, lambda e: ~e["control_type"].isin(*DROPPED_TYPES))
+    box = lambda e: F.struct(e["x1"], e["y1"], e["x2"], e["y2"])
+    named = lambda e: e["ui_name"] != ""
+
+    def one(group: Column) -> Column:
+        best = F.coalesce(F.get(F.filter(group, named), F.lit(0)), F.get(group, F.lit(0)))
+        return best.withField("pos", F.get(group, F.lit(0))["pos"])
+
+    single = _let(kept, lambda es: F.transform(
+        F.array_distinct(F.transform(es, box)), lambda b: one(F.filter(es, lambda e: box(e) == b))))
+
+    def holds(a: Column, b: Column) -> Column:
+        return ((a["el_id"] != b["el_id"]) & (a["x1"] <= b["x1"]) & (a["y1"] <= b["y1"]) & (a["x2"] >= b["x2"])
+                & (a["y2"] >= b["y2"]) & (~named(a) | (b["control_type"].isin(*FUNCTIONAL_TYPES)
+                                                       & ~a["control_type"].isin(*FUNCTIONAL_TYPES))))
+
+    return _let(single, lambda es: F.when(F.size(es) < 2, es).otherwise(F.filter(
+        es, lambda a: ~a["control_type"].isin(*CONTAINER_TYPES) & ~F.exists(es, lambda b: holds(a, b)))))
+
+
+def by_distance(elements: Column, x: Column, y: Column) -> Column:
+    """all elements of the block by (centre distance, area, position) from the
+    click, each with its box and whether it contains the click (edges count)."""
+    def entry(e: Column) -> Column:
+        mx, my = (e["x1"] + e["x2"]) / 2.0, (e["y1"] + e["y2"]) / 2.0
+        inside = (e["x1"] <= x) & (x <= e["x2"]) & (e["y1"] <= y) & (y <= e["y2"])
+        return F.struct(F.sqrt(F.pow(x - mx, 2) + F.pow(y - my, 2)).alias("distance"),
+                        ((e["x2"] - e["x1"]).cast("long") * (e["y2"] - e["y1"])).alias("area"), e["pos"].alias("pos"),
+                        e["el_id"].alias("el_id"), e["ui_name"].alias("ui_name"), e["control_type"].alias("control_type"),
+                        F.array(e["x1"], e["y1"], e["x2"], e["y2"]).alias("bbox"), inside.alias("is_inside"))
+    return F.sort_array(F.transform(elements, entry))
 
 
-# ---- B8 ---------------------------------------------------------------------------------------
 def element_lines(iters: DataFrame) -> DataFrame:
-    """Element lines of each iteration's information block.  Lines are
-    numbered after the block is stripped; blank or non-matching lines are
-    skipped but keep their number (id = element_<idx>).  A matching line is
-    rewritten once into its eight fields (one regex pass, then a split)."""
-    if "info" not in iters.columns:
-        iters = iters.withColumn("info", _info_block(F.col("content")))
-    x = iters.select("project_name", "iter_num", F.posexplode_outer(F.split("info", "\n")).alias("idx", "line"))
-    x = x.withColumn("line", TX.strip_ws(F.col("line"))).filter(F.col("line").rlike(ELEMENT_LINE_RE))
-    f = F.split(F.regexp_replace("line", ELEMENT_LINE_RE + "(?s:.*)$",
-                                 "\u0001".join(f"${i}" for i in range(1, 9))), "\u0001")
-    g = lambda i: F.element_at(f, i)
-    return x.select(
-        "project_name", "iter_num", F.concat(F.lit("element_"), F.col("idx")).alias("el_id"),
-        F.col("idx").alias("pos"), g(1).cast("int").alias("cx"), g(2).cast("int").alias("cy"),
-        TX.strip_ws(g(3)).alias("ui_name"), TX.strip_ws(g(4)).alias("control_type"),
-        g(5).cast("int").alias("x1"), g(6).cast("int").alias("y1"),
-        g(7).cast("int").alias("x2"), g(8).cast("int").alias("y2"))
-
-
-# ---- B9 / B10 / B11 / B17 ---------------------------------------------------------------------------
-def reflection_verdict(content, strict: bool = False) -> Column:
-    """Answer section containing CORRECT -> 1, else ERROR -> 0, else NULL.
-    Parity: 'INCORRECT' contains 'CORRECT' (Q15); ``strict`` uses word bounds."""
-    c = F.col(content) if isinstance(content, str) else content
-    ans = TX.strip_ws(_answer(_section(c, "reflection_output")))
-    ok = ans.rlike(r"\bCORRECT\b") if strict else ans.contains("CORRECT")
-    return F.when(ok, F.lit(1)).when(ans.contains("ERROR"), F.lit(0))
+    """One row per parsed element line of every block."""
+    x = iters.select("project_name", "seg", "iter_num", F.explode(parsed_elements(F.col("info"))).alias("e"))
+    return x.select("project_name", "seg", "iter_num", "e.*")
 
 
-def operation_text(content) -> Column:
-    """### Operation ### .. ### Task List ### inside output_action."""
-    c = F.col(content) if isinstance(content, str) else content
-    return TX.strip_ws(_section(_section(c, "output_action"), "operation"))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
-def action_block(content) -> Column:
-    """### Action ### .. ### Operation ### inside output_action."""
-    c = F.col(content) if isinstance(content, str) else content
-    return TX.strip_ws(_section(_section(c, "output_action"), "action"))
+def _non_empty(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
 
 
-def click_in_output(content) -> Column:
-    """Click coordinates of the output_action block, struct(x, y) or NULL."""
-    c = F.col(content) if isinstance(content, str) else content
-    blk = _section(c, "output_action")
-    return F.when(blk.rlike(CLICK_RE), F.struct(F.regexp_extract(blk, CLICK_RE, 1).cast("int").alias("x"),
-                                                F.regexp_extract(blk, CLICK_RE, 2).cast("int").alias("y")))
+# ---- B9 / B11 / B17 ------------------------------------------------------------------------------
+def reflection_of(answer: Column, strict: bool = False) -> Column:
+    """An Answer section with CORRECT -> 1, else ERROR -> 0, else NULL.
+    Parity: 'INCORRECT' contains 'CORRECT' (Q15); ``strict`` uses word bounds."""
+    ok = answer.rlike(r"\bCORRECT\b") if strict else answer.contains("CORRECT")
+    return F.when(ok, F.lit(1)).when(answer.contains("ERROR"), F.lit(0))
 
 
 def reflection_text(content) -> Column:
@@ -265,111 +278,77 @@ def answer_validity(answer) -> tuple[Column, Column]:
 
 
 # ---- D9 + C13 + C14 + H18 ------------------------------------------------------------------------------
-def iteration_records(iters: DataFrame) -> DataFrame:
-    """Per-iteration fields parsed from the block itself.
-
-    The output_action and reflection_output sections are cut out once and
-    the fields are read from those short strings."""
-    x = iters.select("project_name", "seg", "iter_num",
-                     _section(F.col("content"), "output_action").alias("_out"),
-                     _section(F.col("content"), "reflection_output").alias("_refl"),
-                     reflection_text(F.col("content")).alias("reflection_thought"))
-    out = F.col("_out")
-    op = TX.strip_ws(_section(out, "operation"))
-    xy = F.when(out.rlike(CLICK_RE), F.struct(F.regexp_extract(out, CLICK_RE, 1).cast("int").alias("x"),
-                                              F.regexp_extract(out, CLICK_RE, 2).cast("int").alias("y")))
-    ans = TX.strip_ws(_answer(F.col("_refl")))
-    x = x.select("project_name", "seg", "iter_num", "reflection_thought",
-                 F.when(ans.contains("CORRECT"), F.lit(1)).when(ans.contains("ERROR"), F.lit(0)).alias("reflection"),
-                 TX.strip_ws(_section(out, "action")).alias("action_content"),
-                 op.alias("_op"), xy.alias("_xy"))
-    both = F.col("_xy").isNotNull() & F.col("_op").isNotNull()
-    return x.select(
-        "project_name", "seg", "iter_num", "reflection", "action_content", "reflection_thought",
-        F.when(both, F.col("_xy.x")).alias("click_x"), F.when(both, F.col("_xy.y")).alias("click_y"),
-        F.when(both, F.col("_op")).alias("operation_desc"))
-
-
 def history_to_iter(records: DataFrame, steps: DataFrame) -> DataFrame:
-    """The first Step-n whose n equals the iteration number overrides
-    operation, action, reflection and click when present."""
-    first = steps.groupBy("project_name", "step_num").agg(
-        F.min_by(F.struct("h_operation", "h_action", "h_reflection", "h_x", "h_y"), "k").alias("_h"))
-    first = first.withColumnRenamed("project_name", "_hp")
-    j = records.join(first, (F.col("project_name") == F.col("_hp")) & (F.col("iter_num") == F.col("step_num")), "left") \
-        .drop("_hp", "step_num")
-    h = F.col("_h")
+    """For each field, the first Step-n of the history (n = the iteration
+    number) that has it overrides the block's own; both click coordinates come
+    from one step."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("k")))
+    xy = F.when(F.col("h_x").isNotNull() & F.col("h_y").isNotNull(), F.struct("h_x", "h_y"))
+    own = steps.withColumn("h_xy", xy).groupBy(F.col("project_name").alias("_hp"), "step_num").agg(
+        *[first(c).alias(c) for c in ("h_operation", "h_action", "h_reflection", "h_xy")])
+    j = records.join(own, (F.col("project_name") == F.col("_hp")) & (F.col("iter_num") == F.col("step_num")), "left")
+    xy = F.col("h_xy")
     return j.select(
-        "*",
-        F.coalesce(h["h_operation"], F.col("operation_desc")).alias("f_operation_desc"),
-        F.coalesce(h["h_action"], F.col("action_content")).alias("f_action_content"),
-        F.coalesce(h["h_reflection"], F.col("reflection_thought")).alias("f_reflection_thought"),
-        F.when(h["h_x"].isNotNull(), h["h_x"]).otherwise(F.col("click_x")).alias("f_click_x"),
-        F.when(h["h_x"].isNotNull(), h["h_y"]).otherwise(F.col("click_y")).alias("f_click_y")).drop("_h")
+        *records.columns,
+        F.coalesce("h_operation", "operation_desc").alias("f_operation_desc"),
+        F.coalesce("h_action", "action_content").alias("f_action_content"),
+        F.coalesce("h_reflection", "reflection_thought").alias("f_reflection_thought"),
+        F.coalesce(xy["h_x"], "click_x").alias("f_click_x"), F.coalesce(xy["h_y"], "click_y").alias("f_click_y"))
 
 
-def clean_elements(elements: DataFrame, g: int = SP.DEFAULT_CELL) -> DataFrame:
-    """C12 + I1 + D8 on parsed element lines of every (task, iteration) screen."""
-    e = elements.withColumn("screen_id", F.concat_ws(":", "project_name", F.col("iter_num").cast("string")))
-    e = SP.element_filter(e).drop("is_container_type")
-    e = SP.box_dedup(e)
-    return SP.container_removal(e, g)
+def analysis_gate(condition: str = "all_clicks") -> Column:
+    """A click is analysed when its coordinates and description exist and
+    ``condition`` is all_clicks, or error_only with reflection = 0."""
+    gate = F.col("click_x").isNotNull() & F.col("operation_desc").isNotNull()
+    if condition == "error_only":
+        return gate & F.coalesce(F.col("reflection") == 0, F.lit(False))
+    if condition != "all_clicks":
+        raise ValueError(f"unknown condition {condition}")
+    return gate
 
 
 def trace_log_pipeline(logs: DataFrame, has_image: DataFrame | None = None,
-                       condition: str = "all_clicks", g: int = SP.DEFAULT_CELL) -> DataFrame:
-    """Logs -> iterations -> fields -> elements -> hit test -> history
-    override -> one record per (task, iteration).
+                       condition: str = "all_clicks") -> DataFrame:
+    """Logs -> blocks -> fields and elements -> hit test -> history
+    override -> one record per block.
 
-    C13 gate: analyse a click when coordinates and description exist and
-    ``condition`` is all_clicks, or error_only with reflection = 0.
     C14: no screenshot -> accuracy 0, method no_image, match NULL; no
     elements -> 0, element_tree_failed; else the D7 hit test (element_tree).
     ``has_image``: (project_name, iter_num, has_image); absent = all present.
+    ``element_distance_sorting`` is F1 for every block with a click.
     """
     from judgefuse.session import checkpoint_dir
     checkpoint_dir(logs.sparkSession)
-    # parse every log once; keep the narrow parsed rows (text dropped) in the
-    # shared checkpoint folder so the branches below do not re-parse, and a
-    # lost executor re-reads them instead of re-running the regex work
-    iters = parse_iterations(logs).checkpoint(eager=True)
-    rec = iters.drop("info", "history")
-    # the cleaned elements feed both the hit test and the per-screen count
-    els = clean_elements(element_lines(iters), g).checkpoint(eager=True)
-    rec = rec.withColumn("screen_id", F.concat_ws(":", "project_name", F.col("iter_num").cast("string")))
-    clicks = rec.filter(F.col("click_x").isNotNull()).select(
-        F.concat_ws(":", "screen_id", F.col("seg").cast("string")).alias("click_id"), "screen_id",
-        F.col("click_x").alias("cx"), F.col("click_y").alias("cy"))
-    hit = SP.point_in_box(clicks, els, g)
-    n_el = els.groupBy("screen_id").agg(F.count(F.lit(1)).alias("n_elements"))
-    rec = rec.withColumn("click_id", F.concat_ws(":", "screen_id", F.col("seg").cast("string"))) \
-        .join(hit, "click_id", "left").join(n_el, "screen_id", "left")
+    # Parsed once: the text is dropped here, and the history branch reads this too.
+    iters = parse_iterations(logs)
+    iters = iters.withColumn("_els", cleaned_elements(parsed_elements(F.col("info"))))
+    iters = iters.withColumn("_sorted", F.when(F.col("click_x").isNotNull(),
+                                               by_distance(F.col("_els"), F.col("click_x"), F.col("click_y"))))
+    iters = iters.withColumn("n_elements", F.coalesce(F.size("_els"), F.lit(0))).drop("info", "_els").checkpoint()
+    rec = iters.drop("history")
     if has_image is not None:
         rec = rec.join(has_image, ["project_name", "iter_num"], "left")
     else:
         rec = rec.withColumn("has_image", F.lit(True))
-    gate = F.col("click_x").isNotNull() & F.col("operation_desc").isNotNull()
-    if condition == "error_only":
-        gate = gate & (F.col("reflection") == 0)
-    elif condition != "all_clicks":
-        raise ValueError(f"unknown condition {condition}")
-    img = F.coalesce(F.col("has_image"), F.lit(False))
-    has_el = F.coalesce(F.col("n_elements"), F.lit(0)) > 0
-    acc = (F.when(~gate, F.lit(None).cast("int")).when(~img, F.lit(0)).when(~has_el, F.lit(0))
-            .otherwise((F.col("n_matches") > 0).cast("int")))
+    gate, img = analysis_gate(condition), F.coalesce(F.col("has_image"), F.lit(False))
+    has_el = F.col("n_elements") > 0
+    hit = F.get(F.filter("_sorted", lambda e: e["is_inside"]), F.lit(0))["el_id"]
+    acc = F.when(~gate, F.lit(None).cast("int")).when(~img | ~has_el, F.lit(0)).otherwise(hit.isNotNull().cast("int"))
     method = (F.when(~gate, F.lit(None).cast("string")).when(~img, F.lit("no_image"))
                .when(~has_el, F.lit("element_tree_failed")).otherwise(F.lit("element_tree")))
-    match_id = F.when(gate & img & has_el, F.col("el_id"))
-    rec = rec.withColumn("accuracy", acc).withColumn("method", method).withColumn("matched_element_id", match_id) \
-        .withColumn("coordinate_match", F.when(gate & img, acc)) \
-        .withColumn("has_distance_sorting", F.col("click_x").isNotNull() & has_el)
+    rec = rec.withColumns({
+        "accuracy": acc, "method": method, "matched_element_id": F.when(gate & img & has_el, hit),
+        "coordinate_match": F.when(gate & img, acc),
+        "has_distance_sorting": F.col("click_x").isNotNull() & has_el,
+        "element_distance_sorting": F.when(has_el, F.col("_sorted"))})
     out = history_to_iter(rec, history_steps(iters))
     return out.select(
-        "project_name", "iter_num", "reflection",
+        "project_name", "seg", "iter_num", "reflection",
         F.col("f_click_x").alias("click_x"), F.col("f_click_y").alias("click_y"),
         F.col("f_operation_desc").alias("operation_desc"), F.col("f_action_content").alias("action_content"),
         F.col("f_reflection_thought").alias("reflection_thought"),
-        "coordinate_match", "accuracy", "method", "matched_element_id", "has_distance_sorting")
+        "coordinate_match", "accuracy", "method", "matched_element_id", "has_distance_sorting",
+        "element_distance_sorting")
 
 
 def coordinate_summary(records: DataFrame) -> DataFrame:

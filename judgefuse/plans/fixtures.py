@@ -172,7 +172,7 @@ def gui_records(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(F.lit("thought "), i).alias("reflection_thought"),
                         analysis.alias("coordinate_analysis"))
 
-    recs = ev.select(F.concat(F.lit("web_"), F.col("event_id") % 50, F.lit("_"), F.col("event_id") % 10000)
+    recs = ev.select(F.concat(F.lit("web_"), F.expr("event_id div 2 % 50"), F.lit("_"), F.expr("event_id div 2"))
                       .alias("project_name"), "event_id", "event_type", "value", flat.alias("_flat"),
                      F.transform(F.sequence(F.lit(1), n), action).alias("_acts"))
     first = F.element_at("_acts", 1)
@@ -197,30 +197,30 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     x1 = (k * 37) % 1600
     y1 = (k * 53) % 900
     return p.select(
-        (k % 25).cast("int").alias("screen_id"), k.alias("el_id"),
+        F.expr("p_partkey div 80").alias("screen_id"), k.alias("el_id"),
         F.when(k % 5 == 0, F.lit("")).otherwise(F.col("p_name")).alias("ui_name"),
         F.element_at(F.array(*[F.lit(t) for t in CONTROL_TYPES]), (k % 6 + 1).cast("int")).alias("control_type"),
         x1.cast("int").alias("x1"), y1.cast("int").alias("y1"),
         (x1 + 20 + F.col("p_size") * 8).cast("int").alias("x2"),
         (y1 + 10 + F.col("p_size") * 4).cast("int").alias("y2"),
-        k.alias("pos"))
+        (k * 2).alias("pos"))
 
 
 def elements_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements plus a copy of each box (el_id + 1e6, later position) whose
+    """Elements plus a copy of each box (-el_id, the next position) whose
     name emptiness is flipped, so every box appears twice."""
     e = elements(spark, sf_dir)
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("el_id"), "p_name")
     c = e.join(p, "el_id").select(
-        "screen_id", (F.col("el_id") + 1000000).alias("el_id"),
+        "screen_id", (-F.col("el_id")).alias("el_id"),
         F.when(F.col("ui_name") == "", F.col("p_name")).otherwise(F.lit("")).alias("ui_name"),
-        "control_type", "x1", "y1", "x2", "y2", (F.col("pos") + 1000000).alias("pos"))
+        "control_type", "x1", "y1", "x2", "y2", (F.col("pos") + 1).alias("pos"))
     return e.unionByName(c)
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "click")
-    return ev.select(F.col("event_id").alias("click_id"), (F.col("user_id") % 25).cast("int").alias("screen_id"),
+    return ev.select(F.col("event_id").alias("click_id"), F.expr("event_id div 400").alias("screen_id"),
                      ((F.col("event_id") * 97) % 1920).cast("int").alias("cx"),
                      ((F.col("event_id") * 61) % 1080).cast("int").alias("cy"))
 
@@ -254,8 +254,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = c % 11 == 0
     act = F.when(bad & (t % 2 == 0), F.concat(F.lit("open_app name"), t)) \
            .when(bad, F.lit("launch(app)")).otherwise(act)
-    body = F.when(bad, F.concat(F.substring("text", 1, 30), F.lit("\nAction: "), act)).otherwise(
-        F.concat(F.lit("Thought: "), F.substring("text", 1, 40), F.lit("\nAction: "), act))
+    body = F.when(bad, F.concat(F.col("text"), F.lit("\nAction: "), act)).otherwise(
+        F.concat(F.lit("Thought: "), F.col("text"), F.lit("\nAction: "), act))
     content = F.when(F.col("role") == "assistant", body).otherwise(F.col("text"))
     return cv.select(c.alias("task"), t.alias("turn"), "role", content.alias("content"))
 
@@ -266,7 +266,7 @@ def screenshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = cv.groupBy("conv_id").agg(F.max("turn").alias("_m"))
     s = cv.join(last, "conv_id").filter(~((F.col("conv_id") % 4 == 0) & (F.col("turn") == F.col("_m"))))
     return s.select(F.col("conv_id").alias("task"), F.col("turn").alias("shot_no"),
-                    ((F.col("conv_id") * 7 + F.col("turn")) % 25).cast("int").alias("screen_id"))
+                    F.expr("(conv_id * 7 + turn) div 28").alias("screen_id"))
 
 
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,17 +288,19 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(c % 5 != 0, F.concat(F.lit("task "), c)).alias("instruction"))
 
 
-# ---- trace logs (from events): one log text per event, 1-4 iterations ------------------------
+# ---- trace logs (from events and documents): one log text per event, 1-6 iterations ------------------------
 def _s(c):
     return c.cast("string")
 
 
 def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """project_name = log_<event_id>; every log is built from the event id alone
-    (bounded size, no grouping), with the sections the parsers read."""
-    ev = table(spark, sf_dir, "events").select("event_id")
+    """project_name = log_<event_id>, one to six iterations with the sections the
+    parsers read; operations carry the whole text of the document of that id."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("doc"))
+    ev = table(spark, sf_dir, "events").select("event_id").join(docs, "event_id", "left")
     e = F.col("event_id")
-    n = (e % 4 + 1).cast("int")
+    n = (e % 6 + 1).cast("int")
+    told = F.coalesce(F.concat(F.lit("\n"), F.col("doc")), F.lit(""))
 
     def block(i):
         x = (e * 97 + i * 13) % 1500 + 100
@@ -308,7 +310,7 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                    .when(ak == 1, F.lit("pyautogui.typewrite('abc')"))
                    .otherwise(F.lit('Tell ({"0": {"result": "Pass", "evidence": "ok"}})')))
         op = F.when((e + i) % 5 != 0, F.concat(F.lit("### Operation ###\nClick item "), _s(i), F.lit(" of "), _s(e),
-                                               F.lit("\n"))).otherwise(F.lit(""))
+                                               told, F.lit("\n"))).otherwise(F.lit(""))
         out_action = F.concat(F.lit("######################## output_action:\n### Action ###\n"), action, F.lit("\n"),
                               op, F.lit("### Task List ###\n- do stuff\n######################## output_action end\n"))
         rk = (e + i) % 4
@@ -332,6 +334,10 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         by2 = F.when(hit, y + 20).otherwise(y + 180)
         rect = lambda a, b, c, d: F.concat(F.lit("rect: ("), _s(a), F.lit(", "), _s(b), F.lit(", "), _s(c),
                                            F.lit(", "), _s(d), F.lit(")"))
+        extra = F.array_join(F.transform(
+            F.filter(F.sequence(F.lit(0), F.lit(2)), lambda j: j < (e + i) % 4),
+            lambda j: F.concat(F.lit("(1, 1); text:extra"), _s(j), F.lit("; control_type:Button; "),
+                               rect(j * 10 + 12, F.lit(1050), j * 10 + 17, F.lit(1060)), F.lit("\n"))), "")
         lines = F.concat(
             F.lit("("), _s(x), F.lit(", "), _s(y), F.lit("); text:btn"), _s(i), F.lit("; control_type:Button; "),
             rect(bx1, by1, bx2, by2), F.lit("\n"),
@@ -341,7 +347,7 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("; control_type:Text; "), rect(x + 60, y + 40, x + 120, y + 60), F.lit("\n"),
             F.lit("("), _s(x + 90), F.lit(", "), _s(y + 50), F.lit("); text:; control_type:Group; "),
             rect(x + 55, y + 35, x + 130, y + 70),
-            F.lit("\njunk line without format\n(1, 1); text:logo; control_type:Image; rect: (0, 0, 10, 10)\n"))
+            F.lit("\njunk line without format\n(1, 1); text:logo; control_type:Image; rect: (0, 0, 10, 10)\n"), extra)
         screen = F.when((e * i) % 9 != 4, F.concat(
             F.lit("### Screenshot information ###\nThe information is as follow:\n"), lines,
             F.lit("Please note that this information is not necessarily accurate\n### Hints ###\n"))).otherwise(F.lit(""))
@@ -366,7 +372,7 @@ def trace_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_id")
     e = F.col("event_id")
     return ev.select(F.concat(F.lit("log_"), _s(e)).alias("project_name"),
-                     F.explode(F.sequence(F.lit(1), (e % 4 + 1).cast("int"))).alias("iter_num"),
+                     F.explode(F.sequence(F.lit(1), (e % 6 + 1).cast("int"))).alias("iter_num"),
                      (e % 6 != 0).alias("has_image"))
 
 

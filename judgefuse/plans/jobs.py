@@ -13,6 +13,7 @@ from judgefuse.operators import em as EM
 from judgefuse.operators import metrics as M
 from judgefuse.operators.model import RUN_WEIGHTS, ChannelWeights, EMParams
 from judgefuse.operators.steps import prepare
+from judgefuse.session import checkpoint_dir
 from judgefuse.sources.records import load_table, write_results
 
 
@@ -42,6 +43,8 @@ def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_di
     params = EM.load_params(spark, params_path)
     step_post, cases = predict(load_table(spark, data_path), params)
     write_results(step_post, f"{out_dir}/pred_step", fmt)
+    checkpoint_dir(spark)
+    cases = cases.checkpoint()  # scored once for the three sinks
     write_results(cases.orderBy("case_id"), f"{out_dir}/pred_corrected_cases", fmt)
     write_results(M.flip_analysis(cases), f"{out_dir}/flip_summary", fmt)
     write_results(M.confusion(cases), f"{out_dir}/confusion", fmt)

@@ -7,6 +7,8 @@ with CASE expressions, and nothing is folded into aggregation variants.
 
 from __future__ import annotations
 
+import re
+
 from judgefuse.operators.model import EMParams
 
 STEPS_RAW = """
@@ -192,10 +194,15 @@ def em_init_sql() -> str:
             f"0.4 AS psi0, 0.8 AS psi1, CAST('-inf' AS DOUBLE) AS ll FROM cells)")
 
 
-def em_iter_sql(i: int, w: list[float], aw: float, temp: float, a_pi=5.0, b_pi=5.0,
-                a_c=(3.0, 3.0), b_c=(3.0, 3.0), floor=0.05, ceil=0.95, pi_floor=0.02) -> str:
-    """CTEs for iteration i reading p{i-1} and producing p{i}."""
-    q = f"p{i - 1}"
+RESPONSIBILITY = ", ".join(
+    f"CASE WHEN delta_case IS NULL THEN exp(l{d} - lden) WHEN delta_case = {d} THEN 1.0 ELSE 0.0 END AS r{d}" for d in (0, 1))
+LOG_SUM = "mx + ln(exp(l0 - mx) + exp(l1 - mx) + 1e-9) AS lden"
+
+
+def em_parts(q: str, w: list[float], aw: float, temp: float, a_pi=5.0, b_pi=5.0, a_c=(3.0, 3.0), b_c=(3.0, 3.0),
+             floor=0.05, ceil=0.95, pi_floor=0.02) -> tuple[str, str, str]:
+    """Column lists of one EM iteration that reads the parameters of relation
+    ``q``: log numerators per cell, weighted sums, new parameters."""
     ls = []
     for d in range(2):
         terms = [f"ln({q}.pi{d} + 1e-9)"]
@@ -213,34 +220,51 @@ def em_iter_sql(i: int, w: list[float], aw: float, temp: float, a_pi=5.0, b_pi=5
         sums.append(f"coalesce(sum(w_sum * r{d}) FILTER (WHERE c_case IS NOT NULL), 0.0) AS den{d}")
         sums.append(f"coalesce(sum(w_sum * r{d} * c_case) FILTER (WHERE c_case IS NOT NULL), 0.0) AS one{d}")
     sums.append("sum(w_sum * lden) / (sum(w_sum) + 1e-9) AS ll")
-    th = []
+    new = []
+    tot = f"(n0 + n1 + {a_pi + b_pi - 2!r} + 1e-9)"
+    for d, a in enumerate((a_pi, b_pi)):
+        new.append(f"least(greatest((n{d} + {a - 1!r}) / {tot}, {pi_floor!r}), {1 - pi_floor!r}) AS pi{d}")
     for d in range(2):
         for j in range(3):
-            th.append(f"least(greatest(CASE WHEN n{d} <= 0 THEN 0.5 ELSE (o{d}{j} + 0.5) / (n{d} + 1.0 + 1e-9) END, "
-                      f"{floor!r}), {ceil!r}) AS t{d}{j}")
-    psis = [f"CASE WHEN den{d} > 0 THEN least(greatest((one{d} + {a_c[d] - 1!r}) / (den{d} + {a_c[d] + b_c[d] - 2!r} + 1e-9), 0.02), 0.98) "
-            f"ELSE {q}.psi{d} END AS psi{d}" for d in range(2)]
-    tot = f"(n0 + n1 + {a_pi + b_pi - 2!r} + 1e-9)"
-    pis = [f"least(greatest((n0 + {a_pi - 1!r}) / {tot}, {pi_floor!r}), {1 - pi_floor!r}) AS pi0",
-           f"least(greatest((n1 + {b_pi - 1!r}) / {tot}, {pi_floor!r}), {1 - pi_floor!r}) AS pi1"]
-    return f""",
-e{i} AS (SELECT cells.*, {', '.join(ls)} FROM cells JOIN {q} ON true),
-x{i} AS (SELECT *, greatest(l0, l1) AS mx FROM e{i}),
-y{i} AS (SELECT *, mx + ln(exp(l0 - mx) + exp(l1 - mx) + 1e-9) AS lden FROM x{i}),
-r{i} AS (SELECT *, CASE WHEN delta_case IS NULL THEN exp(l0 - lden) WHEN delta_case = 0 THEN 1.0 ELSE 0.0 END AS r0,
-                   CASE WHEN delta_case IS NULL THEN exp(l1 - lden) WHEN delta_case = 1 THEN 1.0 ELSE 0.0 END AS r1 FROM y{i}),
-s{i} AS (SELECT {', '.join(sums)} FROM r{i}),
-p{i} AS (SELECT {i} AS it, {', '.join(pis)}, {', '.join(th)}, {', '.join(psis)}, s{i}.ll FROM s{i} JOIN {q} ON true)"""
-
-
-def em_fit_sql(n_iter: int, tol: float, w: list[float], aw: float, temp: float) -> str:
-    """Full statement body (after the step/case CTEs): unrolled EM with stop rule."""
-    parts = [",", em_init_sql()] + [em_iter_sql(i, w, aw, temp) for i in range(1, n_iter + 1)]
-    allp = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(0, n_iter + 1))
-    return "".join(parts) + f""",
-allp AS ({allp}),
-lagged AS (SELECT *, lag(ll) OVER (ORDER BY it) AS prev_ll FROM allp),
-stop AS (SELECT coalesce(min(it) FILTER (WHERE it > 0 AND abs(ll - prev_ll) < {tol!r}), {n_iter}) AS it FROM lagged)"""
+            new.append(f"least(greatest(CASE WHEN n{d} <= 0 THEN 0.5 ELSE (o{d}{j} + 0.5) / (n{d} + 1.0 + 1e-9) END, "
+                       f"{floor!r}), {ceil!r}) AS t{d}{j}")
+    for d in range(2):
+        new.append(f"CASE WHEN den{d} > 0 THEN least(greatest((one{d} + {a_c[d] - 1!r}) / "
+                   f"(den{d} + {a_c[d] + b_c[d] - 2!r} + 1e-9), 0.02), 0.98) ELSE old_psi{d} END AS psi{d}")
+    return ", ".join(ls), ", ".join(sums), ", ".join(new)
+
+
+def em_iteration(src: str, q: str, carry: str, w: list[float], aw: float, temp: float) -> str:
+    """Subquery of one iteration: ``src`` joins the cells with parameters ``q``;
+    ``carry`` are columns of q that stay (old_psi0 and old_psi1 among them)."""
+    logits, sums, new = em_parts(q, w, aw, temp)
+    names = re.sub(r"\S+ AS ", "", carry)
+    cells = f"SELECT cells.*, {logits}, {carry} FROM {src}"
+    top = f"SELECT *, greatest(l0, l1) AS mx FROM ({cells})"
+    den = f"SELECT *, {LOG_SUM} FROM ({top})"
+    resp = f"SELECT *, {RESPONSIBILITY} FROM ({den})"
+    return f"SELECT {names}, {new}, ll FROM (SELECT {names}, {sums} FROM ({resp}) GROUP BY {names})"
+
+
+def em_step_sql(w: list[float], aw: float, temp: float) -> str:
+    """CTE p1: the parameters after one iteration from p0."""
+    carry = "p0.psi0 AS old_psi0, p0.psi1 AS old_psi1"
+    return ",\np1 AS (" + em_iteration("cells JOIN p0 ON true", "p0", carry, w, aw, temp) + ")"
+
+
+def em_fit_sql(max_iter: int, tol: float, w: list[float], aw: float, temp: float) -> str:
+    """CTEs p0 and ``em`` (statement starts WITH RECURSIVE): one row per
+    iteration until the likelihood moves less than ``tol``."""
+    names = [c for c in _PCOLS] + ["ll"]
+    first = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in names)
+    carry = "q.psi0 AS old_psi0, q.psi1 AS old_psi1, q.it AS old_it, q.ll AS old_ll"
+    step = em_iteration(f"cells JOIN em q ON q.going AND q.it < {max_iter}", "q", carry, w, aw, temp)
+    return f""",{em_init_sql()},
+em AS (
+  SELECT 0 AS it, {first}, true AS going FROM p0
+  UNION ALL
+  SELECT old_it + 1 AS it, {', '.join(names)}, abs(ll - old_ll) >= {tol!r} AS going FROM ({step})),
+stop AS (SELECT max(it) AS it FROM em)"""
 
 
 PARAM_SELECT = ("pi0 AS pi_env, pi1 AS pi_agent, t00 AS theta_env_gui, t01 AS theta_env_code, "

@@ -45,17 +45,17 @@ code AS (SELECT concat('web_', doc_id % 50, '_', CAST(doc_id AS VARCHAR)) AS tes
          FROM labels JOIN documents USING (doc_id)),
 judge AS (SELECT case_name AS test_case_id, os_agent_score AS agent_judge FROM pred),
 merged AS (
-  SELECT c.test_case_id, c.code_evidence, c.label, j.agent_judge, g.action_id, g.ord, g.operation_desc,
+  SELECT c.test_case_id, c.code_evidence, c.label, j.agent_judge, g.action_id, g.ord, g.pos, g.operation_desc,
          g.action_content, g.gui_evidence
   FROM code c LEFT JOIN judge j USING (test_case_id) LEFT JOIN gui_rows g USING (test_case_id)),
 tell_raw AS (
-  SELECT action_id, ord, string_split(action_content, '"evidence": ')[2] AS evidence
+  SELECT action_id, ord, pos, string_split(action_content, '"evidence": ')[2] AS evidence
   FROM merged WHERE contains(action_content, 'Tell (')),
 tells AS (
-  SELECT action_id, ord, evidence, CASE WHEN evidence IS NULL THEN '-1' ELSE {_RULE_EV} END AS agent_noresp
+  SELECT action_id, ord, pos, evidence, CASE WHEN evidence IS NULL THEN '-1' ELSE {_RULE_EV} END AS agent_noresp
   FROM tell_raw),
 tell_one AS (
-  SELECT action_id, arg_max(agent_noresp, ord) AS agent_noresp, arg_max(evidence, ord) AS evidence
+  SELECT action_id, arg_max(agent_noresp, ord * 1000 + pos) AS agent_noresp, arg_max(evidence, ord * 1000 + pos) AS evidence
   FROM tells GROUP BY action_id),
 back AS (SELECT m.*, t.agent_noresp, t.evidence FROM merged m LEFT JOIN tell_one t USING (action_id)),
 kept AS (SELECT * FROM back WHERE action_content IS NOT NULL AND NOT contains(action_content, 'Stop')),
@@ -63,7 +63,7 @@ gtl AS (SELECT concat(concat('web_', doc_id % 50), '_', CAST(doc_id AS VARCHAR))
                arg_max(quality, doc_id) AS value
         FROM labels WHERE doc_id % 11 <> 0 GROUP BY 1),
 train AS (
-  SELECT test_case_id, action_id AS step, ord, label AS phi, operation_desc, action_content,
+  SELECT test_case_id, action_id AS step, ord, pos, label AS phi, operation_desc, action_content,
          CASE WHEN gui_evidence = -1 THEN 0.0 ELSE CAST(gui_evidence AS DOUBLE) END AS E1_gui,
          CAST(code_evidence AS DOUBLE) AS E2_code,
          CASE WHEN agent_noresp IS NOT NULL THEN CAST(agent_judge AS DOUBLE) END AS E3_reflect,
@@ -79,17 +79,17 @@ train AS (
   FROM kept LEFT JOIN gtl g ON g.key = kept.test_case_id)"""
 
 TRAIN_DOUBLES = ("E1_gui", "E2_code", "E3_reflect", "E4_noresp", "weight", "agent_testcase_score", "delta_label")
-TRAIN_COLS = ("test_case_id, step, ord, phi, operation_desc, action_content, E1_gui, E2_code, E3_reflect, "
+TRAIN_COLS = ("test_case_id, step, ord, pos, phi, operation_desc, action_content, E1_gui, E2_code, E3_reflect, "
               "E4_noresp, M_gui, M_code, M_reflect, M_noresp, weight, is_reflection, agent_testcase_score")
 
 
 @register("tell_evidence", ops="B12 C8", sql="WITH" + GUI_FLAT_SQL + """
-SELECT action_id, ord, string_split(action_content, '"evidence": ')[2] AS evidence
+SELECT action_id, ord, pos, string_split(action_content, '"evidence": ')[2] AS evidence
 FROM gui_rows WHERE contains(action_content, 'Tell (')""")
 def q_tell_evidence(spark, sf):
     g = gui_rows(spark, sf)
     return g.filter(TX.is_tell("action_content")).select(
-        "action_id", "ord", TX.tell_evidence("action_content").alias("evidence"))
+        "action_id", "ord", "pos", TX.tell_evidence("action_content").alias("evidence"))
 
 
 _FENCES = ["```json\\n", "```\\n", "", "```json\\n"]
@@ -99,20 +99,20 @@ _FENCES = ["```json\\n", "```\\n", "", "```json\\n"]
 WITH t AS (
   SELECT doc_id,
     CASE doc_id % 5
-      WHEN 0 THEN concat('```json', chr(10), '{"result": "', CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END, '"}', chr(10), '```')
+      WHEN 0 THEN concat(chr(10), '```json', chr(10), '{"result": "', CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END, '"}', chr(10), '```')
       WHEN 1 THEN concat('```', chr(10), '{"result": "', CASE WHEN toxic = 1 THEN 'No' ELSE 'Yes' END, '"}', chr(10), '```')
       WHEN 2 THEN concat('  {"result": "Yes", "why": "doc ', doc_id, '"}  ')
       WHEN 3 THEN concat('```json', chr(10), '{"result": ', doc_id)
       ELSE concat('Sure: ', doc_id) END AS raw
   FROM labels),
-s AS (SELECT doc_id, raw, trim(regexp_replace(regexp_replace(trim(raw), '^```(json)?', ''), '```$', '')) AS body FROM t)
+s AS (SELECT doc_id, raw, trim(regexp_replace(regexp_replace(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '^```(json)?', ''), '```$', '')) AS body FROM t)
 SELECT doc_id, coalesce(json_extract_string(try(CAST(body AS JSON)), '$.result'), 'No') AS result FROM s""")
 def q_fenced(spark, sf):
     lb = fx.table(spark, sf, "labels")
     nl = F.lit("\n")
     yes_no = lambda cond: F.when(cond, F.lit("Yes")).otherwise(F.lit("No"))
     k = F.col("doc_id") % 5
-    raw = (F.when(k == 0, F.concat(F.lit("```json"), nl, F.lit('{"result": "'), yes_no(F.col("quality") == 1), F.lit('"}'), nl, F.lit("```")))
+    raw = (F.when(k == 0, F.concat(nl, F.lit("```json"), nl, F.lit('{"result": "'), yes_no(F.col("quality") == 1), F.lit('"}'), nl, F.lit("```")))
             .when(k == 1, F.concat(F.lit("```"), nl, F.lit('{"result": "'), yes_no(F.col("toxic") != 1), F.lit('"}'), nl, F.lit("```")))
             .when(k == 2, F.concat(F.lit('  {"result": "Yes", "why": "doc '), F.col("doc_id"), F.lit('"}  ')))
             .when(k == 3, F.concat(F.lit("```json"), nl, F.lit('{"result": '), F.col("doc_id")))
@@ -154,14 +154,14 @@ def q_evidence_merge(spark, sf):
 
 
 @register("tell_merge_back", ops="D2", sql=MERGE_SQL + """
-SELECT test_case_id, action_id, ord, agent_noresp, evidence FROM back""")
+SELECT test_case_id, action_id, ord, pos, agent_noresp, evidence FROM back""")
 def q_tell_merge_back(spark, sf):
-    return merged_back(spark, sf).select("test_case_id", "action_id", "ord", "agent_noresp", "evidence")
+    return merged_back(spark, sf).select("test_case_id", "action_id", "ord", "pos", "agent_noresp", "evidence")
 
 
-@register("stop_null_filter", ops="C9", sql=MERGE_SQL + " SELECT test_case_id, action_id, ord, action_content FROM kept")
+@register("stop_null_filter", ops="C9", sql=MERGE_SQL + " SELECT test_case_id, action_id, ord, pos, action_content FROM kept")
 def q_stop_null(spark, sf):
-    return A.stop_null_filter(merged_back(spark, sf)).select("test_case_id", "action_id", "ord", "action_content")
+    return A.stop_null_filter(merged_back(spark, sf)).select("test_case_id", "action_id", "ord", "pos", "action_content")
 
 
 @register("train_rows", ops="C10", doubles=TRAIN_DOUBLES[:-1], sql=MERGE_SQL + f" SELECT {TRAIN_COLS} FROM train")
@@ -170,15 +170,15 @@ def q_train_rows(spark, sf):
 
 
 @register("disagreement_label", ops="C11 D3", doubles=("agent_testcase_score", "delta_label"),
-          sql=MERGE_SQL + " SELECT test_case_id, step, ord, phi, agent_testcase_score, delta_label FROM train")
+          sql=MERGE_SQL + " SELECT test_case_id, step, ord, pos, phi, agent_testcase_score, delta_label FROM train")
 def q_disagreement(spark, sf):
-    return training(spark, sf, with_gt=True).select("test_case_id", "step", "ord", "phi",
+    return training(spark, sf, with_gt=True).select("test_case_id", "step", "ord", "pos", "phi",
                                                     "agent_testcase_score", "delta_label")
 
 
 @register("verdict_attach", ops="D5", doubles=("agent_original",), sql=MERGE_SQL + """
-SELECT test_case_id, arg_max(agent_testcase_score, ord) FILTER (WHERE agent_testcase_score IS NOT NULL) AS agent_original,
-       arg_max(phi, ord) FILTER (WHERE phi IS NOT NULL) AS human_gt, count(*) AS n_steps
+SELECT test_case_id, arg_max(agent_testcase_score, ord * 1000 + pos) FILTER (WHERE agent_testcase_score IS NOT NULL) AS agent_original,
+       arg_max(phi, ord * 1000 + pos) FILTER (WHERE phi IS NOT NULL) AS human_gt, count(*) AS n_steps
 FROM train GROUP BY test_case_id""")
 def q_verdict_attach(spark, sf):
     return A.verdict_attach(training(spark, sf))

@@ -11,7 +11,6 @@ from judgefuse.plans.registry import register
 W = RUN_WEIGHTS
 # Configuration of the reference's command-line training run.
 RUN_CFG = EM.EMConfig(max_iter=500, tol=1e-4, weights=W, temp=0.8)
-UNROLL = 40  # oracle iterations; the fixture converges well before this
 _BASE = [O.STEPS_RAW, O.CASE_VALUES, O.EM_CELLS]
 _PD = tuple(EM.PARAM_COLS)
 
@@ -30,7 +29,7 @@ def q_em_init(spark, sf):
 
 
 @register("em_step", doubles=_PD + ("avg_ll",), ops="H2 H3",
-          sql=O.with_ctes(*_BASE, O.em_init_sql()) + O.em_iter_sql(1, W.w, W.agent_weight, RUN_CFG.temp)
+          sql=O.with_ctes(*_BASE, O.em_init_sql()) + O.em_step_sql(W.w, W.agent_weight, RUN_CFG.temp)
           + f" SELECT {O.PARAM_SELECT}, ll AS avg_ll FROM p1")
 def q_em_step(spark, sf):
     cells = EM.collect_cells(EM.em_cells(fx.steps(spark, sf)))
@@ -41,8 +40,9 @@ def q_em_step(spark, sf):
     return EM.params_frame(spark, p1, {"avg_ll": ll})
 
 
-EM_FIT_SQL = (O.with_ctes(*_BASE) + O.em_fit_sql(UNROLL, RUN_CFG.tol, W.w, W.agent_weight, RUN_CFG.temp)
-              + f" SELECT {O.PARAM_SELECT}, CAST(it AS BIGINT) AS n_iter FROM allp WHERE it = (SELECT it FROM stop)")
+EM_FIT_SQL = (O.with_ctes(*_BASE).replace("WITH", "WITH RECURSIVE", 1)
+              + O.em_fit_sql(RUN_CFG.max_iter, RUN_CFG.tol, W.w, W.agent_weight, RUN_CFG.temp)
+              + f" SELECT {O.PARAM_SELECT}, CAST(it AS BIGINT) AS n_iter FROM em WHERE it = (SELECT it FROM stop)")
 
 
 @register("em_fit", doubles=_PD, ops="H4", sql=EM_FIT_SQL)

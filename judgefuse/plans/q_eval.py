@@ -79,7 +79,7 @@ def q_code_acc(spark, sf):
 
 GUI_FLAT_SQL = """
 gui_src AS (
-  SELECT concat('web_', event_id % 50, '_', event_id % 10000) AS project_name, event_id, event_type, value,
+  SELECT concat('web_', (event_id // 2) % 50, '_', event_id // 2) AS project_name, event_id, event_type, value,
          CAST(event_id % 3 + 1 AS INTEGER) AS n, event_id % 4 = 0 AS is_flat
   FROM events),
 gui_acts AS (
@@ -102,7 +102,7 @@ gui_rows AS (
          CASE WHEN event_type = 'click' AND i = 1
               THEN (CASE WHEN event_id % 5 <> 0 THEN CAST(value >= 20 AS INTEGER) ELSE 0 END)
               ELSE -1 END AS gui_evidence,
-         event_id * 8 + i AS ord, i
+         event_id AS ord, i AS pos
   FROM gui_acts)"""
 
 
@@ -113,18 +113,18 @@ def q_gui_flatten(spark, sf):
 
 
 @register("upsert_latest", ops="A11 I4", sql="""
-WITH o AS (SELECT concat('p', doc_id % 60) AS project_name, quality AS score, 'old' AS note, doc_id AS ord, 0 AS v FROM labels),
-n AS (SELECT concat('p', doc_id % 80) AS project_name, toxic AS score, 'new' AS note, doc_id AS ord, 1 AS v
+WITH o AS (SELECT concat('p', doc_id // 3) AS project_name, quality AS score, 'old' AS note, doc_id AS ord, 0 AS v FROM labels),
+n AS (SELECT concat('p', doc_id // 2) AS project_name, toxic AS score, 'new' AS note, doc_id AS ord, 1 AS v
       FROM labels WHERE doc_id % 4 = 0),
 u AS (SELECT * FROM o UNION ALL SELECT * FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY project_name ORDER BY v DESC, ord DESC) AS rn FROM u)
 SELECT project_name, score, note, ord FROM r WHERE rn = 1""")
 def q_upsert(spark, sf):
     lb = fx.table(spark, sf, "labels")
-    old = lb.select(F.concat(F.lit("p"), F.col("doc_id") % 60).alias("project_name"),
+    old = lb.select(F.concat(F.lit("p"), F.expr("doc_id div 3")).alias("project_name"),
                     F.col("quality").alias("score"), F.lit("old").alias("note"), F.col("doc_id").alias("ord"))
     new = lb.filter(F.col("doc_id") % 4 == 0).select(
-        F.concat(F.lit("p"), F.col("doc_id") % 80).alias("project_name"),
+        F.concat(F.lit("p"), F.expr("doc_id div 2")).alias("project_name"),
         F.col("toxic").alias("score"), F.lit("new").alias("note"), F.col("doc_id").alias("ord"))
     return R.upsert_latest(old, new, "project_name")
 

@@ -3,6 +3,8 @@ prediction jobs (B15, B19, B20, B21, H14, H15)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from judgefuse.operators import cases as C
@@ -13,7 +15,10 @@ from judgefuse.plans import oracle as O
 from judgefuse.plans.q_em import RUN_CFG
 from judgefuse.plans.q_scoring import _cases_sql_ctes
 from judgefuse.plans.q_em import EM_FIT_SQL
+from judgefuse.plans.jobs import train
 from judgefuse.plans.registry import register
+from judgefuse.session import shared_folder
+from judgefuse.sources.records import write_results
 
 RESP_SQL = """
 WITH d AS (SELECT doc_id, source, CAST(doc_id % 3 + 1 AS INTEGER) AS n FROM documents),
@@ -80,10 +85,14 @@ def q_code_lookup(spark, sf):
     return CE.code_lookup(wanted, m).select("path", "page_id", F.length("html").alias("n_chars"))
 
 
-@register("train_pipeline", ops="H14", doubles=tuple(EM.PARAM_COLS), sql=EM_FIT_SQL)  # same fit as em_fit
+@register("train_pipeline", ops="H14", doubles=tuple(EM.PARAM_COLS), sql=EM_FIT_SQL)
 def q_train_pipeline(spark, sf):
-    res = EM.fit(fx.steps(spark, sf), RUN_CFG)
-    return EM.params_frame(spark, res.params, {"n_iter": int(res.n_iter)})
+    """The job as a user runs it: a step file is loaded, fitted, the parameters saved and loaded again."""
+    base = f"{shared_folder(spark)}/train-{uuid.uuid4().hex}"
+    write_results(fx.steps_raw(spark, sf), f"{base}/steps.parquet")
+    res = train(spark, f"{base}/steps.parquet", base, RUN_CFG)
+    saved = EM.load_params(spark, f"{base}/em_params")
+    return EM.params_frame(spark, saved, {"n_iter": int(res.n_iter)})
 
 
 _L, _A = O.threshold_rule_sql(0.75, 0.75, 0.75)

@@ -86,20 +86,31 @@ def q_lr_correct(spark, sf):
 def _fit_on_train(spark, sf):
     s = A.grouped_split(fx.steps(spark, sf), "test_case_id", 0.25, 42)
     train = LR.case_features(s.filter(F.col("split") == "train"))
-    return s, LR.fit(train)
+    return s, train, LR.fit(train)
 
 
-@register("lr_fit", ops="H11")
+LR_FIT_SQL = FEAT_SQL + """,
+rk AS (SELECT test_case_id, row_number() OVER (ORDER BY md5(concat('42|', test_case_id))) AS r, count(*) OVER () AS n FROM cf),
+tr AS (SELECT cf.* FROM cf JOIN rk USING (test_case_id) WHERE rk.r > floor(rk.n * 0.25) AND label IS NOT NULL)
+""" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, avg({f}) AS scaler_mean, CASE WHEN stddev_pop({f}) = 0 THEN 1.0 ELSE stddev_pop({f}) END "
+    f"AS scaler_scale, 0.0 AS residual FROM tr" for f in FEAT) + " UNION ALL SELECT 'intercept', 0.0, 1.0, 0.0"
+
+
+@register("lr_fit", ops="H11", doubles=("scaler_mean", "scaler_scale", "residual"), sql=LR_FIT_SQL)
 def q_lr_fit(spark, sf):
-    _, p = _fit_on_train(spark, sf)
-    rows = [(f, float(p.coefficients[f]), float(m), float(sc)) for f, m, sc in zip(FEAT, p.scaler_mean, p.scaler_scale)]
-    rows.append(("intercept", float(p.intercept), 0.0, 1.0))
-    return spark.createDataFrame(rows, "feature string, coefficient double, scaler_mean double, scaler_scale double")
+    """The fit's scaling and, per feature, the gradient at the optimum (0 to four places)."""
+    _, train, p = _fit_on_train(spark, sf)
+    rest = LR.optimality(train, p)
+    rows = [(f, float(m), float(sc), round(rest[f], 4) + 0.0) for f, m, sc in zip(FEAT, p.scaler_mean, p.scaler_scale)]
+    rows.append(("intercept", 0.0, 1.0, round(rest["intercept"], 4) + 0.0))
+    return spark.createDataFrame(rows, "feature string, scaler_mean double, scaler_scale double, residual double")
 
 
 @register("lr_pipeline", ops="H16")
 def q_lr_pipeline(spark, sf):
-    s, p = _fit_on_train(spark, sf)
+    """All validation cases, corrected, with their flip flags; those without
+    verdict or label are left out of metrics only."""
+    s, _, p = _fit_on_train(spark, sf)
     val = LR.case_features(s.filter(F.col("split") == "val"))
-    cases = LR.correct(LR.score(val, p), 0.75, 0.75)
-    return cases.filter(F.col("agent_original").isNotNull() & F.col("human_gt").isNotNull())
+    return M.flip_flags(LR.correct(LR.score(val, p), 0.75, 0.75))

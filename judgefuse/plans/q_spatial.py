@@ -11,15 +11,15 @@ from judgefuse.plans.registry import register
 
 ELEMENTS_SQL = """
 el AS (
-  SELECT CAST(p_partkey % 25 AS INTEGER) AS screen_id, p_partkey AS el_id,
+  SELECT p_partkey // 80 AS screen_id, p_partkey AS el_id,
          CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS ui_name,
          list_extract(['Pane', 'Button', 'Edit', 'Text', 'Group', 'Image'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS control_type,
          CAST((p_partkey * 37) % 1600 AS INTEGER) AS x1, CAST((p_partkey * 53) % 900 AS INTEGER) AS y1,
          CAST((p_partkey * 37) % 1600 + 20 + p_size * 8 AS INTEGER) AS x2,
-         CAST((p_partkey * 53) % 900 + 10 + p_size * 4 AS INTEGER) AS y2, p_partkey AS pos, p_name
+         CAST((p_partkey * 53) % 900 + 10 + p_size * 4 AS INTEGER) AS y2, p_partkey * 2 AS pos, p_name
   FROM part),
 clk AS (
-  SELECT event_id AS click_id, CAST(user_id % 25 AS INTEGER) AS screen_id,
+  SELECT event_id AS click_id, event_id // 400 AS screen_id,
          CAST((event_id * 97) % 1920 AS INTEGER) AS cx, CAST((event_id * 61) % 1080 AS INTEGER) AS cy
   FROM events WHERE event_type = 'click'),
 elf AS (SELECT * FROM el WHERE control_type <> 'Image')"""
@@ -36,7 +36,7 @@ def q_element_filter(spark, sf):
 @register("box_dedup", ops="I1", sql="WITH" + ELEMENTS_SQL + """,
 cp AS (SELECT screen_id, el_id, ui_name, x1, y1, x2, y2, pos FROM el
        UNION ALL
-       SELECT screen_id, el_id + 1000000, CASE WHEN ui_name = '' THEN p_name ELSE '' END, x1, y1, x2, y2, pos + 1000000 FROM el),
+       SELECT screen_id, -el_id, CASE WHEN ui_name = '' THEN p_name ELSE '' END, x1, y1, x2, y2, pos + 1 FROM el),
 r AS (SELECT *, row_number() OVER (PARTITION BY screen_id, x1, y1, x2, y2 ORDER BY ui_name = '', pos) AS rn,
              min(pos) OVER (PARTITION BY screen_id, x1, y1, x2, y2) AS first_pos FROM cp)
 SELECT screen_id, el_id, ui_name, first_pos AS pos FROM r WHERE rn = 1""")
@@ -51,8 +51,7 @@ drop_rule AS (
   SELECT DISTINCT a.screen_id, a.el_id FROM elf a JOIN elf b
     ON a.screen_id = b.screen_id AND a.el_id <> b.el_id
    AND a.x1 <= b.x1 AND a.y1 <= b.y1 AND a.x2 >= b.x2 AND a.y2 >= b.y2
-  WHERE a.ui_name = '' OR (b.ui_name <> '' AND a.ui_name = '')
-     OR (b.control_type IN ('Button', 'Edit', 'Text') AND a.control_type NOT IN ('Button', 'Edit', 'Text'))),
+  WHERE a.ui_name = '' OR (b.control_type IN ('Button', 'Edit', 'Text') AND a.control_type NOT IN ('Button', 'Edit', 'Text'))),
 dropped AS (
   SELECT screen_id, el_id FROM drop_rule WHERE screen_id IN (SELECT screen_id FROM multi)
   UNION SELECT screen_id, el_id FROM elf WHERE control_type IN ('Pane', 'Window', 'Document')

@@ -17,8 +17,8 @@ from judgefuse.plans.registry import register
 PARAMS_SQL = """
 WITH it AS (
   SELECT event_id AS e, concat('log_', event_id) AS project_name, CAST(g.i AS INTEGER) AS iter_num,
-         CAST(event_id % 4 + 1 AS INTEGER) AS n
-  FROM events JOIN generate_series(1, 4) AS g(i) ON g.i <= event_id % 4 + 1),
+         CAST(event_id % 6 + 1 AS INTEGER) AS n, coalesce(concat(chr(10), d.text), '') AS told
+  FROM events JOIN generate_series(1, 6) AS g(i) ON g.i <= event_id % 6 + 1 LEFT JOIN documents d ON d.doc_id = event_id),
 f AS (
   SELECT *, (e * 97 + iter_num * 13) % 1500 + 100 AS x, (e * 61 + iter_num * 7) % 800 + 100 AS y,
          (e * 3 + iter_num) % 3 AS ak, (e + iter_num) % 5 <> 0 AS has_op, (e + iter_num) % 7 <> 0 AS has_refl,
@@ -27,16 +27,16 @@ f AS (
 own AS (
   SELECT *,
     CASE WHEN has_refl THEN (CASE rk WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 END) END AS reflection,
-    CASE WHEN has_op THEN concat('Click item ', iter_num, ' of ', e) END AS op_block,
+    CASE WHEN has_op THEN regexp_replace(concat('Click item ', iter_num, ' of ', e, told), '\\s+$', '') END AS op_block,
     CASE WHEN has_op THEN (CASE ak WHEN 0 THEN concat('pyautogui.click(', x, ', ', y, ')')
                                  WHEN 1 THEN 'pyautogui.typewrite(''abc'')'
                                  ELSE 'Tell ({"0": {"result": "Pass", "evidence": "ok"}})' END) END AS action_own,
-    CASE WHEN has_op AND ak = 0 THEN concat('Click item ', iter_num, ' of ', e) END AS op_own,
+    CASE WHEN has_op AND ak = 0 THEN regexp_replace(concat('Click item ', iter_num, ' of ', e, told), '\\s+$', '') END AS op_own,
     CASE WHEN has_op AND ak = 0 THEN CAST(x AS INTEGER) END AS cx_own,
     CASE WHEN has_op AND ak = 0 THEN CAST(y AS INTEGER) END AS cy_own,
     CASE tk WHEN 0 THEN concat('Page ', e, ' changed after step ', iter_num, '.')
             WHEN 1 THEN concat('Button ', iter_num, ' now enabled.') END AS rt_own,
-    CASE WHEN has_screen THEN 2 ELSE 0 END AS n_el FROM f),
+    CASE WHEN has_screen THEN 2 + least((e + iter_num) % 4, 3) ELSE 0 END AS n_el FROM f),
 outc AS (
   SELECT *, cx_own IS NOT NULL AS gate,
     CASE WHEN cx_own IS NULL THEN NULL WHEN NOT has_image THEN 0 WHEN n_el = 0 THEN 0
@@ -56,8 +56,24 @@ fin AS (
     CASE WHEN has_hist AND iter_num % 2 = 1 THEN CAST((e + iter_num * 17) % 700 AS INTEGER) ELSE cy_own END AS click_y
   FROM outc)"""
 
+SORTED_SQL = """,
+boxes AS (
+  SELECT own.*, g.idx, CASE WHEN hit THEN x - 10 ELSE x + 200 END AS bx1, CASE WHEN hit THEN y - 10 ELSE y + 150 END AS by1,
+    CASE WHEN hit THEN x + 30 ELSE x + 240 END AS bx2, CASE WHEN hit THEN y + 20 ELSE y + 180 END AS by2
+  FROM own JOIN (SELECT unnest([0, 4, 8, 9, 10]) AS idx) g ON g.idx < 8 + (e + iter_num) % 4
+  WHERE has_screen AND cx_own IS NOT NULL),
+dist AS (
+  SELECT *, CASE idx WHEN 0 THEN bx1 WHEN 4 THEN x + 60 ELSE (idx - 8) * 10 + 12 END AS ax1,
+    CASE idx WHEN 0 THEN by1 WHEN 4 THEN y + 40 ELSE 1050 END AS ay1,
+    CASE idx WHEN 0 THEN bx2 WHEN 4 THEN x + 120 ELSE (idx - 8) * 10 + 17 END AS ax2,
+    CASE idx WHEN 0 THEN by2 WHEN 4 THEN y + 60 ELSE 1060 END AS ay2 FROM boxes),
+sorted AS (
+  SELECT project_name, iter_num, string_agg(concat('element_', idx, ':', CAST(round(1000 * d) AS BIGINT), ':',
+      CAST(ax1 <= x AND x <= ax2 AND ay1 <= y AND y <= ay2 AS INTEGER)), '|' ORDER BY d, (ax2 - ax1) * (ay2 - ay1), idx) AS sorting
+  FROM (SELECT *, sqrt(pow(x - (ax1 + ax2) / 2.0, 2) + pow(y - (ay1 + ay2) / 2.0, 2)) AS d FROM dist) GROUP BY ALL)"""
+
 PIPE_COLS = ("project_name, iter_num, reflection, click_x, click_y, operation_desc, action_content, "
-             "reflection_thought, coordinate_match, accuracy, method, matched_element_id, has_distance_sorting")
+             "reflection_thought, coordinate_match, accuracy, method, matched_element_id, has_distance_sorting, sorting")
 
 
 def _logs(spark, sf):
@@ -65,7 +81,7 @@ def _logs(spark, sf):
 
 
 def _iters(spark, sf):
-    return TL.log_iterations(_logs(spark, sf))
+    return TL.parse_iterations(_logs(spark, sf))
 
 
 def _pipeline(spark, sf, condition="all_clicks"):
@@ -73,11 +89,16 @@ def _pipeline(spark, sf, condition="all_clicks"):
 
 
 @register("log_iterations", ops="B6 A9", sql=PARAMS_SQL + """
-SELECT project_name, iter_num, iter_num = n AND has_hist AS has_history FROM f""")
+,
+h AS (
+  SELECT e, regexp_replace(string_agg(concat('Step-', iter_num, ': Operation: hist op ', iter_num, ' of ', e, chr(10), 'Action: ',
+      CASE WHEN iter_num % 2 = 1 THEN concat('pyautogui.click(', (e + iter_num * 11) % 1000, ', ', (e + iter_num * 17) % 700, ')')
+           ELSE 'pyautogui.press(''enter'')' END, chr(10), 'Reflection_thought: hist refl ', iter_num, chr(10), chr(9),
+      'Memory: mem ', iter_num, chr(10)), '' ORDER BY iter_num), '\\s+$', '') AS history
+  FROM f WHERE has_hist GROUP BY e)
+SELECT project_name, iter_num, CASE WHEN iter_num = n THEN coalesce(history, '') END AS history FROM f LEFT JOIN h USING (e)""")
 def q_log_iterations(spark, sf):
-    it = _iters(spark, sf)
-    return it.select("project_name", "iter_num",
-                     F.coalesce(F.col("history") != "", F.lit(False)).alias("has_history"))
+    return TL.log_iterations(_logs(spark, sf)).select("project_name", "iter_num", "history")
 
 
 @register("history_steps", ops="B7", sql=PARAMS_SQL + """
@@ -97,14 +118,14 @@ el AS (
   SELECT f.*, g.idx,
     CASE WHEN hit THEN x - 10 ELSE x + 200 END AS bx1, CASE WHEN hit THEN y - 10 ELSE y + 150 END AS by1,
     CASE WHEN hit THEN x + 30 ELSE x + 240 END AS bx2, CASE WHEN hit THEN y + 20 ELSE y + 180 END AS by2
-  FROM f JOIN (SELECT unnest([0, 1, 3, 4, 5, 7]) AS idx) g ON true WHERE has_screen)
+  FROM f JOIN (SELECT unnest([0, 1, 3, 4, 5, 7, 8, 9, 10]) AS idx) g ON g.idx < 8 + (e + iter_num) % 4 WHERE has_screen)
 SELECT project_name, iter_num, concat('element_', idx) AS el_id,
-  CASE idx WHEN 0 THEN concat('btn', iter_num) WHEN 4 THEN concat('label', iter_num) WHEN 7 THEN 'logo' ELSE '' END AS ui_name,
-  CASE idx WHEN 0 THEN 'Button' WHEN 1 THEN 'Text' WHEN 3 THEN 'Pane' WHEN 4 THEN 'Text' WHEN 5 THEN 'Group' ELSE 'Image' END AS control_type,
-  CAST(CASE idx WHEN 0 THEN bx1 WHEN 1 THEN bx1 WHEN 3 THEN 0 WHEN 4 THEN x + 60 WHEN 5 THEN x + 55 ELSE 0 END AS INTEGER) AS x1,
-  CAST(CASE idx WHEN 0 THEN by1 WHEN 1 THEN by1 WHEN 3 THEN 0 WHEN 4 THEN y + 40 WHEN 5 THEN y + 35 ELSE 0 END AS INTEGER) AS y1,
-  CAST(CASE idx WHEN 0 THEN bx2 WHEN 1 THEN bx2 WHEN 3 THEN 1920 WHEN 4 THEN x + 120 WHEN 5 THEN x + 130 ELSE 10 END AS INTEGER) AS x2,
-  CAST(CASE idx WHEN 0 THEN by2 WHEN 1 THEN by2 WHEN 3 THEN 1080 WHEN 4 THEN y + 60 WHEN 5 THEN y + 70 ELSE 10 END AS INTEGER) AS y2
+  CASE idx WHEN 0 THEN concat('btn', iter_num) WHEN 4 THEN concat('label', iter_num) WHEN 7 THEN 'logo' WHEN 8 THEN 'extra0' WHEN 9 THEN 'extra1' WHEN 10 THEN 'extra2' ELSE '' END AS ui_name,
+  CASE idx WHEN 0 THEN 'Button' WHEN 1 THEN 'Text' WHEN 3 THEN 'Pane' WHEN 4 THEN 'Text' WHEN 5 THEN 'Group' WHEN 7 THEN 'Image' ELSE 'Button' END AS control_type,
+  CAST(CASE idx WHEN 0 THEN bx1 WHEN 1 THEN bx1 WHEN 3 THEN 0 WHEN 4 THEN x + 60 WHEN 5 THEN x + 55 WHEN 7 THEN 0 ELSE (idx - 8) * 10 + 12 END AS INTEGER) AS x1,
+  CAST(CASE idx WHEN 0 THEN by1 WHEN 1 THEN by1 WHEN 3 THEN 0 WHEN 4 THEN y + 40 WHEN 5 THEN y + 35 WHEN 7 THEN 0 ELSE 1050 END AS INTEGER) AS y1,
+  CAST(CASE idx WHEN 0 THEN bx2 WHEN 1 THEN bx2 WHEN 3 THEN 1920 WHEN 4 THEN x + 120 WHEN 5 THEN x + 130 WHEN 7 THEN 10 ELSE (idx - 8) * 10 + 17 END AS INTEGER) AS x2,
+  CAST(CASE idx WHEN 0 THEN by2 WHEN 1 THEN by2 WHEN 3 THEN 1080 WHEN 4 THEN y + 60 WHEN 5 THEN y + 70 WHEN 7 THEN 10 ELSE 1060 END AS INTEGER) AS y2
 FROM el""")
 def q_element_lines(spark, sf):
     return TL.element_lines(_iters(spark, sf)).select("project_name", "iter_num", "el_id", "ui_name",
@@ -113,29 +134,26 @@ def q_element_lines(spark, sf):
 
 @register("reflection_verdict", ops="B9", sql=PARAMS_SQL + " SELECT project_name, iter_num, reflection FROM own")
 def q_reflection_verdict(spark, sf):
-    return _iters(spark, sf).select("project_name", "iter_num", TL.reflection_verdict("content").alias("reflection"))
+    return _iters(spark, sf).select("project_name", "iter_num", "reflection")
 
 
 @register("operation_action_blocks", ops="B10", sql=PARAMS_SQL + """
 SELECT project_name, iter_num, op_block AS operation, action_own AS action FROM own""")
 def q_op_action(spark, sf):
-    return _iters(spark, sf).select("project_name", "iter_num", TL.operation_text("content").alias("operation"),
-                                    TL.action_block("content").alias("action"))
+    return _iters(spark, sf).select("project_name", "iter_num", "operation", F.col("action_content").alias("action"))
 
 
 @register("reflection_text", ops="B11", sql=PARAMS_SQL + " SELECT project_name, iter_num, rt_own AS reflection_thought FROM own")
 def q_reflection_text(spark, sf):
     return _iters(spark, sf).select("project_name", "iter_num",
-                                    TL.reflection_text("content").alias("reflection_thought"))
+                                    "reflection_thought")
 
 
 @register("analysis_gate", ops="C13", sql=PARAMS_SQL + """
 SELECT project_name, iter_num, gate AS gate_all_clicks, gate AND coalesce(reflection = 0, false) AS gate_error_only FROM outc""")
 def q_analysis_gate(spark, sf):
-    rec = TL.iteration_records(_iters(spark, sf))
-    g = F.col("click_x").isNotNull() & F.col("operation_desc").isNotNull()
-    return rec.select("project_name", "iter_num", g.alias("gate_all_clicks"),
-                      (g & F.coalesce(F.col("reflection") == 0, F.lit(False))).alias("gate_error_only"))
+    return _iters(spark, sf).select("project_name", "iter_num", TL.analysis_gate().alias("gate_all_clicks"),
+                                    TL.analysis_gate("error_only").alias("gate_error_only"))
 
 
 @register("hit_outcome", ops="C14", sql=PARAMS_SQL + """
@@ -152,9 +170,24 @@ def q_history_to_iter(spark, sf):
                                        "reflection_thought", "click_x", "click_y")
 
 
-@register("trace_log_pipeline", ops="H18", sql=PARAMS_SQL + f" SELECT {PIPE_COLS} FROM fin")
+def _sorting():
+    """The distance list as text, for the comparison."""
+    return F.array_join(F.transform("element_distance_sorting", lambda e: F.concat_ws(
+        ":", e["el_id"], F.round(1000 * e["distance"]).cast("long").cast("string"), e["is_inside"].cast("int").cast("string"))), "|")
+
+
+@register("trace_log_pipeline", ops="H18 F1", sql=PARAMS_SQL + SORTED_SQL + f"""
+SELECT {PIPE_COLS} FROM fin LEFT JOIN sorted USING (project_name, iter_num)""")
 def q_trace_pipeline(spark, sf):
-    return _pipeline(spark, sf)
+    return _pipeline(spark, sf).withColumn("sorting", _sorting()).drop("seg", "element_distance_sorting")
+
+
+@register("trace_log_error_only", ops="H18 C13", sql=PARAMS_SQL + """
+SELECT project_name, iter_num, CASE WHEN reflection = 0 THEN accuracy END AS accuracy,
+       CASE WHEN reflection = 0 THEN method END AS method,
+       CASE WHEN reflection = 0 THEN matched_element_id END AS matched_element_id FROM fin""")
+def q_trace_error_only(spark, sf):
+    return _pipeline(spark, sf, "error_only").select("project_name", "iter_num", "accuracy", "method", "matched_element_id")
 
 
 @register("coordinate_summary", ops="E14", sql=PARAMS_SQL + """

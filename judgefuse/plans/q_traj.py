@@ -51,8 +51,8 @@ TRAJ_SQL = f"""
 turns AS (
   SELECT conv_id AS task, turn, role,
          CASE WHEN role <> 'assistant' THEN text
-              WHEN conv_id % 11 = 0 THEN concat(substr(text, 1, 30), chr(10), 'Action: ', act)
-              ELSE concat('Thought: ', substr(text, 1, 40), chr(10), 'Action: ', act) END AS content
+              WHEN conv_id % 11 = 0 THEN concat(text, chr(10), 'Action: ', act)
+              ELSE concat('Thought: ', text, chr(10), 'Action: ', act) END AS content
   FROM (SELECT *, {_ACT} AS act FROM conversations)),
 asst AS (
   SELECT task, turn, content,
@@ -107,7 +107,7 @@ cc AS (
          row_number() OVER (PARTITION BY task ORDER BY code_no) - 1 AS pos
   FROM codes WHERE regexp_matches(code, {L(TX.CODE_CLICK_RE)})),
 shots AS (
-  SELECT conv_id AS task, turn AS shot_no, CAST((conv_id * 7 + turn) % 25 AS INTEGER) AS screen_id,
+  SELECT conv_id AS task, turn AS shot_no, (conv_id * 7 + turn) // 28 AS screen_id,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
   FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS mt FROM conversations WHERE role = 'assistant')
   WHERE NOT (conv_id % 4 = 0 AND turn = mt)),

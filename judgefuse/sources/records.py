@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pathlib import PurePath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,10 @@ from pyspark.sql import types as T
 from judgefuse.functions import evidence as ev
 
 
+#: Quoted fields may hold quotes (doubled) and line ends; written and read alike.
+CSV_TEXT = {"multiLine": "true", "quote": '"', "escape": '"'}
+
+
 # ---- A1 / A2: file scans ---------------------------------------------------------------
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A1: JSON lines; blank lines skipped, a malformed line fails the job."""
@@ -25,14 +30,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A2: dispatch on suffix.  CSV with header, Parquet, JSON lines; Excel is
+    """A2: dispatch on suffix.  CSV with header (strings without a schema, so that
+    no second scan infers one), Parquet, JSON lines; Excel is
     a single-machine format and is refused with the same ValueError as any
     other unsupported suffix."""
     suffix = PurePath(path.rstrip("/")).suffix.lower()
     if suffix == ".csv":
-        r = spark.read.option("header", "true")
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", "true")
-        return r.csv(path)
+        r = spark.read.options(header="true", **CSV_TEXT).option("mode", "FAILFAST")
+        return (r if schema is None else r.schema(schema)).csv(path)
     if suffix == ".parquet":
         return spark.read.parquet(path)
     if suffix in (".jsonl", ".json"):
@@ -110,8 +115,8 @@ def gui_evidence_flatten(df: DataFrame, with_ord: bool = False) -> DataFrame:
     acts = acts.otherwise(F.array(flat))
     keep = ["ord"] if with_ord else []
     x = df.select("project_name", *keep, F.posexplode_outer(acts).alias("_i", "a")).filter(F.col("_i").isNotNull())
-    # with_ord: a unique row order for later "last row wins" rules
-    extra = [(F.col("ord") * 8 + F.col("_i") + 1).alias("ord")] if with_ord else []
+    # with_ord: (record order, position in the record), for later "last row wins" rules
+    extra = [F.col("ord"), (F.col("_i") + 1).alias("pos")] if with_ord else []
     return x.select(*extra,
         F.col("project_name").alias("test_case_id"),
         F.concat(F.col("project_name"), F.lit("_iter_"), F.col("a.iter_num")).alias("action_id"),
@@ -127,7 +132,7 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     """A10: CSV (header), JSON lines or Parquet through Spark's writers."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        w.options(header="true", quoteAll="true", **CSV_TEXT).csv(path)
     elif fmt in ("json", "jsonl"):
         w.json(path)
     elif fmt == "parquet":
@@ -158,31 +163,38 @@ def read_trajectory_tree(spark: SparkSession, root: str) -> DataFrame:
     optional ``metadata.json`` beside it.  Returns one row per task:
     web_id, task_id (metadata values, else taken from the directory names),
     instruction ('' without metadata), final_result, trajectory, codes.
-    Unreadable documents are dropped by the scan (DROPMALFORMED)."""
-    msg_schema = "trajectory array<struct<role: string, content: string>>, codes array<string>, final_result string"
-    m = (spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").schema(msg_schema)
+    An unreadable document keeps its row: ``bad_document`` holds its raw text
+    (NULL otherwise), so that a job can count and divert it."""
+    msg_schema = ("trajectory array<struct<role: string, content: string>>, codes array<string>, final_result string, "
+                  "bad_document string")
+    m = (spark.read.option("multiLine", "true").option("mode", "PERMISSIVE")
+         .option("columnNameOfCorruptRecord", "bad_document").schema(msg_schema)
          .json(f"{root}/web_*/task_*/messages.json")
          .withColumn("_p", F.col("_metadata.file_path")))
     dir_re = r"/(web_[^/]+)/(task_[^/]+)/[^/]+$"
     m = m.select("*", F.regexp_extract("_p", dir_re, 1).alias("_web"), F.regexp_extract("_p", dir_re, 2).alias("_task"))
-    meta_schema = "web_id string, task_id string, instruction string"
+    meta_schema = "web_id string, task_id string, instruction string, bad_metadata string"
     try:
-        md = (spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED").schema(meta_schema)
+        md = (spark.read.option("multiLine", "true").option("mode", "PERMISSIVE")
+              .option("columnNameOfCorruptRecord", "bad_metadata").schema(meta_schema)
               .json(f"{root}/web_*/task_*/metadata.json")
               .withColumn("_p", F.col("_metadata.file_path")))
-        md = md.select(F.regexp_extract("_p", dir_re, 1).alias("_web"), F.regexp_extract("_p", dir_re, 2).alias("_task"),
+        md = md.select("bad_metadata", F.regexp_extract("_p", dir_re, 1).alias("_web"), F.regexp_extract("_p", dir_re, 2).alias("_task"),
                        F.col("web_id").alias("_mweb"), F.col("task_id").alias("_mtask"), F.col("instruction").alias("_mins"))
-    except Exception:  # noqa: BLE001 - no metadata file anywhere
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # no metadata file anywhere
+            raise
         md = None
     if md is not None:
         m = m.join(md, ["_web", "_task"], "left")
     else:
-        m = m.select("*", *[F.lit(None).cast("string").alias(c) for c in ("_mweb", "_mtask", "_mins")])
+        m = m.select("*", *[F.lit(None).cast("string").alias(c) for c in ("bad_metadata", "_mweb", "_mtask", "_mins")])
     return m.select(
         F.coalesce("_mweb", "_web").alias("web_id"),
         F.coalesce("_mtask", F.regexp_replace("_task", "^task_", "")).alias("task_id"),
         F.coalesce("_mins", F.lit("")).alias("instruction"),
-        F.coalesce("final_result", F.lit("UNKNOWN")).alias("final_result"), "trajectory", "codes")
+        F.coalesce("final_result", F.lit("UNKNOWN")).alias("final_result"), "trajectory", "codes",
+        "bad_document", "bad_metadata")
 
 
 def trajectory_turns(tree: DataFrame) -> DataFrame:

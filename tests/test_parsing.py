@@ -55,9 +55,10 @@ def test_reflection_rules(spark):
 def test_reflection_verdict_parity_and_strict(spark):
     s = ("######################## reflection_output:\n### Answer ###\nINCORRECT\n\n"
          "######################## reflection_output end")
-    df = spark.createDataFrame([(s,)], "content string")
-    r = df.select(TL.reflection_verdict("content").alias("a"), TL.reflection_verdict("content", strict=True).alias("b")).first()
-    assert r.a == 1 and r.b is None
+    logs = spark.createDataFrame([("p", "#### iter:1\n" + s)], "project_name string, text string")
+    assert TL.parse_iterations(logs).first().reflection == 1
+    r = spark.range(1).select(TL.reflection_of(F.lit("INCORRECT"), strict=True).alias("b")).first()
+    assert r.b is None
 
 
 def test_answer_validity(spark):

@@ -31,13 +31,13 @@ def test_load_table_dispatch(spark, tmp_path):
 
 
 def test_sinks_roundtrip(spark, tmp_path):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    rows = [(1, 'a "quoted" text,\nsecond line'), (2, "b"), (3, ""), (4, None)]
+    df = spark.createDataFrame(rows, "x int, y string")
     for fmt in ("csv", "jsonl", "parquet"):
-        out = str(tmp_path / fmt)
+        out = str(tmp_path / f"t.{fmt}")
         R.write_results(df, out, fmt)
-        back = spark.read.option("header", "true").csv(out) if fmt == "csv" else (
-            spark.read.json(out) if fmt == "jsonl" else spark.read.parquet(out))
-        assert back.count() == 2
+        back = {r.x: r.y for r in R.load_table(spark, out, "x int, y string").collect()}
+        assert {x: y or None for x, y in back.items()} == {x: y or None for x, y in rows}
     with pytest.raises(ValueError):
         R.write_results(df, str(tmp_path / "x"), "xlsx")
 
@@ -72,7 +72,8 @@ def test_trajectory_tree(spark, tmp_path):
     _write(f"{root}/web_3/task_7/messages.json", {**traj, "final_result": "FAILED"})
     _write(f"{root}/web_4/task_2/messages.json", "{not json")
     t = {(r.web_id, r.task_id): r for r in R.read_trajectory_tree(spark, root).collect()}
-    assert set(t) == {("web_0", "1"), ("web_3", "7")}
+    assert set(t) == {("web_0", "1"), ("web_3", "7"), ("web_4", "2")}
+    assert t[("web_4", "2")].bad_document == "{not json" and t[("web_0", "1")].bad_document is None
     assert t[("web_0", "1")].instruction == "do it" and t[("web_3", "7")].instruction == ""
     assert R.trajectory_turns(R.read_trajectory_tree(spark, root)).count() == 4
 
@@ -82,6 +83,6 @@ def test_read_logs_whole_text(spark, tmp_path):
     p.write_text("head\n#### iter:1\nx\n#### iter:2\ny\n")
     logs = TL.read_logs(spark, str(p))
     r = logs.first()
-    assert r.project_name == "proj_a" and r.text.startswith("head")
+    assert r.project_name.endswith("/proj_a.txt") and r.text.startswith("head")
     its = TL.log_iterations(logs).orderBy("seg").collect()
     assert [i.iter_num for i in its] == [1, 2]
