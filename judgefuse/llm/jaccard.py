@@ -6,11 +6,13 @@ into parts of about ``GROUP`` classes).  The matrix holds, per group, the union
 of its members' *prefix* tokens: two sets that reach the threshold share ``SHARED``
 tokens (or all they need, if fewer) among the rarest ``n - need + SHARED`` of
 each, in any order that all sets follow.
-Here the order is the frequency expected of a shingle from its words' document
-frequencies, then its hash; so shingles of frequent words, lines and passages
-come last.
+Here the order is the document frequency of a shingle's rarest word, then the
+frequency its words let expect, then its hash; so shingles of frequent words,
+lines and passages come last.  A class takes part only if so many of its prefix
+tokens are met in another class.
 
-Groups of fitting sizes that share so many matrix tokens are candidates.  The smaller one's members
+Groups of fitting sizes that share so many matrix tokens are candidates, if the
+counts of their tokens in ``PARTS`` parts of the hash space allow the overlap.  The smaller one's members
 become queries to the other: its whole token union bounds what any member can
 share with a query, and only groups that qualify are opened and compared
 exactly.  Tasks return a spanning forest of the links, never the pairs.
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from judgefuse.llm.common import Forest, WordHash, checkpoint, components, gram_hashes, small_side, text_bytes
@@ -28,6 +30,7 @@ from judgefuse.llm.common import Forest, WordHash, checkpoint, components, gram_
 GROUP = 128            # classes of a group, and queries that meet it in one task
 FREQUENT = 500_000     # words whose frequency the order knows: the bound of the broadcast table
 SHARED = 8             # matrix tokens that candidate groups share (fewer for tiny sets)
+PARTS = 32             # parts of the hash space whose token counts bound an overlap
 FLUSH = 400_000        # words a task counts before it passes the counts on
 
 
@@ -127,52 +130,59 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         words, docs_of = known.value
         hasher = WordHash()
         for batch in batches:
-            size, one, two, low, rare = [], [], [], [], []
+            size, one, two, low, rare, parts = [], [], [], [], [], []
             for t in text_bytes(batch.column(1)):
                 h = hasher.of(t.lower().split())
                 u, at = np.unique(gram_hashes(h, n), return_index=True)
                 size.append(len(u))
                 if not len(u):
-                    one.append(None), two.append(None), low.append(None), rare.append(None)
+                    one.append(None), two.append(None), low.append(None), rare.append(None), parts.append(None)
                     continue
                 f = np.zeros(len(h))
                 if len(words):
                     i = np.minimum(np.searchsorted(words, h), len(words) - 1)
                     f = np.where(words[i] == h, docs_of[i], 0)
-                weight = np.rint(16 * np.log2(1 + f)).astype(np.int64)
-                expected = sum(weight[at + k] for k in range(min(n, len(h))))
+                weight = np.rint(4 * np.log2(1 + f)).astype(np.int64)
+                around = [weight[at + k] for k in range(min(n, len(h)))]
+                least, expected = np.minimum.reduce(around), np.add.reduce(around)
                 p = len(u) - needed(len(u), percent) + SHARED
                 a, b = set_mark(u)
                 one.append(a), two.append(b), low.append(int(u[0].astype(np.int64)))
-                rare.append(u[np.lexsort((u, expected))[:p]].astype(np.int64))
+                rare.append(u[np.lexsort((u, expected, least))[:p]].astype(np.int64))
+                parts.append(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 pa.array(low, pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
-                names=["id", "n", "s1", "s2", "low", "rare"])
+                 pa.array(low, pa.int64()), pa.array(rare, pa.list_(pa.int64())),
+                 pa.array(parts, pa.list_(pa.int32()))],
+                names=["id", "n", "s1", "s2", "low", "rare", "parts"])
 
-    signed = checkpoint(docs.mapInArrow(sign, "id long, n long, s1 long, s2 long, low long, rare array<long>"))
+    signed = checkpoint(docs.mapInArrow(sign, "id long, n long, s1 long, s2 long, low long, rare array<long>, parts array<int>"))
     members = signed.select("id", "n", "s1", "s2")
     classes = checkpoint(signed.filter("s1 is not null and id is not null").groupBy("s1", "s2").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("rare").alias("rare")))
-    crowded = classes.groupBy("low").count().filter(F.col("count") > GROUP).select(
-        "low", F.ceil(F.col("count") / GROUP).alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))
-    grouped = classes.join(crowded, "low", "left").withColumn("gid", F.xxhash64("low", part))
-
-    matrix = (grouped.select("gid", F.explode("rare").alias("token")).repartition("token")
-              .dropDuplicates(["token", "gid"]))
-    several = matrix.groupBy("token").count().filter("count > 1").select("token")
-    shared = checkpoint(matrix.join(several, "token"))
-    near = (shared.select("token", F.col("gid").alias("g1")).join(shared.select("token", F.col("gid").alias("g2")), "token")
-            .filter("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("common")))
-    facts = grouped.groupBy("gid").agg(F.count("*").alias("m"), F.sum("n").alias("size"), F.min("n").alias("low"),
-                                       F.max("n").alias("high"))
-    f1, f2 = (facts.select(F.col("gid").alias(f"g{i}"), F.col("m").alias(f"m{i}"), F.col("size").alias(f"z{i}"),
-                           F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in (1, 2))
-    least = F.ceil(F.least("low1", "low2") * percent / 100)  # what the smallest members need to share
-    fits = ((F.col("common") >= F.least(F.lit(SHARED), least)) & (100 * F.col("high1") >= percent * F.col("low2"))
-            & (100 * F.col("high2") >= percent * F.col("low1")))
-    swap = (F.col("z1") > F.col("z2")) | ((F.col("z1") == F.col("z2")) & (F.col("g1") > F.col("g2")))
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "rare", "parts")]))
+    least = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))  # tokens that a partner's prefix shares
+    tokens = classes.select("rep", least.alias("least"), F.explode("rare").alias("token"))
+    shared = checkpoint(tokens.withColumn("in", F.count("*").over(Window.partitionBy("token"))).filter(F.col("in") > 1).drop("in"))
+    alive = shared.groupBy("rep", "least").count().filter(F.col("count") >= F.col("least")).select("rep")
+    kept = checkpoint(classes.drop("rare").join(alive, "rep"))
+    crowded = kept.groupBy("low").count().filter(F.col("count") > GROUP).select(
+        "low", F.ceil(F.col("count") / GROUP).alias("cuts"))
+    cut = F.pmod(F.xxhash64("rep"), F.coalesce("cuts", F.lit(1)))
+    grouped = checkpoint(kept.join(crowded, "low", "left").withColumn("gid", F.xxhash64("low", cut)).drop("cuts"))
+    facts = grouped.groupBy("gid").agg(
+        F.count("*").alias("m"), F.sum("n").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"),
+        F.array(*[F.max(F.col("parts")[k]) for k in range(PARTS)]).alias("parts"))
+    matrix = checkpoint(shared.join(grouped.select("rep", "gid"), "rep").groupBy("token", "gid").agg(F.min("least").alias("least")))
+    one, two = (matrix.select("token", F.col("gid").alias(f"g{i}"), F.col("least").alias(f"least{i}")) for i in (1, 2))
+    near = (one.join(two, "token").filter("g1 < g2").groupBy("g1", "g2").agg(
+        F.count("*").alias("common"), F.least(F.min("least1"), F.min("least2")).alias("least")).filter("common >= least"))
+    f1, f2 = (facts.select(*[F.col(c).alias(f"{c}{i}") for c in ("m", "size", "low", "high", "parts")], F.col("gid").alias(f"g{i}"))
+              for i in (1, 2))
+    # what two members share at most, and what the smallest two need: J >= t means overlap >= t (a + b) / (1 + t)
+    most = F.aggregate(F.zip_with("parts1", "parts2", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    fits = ((100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1"))
+            & ((100 + percent) * most >= percent * (F.col("low1") + F.col("low2"))))
+    swap = (F.col("size1") > F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("g1") > F.col("g2")))
     asks = checkpoint(near.join(f1, "g1").join(f2, "g2").filter(fits).select(
         F.when(swap, F.col("g2")).otherwise(F.col("g1")).alias("q"),
         F.when(swap, F.col("g1")).otherwise(F.col("g2")).alias("t"),
