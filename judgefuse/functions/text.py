@@ -166,8 +166,8 @@ CODE_CLICK_RE = r"pyautogui\.click\s*\(\s*" + _NUM + r"\s*,\s*" + _NUM
 
 
 def _int_of(s: Column) -> Column:
-    """float then truncate, as int(float(text))."""
-    return s.cast("double").cast("int")
+    """float then truncate, as int(float(text)); NULL beyond an int."""
+    return s.try_cast("double").try_cast("int")
 
 
 def parse_action(c) -> Column:

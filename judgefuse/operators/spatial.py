@@ -184,11 +184,3 @@ def nearest_element(clicks: DataFrame, elements: DataFrame, g: int = DEFAULT_CEL
                     by_area: bool = True) -> DataFrame:
     """the first element of F1 for every click."""
     return nearest_elements(clicks, elements, 1, g, by_area).drop("rank")
-
-
-def nest_sorted(df: DataFrame, key: list[str], order: list[str], fields: list[str], name: str) -> DataFrame:
-    """Nested output form (``sort_array(collect_list(struct))``) for sinks
-    that need one record per key; only for keys with bounded lists (e.g. a
-    click's top-k, a task's trajectory)."""
-    s = F.struct(*[F.col(c) for c in order + [f for f in fields if f not in order]])
-    return df.groupBy(*key).agg(F.sort_array(F.collect_list(s)).alias(name))

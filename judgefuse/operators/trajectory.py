@@ -1,10 +1,9 @@
 """Agent trajectories -> per-step evidence.
 
-Inputs are row tables, one row per message / screenshot / code line:
-  turns(task, turn, role, content), screenshots(task, shot_no, screen_id),
-  codes(task, code_no, code), tasks(task, web_id, task_id, final_result, instruction)
-Positions inside a task come from ``group_positions`` (no task is sent whole
-to one task slot), and pairing is an equi-join on (task, position).
+A trajectory is one document: trajectories(task, messages, screens, codes) with
+arrays in their order, as ``read_trajectory_tree`` reads them; tasks(task, web_id,
+task_id, final_result, instruction).  Positions are array positions, so pairing
+needs no shuffle.  Row tables (turns, codes) serve the single-field parsers.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from judgefuse.functions import text as TX
 from judgefuse.operators.ordering import group_positions
-from judgefuse.operators.steps import last_non_null
+from judgefuse.operators.tracelog import by_distance
 
 
 def parsed_turns(turns: DataFrame) -> DataFrame:
@@ -81,19 +80,36 @@ def tell_text(result: Column, evidence: Column) -> Column:
         result.alias("result"), evidence.alias("evidence")))), F.lit(")"))
 
 
-def positional_pairing(turns: DataFrame, screenshots: DataFrame, codes: DataFrame,
-                       compact: bool = True) -> DataFrame:
+def positional_pairing(trajectories: DataFrame, compact: bool = True) -> DataFrame:
     """Assistant message i <-> screenshot i (steps = min of both counts)
-    <-> code click i; coordinates from the action, else from the code."""
-    a = group_positions(parsed_turns(turns), ["task"], ["turn"], "pos")
-    s = group_positions(screenshots, ["task"], ["shot_no"], "pos")
-    steps = a.join(s.select("task", "pos", "screen_id"), ["task", "pos"])
-    steps = steps.join(code_clicks(codes, compact), ["task", "pos"], "left")
-    return steps.select(
-        "task", "pos", (F.col("pos") + 1).cast("int").alias("iter_num"), "screen_id", "thought", "action",
-        "action_type", "action_target",
-        F.coalesce(F.col("x"), F.col("code_x")).alias("click_x"),
-        F.coalesce(F.when(F.col("x").isNotNull(), F.col("y")), F.col("code_y")).alias("click_y"))
+    <-> code click i; coordinates from the action, else from the code.
+
+    ``compact`` (parity, Q14): code lines without a click are left out before
+    positions are given; otherwise line i belongs to message i."""
+    said = F.filter("messages", lambda m: m["role"] == "assistant")
+    clicks = F.transform("codes", TX.code_click)
+    if compact:
+        clicks = F.filter(clicks, lambda c: c.isNotNull())
+    t = trajectories.select("task", said.alias("_said"), "screens", clicks.alias("_clicks"))
+    n = F.least(F.coalesce(F.size("_said"), F.lit(0)), F.coalesce(F.size("screens"), F.lit(0)))  # NULL lists are empty
+    t = t.withColumn("_n", n).filter("_n > 0").withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    text, click = F.get("_said", F.col("pos"))["content"], F.get("_clicks", F.col("pos"))
+    t = t.select("task", F.col("pos").cast("long").alias("pos"), (F.col("_n") - 1).cast("long").alias("_last"),
+                 F.get("screens", F.col("pos")).alias("screen_id"), click.alias("_click"),
+                 TX.thought_of(text).alias("thought"), TX.action_of(text).alias("action"))
+    t = t.withColumn("_a", TX.parse_action(F.col("action")))
+    x = F.col("_a.x")
+    return t.select(
+        "task", "pos", "_last", (F.col("pos") + 1).cast("int").alias("iter_num"), "screen_id", "thought", "action",
+        F.col("_a.action_type").alias("action_type"), F.col("_a.action_target").alias("action_target"),
+        F.coalesce(x, F.col("_click.x")).alias("click_x"),
+        F.coalesce(F.when(x.isNotNull(), F.col("_a.y")), F.col("_click.y")).alias("click_y"))
+
+
+def screen_elements(elements: DataFrame) -> DataFrame:
+    """One row per screen: its elements as an array in list order (a screen is one capture)."""
+    fields = [c for c in elements.columns if c not in ("screen_id", "pos")]
+    return elements.groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("_els"))
 
 
 def natural_sort_keys(case: Column) -> tuple[Column, Column]:
@@ -105,33 +121,26 @@ def natural_sort_keys(case: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def trajectory_steps(turns: DataFrame, screenshots: DataFrame, codes: DataFrame, tasks: DataFrame,
-                     elements: DataFrame, compact: bool = True) -> DataFrame:
+def trajectory_steps(trajectories: DataFrame, tasks: DataFrame, elements: DataFrame, compact: bool = True,
+                     assume_hit: bool = False) -> DataFrame:
     """Per-step evidence records of every task.
 
-    Hit test with D7 (true containment, Q17) and nearest element by centre
-    distance with F2 (distance only, list position breaks ties); the last
-    step of a task carries the Tell record (B13) and the final result.
+    All elements of the click's screen are listed by centre distance (F1); the
+    first is the match (F2: distance only, list position breaks ties) and
+    accuracy is true containment (Q17), or always 1 with ``assume_hit``
+    (parity).  The last step of a task carries the Tell record (B13) and the
+    final result.  Joins: the task's row, and the screen's one row.
     """
-    from judgefuse.operators import spatial as SP
-    from judgefuse.session import checkpoint_dir
-    st = positional_pairing(turns, screenshots, codes, compact)
-    n = st.groupBy("task").agg(F.max("pos").alias("_last"))
-    # the paired steps feed the main chain and both spatial joins; written
-    # once so none of them re-plans the three positionings
-    checkpoint_dir(turns.sparkSession)
-    st = st.join(n, "task").join(tasks, "task", "left").checkpoint(eager=True)
-    st = st.withColumn("click_id", F.concat_ws(":", F.col("task").cast("string"), F.col("pos").cast("string")))
-    clicks = st.filter(F.col("click_x").isNotNull()).select(
-        "click_id", "screen_id", F.col("click_x").alias("cx"), F.col("click_y").alias("cy"))
-    near = SP.nearest_element(clicks, elements, by_area=False).select(
-        "click_id", F.col("el_id").alias("matched_element_id"))
-    hit = SP.point_in_box(clicks, elements).select("click_id", (F.col("n_matches") > 0).cast("int").alias("accuracy"))
-    st = st.join(near, "click_id", "left").join(hit, "click_id", "left")
+    st = positional_pairing(trajectories, compact).join(tasks, "task", "left")
+    st = st.join(screen_elements(elements), "screen_id", "left")
+    click = F.col("click_x").isNotNull() & F.col("click_y").isNotNull()
+    st = st.withColumn("_sorted", F.when(click & F.col("_els").isNotNull(), by_distance(
+        F.col("_els"), F.col("click_x"), F.col("click_y"), by_area=False))).drop("_els")
+    has = F.size("_sorted") > 0
+    hit = F.exists("_sorted", lambda e: e["is_inside"])
     last = F.col("pos") == F.col("_last")
     res, ev = tell_fields(F.col("final_result"), F.col("thought"), F.col("action"))
     content = F.when(last, tell_text(res, ev)).otherwise(F.when(F.col("action") != "", F.col("action")))
-    has = F.col("matched_element_id").isNotNull()
     return st.select(
         F.concat(F.col("web_id"), F.lit("_"), F.col("task_id")).alias("project_name"), "task", "iter_num",
         "click_x", "click_y",
@@ -139,9 +148,22 @@ def trajectory_steps(turns: DataFrame, screenshots: DataFrame, codes: DataFrame,
         "action_type", "action_target", content.alias("action_content"),
         F.when(last, res).alias("tell_result"), F.when(last, ev).alias("tell_evidence"),
         F.when(has, F.lit(1)).alias("coordinate_match"),
-        F.when(has, F.col("accuracy")).alias("accuracy"),
-        "matched_element_id",
-        F.when(last, F.col("final_result")).alias("final_result"))
+        F.when(has, F.lit(1) if assume_hit else hit.cast("int")).alias("accuracy"),
+        F.when(has, F.get("_sorted", F.lit(0))["el_id"]).alias("matched_element_id"),
+        F.when(last, F.col("final_result")).alias("final_result"),
+        F.when(has, F.col("_sorted")).alias("element_distance_sorting"))
+
+
+def nested_records(steps: DataFrame) -> DataFrame:
+    """One record per task: its steps in order, the final result and a summary
+    (a task's steps are one trajectory)."""
+    step = F.struct("iter_num", *[c for c in steps.columns if c not in ("project_name", "task", "iter_num", "final_result")])
+    return steps.groupBy("project_name").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("iter_num").alias("at"), step.alias("step")))).alias("_s"),
+        F.max("final_result").alias("final_result"),
+        F.struct(F.count(F.lit(1)).alias("total_iters"), F.count_if(F.col("coordinate_match") == 1).alias("coordinate_cases"),
+                 F.count_if(F.col("accuracy") == 1).alias("coordinate_hits")).alias("summary")) \
+        .select("project_name", F.transform("_s", lambda x: x["step"]).alias("results"), "final_result", "summary")
 
 
 def task_totals(steps: DataFrame) -> DataFrame:

@@ -279,6 +279,17 @@ def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cv.select(c.alias("task"), t.alias("code_no"), code.alias("code"))
 
 
+def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per conversation: messages, screens and code lines in order."""
+    def listed(df: DataFrame, order: str, value, name: str) -> DataFrame:
+        rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("at"), value.alias("v"))))
+        return df.groupBy("task").agg(F.transform(rows, lambda r: r["v"]).alias(name))
+    m = listed(turns(spark, sf_dir), "turn", F.struct("role", "content"), "messages")
+    s = listed(screenshots(spark, sf_dir), "shot_no", F.col("screen_id"), "screens")
+    c = listed(codes(spark, sf_dir), "code_no", F.col("code"), "codes")
+    return m.join(s, "task", "left").join(c, "task", "left")
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """task -> web_id, task_id, final_result, instruction (metadata missing for task % 5 = 0)."""
     cv = table(spark, sf_dir, "conversations").select("conv_id").distinct()

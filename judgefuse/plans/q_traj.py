@@ -172,7 +172,7 @@ def q_verdict_rows(spark, sf):
 @register("positional_pairing", ops="D6", sql=_BASE + GRAMMAR_SQL + CODES_SQL + """
 SELECT task, iter_num, screen_id, action_type, click_x, click_y FROM paired""")
 def q_positional_pairing(spark, sf):
-    return TR.positional_pairing(fx.turns(spark, sf), fx.screenshots(spark, sf), fx.codes(spark, sf)) \
+    return TR.positional_pairing(fx.trajectories(spark, sf)) \
         .select("task", "iter_num", "screen_id", "action_type", "click_x", "click_y")
 
 
@@ -187,6 +187,11 @@ near AS (
            row_number() OVER (PARTITION BY s.task, s.pos ORDER BY
              sqrt(pow(s.click_x - (e.x1 + e.x2) / 2.0, 2) + pow(s.click_y - (e.y1 + e.y2) / 2.0, 2)), e.pos, e.el_id) AS rn
     FROM st s JOIN el e ON e.screen_id = s.screen_id WHERE s.click_x IS NOT NULL) WHERE rn = 1),
+listed AS (
+  SELECT task, pos, string_agg(concat(el_id, ':', CAST(round(1000 * d) AS BIGINT)), '|' ORDER BY d, epos) AS sorting FROM (
+    SELECT s.task, s.pos, e.el_id, e.pos AS epos,
+           sqrt(pow(s.click_x - (e.x1 + e.x2) / 2.0, 2) + pow(s.click_y - (e.y1 + e.y2) / 2.0, 2)) AS d
+    FROM st s JOIN el e ON e.screen_id = s.screen_id WHERE s.click_x IS NOT NULL) GROUP BY task, pos),
 hit AS (
   SELECT s.task, s.pos, max(CASE WHEN e.x1 <= s.click_x AND s.click_x <= e.x2 AND e.y1 <= s.click_y AND s.click_y <= e.y2
                                  THEN 1 ELSE 0 END) AS accuracy
@@ -205,13 +210,15 @@ pipe AS (
          CASE WHEN n.el_id IS NOT NULL THEN 1 END AS coordinate_match,
          CASE WHEN n.el_id IS NOT NULL THEN h.accuracy END AS accuracy,
          n.el_id AS matched_element_id,
-         CASE WHEN is_last THEN final_result END AS final_result
-  FROM tell LEFT JOIN near n USING (task, pos) LEFT JOIN hit h USING (task, pos))"""
+         CASE WHEN is_last THEN final_result END AS final_result,
+         CASE WHEN is_last THEN concat('Tell ({{"0":{{"result":"', tres, '","evidence":', CAST(to_json(
+             CASE WHEN ev0 = '' THEN concat('Task completed with status: ', coalesce(final_result, '')) ELSE ev0 END) AS VARCHAR), '}}}})')
+              WHEN action <> '' THEN action END AS action_content, l.sorting
+  FROM tell LEFT JOIN near n USING (task, pos) LEFT JOIN hit h USING (task, pos) LEFT JOIN listed l USING (task, pos))"""
 
 
-def trajectory_steps(spark, sf):
-    return TR.trajectory_steps(fx.turns(spark, sf), fx.screenshots(spark, sf), fx.codes(spark, sf),
-                               fx.tasks(spark, sf), fx.elements(spark, sf))
+def trajectory_steps(spark, sf, **how):
+    return TR.trajectory_steps(fx.trajectories(spark, sf), fx.tasks(spark, sf), fx.elements(spark, sf), **how)
 
 
 @register("tell_format", ops="B13", sql=PIPE_SQL + """
@@ -223,7 +230,33 @@ def q_tell_format(spark, sf):
 
 @register("trajectory_pipeline", ops="H19", sql=PIPE_SQL + " SELECT * EXCLUDE (task) FROM pipe")
 def q_trajectory_pipeline(spark, sf):
-    return trajectory_steps(spark, sf).drop("task", "action_content")
+    listed = F.array_join(F.transform("element_distance_sorting", lambda e: F.concat_ws(
+        ":", e["el_id"].cast("string"), F.round(1000 * e["distance"]).cast("long").cast("string"))), "|")
+    return trajectory_steps(spark, sf).withColumn("sorting", listed).drop("task", "element_distance_sorting")
+
+
+@register("trajectory_assume_hit", ops="H19", sql=PIPE_SQL + """
+SELECT project_name, iter_num, CASE WHEN coordinate_match = 1 THEN 1 END AS accuracy FROM pipe""")
+def q_trajectory_assume_hit(spark, sf):
+    return trajectory_steps(spark, sf, assume_hit=True).select("project_name", "iter_num", "accuracy")
+
+
+@register("trajectory_records", ops="H19 E16", sql=PIPE_SQL + """
+SELECT project_name, string_agg(concat(iter_num, ':', coalesce(CAST(matched_element_id AS VARCHAR), '')), '|' ORDER BY iter_num) AS steps,
+       max(final_result) AS final_result, count(*) AS total_iters,
+       count(*) FILTER (WHERE coordinate_match = 1) AS coordinate_cases, count(*) FILTER (WHERE accuracy = 1) AS coordinate_hits
+FROM pipe GROUP BY project_name""")
+def q_trajectory_records(spark, sf):
+    told = F.array_join(F.transform("results", lambda r: F.concat(
+        r["iter_num"].cast("string"), F.lit(":"), F.coalesce(r["matched_element_id"].cast("string"), F.lit("")))), "|")
+    return TR.nested_records(trajectory_steps(spark, sf)).select("project_name", told.alias("steps"), "final_result", "summary.*")
+
+
+@register("run_totals", ops="E16", sql=PIPE_SQL + """
+SELECT count(DISTINCT project_name) AS n_tasks, count(*) AS n_iters,
+       count(*) FILTER (WHERE coordinate_match = 1) AS n_coordinate_cases FROM pipe""")
+def q_run_totals(spark, sf):
+    return TR.run_totals(TR.task_totals(trajectory_steps(spark, sf)))
 
 
 @register("task_totals", ops="E16", sql=PIPE_SQL + """
