@@ -6,7 +6,8 @@ centre, their quantile, then mean and covariance of the nearest share ``COVER``.
 Rows of small groups are judged by their language's estimate, and those of small
 languages by the estimate of all rows.  Every step is an aggregation that
 combines before its shuffle (means, covariances, quantile sketches), so a source
-with a third of all rows is no hot spot; parameters are joined as a table.
+with a third of all rows is no hot spot; parameters are joined as a table, which
+is broadcast while its row count allows and shuffled beyond.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgefuse.llm.common import checkpoint
+from judgefuse.llm.common import checkpoint, small_side
 
 COVER = 0.75          # share of a group that an estimate fits
 STEPS = 4
@@ -144,9 +145,9 @@ def estimates(rows: DataFrame) -> DataFrame:
                                     for i in range(n) for j in range(i + 1)]))
     for _ in range(STEPS):
         params = checkpoint(params)
-        near = with_distance(rows.join(params.drop("n"), "key"))
-        cut = near.groupBy("key").agg(F.percentile_approx("d2", COVER, 1000).alias("cut"))
-        kept = near.select("key", "d2", *STATS).join(cut, "key").filter("d2 <= cut")
+        near = with_distance(rows.join(small_side(params.drop("n")), "key"))
+        cut = checkpoint(near.groupBy("key").agg(F.percentile_approx("d2", COVER, 1000).alias("cut")))
+        kept = near.select("key", "d2", *STATS).join(small_side(cut), "key").filter("d2 <= cut")
         moments = kept.groupBy("key").agg(
             *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATS)],
             *[(F.covar_pop(STATS[i], STATS[j]) * F.lit(scale)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)])
@@ -169,12 +170,16 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     by_lang = F.concat(F.lit("l"), F.coalesce(F.col(lang), F.lit("\0")))
     keys = {"source": F.concat(by_lang, F.lit("\1"), F.coalesce(F.col(source), F.lit("\0"))), "lang": by_lang, "all": F.lit("*")}
     rows = (facts.filter("not base_failed").select(F.explode(F.array(*keys.values())).alias("key"), *STATS))
-    params = estimates(rows).filter((F.col("key") == "*") | (F.col("n") >= SMALL_GROUP))
-    judged = facts.withColumns({f"__{k}": c for k, c in keys.items()})
+    params = estimates(rows)
     names = [c for c in params.columns if c not in ("key", "n")]
-    for k in keys:
-        judged = judged.join(params.select(F.col("key").alias(f"__{k}"), F.struct(*names).alias(f"__p_{k}")), f"__{k}", "left")
-    best = F.coalesce("__p_source", "__p_lang", "__p_all")
+    whole = params.filter("key = '*'").first()  # one row of numbers
+    everyone = F.struct(*[F.lit(whole[c] if whole else None).cast("double").alias(c) for c in names])
+    judged = facts.withColumns({f"__{k}": c for k, c in keys.items() if k != "all"})
+    groups = small_side(checkpoint(params.filter((F.col("key") != "*") & (F.col("n") >= SMALL_GROUP))
+                                   .select("key", F.struct(*names).alias("p"))))
+    for k in ("source", "lang"):
+        judged = judged.join(groups.select(F.col("key").alias(f"__{k}"), F.col("p").alias(f"__p_{k}")), f"__{k}", "left")
+    best = F.coalesce(F.col("__p_source"), F.col("__p_lang"), everyone)
     judged = judged.withColumn("__p", best).select(*facts.columns, *[F.col("__p")[c].alias(c) for c in names])
     cut = chi2_quantile(1 - TAIL, len(STATS))
     return with_distance(judged, "distance").drop(*names, *STATS).withColumn(
