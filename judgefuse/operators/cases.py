@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from judgefuse.operators.model import (EPS, ChannelWeights, EMParams, agent_logit,
                                        softmax_eps, step_base_logits)
 from judgefuse.operators.steps import evidence_e, evidence_m, last_non_null
+from judgefuse.session import checkpoint_dir
 
+HOT_SHARE = 1000  # a case with more than this share of all steps is hot
 VARIANTS = (None, 0.0, 1.0)  # case verdict C: unknown, FAIL, PASS
 
 
@@ -29,14 +31,20 @@ def case_last_values(steps: DataFrame, cols=("agent", "delta", "phi")) -> DataFr
 def case_value_broadcast(steps: DataFrame, cols=("agent", "delta")) -> DataFrame:
     """Copy each case's last non-null value onto all of its steps.
 
-    Aggregate (partial, skew-proof) then equi-join back; AQE chooses
-    broadcast when the case table is small at runtime and splits skewed step
-    partitions otherwise.
+    The values are one partial aggregation.  Cases with more than one step in
+    ``HOT_SHARE`` are fewer than ``HOT_SHARE``, so their values are broadcast
+    whatever the size of the data; the steps of all other cases are joined by
+    key, where no key is hot.
     """
-    cv = case_last_values(steps, cols)
-    for c in cols:
-        cv = cv.withColumnRenamed(c, f"{c}_case")
-    return steps.join(cv, "test_case_id", "left")
+    cv = steps.groupBy("test_case_id").agg(
+        F.count(F.lit(1)).alias("_n"), *[last_non_null(c).alias(f"{c}_case") for c in cols])
+    checkpoint_dir(steps.sparkSession)
+    cv = cv.checkpoint()
+    limit = (cv.agg(F.sum("_n")).first()[0] or 0) / HOT_SHARE
+    hot, rest = cv.filter(F.col("_n") > limit).drop("_n"), cv.filter(F.col("_n") <= limit).drop("_n")
+    few = steps.join(F.broadcast(hot), "test_case_id")
+    many = steps.join(F.broadcast(hot.select("test_case_id")), "test_case_id", "left_anti").join(rest, "test_case_id", "left")
+    return few.unionByName(many)
 
 
 def _posterior_cols(params: EMParams, weights: ChannelWeights, c: float | None,

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgefuse.functions import text as TX
-from judgefuse.operators.spatial import CONTAINER_TYPES, DROPPED_TYPES, FUNCTIONAL_TYPES
+from judgefuse.operators.spatial import CONTAINER_TYPES, DROPPED_TYPES, FUNCTIONAL_TYPES, by_distance
 
 # Section markers and prompt-template markers of the log format.
 ITER_SPLIT = r"(?=#### iter:\d+)"
@@ -213,21 +213,6 @@ def cleaned_elements(elements: Column) -> Column:
         es, lambda a: ~a["control_type"].isin(*CONTAINER_TYPES) & ~F.exists(es, lambda b: holds(a, b)))))
 
 
-def by_distance(elements: Column, x: Column, y: Column, by_area: bool = True) -> Column:
-    """all elements of a screen by (centre distance, area if ``by_area``, list
-    position) from the click, each with its box and whether it contains the
-    click (edges count)."""
-    def entry(e: Column) -> Column:
-        mx, my = (e["x1"] + e["x2"]) / 2.0, (e["y1"] + e["y2"]) / 2.0
-        inside = (e["x1"] <= x) & (x <= e["x2"]) & (e["y1"] <= y) & (y <= e["y2"])
-        area = ((e["x2"] - e["x1"]).cast("long") * (e["y2"] - e["y1"])).alias("area")
-        pos = e["pos"].alias("pos")
-        return F.struct(F.sqrt(F.pow(x - mx, 2) + F.pow(y - my, 2)).alias("distance"), *((area, pos) if by_area else (pos, area)),
-                        e["el_id"].alias("el_id"), e["ui_name"].alias("ui_name"), e["control_type"].alias("control_type"),
-                        F.array(e["x1"], e["y1"], e["x2"], e["y2"]).alias("bbox"), inside.alias("is_inside"))
-    return F.sort_array(F.transform(elements, entry))
-
-
 def element_lines(iters: DataFrame) -> DataFrame:
     """One row per parsed element line of every block."""
     x = iters.select("project_name", "seg", "iter_num", F.explode(parsed_elements(F.col("info"))).alias("e"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from judgefuse.functions import text as TX
 from judgefuse.operators.ordering import group_positions
-from judgefuse.operators.tracelog import by_distance
+from judgefuse.operators.spatial import by_distance, screen_elements
 
 
 def parsed_turns(turns: DataFrame) -> DataFrame:
@@ -106,12 +106,6 @@ def positional_pairing(trajectories: DataFrame, compact: bool = True) -> DataFra
         F.coalesce(F.when(x.isNotNull(), F.col("_a.y")), F.col("_click.y")).alias("click_y"))
 
 
-def screen_elements(elements: DataFrame) -> DataFrame:
-    """One row per screen: its elements as an array in list order (a screen is one capture)."""
-    fields = [c for c in elements.columns if c not in ("screen_id", "pos")]
-    return elements.groupBy("screen_id").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("_els"))
-
-
 def natural_sort_keys(case: Column) -> tuple[Column, Column]:
     """(X, Y) of 'web_X_Y', (0, 0) when the name does not match."""
     pat = r"^web_(\d+)_(\d+)"

@@ -24,9 +24,6 @@ clk AS (
   FROM events WHERE event_type = 'click'),
 elf AS (SELECT * FROM el WHERE control_type <> 'Image')"""
 
-K = 5
-
-
 @register("element_filter", ops="C12", sql="WITH" + ELEMENTS_SQL + """
 SELECT screen_id, el_id, control_type, control_type IN ('Pane', 'Window', 'Document') AS is_container_type FROM elf""")
 def q_element_filter(spark, sf):
@@ -88,11 +85,11 @@ pairs AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY distance, area, pos, el_id) AS rank FROM pairs)"""
 
 
-@register("elements_by_distance", ops="F1", doubles=("distance",), sql=NEAR_SQL + f"""
-SELECT click_id, CAST(rank AS INTEGER) AS rank, el_id, distance, area, is_inside FROM r WHERE rank <= {K}""")
+@register("elements_by_distance", ops="F1", doubles=("distance",), sql=NEAR_SQL + """
+SELECT click_id, CAST(rank AS INTEGER) AS rank, el_id, distance, area, is_inside FROM r""")
 def q_elements_by_distance(spark, sf):
     e = SP.element_filter(fx.elements(spark, sf)).drop("is_container_type")
-    return SP.nearest_elements(fx.clicks(spark, sf), e, k=K)
+    return SP.nearest_elements(fx.clicks(spark, sf), e)
 
 
 @register("nearest_element", ops="F2", doubles=("distance",), sql=NEAR_SQL + """

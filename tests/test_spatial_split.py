@@ -29,14 +29,24 @@ def test_nearest_exact_against_brute_force(spark):
     cl = [(j, j % 4, rnd.randint(0, 1900), rnd.randint(0, 1070)) for j in range(200)]
     E = spark.createDataFrame(els, EL)
     Cdf = spark.createDataFrame(cl, "click_id long, screen_id int, cx int, cy int")
-    got = {(r.click_id, r.rank): r.el_id for r in SP.nearest_elements(Cdf, E, k=4, g=64).collect()}
+    got = {(r.click_id, r.rank): r.el_id for r in SP.nearest_elements(Cdf, E).collect()}
     for cid, sid, cx, cy in cl:
         cand = sorted((((cx - (e[4] + e[6]) / 2) ** 2 + (cy - (e[5] + e[7]) / 2) ** 2) ** 0.5,
                        (e[6] - e[4]) * (e[7] - e[5]), e[8], e[1]) for e in els if e[0] == sid)
-        for rank, c in enumerate(cand[:4], start=1):
+        for rank, c in enumerate(cand, start=1):
             assert got[(cid, rank)] == c[3]
 
 
+def test_any_box_touches_four_cells_at_most(spark):
+    els = spark.createDataFrame([(0, 1, "a", "Button", 3, 5, 200003, 200005, 0), (0, 2, "b", "Button", 0, 0, 5, 5, 1),
+                                 (0, 3, "c", "Text", 127, 127, 129, 255, 2)], EL)
+    cells = {r.el_id: r["count"] for r in SP.covered_cells(els, 128).groupBy("el_id").count().collect()}
+    assert max(cells.values()) <= 4
+    clicks = spark.createDataFrame([(1, 0, 150000, 190000), (2, 0, 128, 200), (3, 0, 0, 0)], "click_id long, screen_id int, cx int, cy int")
+    got = {r.click_id: (r.n_matches, r.el_id) for r in SP.point_in_box(clicks, els).collect()}
+    assert got == {1: (1, 1), 2: (2, 3), 3: (1, 2)}
+
+
 def test_container_rules(spark):
     els = spark.createDataFrame([
         (0, 1, "", "Group", 0, 0, 100, 100, 0),        # unnamed, contains 2 -> dropped
@@ -77,9 +87,8 @@ def test_split_exact_and_disjoint(spark):
     assert val == {c for _, c in order[: int(103 * 0.25)]}
 
 
-def test_split_threshold_refines_large_buckets(spark, monkeypatch):
+def test_split_threshold_refines_large_buckets(spark):
     import hashlib
-    monkeypatch.setattr(A, "RANK_LIMIT", 3)
     cases = [f"case{i}" for i in range(500)]
     df = spark.createDataFrame([(c, j) for c in cases for j in range(2)], "test_case_id string, k int")
     for ratio in (0.2, 0.5, 0.999):

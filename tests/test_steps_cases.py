@@ -174,3 +174,35 @@ def test_default_step_is_position_in_case(spark):
     df = spark.createDataFrame(rows, "test_case_id string, ord long, E1_gui double, E2_code double")
     got = {(r["test_case_id"], r["ord"]): r["step"] for r in S.prepare(df).collect()}
     assert got == {("a", 10): "0", ("a", 20): "1", ("a", 30): "2", ("b", 5): "0"}
+
+
+def test_case_value_reaches_hot_and_other_cases(spark):
+    from judgefuse.operators import cases as C
+    rows = [("hot", i, float(i % 2)) for i in range(3000)] + [(f"c{i // 2}", i, 1.0 if i % 2 else None) for i in range(5000)] + [(None, 1, 1.0)]
+    s = spark.createDataFrame(rows, "test_case_id string, ord long, agent double")
+    got = C.case_value_broadcast(s, ("agent",)).collect()
+    assert len(got) == len(rows)
+    assert {r.agent_case for r in got if r.test_case_id == "hot"} == {1.0}
+    assert {r.agent_case for r in got if r.test_case_id and r.test_case_id != "hot"} == {1.0}
+
+
+def test_null_weight_stays_null_and_padded_label(spark):
+    from judgefuse.functions import evidence as ev
+    df = spark.createDataFrame([(None, "\n agent x"), (20.0, "env"), (float("nan"), "1")], "w double, d string")
+    got = df.select(ev.clip_weight("w").alias("w"), ev.delta_label("d", df.schema["d"].dataType).alias("d")).collect()
+    assert [(r.w, r.d) for r in got] == [(None, 1.0), (10.0, 0.0), (None, None)]
+
+
+def test_metrics_without_ground_truth(spark):
+    from judgefuse.operators import metrics as M
+    cases = spark.createDataFrame([(None, 1.0, 1)], "human_gt int, agent_original double, corrected_label int")
+    assert M.accuracy(cases).first().acc_before is None and M.confusion(cases).first().accuracy is None
+
+
+def test_order_is_required(spark):
+    import pytest
+
+    from judgefuse.operators.steps import prepare
+    df = spark.createDataFrame([("a", 1.0, 1.0)], "test_case_id string, E1_gui double, E2_code double")
+    with pytest.raises(ValueError, match="order"):
+        prepare(df)
