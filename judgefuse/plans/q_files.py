@@ -28,11 +28,12 @@ c AS (SELECT d.*, g.j FROM d JOIN generate_series(0, 2) AS g(j) ON g.j < d.n
 
 @register("response_block", ops="B15", sql=RESP_SQL + """
 SELECT concat('proj_', doc_id) AS project_name, CAST(j AS INTEGER) AS case_idx, concat('case ', doc_id, '-', j) AS test_case,
-       concat('R', j) AS requirement_id, (doc_id + j) % 2 = 0 AS is_implemented, source AS evidence
+       concat('R', j) AS requirement_id, (doc_id + j) % 2 = 0 AS is_implemented, source AS evidence,
+       concat('src/f', (doc_id + j) % 5, '.js|src/main.js') AS files
 FROM c""")
 def q_response_block(spark, sf):
     acc, _ = CE.parse_responses(fx.responses(spark, sf))
-    return acc.drop("files")
+    return acc.withColumn("files", F.array_join("files", "|"))
 
 
 @register("response_rejects", ops="B15", sql="""
@@ -73,7 +74,7 @@ def q_manifest(spark, sf):
 
 
 @register("code_lookup", ops="B21", sql=_MANIFEST_SQL + """
-SELECT w.path, m.page_id, length(m.html) AS n_chars
+SELECT w.path, m.page_id, length(m.html) AS n_chars, md5(m.html) AS html_md5
 FROM (SELECT DISTINCT path FROM m WHERE page_id % 2 = 0
       UNION SELECT concat('missing/', page_id) FROM pages WHERE page_id % 5 = 0) w
 JOIN m USING (path)""")
@@ -82,7 +83,7 @@ def q_code_lookup(spark, sf):
     wanted = m.filter(F.col("page_id") % 2 == 0).select("path").unionByName(
         fx.table(spark, sf, "pages").filter(F.col("page_id") % 5 == 0)
         .select(F.concat(F.lit("missing/"), F.col("page_id")).alias("path"))).distinct()
-    return CE.code_lookup(wanted, m).select("path", "page_id", F.length("html").alias("n_chars"))
+    return CE.code_lookup(wanted, m).select("path", "page_id", F.length("html").alias("n_chars"), F.md5("html").alias("html_md5"))
 
 
 @register("train_pipeline", ops="H14", doubles=tuple(EM.PARAM_COLS), sql=EM_FIT_SQL)

@@ -36,10 +36,10 @@ cp AS (SELECT screen_id, el_id, ui_name, x1, y1, x2, y2, pos FROM el
        SELECT screen_id, -el_id, CASE WHEN ui_name = '' THEN p_name ELSE '' END, x1, y1, x2, y2, pos + 1 FROM el),
 r AS (SELECT *, row_number() OVER (PARTITION BY screen_id, x1, y1, x2, y2 ORDER BY ui_name = '', pos) AS rn,
              min(pos) OVER (PARTITION BY screen_id, x1, y1, x2, y2) AS first_pos FROM cp)
-SELECT screen_id, el_id, ui_name, first_pos AS pos FROM r WHERE rn = 1""")
+SELECT screen_id, el_id, ui_name, x1, y1, x2, y2, first_pos AS pos FROM r WHERE rn = 1""")
 def q_box_dedup(spark, sf):
     e = fx.elements_with_copies(spark, sf)
-    return SP.box_dedup(e).select("screen_id", "el_id", "ui_name", "pos")
+    return SP.box_dedup(e).select("screen_id", "el_id", "ui_name", "x1", "y1", "x2", "y2", "pos")
 
 
 @register("container_removal", ops="D8", sql="WITH" + ELEMENTS_SQL + """,

@@ -122,6 +122,8 @@ el AS (
 SELECT project_name, iter_num, concat('element_', idx) AS el_id,
   CASE idx WHEN 0 THEN concat('btn', iter_num) WHEN 4 THEN concat('label', iter_num) WHEN 7 THEN 'logo' WHEN 8 THEN 'extra0' WHEN 9 THEN 'extra1' WHEN 10 THEN 'extra2' ELSE '' END AS ui_name,
   CASE idx WHEN 0 THEN 'Button' WHEN 1 THEN 'Text' WHEN 3 THEN 'Pane' WHEN 4 THEN 'Text' WHEN 5 THEN 'Group' WHEN 7 THEN 'Image' ELSE 'Button' END AS control_type,
+  CAST(CASE WHEN idx < 2 THEN x WHEN idx = 3 THEN 960 WHEN idx < 6 THEN x + 90 ELSE 1 END AS INTEGER) AS cx,
+  CAST(CASE WHEN idx < 2 THEN y WHEN idx = 3 THEN 540 WHEN idx < 6 THEN y + 50 ELSE 1 END AS INTEGER) AS cy,
   CAST(CASE idx WHEN 0 THEN bx1 WHEN 1 THEN bx1 WHEN 3 THEN 0 WHEN 4 THEN x + 60 WHEN 5 THEN x + 55 WHEN 7 THEN 0 ELSE (idx - 8) * 10 + 12 END AS INTEGER) AS x1,
   CAST(CASE idx WHEN 0 THEN by1 WHEN 1 THEN by1 WHEN 3 THEN 0 WHEN 4 THEN y + 40 WHEN 5 THEN y + 35 WHEN 7 THEN 0 ELSE 1050 END AS INTEGER) AS y1,
   CAST(CASE idx WHEN 0 THEN bx2 WHEN 1 THEN bx2 WHEN 3 THEN 1920 WHEN 4 THEN x + 120 WHEN 5 THEN x + 130 WHEN 7 THEN 10 ELSE (idx - 8) * 10 + 17 END AS INTEGER) AS x2,
@@ -129,7 +131,7 @@ SELECT project_name, iter_num, concat('element_', idx) AS el_id,
 FROM el""")
 def q_element_lines(spark, sf):
     return TL.element_lines(_iters(spark, sf)).select("project_name", "iter_num", "el_id", "ui_name",
-                                                      "control_type", "x1", "y1", "x2", "y2")
+                                                      "control_type", "cx", "cy", "x1", "y1", "x2", "y2")
 
 
 @register("reflection_verdict", ops="B9", sql=PARAMS_SQL + " SELECT project_name, iter_num, reflection FROM own")

@@ -50,3 +50,22 @@ def test_elements_of_a_block(spark):
     df = spark.createDataFrame([("\n".join(lines),)], "info string")
     got = df.select(TL.cleaned_elements(TL.parsed_elements(df.info)).alias("e")).first().e
     assert [(e.el_id, e.pos) for e in got] == [("element_1", 0), ("element_5", 5)]
+
+
+def test_large_logs_are_split_by_block(spark, tmp_path):
+    history = "### History operations ###\nStep-2: Operation: told\nAction: a\nReflection_thought: r\n### Last Task List ###\n"
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        text = "head\n" + "".join(block(n, history=history if n == 40 else "") for n in range(1, 41))
+        (tmp_path / name / "same.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        blocks = TL.read_log_blocks(spark, str(tmp_path / "*"))
+        assert blocks.rdd.getNumPartitions() > 2
+        got = TL.trace_log_pipeline(blocks).drop("seg").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = TL.trace_log_pipeline(TL.read_logs(spark, str(tmp_path / "*"))).drop("seg").collect()
+    assert len(got) == 80 and sorted(map(str, got)) == sorted(map(str, want))
+    assert {r.operation_desc for r in got if r.iter_num == 2} == {"told"}
