@@ -101,6 +101,22 @@ def normalise(df: DataFrame, cols: StepCols = DEFAULT_COLS, thresh: float = 0.5)
     )
 
 
+def check_evidence(df: DataFrame, cols: StepCols = DEFAULT_COLS) -> None:
+    """Q3: evidence that is NULL or NaN counts as 0 on a masked channel only; on
+    an unmasked one, and for a weight, it is an error that lists the counts."""
+    gone = {}
+    for e, m in ((cols.gui, cols.m_gui), (cols.code, cols.m_code), (cols.noresp, cols.m_noresp)):
+        if ev.has_col(df, e):
+            seen = ev.mask(F.col(m) if ev.has_col(df, m) else None) == 0
+            gone[e] = F.count_if(ev.nan_to_null(e).isNull() & seen)
+    if ev.has_col(df, cols.weight):
+        gone[cols.weight] = F.count_if(ev.nan_to_null(cols.weight).isNull())
+    if gone:
+        got = df.agg(*[c.alias(k) for k, c in gone.items()]).first().asDict()
+        if any(got.values()):
+            raise ValueError("missing evidence: " + ", ".join(f"{k} in {n} rows" for k, n in got.items() if n))
+
+
 def prepare(df: DataFrame, cols: StepCols = DEFAULT_COLS, thresh: float = 0.5) -> DataFrame:
     return normalise(apply_defaults(df, cols), cols, thresh)
 

@@ -12,7 +12,7 @@ from judgefuse.operators import cases as C
 from judgefuse.operators import em as EM
 from judgefuse.operators import metrics as M
 from judgefuse.operators.model import RUN_WEIGHTS, ChannelWeights, EMParams
-from judgefuse.operators.steps import prepare
+from judgefuse.operators.steps import check_evidence, prepare
 from judgefuse.session import checkpoint_dir
 from judgefuse.sources.records import load_table, write_results
 
@@ -20,7 +20,9 @@ from judgefuse.sources.records import load_table, write_results
 def train(spark: SparkSession, data_path: str, out_dir: str,
           cfg: EM.EMConfig = EM.EMConfig(max_iter=500, tol=1e-4, weights=RUN_WEIGHTS, temp=0.8)) -> EM.EMResult:
     """Load -> defaults -> fit on all rows -> save params JSON."""
-    steps = prepare(load_table(spark, data_path))
+    raw = load_table(spark, data_path)
+    check_evidence(raw)
+    steps = prepare(raw)
     res = EM.fit(steps, cfg)
     EM.save_params(spark, res.params, f"{out_dir}/em_params")
     return res
@@ -41,7 +43,9 @@ def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_di
     """H15 with sinks: step posteriors, corrected cases (sorted by case, F4)
     and flip / confusion summaries."""
     params = EM.load_params(spark, params_path)
-    step_post, cases = predict(load_table(spark, data_path), params)
+    raw = load_table(spark, data_path)
+    check_evidence(raw)
+    step_post, cases = predict(raw, params)
     write_results(step_post, f"{out_dir}/pred_step", fmt)
     checkpoint_dir(spark)
     cases = cases.checkpoint()  # scored once for the three sinks

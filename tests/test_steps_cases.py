@@ -206,3 +206,25 @@ def test_order_is_required(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0)], "test_case_id string, E1_gui double, E2_code double")
     with pytest.raises(ValueError, match="order"):
         prepare(df)
+
+
+def test_missing_evidence_is_an_error_where_it_counts(spark):
+    import pytest
+
+    from judgefuse.operators.steps import check_evidence
+    cols = "test_case_id string, E1_gui double, M_gui int, E2_code double, M_code int, weight double"
+    check_evidence(spark.createDataFrame([("a", None, 1, 1.0, 0, 0.5)], cols))
+    with pytest.raises(ValueError, match="E2_code in 2 rows, weight in 1 rows"):
+        check_evidence(spark.createDataFrame([("a", None, 1, None, 0, 0.5), ("b", 1.0, 0, float("nan"), 0, None)], cols))
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    from judgefuse.plans import fixtures as fx
+    from judgefuse.plans import jobs
+    from judgefuse.sources.records import write_results
+    base = str(tmp_path)
+    write_results(fx.steps_raw(spark, "/root/testdata/sf0.001"), f"{base}/steps.parquet")
+    jobs.train(spark, f"{base}/steps.parquet", base)
+    cases = jobs.run_prediction(spark, f"{base}/steps.parquet", f"{base}/em_params", f"{base}/out", "parquet")
+    assert spark.read.parquet(f"{base}/out/pred_corrected_cases").count() == cases.count() > 0
+    assert spark.read.parquet(f"{base}/out/flip_summary").count() == 1
