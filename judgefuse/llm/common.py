@@ -110,14 +110,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node each node of an edge list can reach.
 
     Alternates large-star and small-star steps.  Both are joins and ``min``
-    aggregations (combined before the shuffle), so a hub never gathers its
-    neighbours in one task; every round is checkpointed.
+    aggregations that combine before the shuffle; a hub's share of a join is an
+    ordinary skewed partition, which Spark splits; every round is checkpointed.
     """
     e = checkpoint(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                    .filter("u <> v").distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join below shuffles both sides and a hub's part can be split
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
