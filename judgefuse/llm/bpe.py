@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from judgefuse.llm.common import text_bytes
 
-FLUSH_BYTES = 8 << 20   # texts per output batch
+FLUSH_BYTES = 4 << 20   # texts per output batch
 REMEMBER = 500_000      # pre-tokens remembered per task; then forgotten, never skipped
 MERGE_WORDS = 4096      # new pre-tokens that share one index: it stays in the processor's cache
 NEVER = 1 << 60         # the rank of a pair that no merge joins
@@ -74,7 +74,7 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """Without a decoder in its file the library joins token strings by a space."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 def merge_words(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
@@ -143,7 +143,7 @@ def merge_words(words: list[str], vocab: Vocabulary) -> list[np.ndarray]:
 
 
 class Encoder:
-    """Pre-tokens of texts, and for each met so far its ids (int32 bytes) and its token strings."""
+    """Pre-tokens of texts, and for each met so far its ids (int32 bytes)."""
 
     def __init__(self, vocab: Vocabulary):
         import regex
@@ -154,11 +154,9 @@ class Encoder:
         self.find_low = re.compile(low).findall
         self.split = re.compile("(" + "|".join(map(re.escape, vocab.special)) + ")").split if vocab.special else None
         self.ids: dict[str, bytes] = {}
-        self.said: dict[str, str] = {}
 
     def reset(self) -> None:
         self.ids = {t: np.int32(i).tobytes() for t, i in self.vocab.special.items()}
-        self.said = {t: t for t in self.vocab.special}
 
     def pretokens(self, text: str) -> list[str]:
         """NFC, lower case character by character (so no final sigma), then the
@@ -176,7 +174,7 @@ class Encoder:
         return self.find(text) if BEYOND_LOW.search(text) else self.find_low(text)
 
     def encode(self, texts: list[bytes]) -> list[list[str]]:
-        """Pre-tokens of each text; afterwards ``ids`` and ``said`` hold all of them."""
+        """Pre-tokens of each text; afterwards ``ids`` holds all of them."""
         rows = [self.pretokens(t.decode("utf-8", "replace")) for t in texts]
         if not self.ids or len(self.ids) > REMEMBER:
             self.reset()
@@ -184,12 +182,10 @@ class Encoder:
         for row in rows:
             new.update(row)
         new = [w for w in new if w not in self.ids]
-        names = self.vocab.names
         for low in range(0, len(new), MERGE_WORDS):
             part = new[low:low + MERGE_WORDS]
             for w, got in zip(part, merge_words(part, self.vocab)):
                 self.ids[w] = got.tobytes()
-                self.said[w] = " ".join([names[i] for i in got.tolist()])
         return rows
 
 
@@ -225,7 +221,8 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
                 ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(got), np.int32))
                 out_ids = pa.ListArray.from_arrays(pa.array(ends), values)
-                out_text = pa.array([" ".join(map(encoder.said.__getitem__, row)) for row in rows], pa.string())
+                out_text = pa.array([encoder.vocab.decode(np.frombuffer(g, np.int32).tolist()) for g in got], pa.string())
+                del rows
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns, out_ids, out_text], names=[*keep, ids, decoded])
                 low = high
