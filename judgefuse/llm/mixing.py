@@ -4,11 +4,14 @@ A naive Bayes classifier over binned statistics of a text learns from a labelled
 table the posterior of every *domain* (a source to be mixed).  Documents get
 nonnegative rates ``r`` that minimise ``sum_d (t_d - b_d)^2 / s_d`` where
 ``t_d = sum_i r_i tokens_i posterior_id`` are the expected domain totals, ``b_d``
-the targets and ``s_d`` the totals at rate one.  Projected gradient steps in the
-metric of the tokens (for which a step of one is safe) subtract one number per
-domain and clip at zero, so a rate is a fold over the steps so far: a document's
-bins decide it.  Each step is one aggregation over the distinct bin patterns,
-whose number the bins bound, whatever the size of the corpus.
+the targets and ``s_d`` the totals at rate one.  Gradient steps in the metric of the
+tokens (for which a step of one is safe) subtract one number per domain from the
+rates, which are then projected to zero or more; so a rate is a fold over the
+steps so far, and a document's bins decide it.  A round is one aggregation over
+the distinct bin patterns, whose number the bins bound: it gives the totals and,
+of the rows with a positive rate, the matrix by which a step moves them.  With
+that the driver takes up to ``INNER`` gradient steps on a few numbers before all
+rates move and are projected again.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ BINS = {
 }
 PATTERNS = {"german": "[äöüßÄÖÜ]", "french": "[éèêçàùœîâÉÈÊÇÀ]", "spanish": "[ñóíáúÑÓÍÁÚ]", "symbols": "[#*$%&|<>]",
             "capitals": "[A-ZÄÖÜÉÈÊÇÑ]"}
-STEPS, TOLERANCE = 80, 1e-4
+STEPS, INNER, TOLERANCE = 25, 200, 1e-4
 
 
 def with_bins(df: DataFrame, text: str = "text") -> DataFrame:
@@ -95,21 +98,43 @@ def fit(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: s
                        .withColumn("p", posterior))
     weight = sum(targets.values())
 
-    def totals(steps: list[list[float]]) -> list[float]:
-        r = rate(F.col("p"), steps)
-        got = cells.agg(*[F.sum(r * F.col("tokens") * F.col("p")[k]) for k in range(len(domains))]).first()
-        return [x or 0.0 for x in got]
+    size = len(domains)
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def measure(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        """Expected domain totals, and how a move of the rates changes them."""
+        r, p, t = F.col("r"), F.col("p"), F.col("tokens")
+        got = cells.withColumn("r", rate(p, steps)).agg(
+            *[F.sum(r * t * p[k]) for k in range(size)],
+            *[F.sum(F.when(r > 0, t * p[i] * p[j]).otherwise(0.0)) for i, j in pairs]).first()
+        numbers = [x or 0.0 for x in got]
+        gram = [[0.0] * size for _ in domains]
+        for (i, j), x in zip(pairs, numbers[size:]):
+            gram[i][j] = gram[j][i] = x
+        return numbers[:size], gram
 
     steps: list[list[float]] = []
-    base = now = totals(steps)
-    whole = sum(base)
+    base, gram = measure(steps)
+    now, whole = base, sum(base)
     goal = [whole * targets[d] / weight for d in domains]
     while whole and len(steps) < STEPS and max(abs(t - b) for t, b in zip(now, goal)) > TOLERANCE * whole:
-        steps.append([(t - b) / s if s > 0 else 0.0 for t, b, s in zip(now, goal, base)])
-        now = totals(steps)
+        steps.append(descend([t - b for t, b in zip(now, goal)], gram, base, TOLERANCE * whole / 4))
+        now, gram = measure(steps)
     return posterior, rate(posterior, steps)
 
 
+def descend(gap: list[float], gram: list[list[float]], base: list[float], small: float) -> list[float]:
+    """The sum of gradient steps from a gap (totals minus targets) until it is small."""
+    move = [0.0] * len(gap)
+    for _ in range(INNER):
+        if max(map(abs, gap)) <= small:
+            break
+        step = [g / s if s > 0 else 0.0 for g, s in zip(gap, base)]
+        move = [m + v for m, v in zip(move, step)]
+        gap = [g - sum(a * v for a, v in zip(row, step)) for g, row in zip(gap, gram)]
+    return move
+
+
 def copies(key: str, rate: str, seed: int = 11) -> Column:
     """The rate rounded at random, by a hash of the key, so that its mean is the rate."""
     u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

@@ -27,14 +27,16 @@ def test_targets_against_numpy(spark, make_docs):
     assert np.allclose(post.sum(1), 1) and (rate >= 0).all()
     want = tokens.sum() * np.array([1, 2, 3]) / 6
     assert np.abs((rate * tokens) @ post - want).max() <= 1e-3 * tokens.sum()
-    # the same projected steps by hand, one document at a time
+    # the same rounds by hand, one document at a time
     base = tokens @ post
     r = np.ones(len(tokens))
     for _ in range(mixing.STEPS):
         now = (r * tokens) @ post
         if np.abs(now - want).max() <= mixing.TOLERANCE * tokens.sum():
             break
-        r = np.maximum(0, r - post @ ((now - want) / base))
+        gram = (post * (tokens * (r > 0))[:, None]).T @ post
+        r = np.maximum(0, r - post @ np.array(mixing.descend(
+            list(now - want), gram.tolist(), list(base), mixing.TOLERANCE * tokens.sum() / 4)))
     assert np.allclose(r, rate)
     truth = {i: d for i, _, d, _ in rows}
     assert np.mean([truth[r.doc_id] == r.domain for r in out]) > 0.95
@@ -55,3 +57,19 @@ def test_copies_and_edges(spark, make_docs):
     assert mixing.mix(df.limit(0), known, targets).count() == 0
     plain = mixing.document_rates(df, known.limit(0), {"a": 1.0}).collect()
     assert all(abs(r.rate - 1) < 1e-9 for r in plain)
+
+
+def test_clipped_rates_reach_the_least_squares(spark, make_docs):
+    """A target of zero for the largest domain: its rates end at zero, none below."""
+    rows, labels = corpus()
+    targets = {"de": 1.0, "es": 1.0, "en": 0.0}
+    out = mixing.document_rates(make_docs(rows), spark.createDataFrame(labels, "doc_id long, domain string"), targets).collect()
+    tokens, post = np.array([r.n_tokens for r in out], float), np.array([r.posterior for r in out])
+    rate = np.array([r.rate for r in out])
+    want = tokens.sum() * np.array([0.5, 0.5, 0])
+    base = tokens @ post
+    loss = lambda r: ((((r * tokens) @ post - want) ** 2) / base).sum()
+    plain = np.ones(len(tokens))
+    for _ in range(3000):  # plain projected gradient
+        plain = np.maximum(0, plain - post @ (((plain * tokens) @ post - want) / base))
+    assert (rate >= 0).all() and loss(rate) <= loss(plain) + 1e-3 * tokens.sum()
