@@ -4,15 +4,14 @@ The reference appends per-task evidence records to JSONL files as they are
 produced.  Here the same case aggregation (E8) and threshold rule (H9) run
 unchanged on a streaming DataFrame: the per-case partial aggregates
 (last verdict, last label, products) live in the state store, each trigger
-emits the cases it touched (update mode), and ``foreachBatch`` appends them
-to shared storage with the batch id.  The latest row per case is the current
+emits the cases it touched (update mode), and ``foreachBatch`` writes them to
+shared storage in a folder of the batch id.  The latest row per case is the current
 answer (``upsert_latest``).  Restarting from the checkpoint resumes exactly.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,7 +47,8 @@ def start_case_scoring(spark: SparkSession, source_dir: str, sink_dir: str, chec
     cases = streaming_cases(raw, params)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        # a folder per batch: a batch that is replayed after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     w = cases.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(sink)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
