@@ -38,6 +38,7 @@ FURNITURE_WORDS = frozenset("""ad ads advert adverts advertisement advertising b
 comments commentlist consent cookie cookies disqus footer gdpr login masthead menu nav navbar navigation newsletter
 notice notices notification pager pagination popup promo promos promoted related replies respond share sharing
 sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200      # characters
@@ -61,21 +62,25 @@ class Block:
         self.label = ""
 
 
-def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
+FIRM, SOFT = 2, 1  # furniture whatever it holds; unless it turns out to hold the article
+
+
+def is_furniture(tag: str, attributes: str, inside: bool) -> int:
+    """``FIRM`` by tag, role or comment names, ``SOFT`` by other class names and ids, else 0."""
     if tag in FURNITURE or (tag == "header" and not inside):
-        return True
-    if not attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
+        return FIRM
+    found = 0
+    for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden":
-            return True
-        if name == "role":
-            if value in FURNITURE_ROLES:
-                return True
-        elif tag not in ("body", "html", "article", "main") and not FURNITURE_WORDS.isdisjoint(NAME_PART.findall(value)):
-            return True
-    return False
+        if name == "hidden" or name == "role" and value in FURNITURE_ROLES:
+            return FIRM
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            words = NAME_PART.findall(value)
+            if not COMMENT_WORDS.isdisjoint(words):
+                return FIRM
+            if tag != "article" and not FURNITURE_WORDS.isdisjoint(words):
+                found = SOFT
+    return found
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -83,7 +88,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements: tag, furniture, article body
+    stack: list[tuple[str, int, bool]] = []  # open elements: tag, furniture, article body
     links = skip_from = 0
     bad = inside = heading = False
 
@@ -147,8 +152,10 @@ def blocks_of(page: str) -> list[Block]:
             furniture = is_furniture(tag, attributes, any(x[2] for x in stack))
             if furniture:
                 close_block()
+            elif tag in ("article", "main"):  # a wrapper named after its sidebar is none
+                stack = [(t, f if f == FIRM else 0, a) for t, f, a in stack]
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, furniture, tag in ("article", "main")))
+                stack.append((tag, furniture, tag in ("article", "main") and not furniture))
         now_bad = any(x[1] for x in stack)
         now_inside = any(x[2] for x in stack)
         if now_bad != bad or now_inside != inside:

@@ -25,6 +25,13 @@ def test_broken_pages():
     assert main_text("<article><div><p>a</article>b") == "a"
 
 
+def test_wrappers_and_comment_articles():
+    page = (f"<body class='has-sidebar'><div class='content-sidebar-wrap'><article class=post><p>{LONG}</p></article>"
+            f"<div class='sidebar'><p>{LONG}</p></div></div><section id=comments><article class=comment><p>{LONG}</p></article>"
+            f"</section><aside><article><p>{LONG}</p></article></aside></body>")
+    assert main_text(page) == LONG.strip()
+
+
 def test_rows(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (3, "v", f"<article><p>{LONG * 200}</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'old' as TEXT")
