@@ -8,7 +8,8 @@ two good ones (or next to one, when no bad block is nearer on the other side).
 
 Blocks below page furniture (navigation, headers, footers, sidebars, forms,
 adverts, notices, comment threads, by tag, role or class/id) are bad from the
-start, and an ``<article>``/``<main>`` body votes for its blocks.
+start.  Where a page marks its body by ``<article>`` or ``<main>``, the blocks in
+it are good but for furniture and runs of short linked blocks (menus).
 
 Every page is handled on its own in ``mapInArrow``: no shuffle, memory bounded
 by one batch, and a lost executor costs only its tasks.
@@ -44,6 +45,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LENGTH_LOW, LENGTH_HIGH = 70, 200      # characters
 STOPS_LOW, STOPS_HIGH = 0.10, 0.20     # share of stop words
 LINKS_MAX = 0.3                        # share of characters inside links
+MENU_RUN = 3                           # so many short linked blocks in a row are a menu, even in an article
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
@@ -192,11 +194,19 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
         b.label = classify(b)
     article = any(b.inside and not b.bad for b in blocks)
     labels = [b.label for b in blocks]
-    for k, b in enumerate(blocks):
-        if article and not b.bad:  # the page marks its body
-            labels[k] = "good" if b.inside and (b.label != "bad" or len(b.text) >= LENGTH_LOW) else \
-                labels[k] if b.inside else "bad"
     n = len(blocks)
+    if article:  # the page marks its body: all of it but furniture and menus
+        menu = [not b.bad and b.inside and len(b.text) < LENGTH_LOW and b.linked > LINKS_MAX * len(b.text) for b in blocks]
+        k = 0
+        while k < n:
+            run = k
+            while run < n and menu[run]:
+                run += 1
+            listed = run - k >= MENU_RUN
+            for i in range(k, max(run, k + 1)):
+                b = blocks[i]
+                labels[i] = "bad" if b.bad or not b.inside or (menu[i] and listed) else "good"
+            k = max(run, k + 1)
     before: list[tuple[str, int]] = []
     last = ("edge", -1)
     for k in range(n):

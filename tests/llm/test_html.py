@@ -25,6 +25,12 @@ def test_broken_pages():
     assert main_text("<article><div><p>a</article>b") == "a"
 
 
+def test_links_and_menus_inside_an_article():
+    menu = "".join(f"<li><a href=/{k}>Entry {k}</a>" for k in range(5))
+    page = f"<article><p>{LONG}</p><p><a href=/x>One linked line</a></p><ul>{menu}</ul><p>{LONG}</p><p>© me</p></article><p>{LONG}</p>"
+    assert main_text(page) == "\n".join([LONG.strip(), "One linked line", LONG.strip(), "© me"])
+
+
 def test_wrappers_and_comment_articles():
     page = (f"<body class='has-sidebar'><div class='content-sidebar-wrap'><article class=post><p>{LONG}</p></article>"
             f"<div class='sidebar'><p>{LONG}</p></div></div><section id=comments><article class=comment><p>{LONG}</p></article>"
