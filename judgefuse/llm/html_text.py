@@ -9,7 +9,7 @@ two good ones (or next to one, when no bad block is nearer on the other side).
 Blocks below page furniture (navigation, headers, footers, sidebars, forms,
 adverts, notices, comment threads, by tag, role or class/id) are bad from the
 start.  Where a page marks its body by ``<article>`` or ``<main>``, the blocks in
-it are good but for furniture and runs of short linked blocks (menus).
+it are good but for furniture and runs of short linked list items (menus).
 
 Every page is handled on its own in ``mapInArrow``: no shuffle, memory bounded
 by one batch, and a lost executor costs only its tasks.
@@ -45,7 +45,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LENGTH_LOW, LENGTH_HIGH = 70, 200      # characters
 STOPS_LOW, STOPS_HIGH = 0.10, 0.20     # share of stop words
 LINKS_MAX = 0.3                        # share of characters inside links
-MENU_RUN = 3                           # so many short linked blocks in a row are a menu, even in an article
+MENU_RUN = 3                           # so many short linked list items in a row are a menu, even in an article
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
@@ -57,10 +57,10 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "inside", "heading", "label")
+    __slots__ = ("text", "linked", "bad", "inside", "heading", "item", "label")
 
-    def __init__(self, text: str, linked: int, bad: bool, inside: bool, heading: bool):
-        self.text, self.linked, self.bad, self.inside, self.heading = text, linked, bad, inside, heading
+    def __init__(self, text: str, linked: int, bad: bool, inside: bool, heading: bool, item: bool):
+        self.text, self.linked, self.bad, self.inside, self.heading, self.item = text, linked, bad, inside, heading, item
         self.label = ""
 
 
@@ -92,14 +92,14 @@ def blocks_of(page: str) -> list[Block]:
     linked = 0
     stack: list[tuple[str, int, bool]] = []  # open elements: tag, furniture, article body
     links = skip_from = 0
-    bad = inside = heading = False
+    bad = inside = heading = item = False
 
     def close_block() -> None:
         nonlocal linked, parts
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, linked, bad, inside, heading))
+                out.append(Block(text, linked, bad, inside, heading, item))
         parts, linked = [], 0
 
     at, n = 0, len(page)
@@ -164,6 +164,7 @@ def blocks_of(page: str) -> list[Block]:
             close_block()
         bad, inside = now_bad, now_inside
         heading = any(x[0] in HEADINGS for x in stack)
+        item = any(x[0] == "li" for x in stack)
     close_block()
     return out
 
@@ -196,7 +197,7 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
     labels = [b.label for b in blocks]
     n = len(blocks)
     if article:  # the page marks its body: all of it but furniture and menus
-        menu = [not b.bad and b.inside and len(b.text) < LENGTH_LOW and b.linked > LINKS_MAX * len(b.text) for b in blocks]
+        menu = [b.inside and b.item and len(b.text) < LENGTH_LOW and b.linked > LINKS_MAX * len(b.text) for b in blocks]
         k = 0
         while k < n:
             run = k
