@@ -17,8 +17,8 @@ from judgefuse.operators.spatial import CONTAINER_TYPES, DROPPED_TYPES, FUNCTION
 
 # Section markers and prompt-template markers of the log format.
 ITER_MARK = "#### iter:"
-ITER_SPLIT = r"(?=#### iter:\d+)"
-ITER_RE = r"^#### iter:(\d+)"
+ITER_SPLIT = r"#### iter:(?=\d)"
+ITER_RE = r"^(\d+)"
 HISTORY_RE = r"(?s)### History operations ###(.*?)(?=### Last Task List ###|$)"
 STEP_RE = r"(?s)Step-(\d+):(.*?)(?=Step-\d+:|$)"
 STEP_OPERATION_RE = r"(?s)Operation:\s*(.*?)(?=Action:|$)"
@@ -67,7 +67,8 @@ def _answer(refl: Column) -> Column:
 
 def _first_line(c: Column) -> Column:
     """ITER_RE is anchored and stays on one line, so it is matched on the
-    first line only instead of scanning the whole block."""
+    first line only instead of scanning the whole block (a block's text starts
+    behind its marker)."""
     return F.substring_index(c, "\n", 1)
 
 
@@ -91,7 +92,7 @@ def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         F.col("_metadata.file_path").alias("project_name"),
         F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("seg"),
-        F.concat(F.lit(ITER_MARK), F.col("value")).alias("content"))
+        F.col("value").alias("content"))
 
 
 # ---- B6 ---------------------------------------------------------------------------------------
@@ -115,9 +116,11 @@ def parse_iterations(logs: DataFrame) -> DataFrame:
     hist = F.try_element_at(F.regexp_extract_all(F.col("text"), F.lit(HISTORY_RE), 1), F.lit(-1))
     # split once; the optimizer keeps a non-cheap expression used twice
     # (size and transform) in its own projection instead of inlining it
-    x = logs.select("project_name", hist.alias("_hist"), F.split(F.col("text"), ITER_SPLIT).alias("_segs"))
+    x = logs.select("project_name", hist.alias("_hist"), F.split(F.col("text"), ITER_SPLIT).alias("_cut"))
+    # what stands before the first marker is no block
+    x = x.select("project_name", "_hist", F.slice("_cut", F.lit(2), F.size("_cut")).alias("_segs"))
     x = x.select("project_name", "_hist", F.size("_segs").alias("_n"),
-                 F.transform(F.transform("_segs", _cut_block), _block_fields).alias("_its"))
+                 F.transform(F.transform(F.transform("_segs", _cut_block), _read_block), _block_fields).alias("_its"))
     # inline_outer: a plain inline lets the optimizer infer a not-empty
     # filter that copies (and so re-runs) the whole parse expression
     x = x.select("project_name", "_hist", "_n", F.inline_outer("_its")).filter(F.col("iter_num").isNotNull())
@@ -129,10 +132,15 @@ def parse_iterations(logs: DataFrame) -> DataFrame:
 
 def parse_blocks(blocks: DataFrame) -> DataFrame:
     """``parse_iterations`` for single blocks.  A history section lies in one
-    block; the last one of a log goes to the log's last block."""
-    x = blocks.withColumn("_it", _block_fields(_cut_block(F.col("content"), F.col("seg")))).filter(F.col("_it.iter_num").isNotNull())
+    block; the last one of a log goes to the log's last block.  What stands
+    before a log's first marker is its first row and no block."""
+    one = F.array(F.struct(F.col("content").alias("c"), F.col("seg").alias("s")))
+    its = F.transform(F.transform(F.transform(one, lambda b: _cut_block(b["c"], b["s"])), _read_block), _block_fields)
     hist = F.try_element_at(F.regexp_extract_all("content", F.lit(HISTORY_RE), 1), F.lit(-1))
-    last = x.withColumn("_h", hist).groupBy("project_name").agg(
+    heads = blocks.groupBy("project_name").agg(F.min("seg").alias("seg"))
+    x = blocks.select("project_name", "seg", its.getItem(0).alias("_it"), hist.alias("_h"))  # the text ends here
+    x = x.filter(F.col("_it.iter_num").isNotNull()).join(heads, ["project_name", "seg"], "left_anti")
+    last = x.groupBy("project_name").agg(
         F.max("seg").alias("seg"), F.max_by("_h", F.when(F.col("_h").isNotNull(), F.col("seg"))).alias("_h"))
     last = last.select("project_name", "seg", F.coalesce(TX.strip_ws(F.col("_h")), F.lit("")).alias("history"))
     return x.select("project_name", "_it.*").join(last, ["project_name", "seg"], "left")
@@ -147,20 +155,28 @@ def _cut_block(blk: Column, i: Column) -> Column:
         _info_block(blk).alias("info"))
 
 
-def _block_fields(r: Column) -> Column:
-    """The parsed fields of one block from its cut sections (short strings)."""
+# Each stage is a ``transform`` of its own, so that every field is read once
+# however often the next stage uses it (a lambda's body has no common parts).
+def _read_block(r: Column) -> Column:
+    """The single fields of one block from its cut sections (short strings)."""
     out = r["out"]
-    op = _non_empty(TX.strip_ws(_section(out, "operation")))
+    op = TX.strip_ws(_section(out, "operation"))
     cx = _first(out, CLICK_RE, 1).try_cast("int")
     cy = _first(out, CLICK_RE, 2).try_cast("int")
     ans = TX.strip_ws(_answer(r["refl"]))
-    both = cx.isNotNull() & cy.isNotNull() & op.isNotNull()
+    return F.struct(r["seg"].alias("seg"), r["it"].alias("it"), ans.alias("ans"), op.alias("op"), cx.alias("cx"), cy.alias("cy"),
+                    TX.strip_ws(_section(out, "action")).alias("action"), r["rt"].alias("rt"), r["info"].alias("info"))
+
+
+def _block_fields(r: Column) -> Column:
+    """The record of one block."""
+    op = _non_empty(r["op"])
+    both = r["cx"].isNotNull() & r["cy"].isNotNull() & op.isNotNull()
     return F.struct(
         r["seg"].alias("seg"), F.when(r["it"] != "", r["it"].try_cast("int")).alias("iter_num"),
-        reflection_of(ans).alias("reflection"),
-        op.alias("operation"), _non_empty(TX.strip_ws(_section(out, "action"))).alias("action_content"),
-        r["rt"].alias("reflection_thought"),
-        F.when(both, cx).alias("click_x"), F.when(both, cy).alias("click_y"),
+        reflection_of(r["ans"]).alias("reflection"),
+        op.alias("operation"), _non_empty(r["action"]).alias("action_content"), r["rt"].alias("reflection_thought"),
+        F.when(both, r["cx"]).alias("click_x"), F.when(both, r["cy"]).alias("click_y"),
         F.when(both, op).alias("operation_desc"), r["info"].alias("info"))
 
 
@@ -218,6 +234,7 @@ def cleaned_elements(elements: Column) -> Column:
     element stays whatever it is."""
     kept = F.filter(elements, lambda e: ~e["control_type"].isin(*DROPPED_TYPES))
     box = lambda e: F.struct(e["x1"], e["y1"], e["x2"], e["y2"])
+    same = lambda e, b: (e["x1"] == b["x1"]) & (e["y1"] == b["y1"]) & (e["x2"] == b["x2"]) & (e["y2"] == b["y2"])
     named = lambda e: e["ui_name"] != ""
 
     def one(group: Column) -> Column:
@@ -225,7 +242,7 @@ def cleaned_elements(elements: Column) -> Column:
         return best.withField("pos", F.get(group, F.lit(0))["pos"])
 
     single = _let(kept, lambda es: F.transform(
-        F.array_distinct(F.transform(es, box)), lambda b: one(F.filter(es, lambda e: box(e) == b))))
+        F.array_distinct(F.transform(es, box)), lambda b: _let(F.filter(es, lambda e: same(e, b)), one)))
 
     def holds(a: Column, b: Column) -> Column:
         return ((a["el_id"] != b["el_id"]) & (a["x1"] <= b["x1"]) & (a["y1"] <= b["y1"]) & (a["x2"] >= b["x2"])
