@@ -120,23 +120,23 @@ def gt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_evidence_webdev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code evidence, layout A: web_id, task_id, label, code, code_review struct."""
     lb = table(spark, sf_dir, "labels")
-    dc = table(spark, sf_dir, "documents").select("doc_id", "source")
+    dc = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lb.join(dc, "doc_id").select(
         F.concat(F.lit("web_"), F.col("doc_id") % 50).alias("web_id"),
         F.col("doc_id").cast("string").alias("task_id"),
         (F.col("toxic") == 0).alias("label"),
         F.lit("<html/>").alias("code"),
         F.struct((F.col("quality") == 1).alias("is_implemented"),
-                 F.col("source").alias("evidence")).alias("code_review"))
+                 F.col("text").alias("evidence")).alias("code_review"))
 
 
 def code_evidence_realdev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code evidence, layout B: test_case_name, GT, Code_Result, Code_Evidence."""
     lb = table(spark, sf_dir, "labels")
-    dc = table(spark, sf_dir, "documents").select("doc_id", "source")
+    dc = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lb.join(dc, "doc_id").select(
         _case_name().alias("test_case_name"), (F.lit(1) - F.col("toxic")).alias("GT"),
-        F.col("quality").alias("Code_Result"), F.col("source").alias("Code_Evidence"))
+        F.col("quality").alias("Code_Result"), F.col("text").alias("Code_Evidence"))
 
 
 # Fixed phrases placed in Tell evidence and reflection texts of the fixtures.
@@ -391,8 +391,10 @@ def trace_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review response per document with 1-3 tagged test cases; doc_id % 7 = 0
     lacks the closing tag, doc_id % 11 = 0 carries invalid JSON (trailing comma)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     i = F.col("doc_id")
+    # the text as a JSON string: to_json of a one-field record without its braces
+    told = F.regexp_replace(F.to_json(F.struct(F.col("text").alias("t"))), r'(?s)^\{"t":|\}$', "")
     n = (i % 3 + 1).cast("int")
 
     def case(j):
@@ -401,7 +403,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.lit('", "related_requirement": "req", "requirement_id": "R'), _s(j),
                         F.lit('", "code_review": {"is_implemented": '),
                         F.when((i + j) % 2 == 0, F.lit("true")).otherwise(F.lit("false")),
-                        F.lit(', "evidence": "'), F.col("source"), F.lit('"}, "files": '), files, F.lit("}"))
+                        F.lit(', "evidence": '), told, F.lit('}, "files": '), files, F.lit("}"))
     body = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), case), ", ")
     body = F.when(i % 11 == 0, F.concat(body, F.lit(","))).otherwise(body)
     close = F.when(i % 7 == 0, F.lit("")).otherwise(F.lit("</RESPONSE>"))

@@ -55,15 +55,15 @@ def q_gt_lookup(spark, sf):
 
 
 _CODE_SQL = """
-WITH c AS (SELECT l.*, d.source FROM labels l JOIN documents d USING (doc_id))"""
+WITH c AS (SELECT l.*, d.text AS told FROM labels l JOIN documents d USING (doc_id))"""
 
 
 @register("code_evidence_norm", ops="A6", sql=_CODE_SQL + """
 SELECT concat('web_', doc_id % 50, '_', CAST(doc_id AS VARCHAR)) AS test_case_id,
-       CAST(quality = 1 AS INTEGER) AS code_evidence, source AS code_evidence_reason,
+       CAST(quality = 1 AS INTEGER) AS code_evidence, told AS code_evidence_reason,
        CAST(toxic = 0 AS INTEGER) AS label, 'webdevjudge' AS layout FROM c
 UNION ALL
-SELECT concat('web_', doc_id % 50, '_', doc_id), quality, source, 1 - toxic, 'realdevbench' FROM c""")
+SELECT concat('web_', doc_id % 50, '_', doc_id), quality, told, 1 - toxic, 'realdevbench' FROM c""")
 def q_code_evidence(spark, sf):
     a = R.code_evidence(fx.code_evidence_webdev(spark, sf), "webdevjudge").withColumn("layout", F.lit("webdevjudge"))
     b = R.code_evidence(fx.code_evidence_realdev(spark, sf), "realdevbench").withColumn("layout", F.lit("realdevbench"))

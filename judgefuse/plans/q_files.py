@@ -21,14 +21,14 @@ from judgefuse.session import shared_folder
 from judgefuse.sources.records import write_results
 
 RESP_SQL = """
-WITH d AS (SELECT doc_id, source, CAST(doc_id % 3 + 1 AS INTEGER) AS n FROM documents),
+WITH d AS (SELECT doc_id, text, CAST(doc_id % 3 + 1 AS INTEGER) AS n FROM documents),
 c AS (SELECT d.*, g.j FROM d JOIN generate_series(0, 2) AS g(j) ON g.j < d.n
       WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0)"""
 
 
 @register("response_block", ops="B15", sql=RESP_SQL + """
 SELECT concat('proj_', doc_id) AS project_name, CAST(j AS INTEGER) AS case_idx, concat('case ', doc_id, '-', j) AS test_case,
-       concat('R', j) AS requirement_id, (doc_id + j) % 2 = 0 AS is_implemented, source AS evidence,
+       concat('R', j) AS requirement_id, (doc_id + j) % 2 = 0 AS is_implemented, text AS evidence,
        concat('src/f', (doc_id + j) % 5, '.js|src/main.js') AS files
 FROM c""")
 def q_response_block(spark, sf):
