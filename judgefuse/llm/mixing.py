@@ -158,5 +158,7 @@ def mix(df: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: s
     Repeated rows draw alike; a null key draws as one key."""
     _, r = fit(df, labelled, targets, key, text)
     out = with_bins(df, text).withColumn("__rate", r).withColumn("__copies", copies(key, "__rate"))
-    return (out.filter("__copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-            .select(*df.columns))
+    # explode_outer and a filter on its result: a filter on the copies would be pushed
+    # below the projections and evaluate the whole classifier again, many times over
+    times = F.when(F.col("__copies") > 0, F.sequence(F.lit(1).cast("long"), F.col("__copies")))
+    return out.withColumn("__n", F.explode_outer(times)).filter("__n is not null").select(*df.columns)
