@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from judgefuse.llm.common import text_bytes
 
-FLUSH_BYTES = 4 << 20   # texts per output batch
-REMEMBER = 500_000      # pre-tokens remembered per task; then forgotten, never skipped
+FLUSH_BYTES = 2 << 20   # texts per output batch
+REMEMBER = 250_000      # pre-tokens remembered per task; then forgotten, never skipped
 MERGE_WORDS = 4096      # new pre-tokens that share one index: it stays in the processor's cache
 NEVER = 1 << 60         # the rank of a pair that no merge joins
 # The letters, numbers and spaces below U+0180, for the quick pattern.
@@ -198,6 +198,7 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
     gives an empty table; columns named like an output are replaced.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     with open(path, encoding="utf-8") as f:
         spec = df.sparkSession.sparkContext.broadcast(f.read())
@@ -206,26 +207,25 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
     schema = df.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
 
     def run(batches):
-        gc.disable()  # many small objects, no cycles
         encoder = Encoder(Vocabulary(json.loads(spec.value)))
-        for batch in batches:
-            raw = text_bytes(batch.column(place))
-            low = 0
-            while low < len(raw):
-                high, size = low, 0
-                while high < len(raw) and (size == 0 or size + len(raw[high]) <= FLUSH_BYTES):
-                    size += len(raw[high]) + 1
-                    high += 1
-                rows = encoder.encode(raw[low:high])
-                got = [b"".join(map(encoder.ids.__getitem__, row)) for row in rows]
-                ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(got), np.int32))
-                out_ids = pa.ListArray.from_arrays(pa.array(ends), values)
-                out_text = pa.array([encoder.vocab.decode(np.frombuffer(g, np.int32).tolist()) for g in got], pa.string())
-                del rows
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, out_ids, out_text], names=[*keep, ids, decoded])
-                low = high
+        gc.disable()  # many small objects, no cycles
+        try:
+            for batch in batches:
+                size = pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False)
+                low = 0
+                while low < len(size):
+                    high = max(low + 1, int(low + np.searchsorted(np.cumsum(size[low:]), FLUSH_BYTES)))
+                    part = batch.slice(low, high - low)
+                    low = high
+                    rows = encoder.encode(text_bytes(part.column(place)))
+                    got = [b"".join(map(encoder.ids.__getitem__, row)) for row in rows]
+                    del rows
+                    ends = np.cumsum([0, *(len(g) // 4 for g in got)]).astype(np.int32)
+                    out_ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), np.int32)))
+                    out_text = pa.array([encoder.vocab.decode(np.frombuffer(g, np.int32).tolist()) for g in got], pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, out_ids, out_text], names=[*keep, ids, decoded])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     return df.select(*keep).mapInArrow(run, schema)
 
