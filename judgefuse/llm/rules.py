@@ -3,6 +3,8 @@
 Per (language, source) a minimum-covariance-determinant estimate of the
 transformed statistics is found by concentration steps: distances to the current
 centre, their quantile, then mean and covariance of the nearest share ``COVER``.
+The steps go from three starts, each until the determinant falls no more; the
+estimate of the smallest determinant counts.
 Rows of small groups are judged by their language's estimate, and those of small
 languages by the estimate of all rows.  Every step is an aggregation that
 combines before its shuffle (means, covariances, quantile sketches), so a source
@@ -13,6 +15,7 @@ is broadcast while its row count allows and shuffled beyond.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +23,9 @@ from pyspark.sql import functions as F
 from judgefuse.llm.common import checkpoint, small_side
 
 COVER = 0.75          # share of a group that an estimate fits
-STEPS = 4
+SETTLED = 1e-4        # steps end where the logarithm of the determinant falls by less
 SMALL_GROUP = 200     # groups with fewer rows use the next wider estimate
-TAIL = 1e-9           # chance that a regular vector lies beyond the cut
+TAIL = 1e-3           # chance that a regular vector lies beyond the cut
 #: Smallest standard deviation that an estimate may claim for each statistic.
 FLOORS = {"x_words": 0.6, "x_length": 0.08, "x_symbols": 0.06, "x_dups": 0.12, "x_repeats": 0.12}
 STATS = list(FLOORS)
@@ -110,7 +113,7 @@ def chi2_quantile(p: float, k: int) -> float:
     return high
 
 
-def factor(cov: DataFrame) -> DataFrame:
+def factor(cov: DataFrame, *more: str) -> DataFrame:
     """Cholesky factor l_i_j of c_i_j, one column at a time (k rows per key, no UDF)."""
     n = len(STATS)
     for j in range(n):
@@ -121,7 +124,7 @@ def factor(cov: DataFrame) -> DataFrame:
                                                           F.lit(0.0))) / F.col(f"l_{j}_{j}") for i in range(j + 1, n)}
         if rest:
             cov = cov.withColumns(rest)
-    return cov.select("key", "n", *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i in range(n) for j in range(i + 1)])
+    return cov.select("key", "start", "n", *[f"m_{i}" for i in range(n)], *[f"l_{i}_{j}" for i in range(n) for j in range(i + 1)], *more)
 
 
 def with_distance(rows: DataFrame, name: str = "d2", prefix: str = "") -> DataFrame:
@@ -134,26 +137,60 @@ def with_distance(rows: DataFrame, name: str = "d2", prefix: str = "") -> DataFr
         .drop(*[f"__z{i}" for i in range(n)])
 
 
+def covariances(values: list[Column], scale: Column) -> list[Column]:
+    n = len(values)
+    return [(F.covar_pop(values[i], values[j]) * scale).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """(key, start, n, m_i, c_i_j): quartiles without correlations, plain moments, spatial signs about the median."""
+    n = len(STATS)
+    middle = checkpoint(rows.groupBy("key").agg(
+        F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in STATS]))
+    width = [F.greatest((F.col(f"q_{x}")[2] - F.col(f"q_{x}")[0]) / 1.349, F.lit(FLOORS[x])) for x in STATS]
+    middle = middle.select("key", "n", *[F.col(f"q_{x}")[1].alias(f"m_{i}") for i, x in enumerate(STATS)],
+                           *[width[i].alias(f"w_{i}") for i in range(n)])
+    centre = [f"m_{i}" for i in range(n)]
+    quartiles = middle.select("key", F.lit(0).alias("start"), "n", *centre, *[
+        (F.col(f"w_{i}") * F.col(f"w_{i}") if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)])
+    plain = rows.groupBy("key").agg(F.lit(1).alias("start"), F.count("*").alias("n"), *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATS)],
+                                    *covariances([F.col(x) for x in STATS], F.lit(1.0)))
+    z = [(F.col(x) - F.col(f"m_{i}")) / F.col(f"w_{i}") for i, x in enumerate(STATS)]
+    far = F.greatest(F.sqrt(sum((v * v for v in z), F.lit(0.0))), F.lit(1e-12))
+    about = rows.join(small_side(middle.drop("n")), "key").withColumn("__far", far)
+    signs = about.select("key", *[(v / F.col("__far")).alias(f"u_{i}") for i, v in enumerate(z)]).groupBy("key").agg(
+        *[(F.avg(F.col(f"u_{i}") * F.col(f"u_{j}")) * F.lit(float(n))).alias(f"s_{i}_{j}") for i in range(n) for j in range(i + 1)])
+    signs = signs.join(middle, "key").select("key", F.lit(2).alias("start"), "n", *centre, *[
+        (F.col(f"s_{i}_{j}") * F.col(f"w_{i}") * F.col(f"w_{j}")).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)])
+    return quartiles.unionByName(plain).unionByName(signs)
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """MCD per ``key`` of rows (key, statistics): n, m_i and the Cholesky factor of the scatter."""
     n = len(STATS)
     scale = COVER / chi2_cdf(chi2_quantile(COVER, n), n + 2)  # consistency at normal data
-    middle = rows.groupBy("key").agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in STATS])
-    spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(FLOORS[x])) for x in STATS]
-    params = factor(middle.select("key", "n", *[F.col(x)[1].alias(f"m_{i}") for i, x in enumerate(STATS)],
-                                  *[(spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
-                                    for i in range(n) for j in range(i + 1)]))
-    for _ in range(STEPS):
-        params = checkpoint(params)
-        near = with_distance(rows.join(small_side(params.drop("n")), "key"))
-        cut = checkpoint(near.groupBy("key").agg(F.percentile_approx("d2", COVER, 1000).alias("cut")))
-        kept = near.select("key", "d2", *STATS).join(small_side(cut), "key").filter("d2 <= cut")
-        moments = kept.groupBy("key").agg(
-            *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATS)],
-            *[(F.covar_pop(STATS[i], STATS[j]) * F.lit(scale)).alias(f"c_{i}_{j}") for i in range(n) for j in range(i + 1)])
-        floored = {f"c_{i}_{i}": F.greatest(F.col(f"c_{i}_{i}"), F.lit(FLOORS[x] ** 2)) for i, x in enumerate(STATS)}
-        params = factor(moments.withColumns(floored).join(params.select("key", "n"), "key"))
-    return checkpoint(params)
+    floored = {f"c_{i}_{i}": F.greatest(F.col(f"c_{i}_{i}"), F.lit(FLOORS[x] ** 2)) for i, x in enumerate(STATS)}
+    size = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(n)), F.lit(0.0)) * 2
+    moving = checkpoint(factor(starts(rows).withColumns(floored)).withColumn("det", F.lit(float("inf"))))
+    settled = []
+    while moving.limit(1).count():
+        before = moving.select("key", "start", F.struct(*moving.columns).alias("before"))
+        near = rows.join(small_side(moving.drop("n", "det")), "key")
+        cut = checkpoint(with_distance(near).groupBy("key", "start").agg(F.percentile_approx("d2", COVER, 10000).alias("cut")))
+        kept = with_distance(near).select("key", "start", "d2", *STATS).join(small_side(cut), ["key", "start"]).filter("d2 <= cut")
+        moments = kept.groupBy("key", "start").agg(*[F.avg(x).alias(f"m_{i}") for i, x in enumerate(STATS)],
+                                                   *covariances([F.col(x) for x in STATS], F.lit(scale)))
+        moments = moments.join(before, ["key", "start"]).withColumn("n", F.col("before.n"))
+        after = factor(moments.withColumns(floored), "before").withColumn("det", size)
+        after = checkpoint(after.withColumn("falls", F.col("before.det") - F.col("det") > SETTLED))
+        moving = after.filter("falls").drop("before", "falls")
+        settled.append(after.filter("not falls").select(F.when(F.col("det") <= F.col("before.det"), F.struct(*moving.columns))
+                                                        .otherwise(F.col("before")).alias("s")).select("s.*"))
+    if not settled:
+        return moving.drop("start", "det")
+    ends = reduce(DataFrame.unionByName, settled)
+    best = ends.groupBy("key").agg(F.min_by(F.struct(*ends.columns), F.struct("det", "start")).alias("s"))
+    return checkpoint(best.select("s.*").drop("start", "det"))
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -66,3 +66,40 @@ def test_estimate_against_numpy(spark):
 
 def test_chi2():
     assert abs(rules.chi2_cdf(11.0705, 5) - 0.95) < 1e-5 and abs(rules.chi2_quantile(0.99, 5) - 15.0863) < 1e-3
+
+
+def test_table_rows_are_outliers(spark, make_docs):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, rng.randint(60, 400)), "en", "a") for i in range(900)]
+    cell = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    table = [(2000 + i, "\n".join(" | ".join(cell() for _ in range(6)) for _ in range(rng.randint(10, 30))), "en", "a") for i in range(60)]
+    got = {r.doc_id: r for r in rules.judge(make_docs(rows + table)).collect()}
+    assert not any(got[i].kept for i, *_ in table)
+    assert sum(got[i].kept for i, *_ in rows) >= 880
+
+
+def test_fixed_point_of_smallest_determinant(spark):
+    rng = np.random.default_rng(8)
+    n, m = len(rules.STATS), 1200
+    x = rng.standard_normal((m, n)) * 2
+    x[:240] = rng.standard_normal((240, n)) * 0.5 + 7  # a dense fifth draws the plain moments
+    rows = spark.createDataFrame([("k", *map(float, r)) for r in x], "key string, " + ", ".join(f"{s} double" for s in rules.STATS))
+    p = rules.estimates(rows).first()
+    low = np.array([[p[f"l_{i}_{j}"] if j <= i else 0 for j in range(n)] for i in range(n)])
+    centre, cov = np.array([p[f"m_{i}"] for i in range(n)]), low @ low.T
+    scale = rules.COVER / rules.chi2_cdf(rules.chi2_quantile(rules.COVER, n), n + 2)
+
+    def step(c, v):
+        d = (np.linalg.solve(np.linalg.cholesky(v), (x - c).T) ** 2).sum(0)
+        near = x[np.argsort(d)[:int(rules.COVER * m)]]
+        return near.mean(0), np.cov(near.T, bias=True) * scale
+
+    c2, v2 = step(centre, cov)
+    assert np.abs(c2 - centre).max() < 0.02 and np.abs(v2 - cov).max() < 0.05  # one more step moves nothing
+    ends = []
+    for k in range(20):
+        c, v = x[rng.choice(m, 40, False)].mean(0), np.cov(x[rng.choice(m, 40, False)].T)
+        for _ in range(60):
+            c, v = step(c, v)
+        ends.append(np.linalg.slogdet(v)[1])
+    assert np.linalg.slogdet(cov)[1] <= min(ends) + 0.05
