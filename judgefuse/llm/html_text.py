@@ -57,14 +57,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "bad", "inside", "heading", "item", "label")
+    __slots__ = ("text", "linked", "bad", "inside", "heading", "item", "wrapper", "label")
 
-    def __init__(self, text: str, linked: int, bad: bool, inside: bool, heading: bool, item: bool):
+    def __init__(self, text: str, linked: int, bad: bool, inside: bool, heading: bool, item: bool, wrapper: int):
         self.text, self.linked, self.bad, self.inside, self.heading, self.item = text, linked, bad, inside, heading, item
-        self.label = ""
+        self.wrapper, self.label = wrapper, ""
 
 
-FIRM, SOFT = 2, 1  # furniture whatever it holds; unless it turns out to hold the article
+FIRM, SOFT = 2, 1  # furniture whatever it holds; unless the page has its body there (``unwrap``)
 
 
 def is_furniture(tag: str, attributes: str, inside: bool) -> int:
@@ -90,8 +90,8 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, int, bool]] = []  # open elements: tag, furniture, article body
-    links = skip_from = 0
+    stack: list[tuple[str, int, bool, int]] = []  # open elements: tag, furniture, article body, number
+    links = skip_from = wrapper = number = 0
     bad = inside = heading = item = False
 
     def close_block() -> None:
@@ -99,7 +99,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", "".join(parts)).strip()
             if text:
-                out.append(Block(text, linked, bad, inside, heading, item))
+                out.append(Block(text, linked, bad, inside, heading, item, wrapper))
         parts, linked = [], 0
 
     at, n = 0, len(page)
@@ -154,15 +154,15 @@ def blocks_of(page: str) -> list[Block]:
             furniture = is_furniture(tag, attributes, any(x[2] for x in stack))
             if furniture:
                 close_block()
-            elif tag in ("article", "main"):  # a wrapper named after its sidebar is none
-                stack = [(t, f if f == FIRM else 0, a) for t, f, a in stack]
             if not attributes.rstrip().endswith("/"):
-                stack.append((tag, furniture, tag in ("article", "main") and not furniture))
-        now_bad = any(x[1] for x in stack)
-        now_inside = any(x[2] for x in stack)
-        if now_bad != bad or now_inside != inside:
+                number += 1
+                stack.append((tag, furniture, tag in ("article", "main") and not furniture, number))
+        body = max((k for k, x in enumerate(stack) if x[2]), default=-1)
+        now_bad = any(f == FIRM or f == SOFT and k > body for k, (_, f, _, _) in enumerate(stack))
+        now_wrapper = next((x[3] for x in stack[:body + 1] if x[1] == SOFT), 0)  # outermost soft furniture around a body
+        if now_bad != bad or (body >= 0) != inside or now_wrapper != wrapper:
             close_block()
-        bad, inside = now_bad, now_inside
+        bad, inside, wrapper = now_bad, body >= 0, now_wrapper
         heading = any(x[0] in HEADINGS for x in stack)
         item = any(x[0] == "li" for x in stack)
     close_block()
@@ -189,8 +189,25 @@ def classify(b: Block) -> str:
     return "bad"
 
 
+def unwrap(blocks: list[Block]) -> None:
+    """Decide on bodies below furniture names: one counts if it holds most of the
+    page's text and no other body has a good block; the others are bad."""
+    held: dict[int, int] = {}
+    for b in blocks:
+        if b.wrapper and not b.bad:
+            held[b.wrapper] = held.get(b.wrapper, 0) + len(b.text)
+    if not held:
+        return
+    whole = sum(len(b.text) for b in blocks if not b.bad)
+    other = any(b.inside and not b.wrapper and classify(b) == "good" for b in blocks)
+    for b in blocks:
+        if b.wrapper and (other or 2 * held.get(b.wrapper, 0) <= whole):
+            b.bad = True
+
+
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """Pass 2: undecided blocks take the label of their nearest decided neighbours."""
+    unwrap(blocks)
     for b in blocks:
         b.label = classify(b)
     article = any(b.inside and not b.bad for b in blocks)

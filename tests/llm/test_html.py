@@ -45,3 +45,14 @@ def test_rows(spark):
     want = " ".join((LONG * 200).split())
     assert got == [(1, "", 0), (1, "", 0), (2, "", 0), (3, want, len(want))]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_teaser_articles_below_furniture_names():
+    teasers = "".join(f"<article><p>Teaser {k}: {LONG}</p></article>" for k in range(2))
+    for around in ("related", "sidebar"):
+        for body in (f"<article><p>{LONG * 4}</p></article>", f"<div><p>{LONG * 4}</p><p>{LONG * 4}</p></div>"):
+            page = f"<body>{body}<div class='{around}'>{teasers}</div></body>"
+            got = main_text(page)
+            assert "Teaser" not in got and LONG.strip() in got
+    nested = f"<article><p>{LONG}</p><div class=related><article><p>Teaser {LONG}</p></article></div></article>"
+    assert main_text(nested) == LONG.strip()
