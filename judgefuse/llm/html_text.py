@@ -8,8 +8,11 @@ two good ones (or next to one, when no bad block is nearer on the other side).
 
 Blocks below page furniture (navigation, headers, footers, sidebars, forms,
 adverts, notices, comment threads, by tag, role or class/id) are bad from the
-start.  Where a page marks its body by ``<article>`` or ``<main>``, the blocks in
-it are good but for furniture and runs of short linked list items (menus).
+start.  A mark (``<article>`` or ``<main>``) raises the prior of the blocks in it: few
+stop words still make a long one near-good, and a short or near-good one needs a good
+neighbour in the body no further off than a bad one.  The blocks outside are bad
+where the marked body holds at least as much good text, else both passes judge them too.
+Where no block holds a known stop word, length and links alone decide.
 
 Every page is handled on its own in ``mapInArrow``: no shuffle, memory bounded
 by one batch, and a lost executor costs only its tasks.
@@ -45,7 +48,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LENGTH_LOW, LENGTH_HIGH = 70, 200      # characters
 STOPS_LOW, STOPS_HIGH = 0.10, 0.20     # share of stop words
 LINKS_MAX = 0.3                        # share of characters inside links
-MENU_RUN = 3                           # so many short linked list items in a row are a menu, even in an article
+MENU_RUN = 3                           # so many short linked blocks in a row are a menu, even in an article
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|"
                    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
@@ -169,19 +172,20 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def classify(b: Block) -> str:
-    """Pass 1: what the block's own figures say."""
+def classify(b: Block, known: bool = True) -> str:
+    """Pass 1: what the block's own figures say; ``known``: the page's stop words are."""
     if b.bad:
         return "bad"
     size = len(b.text)
     if b.linked > LINKS_MAX * size:
-        return "bad"
+        return "short" if b.inside and size < LENGTH_LOW else "bad"
     if b.text[:1] == "©" or b.text[:6].lower() == "&copy;":
-        return "bad"
+        return "short" if b.inside else "bad"
     if size < LENGTH_LOW or b.heading:
         return "short"
-    words = LETTERS.findall(b.text.lower())
-    share = sum(w in STOPS for w in words) / max(1, len(words))
+    if not known:
+        return "good" if size > LENGTH_HIGH else "near"
+    share = stop_share(b)
     if share >= STOPS_HIGH:
         return "good" if size > LENGTH_HIGH or b.inside else "near"
     if share >= STOPS_LOW or b.inside:
@@ -189,6 +193,11 @@ def classify(b: Block) -> str:
     return "bad"
 
 
+def stop_share(b: Block) -> float:
+    words = LETTERS.findall(b.text.lower())
+    return sum(w in STOPS for w in words) / max(1, len(words))
+
+
 def unwrap(blocks: list[Block]) -> None:
     """Decide on bodies below furniture names: one counts if it holds most of the
     page's text and no other body has a good block; the others are bad."""
@@ -208,23 +217,29 @@ def unwrap(blocks: list[Block]) -> None:
 def main_blocks(blocks: list[Block]) -> list[Block]:
     """Pass 2: undecided blocks take the label of their nearest decided neighbours."""
     unwrap(blocks)
+    known = any(stop_share(b) >= STOPS_LOW for b in blocks if not b.bad and len(b.text) >= LENGTH_LOW)
     for b in blocks:
-        b.label = classify(b)
-    article = any(b.inside and not b.bad for b in blocks)
+        b.label = classify(b, known)
+    menu = [b.inside and b.label == "short" and b.linked > LINKS_MAX * len(b.text) for b in blocks]
+    k = 0
+    while k < len(blocks):
+        run = k
+        while run < len(blocks) and menu[run] and blocks[run].item == blocks[k].item:
+            run += 1
+        if run - k >= MENU_RUN:
+            for b in blocks[k:run]:
+                b.label = "bad"
+        k = max(run, k + 1)
+    body = [b for b in blocks if b.inside and not b.bad]
+    own = sum(len(b.text) for b in body if b.label != "bad")
+    if body and own >= sum(len(b.text) for b in blocks if not b.inside and b.label == "good"):
+        blocks = body  # its edges are edges; furniture and what lies around it are no neighbours
+    return inherit(blocks)
+
+
+def inherit(blocks: list[Block]) -> list[Block]:
     labels = [b.label for b in blocks]
     n = len(blocks)
-    if article:  # the page marks its body: all of it but furniture and menus
-        menu = [b.inside and b.item and len(b.text) < LENGTH_LOW and b.linked > LINKS_MAX * len(b.text) for b in blocks]
-        k = 0
-        while k < n:
-            run = k
-            while run < n and menu[run]:
-                run += 1
-            listed = run - k >= MENU_RUN
-            for i in range(k, max(run, k + 1)):
-                b = blocks[i]
-                labels[i] = "bad" if b.bad or not b.inside or (menu[i] and listed) else "good"
-            k = max(run, k + 1)
     before: list[tuple[str, int]] = []
     last = ("edge", -1)
     for k in range(n):
@@ -245,12 +260,13 @@ def main_blocks(blocks: list[Block]) -> list[Block]:
             (l, i), (r, j) = before[k], after[k]
             near = label == "near"
             if not any_good:
-                label = "good" if near or len(b.text) >= LENGTH_LOW else "bad"
+                label = "good" if near or b.inside or len(b.text) >= LENGTH_LOW else "bad"
             elif l == r == "good":
                 label = "good"
             elif "good" in (l, r):
                 towards = (k - i) <= (j - k) if l == "good" else (j - k) <= (k - i)
-                label = "good" if near or b.heading and r == "good" or towards and "edge" in (l, r) else "bad"
+                label = "good" if near or b.heading and r == "good" or (
+                    towards or "edge" in (l, r) if b.inside else towards and "edge" in (l, r)) else "bad"
             else:
                 label = "bad"
         if label == "good":

@@ -56,3 +56,21 @@ def test_teaser_articles_below_furniture_names():
             assert "Teaser" not in got and LONG.strip() in got
     nested = f"<article><p>{LONG}</p><div class=related><article><p>Teaser {LONG}</p></article></div></article>"
     assert main_text(nested) == LONG.strip()
+
+
+def test_passes_decide_inside_a_mark():
+    promo = "<div>" + "<a href=/x>Read the story that all the people of the town are talking about</a> " * 3 + "</div>"
+    links = "".join(f"<div><a href=/{k}>Story {k}</a></div>" for k in range(4))
+    page = f"<article><p>{LONG}</p><p>A short line.</p><p>{LONG}</p>{promo}<p>Share this</p>{links}</article>"
+    assert main_text(page) == "\n".join([LONG.strip(), "A short line.", LONG.strip()])
+
+
+def test_text_outside_a_small_mark():
+    page = f"<body><article><p>A teaser.</p></article><div>{LONG}</div><div>{LONG}</div></body>"
+    assert main_text(page).count(LONG.strip()) == 2
+
+
+def test_unknown_language():
+    text = "Talon ikkunat avautuvat merelle ja illalla valo lankeaa lattialle pitkinä raitoina kunnes aurinko laskee. " * 3
+    page = f"<body><div>{text}</div><div>Lyhyt rivi.</div><div>{text}</div><div><a href=/1>{text}</a></div></body>"
+    assert main_text(page) == "\n".join([text.strip(), "Lyhyt rivi.", text.strip()])
