@@ -65,6 +65,12 @@ def empty(*names: str) -> dict:
     return {n: np.zeros(0, np.int64) for n in names}
 
 
+def deal(src: DataFrame, key: str, text: str, blocks: int) -> DataFrame:
+    """``src`` with ``__block``, by id and text: rows that share an id, or have none, spread as well."""
+    place = F.struct(F.coalesce(F.col(key), F.lit(NO_KEY)), F.xxhash64(text))
+    return src.withColumn("__block", block_of(place, blocks)).repartition(blocks, "__block")
+
+
 def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
     """``df`` plus ``n_words``, ``n_removed``, ``removed`` (array of [from, to) word spans)
     and ``kept_text`` (the kept words joined by one space).
@@ -81,7 +87,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     keep = [c for c in df.columns if c.lower() not in (*made, "__block")]
     src = df.select(*keep)
     blocks = max(n_blocks(src, text, 10), 2 * df.sparkSession.sparkContext.defaultParallelism)
-    dealt = src.withColumn("__block", block_of(F.coalesce(F.col(key), F.lit(NO_KEY)), blocks)).repartition(blocks, "__block")
+    dealt = deal(src, key, text, blocks)
     by_block = dealt.groupBy("__block")
 
     def find_anchors(group: pa.Table) -> pa.Table:
@@ -162,7 +168,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         order = np.argsort(hashes)
         hashes = hashes[order]
         first_id, first_at = found.column("id").to_numpy()[order], found.column("start").to_numpy()[order]
-        passages: dict[tuple[int, int, int], tuple[int, int]] = {}
+        passages: dict[tuple[int, int, int, int], tuple[int, int]] = {}  # first id, first start, words, hash: ids may be shared
         holders = []
         for d, h in enumerate(block.hashes):
             if len(h) < window:
@@ -177,11 +183,12 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(fi) != 0) | (np.diff(fs) != 1)])
             for a, b in zip(new, np.r_[new[1:], len(at)]):
                 if (fi[a], fs[a]) != (block.ids[d], at[a]):  # not the first occurrence itself
-                    passages.setdefault((int(fi[a]), int(fs[a]), int(b - a) + window - 1), (d, int(at[a])))
+                    mark = hash(w[at[a:b]].tobytes())
+                    passages.setdefault((int(fi[a]), int(fs[a]), int(b - a) + window - 1, mark), (d, int(at[a])))
         if not passages:
             return None, None, []
         codes: dict[bytes, int] = {}
-        for (_, _, n), (d, s) in passages.items():
+        for (_, _, n, _), (d, s) in passages.items():
             for w in block.words[d][s:s + n]:
                 codes.setdefault(w, len(codes) + 1)
         digits = 1
@@ -196,7 +203,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             return out.tobytes().decode("utf-32-le")
 
         automaton = ahocorasick.Automaton()
-        for (fi, fs, n), (d, s) in passages.items():
+        for (fi, fs, n, _), (d, s) in passages.items():
             automaton.add_word(spell(block.words[d][s:s + n]), (fi, fs, n))
         automaton.make_automaton()
         return automaton, (spell, digits), holders

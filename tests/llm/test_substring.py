@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from judgefuse.llm.substring import drop_repeats
+from judgefuse.llm.substring import NO_KEY, deal, drop_repeats
 
 
 def brute(rows, window):
@@ -57,3 +57,12 @@ def test_edge_rows(spark, make_docs):
     assert got == [(-1, 0, 0), (5, 25, 0), (5, 25, 0), (6, 0, 0), (7, 2, 0), (8, 50, 50), (9, 80000, 79998)]
     assert "N_WORDS" not in out.columns and "n_words" in out.columns
     assert drop_repeats(df.limit(0)).count() == 0
+
+
+def test_rows_without_id_spread_over_blocks(spark, make_docs):
+    rows = [(None if i % 3 else 4, t) for i, (_, t) in enumerate(corpus(5, 20))]
+    dealt = deal(make_docs(rows), "doc_id", "text", 8).filter("doc_id is null")
+    assert dealt.groupBy("__block").count().count() > 4
+    got = sorted((NO_KEY if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_text)
+                 for r in drop_repeats(make_docs(rows)).collect())
+    assert got == brute([(NO_KEY if d is None else d, t) for d, t in rows], 20)
