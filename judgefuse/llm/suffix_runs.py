@@ -17,7 +17,7 @@ in the table.  Texts are dealt to blocks of about equal size.
    text streams the matching statistics of every position against all others.
    Positions whose match is ``window`` bytes or longer are marked.
 4. *Crowded* anchors (over ``CROWD`` different contexts) would not fit a shard:
-   their windows are counted one by one, by two hashes, in combinable sums.
+   their contexts are split by longer anchors, down to single windows if need be.
 5. The marks go back to the blocks, which cut their texts.
 """
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -251,6 +252,71 @@ class RunIndex:
 
 
 # ---- the jobs --------------------------------------------------------------------------------------
+def settle(strings: DataFrame, window: int, step: int | None = None) -> DataFrame:
+    """(anchor, ctx, from, to): places in a context whose ``window`` bytes also start in another
+    context of ``strings`` (anchor, ctx, at: the anchor's place, string, twice).  Contexts marked ``twice`` are left out.
+
+    Anchors with up to ``CROWD`` contexts go to shards, each with an index of its
+    own.  The contexts of the others are split into parts of ``step`` windows,
+    and what all windows of a part share is a longer anchor: equal parts
+    collapse, parts with an anchor of their own match nothing, and the rest is
+    settled in the same way, in the end with parts of a single window.
+    """
+    import pyarrow as pa
+
+    step = max(1, (window if step is None else step) // 8)
+    # written, so that a crowded anchor's part of the join can be split
+    crowds = checkpoint(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("anchor"))
+    few = strings.join(crowds, "anchor", "left_anti")
+    size = few.agg(F.sum(F.length("string"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD))
+
+    def index(group: pa.Table) -> pa.Table:
+        twice = group.column("twice").to_numpy()
+        s, low, high = RunIndex(group.column("string").to_pylist()).long_matches(window)
+        new = ~twice[s]                                  # the others are marked whole
+        s, low, high = s[new], low[new], high[new]
+        return pa.table({"anchor": group.column("anchor").to_numpy()[s], "ctx": group.column("ctx").to_numpy()[s],
+                         "from": pa.array(low.astype(np.int32)), "to": pa.array(high.astype(np.int32))})
+
+    found = (few.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+             .groupBy("shard").applyInArrow(index, "anchor long, ctx long, from int, to int"))
+    if not crowds.limit(1).count():
+        return found
+
+    def split(batches):
+        for batch in batches:
+            rows = []
+            for a, c, at, s, twice in zip(*(batch.column(n).to_pylist() for n in ("anchor", "ctx", "at", "string", "twice"))):
+                low, n = 0, len(s) - window + 1
+                while low < n:
+                    # windows whose distance to the anchor falls into one step, wherever the context begins
+                    place = (at - low) // step
+                    high = min(n, at - place * step + 1)
+                    shared = s[at - place * step:at - place * step - step + 1 + window]
+                    string = s[low:high + window - 1]
+                    core = xxhash.xxh3_64_intdigest(shared, seed=(a ^ place) & (1 << 64) - 1) - (1 << 63)
+                    rows.append((a, c, low, core, xxhash.xxh3_64_intdigest(string, seed=at - low) - (1 << 63), at - low, string, twice))
+                    low = high
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows) if rows else [()] * 8, (
+                pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()))],
+                names=["anchor", "ctx", "low", "core", "part", "at", "string", "twice"])
+
+    many = strings.join(crowds, "anchor", "left_semi")
+    parts = checkpoint(many.mapInArrow(
+        split, "anchor long, ctx long, low int, core long, part long, at int, string binary, twice boolean"))
+    kinds = checkpoint(parts.groupBy("core", "part").agg(
+        ((F.count(F.lit(1)) > 1) | F.bool_or("twice")).alias("twice"), F.min("string").alias("string"), F.min("at").alias("at")))
+    whole = kinds.filter("twice").select("core", "part", F.lit(0).alias("from"), (F.length("string") - window + 1).alias("to"))
+    if step > 1:  # a single window is all that its parts share
+        mixed = checkpoint(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"))
+        rest = kinds.join(mixed, "core", "left_semi").withColumnsRenamed({"core": "anchor", "part": "ctx"})
+        whole = whole.unionByName(settle(checkpoint(rest), window, step).withColumnsRenamed({"anchor": "core", "ctx": "part"}))
+    inside = parts.filter("not twice").join(checkpoint(whole), ["core", "part"])
+    return found.unionByName(inside.select("anchor", "ctx", (F.col("from") + F.col("low")).alias("from"),
+                                           (F.col("to") + F.col("low")).alias("to")))
+
+
 RANGES = "array<struct<from:int,to:int>>"
 
 
@@ -274,25 +340,27 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
     dealt = src.withColumn("__block", block_of(place, blocks)).repartition(blocks, "__block")
     by_block = dealt.groupBy("__block")
 
-    def report(group: pa.Table) -> pa.Table:
-        c = Contexts(Texts(group.column(text)), window)
-        _, i, n = np.unique(c.both(), return_index=True, return_counts=True)
-        return pa.table({"block": pa.array(np.full(len(i), group.column("__block")[0].as_py(), np.int32)),
-                         "anchor": c.anchor[i], "ctx": c.ctx[i], "n": pa.array(np.minimum(n, 2).astype(np.int32))})
+    def report(batches):
+        for batch in batches:
+            texts = Texts(pa.chunked_array([batch.column(1)]))
+            c = Contexts(texts, window)
+            row = np.searchsorted(texts.bounds, c.first, "right") - 1
+            block = batch.column(0).to_numpy()[row]
+            _, i, n = np.unique(mix(c.both() + block.astype(np.uint64)), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block[i], pa.int32()), pa.array(c.anchor[i]), pa.array(c.ctx[i]),
+                 pa.array(np.minimum(n, 2), pa.int32())], names=["block", "anchor", "ctx", "n"])
 
-    seen = checkpoint(by_block.applyInArrow(report, "block int, anchor long, ctx long, n int"))
+    # read where the texts lie: only hashes are moved here
+    seen = checkpoint(src.withColumn("__block", block_of(place, blocks)).select("__block", text)
+                      .mapInArrow(report, "block int, anchor long, ctx long, n int"))
     # An anchor with one context at one place is alone; with one context at several places all of them are copies.
     anchors = checkpoint(seen.groupBy("anchor").agg(F.sum("n").alias("total"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
                          .filter("total > 1").select("anchor", (F.col("low") == F.col("high")).alias("copies")))
     met = checkpoint(seen.join(anchors, "anchor"))
     kinds = checkpoint(met.filter("not copies").groupBy("anchor", "ctx").agg(
         (F.sum("n") > 1).alias("twice"), F.min("block").alias("block")))
-    # written, so that a crowded anchor's part of the join can be split
-    crowds = checkpoint(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).drop("n"))
-    asks = checkpoint(kinds.join(crowds.withColumn("crowded", F.lit(True)), "anchor", "left")
-                      .select("anchor", "ctx", "twice", "block", F.coalesce("crowded", F.lit(False)).alias("crowded")))
-
-    fetched = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("string", pa.binary()), ("twice", pa.bool_()), ("crowded", pa.bool_())])
+    fetched = pa.schema([("anchor", pa.int64()), ("ctx", pa.int64()), ("at", pa.int32()), ("string", pa.binary()), ("twice", pa.bool_())])
 
     def fetch(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         if not len(wanted):
@@ -302,45 +370,13 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         keys, i = np.unique(c.both(), return_index=True)
         i = i[np.searchsorted(keys, one_key(wanted.column("anchor").to_numpy(), wanted.column("ctx").to_numpy()))]
         strings = [texts.data[a:b].tobytes() for a, b in zip(c.first[i], c.stop[i])]
-        return pa.table([wanted.column("anchor"), wanted.column("ctx"), pa.array(strings, pa.binary()),
-                         wanted.column("twice"), wanted.column("crowded")], schema=fetched)
-
-    strings = checkpoint(by_block.cogroup(asks.groupBy("block")).applyInArrow(
-        fetch, "anchor long, ctx long, string binary, twice boolean, crowded boolean"))
-    size = strings.filter("not crowded").agg(F.sum(F.length("string"))).first()[0] or 0
-    shards = max(1, -(-size // SHARD))
-
-    def index(group: pa.Table) -> pa.Table:
-        twice = group.column("twice").to_numpy()
-        s, low, high = RunIndex(group.column("string").to_pylist()).long_matches(window)
-        new = ~twice[s]                                  # the others are marked whole
-        s, low, high = s[new], low[new], high[new]
-        return pa.table({"anchor": group.column("anchor").to_numpy()[s], "ctx": group.column("ctx").to_numpy()[s],
-                         "from": pa.array(low.astype(np.int32)), "to": pa.array(high.astype(np.int32))})
-
-    indexed = (strings.filter("not crowded").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-               .groupBy("shard").applyInArrow(index, "anchor long, ctx long, from int, to int"))
-
-    def windows(batches):
-        for batch in batches:
-            anchors_, ctxs, starts, one, two = [], [], [], [], []
-            for a, c, s, twice in zip(*(batch.column(n).to_pylist() for n in ("anchor", "ctx", "string", "twice"))):
-                raw = np.frombuffer(s, np.uint8)
-                h1, h2 = gram_hashes(BYTE[raw], window), gram_hashes(BYTE2[raw], window)
-                anchors_.append(np.full(len(h1), a)), ctxs.append(np.full(len(h1), c))
-                starts.append(np.where(twice, -1, np.arange(len(h1))))
-                one.append(h1.view(np.int64)), two.append(h2.view(np.int64))
-            cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cat(x), pa.int64()) for x in (anchors_, ctxs, starts, one, two)], names=["anchor", "ctx", "start", "one", "two"])
-
-    single = checkpoint(strings.filter("crowded").mapInArrow(windows, "anchor long, ctx long, start long, one long, two long"))
-    again = checkpoint(single.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    counted = single.filter("start >= 0").join(again, ["one", "two"]).select(
-        "anchor", "ctx", F.col("start").cast("int").alias("from"), (F.col("start") + 1).cast("int").alias("to"))
+        return pa.table([wanted.column("anchor"), wanted.column("ctx"), pa.array((c.pos - c.first)[i], pa.int32()), pa.array(strings, pa.binary()),
+                         wanted.column("twice")], schema=fetched)
 
+    strings = checkpoint(by_block.cogroup(kinds.groupBy("block")).applyInArrow(
+        fetch, "anchor long, ctx long, at int, string binary, twice boolean"))
     whole = kinds.filter("twice").select("anchor", "ctx", F.lit(0).alias("from"), F.lit(2 * window).alias("to"))
-    verdicts = checkpoint(whole.unionByName(indexed).unionByName(counted).groupBy("anchor", "ctx").agg(
+    verdicts = checkpoint(whole.unionByName(settle(strings, window)).groupBy("anchor", "ctx").agg(
         F.collect_list(F.struct("from", "to")).alias("ranges")))
     marks = (met.filter("not copies").join(verdicts, ["anchor", "ctx"]).select("block", "anchor", "ctx", "ranges")
              .unionByName(met.filter("copies").select(
