@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgefuse.llm import bpe, html_text, jaccard, mixing, perplexity, rules, substring, suffix_runs, toxicity, urls, vectors, whitening
+from judgefuse.llm import bpe, conversations, html_text, jaccard, mixing, perplexity, rules, substring, suffix_runs, toxicity, urls, vectors, whitening
 from judgefuse.llm.common import table
 
 
@@ -77,6 +77,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.report(conversations.damage(rows), rows)
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
@@ -87,6 +92,6 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_html_extraction, op2_quality_perplexity, op3_toxicity, op4_mixing, op5_quality_rules,
-    op6_embedding_near_dedup, op7_ngram_jaccard, op8_url_filter, op9_bpe, op10_substring_dedup, op12_embedding_whitening,
-    op13_suffix_dedup)}
+    op6_embedding_near_dedup, op7_ngram_jaccard, op8_url_filter, op9_bpe, op10_substring_dedup,
+    op11_conversation_repair, op12_embedding_whitening, op13_suffix_dedup)}
 ORACLE_SQL = {"op6_embedding_near_dedup": vectors.NEAR_VECTORS_SQL, "op8_url_filter": urls.URL_FILTER_SQL}
