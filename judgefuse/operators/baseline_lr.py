@@ -1,18 +1,19 @@
 """Logistic-regression baseline on case features.
 
-Features are one aggregation per case; scaling statistics, class weights and
-the optimiser's gradient sums are distributed aggregations over the case
-table (``pyspark.ml`` LBFGS).  Scoring is a column expression with the
-fitted numbers as literals.
+Features are one aggregation per case.  The fit takes Newton steps (iteratively
+reweighted least squares): cases with equal features and label are one weighted
+pattern, and a step needs one aggregation over the patterns, the gradient and
+the 12 x 12 Gram matrix.  Scoring is a column expression with the fitted numbers
+as literals.
 """
 
 from __future__ import annotations
 
 import json
-import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from judgefuse.operators.steps import last_non_null
@@ -39,17 +40,18 @@ class LRParams:
         return cls(**json.loads(text))
 
 
-def case_features(steps: DataFrame, agent: str = "agent", label: str = "phi") -> DataFrame:
+def case_features(steps: DataFrame, agent: str = "agent", label: str = "phi", extra: tuple[str, ...] = ()) -> DataFrame:
     """mean/max/sum of the binary channels, step count, last agent score
-    and last label per case; NULL features -> 0 (label stays NULL)."""
+    and last label per case; NULL features -> 0 (label stays NULL).  Columns of
+    ``extra`` are the same in all rows of a case (its split)."""
     aggs = []
     for c in CHANNELS:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"), F.sum(c).alias(f"{c}_sum")]
     out = steps.groupBy("test_case_id").agg(
         *aggs, F.count(F.lit(1)).cast("double").alias("step_count"),
-        last_non_null(agent).alias("agent_score"), last_non_null(label).alias("label"))
+        last_non_null(agent).alias("agent_score"), last_non_null(label).alias("label"), *[F.first(c).alias(c) for c in extra])
     return out.select("test_case_id", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in FEATURES],
-                      F.col("agent_score").alias("agent_raw"), "label")
+                      F.col("agent_score").alias("agent_raw"), "label", *extra)
 
 
 def class_balance(features: DataFrame) -> DataFrame:
@@ -92,42 +94,66 @@ def score(features: DataFrame, params: LRParams) -> DataFrame:
         (F.lit(1.0) - p1).alias("P_case_EnvFail"), p1.alias("P_case_AgentFail"))
 
 
-def fit(features: DataFrame, C: float = 1.0, max_iter: int = 1000, tol: float = 1e-6) -> LRParams:
+def fit(features: DataFrame, C: float = 1.0, max_iter: int = 50, tol: float = 1e-10) -> LRParams:
     """L2 logistic regression with balanced class weights on
-    standardised features.  sklearn minimises C·Σ wᵢ·lossᵢ + ½‖β‖²; Spark ML
-    minimises (1/Σw)·Σ wᵢ·lossᵢ + (λ/2)‖β‖², so λ = 1/(C·Σw) (Σw = n for
-    balanced weights).  Scaling uses the population std, as sklearn does.
-    Raises if the optimiser stops where the gradient is not small."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+    standardised features (population std): C·Σ wᵢ·lossᵢ + ½‖β‖² is minimised, the
+    intercept is free.
 
+    Newton steps, halved while the objective rises, until no coefficient moves
+    by ``tol``; raises if ``max_iter`` rounds do not get there, and if there are
+    not both classes.
+    """
     from judgefuse.session import checkpoint_dir
 
-    # the case table is aggregated from the steps once and cut from their
-    # lineage; the statistics below and every optimiser pass read it
+    # The labelled cases are reduced once to their distinct patterns; every round reads these.
     checkpoint_dir(features.sparkSession)
-    lab = features.filter(F.col("label").isNotNull()).checkpoint(eager=True)
-    # scaler statistics (E13) and class counts (E12) in one pass
-    st = lab.agg(*_scaler_aggs(), F.count(F.lit(1)).alias("_n"), F.count_if(F.col("label") == 1).alias("_n1")).first()
-    mean = [float(st[f"{f}__mean"]) for f in FEATURES]
-    scale = [float(st[f"{f}__scale"]) for f in FEATURES]
-    n, n1 = int(st["_n"]), int(st["_n1"])
-    # balanced weight n / (2 n_c); an absent class keeps weight 1
-    cw = {c: n / (2.0 * k) for c, k in ((1, n1), (0, n - n1)) if k > 0}
-    scaled = lab.select(*[((F.col(f) - F.lit(m)) / F.lit(s)).alias(f) for f, m, s in zip(FEATURES, mean, scale)],
-                        F.col("label").cast("double").alias("label"),
-                        F.when(F.col("label") == 1, F.lit(cw.get(1, 1.0))).otherwise(F.lit(cw.get(0, 1.0))).alias("w"))
-    vec = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(scaled)
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter,
-                            regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
-                            fitIntercept=True, tol=tol, family="binomial")
-    m = lr.fit(vec)
-    coef = [float(x) for x in m.coefficients.toArray()]
-    params = LRParams(dict(zip(FEATURES, coef)), float(m.intercept), mean, scale, C)
-    worst = max(abs(r) for r in optimality(lab, params).values())
-    if worst > 1e-3:
-        raise RuntimeError(f"the logistic fit did not converge: gradient {worst:.2e} per case")
-    return params
+    patterns = (features.filter(F.col("label").isNotNull())
+                .groupBy(*FEATURES, F.col("label").cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+                .checkpoint(eager=True))
+    first = patterns.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0.0)).alias("n1"),
+                         *[(F.sum(F.col(f) * F.col("n")) / F.sum("n")).alias(f) for f in FEATURES]).first()
+    n, n1 = first["n"] or 0.0, first["n1"]
+    if not 0 < n1 < n:
+        raise ValueError("the fit needs labelled cases of both classes")
+    mean = [float(first[f]) for f in FEATURES]
+    second = patterns.agg(*[(F.sum(F.col("n") * (F.col(f) - F.lit(m)) * (F.col(f) - F.lit(m))) / F.lit(n)).alias(f)
+                            for f, m in zip(FEATURES, mean)]).first()
+    scale = [float(second[f]) ** 0.5 or 1.0 for f in FEATURES]
+    beta = _newton(patterns, mean, scale, (n / (2.0 * (n - n1)), n / (2.0 * n1)), C, max_iter, tol)
+    return LRParams(dict(zip(FEATURES, beta[:-1].tolist())), float(beta[-1]), mean, scale, C)
+
+
+def _newton(patterns: DataFrame, mean: list[float], scale: list[float], weights: tuple[float, float],
+            C: float, max_iter: int, tol: float) -> np.ndarray:
+    """Coefficients (the intercept last).  A round is one aggregation: every pattern
+    gives its loss, its part of the gradient and its outer product by place, and
+    the parts of a place are summed before the shuffle."""
+    k = len(FEATURES) + 1
+    z = F.array(*[(F.col(f) - F.lit(m)) / F.lit(s) for f, m, s in zip(FEATURES, mean, scale)], F.lit(1.0))
+    w = F.col("n") * F.when(F.col("y") == 1, F.lit(weights[1])).otherwise(F.lit(weights[0]))
+    base = patterns.select(z.alias("z"), "y", w.alias("w"))
+    ridge = np.diag([1.0] * (k - 1) + [0.0])
+    beta, last, held = np.zeros(k), np.zeros(k), np.inf
+    for _ in range(max_iter):
+        b = "array(" + ", ".join(f"{float(v)!r}D" for v in beta) + ")"
+        rows = base.selectExpr("z", "y", "w", f"aggregate(zip_with(z, {b}, (a, b) -> a * b), 0D, (s, x) -> s + x) AS m")
+        rows = rows.selectExpr("z", "y", "w", "m", "1D / (1D + exp(-m)) AS p", "log1p(exp(-abs(m))) + greatest(m, 0D) - y * m AS loss")
+        rows = rows.selectExpr("z", "w * p * (1D - p) AS h", "w * (p - y) AS g", "w * loss AS l", "posexplode(z) AS (i, a)")
+        rows = rows.selectExpr("i", "a", "h", "g", "l", "posexplode(z) AS (j, b)").filter("i <= j")
+        gram, slope, loss = np.zeros((k, k)), np.zeros(k), 0.0
+        for r in rows.groupBy("i", "j").agg(F.expr("sum(h * a * b) AS h"), F.expr("sum(g * a) AS g"), F.expr("sum(l) AS l")).collect():
+            gram[r["i"], r["j"]] = gram[r["j"], r["i"]] = C * r["h"]
+            if r["i"] == r["j"]:
+                slope[r["i"]], loss = C * r["g"], C * r["l"]
+        value = loss + 0.5 * float(beta @ ridge @ beta)
+        if value > held * (1 + 1e-12):           # too far: halve the last step
+            beta = (beta + last) / 2
+            continue
+        step = np.linalg.solve(gram + ridge, slope + ridge @ beta)
+        last, held, beta = beta, value, beta - step
+        if np.abs(step).max() < tol:
+            return beta
+    raise RuntimeError(f"the logistic fit did not settle in {max_iter} rounds")
 
 
 def optimality(features: DataFrame, params: LRParams) -> dict[str, float]:
@@ -145,6 +171,15 @@ def optimality(features: DataFrame, params: LRParams) -> dict[str, float]:
     return out | {"intercept": params.C * sums["intercept"] / n}
 
 
+def save_params(spark: SparkSession, p: LRParams, path: str) -> None:
+    """One JSON document written through Spark (shared storage)."""
+    spark.createDataFrame([(p.to_json(),)], "params string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_params(spark: SparkSession, path: str) -> LRParams:
+    return LRParams.from_json(spark.read.text(path, wholetext=True).first()[0])
+
+
 def correct(scored: DataFrame, tau_agentfail: float = 0.75, tau_envfail: float = 0.75) -> DataFrame:
     """The threshold rule of H9 with one τ_env for both verdicts."""
     from judgefuse.operators.cases import correct_threshold

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from judgefuse.functions import evidence as ev
 
@@ -37,12 +38,36 @@ DEFAULT_COLS = StepCols()
 
 def with_ord(df: DataFrame, name: str = "ord") -> DataFrame:
     """The row order decides every "last value of a case"; an engine cannot
-    invent it over several files, so a table without one is refused."""
+    invent it over several files, so a table without one is refused, and one
+    of texts too (as text, 10 comes before 9)."""
     if not ev.has_col(df, name):
         raise ValueError(f"Missing column: {name} (the order of the rows)")
+    if isinstance(ev.col_type(df, name), T.StringType):
+        raise ValueError(f"Column {name} holds text; the order of the rows needs numbers or times")
     return df
 
 
+def check_order(df: DataFrame, cols: StepCols = DEFAULT_COLS) -> None:
+    """Q1: places of one case must differ; raises with the counts if some are shared or missing.
+
+    Rows are counted by a hash of (case, place), which combines before the
+    shuffle; only rows whose hash is shared are compared themselves.
+    """
+    from judgefuse.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    keys = df.select(F.col(cols.case).cast("string").alias("c"), F.col(cols.ord).alias("o"))
+    if ev.has_col(df, "pos"):
+        keys = df.select(F.col(cols.case).cast("string").alias("c"), F.struct(F.col(cols.ord), F.col("pos")).alias("o"))
+    hashed = keys.withColumn("h", F.xxhash64("c", "o"))
+    shared = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h").checkpoint()
+    ties = hashed.join(shared, "h", "left_semi").groupBy("c", "o").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    got = ties.agg(F.count(F.lit(1)).alias("places"), F.sum("k").alias("rows")).first()
+    gone = df.filter(F.col(cols.ord).isNull()).count()
+    if got["places"] or gone:
+        raise ValueError(f"the order of the rows is open: {got['rows'] or 0} rows share {got['places']} places of their case, "
+                         f"{gone} rows have none")
+
+
 def apply_defaults(df: DataFrame, cols: StepCols = DEFAULT_COLS, *,
                    require_case: bool = True, require_phi: bool = False) -> DataFrame:
     """Required evidence columns raise, optional ones get defaults."""
@@ -101,16 +126,22 @@ def normalise(df: DataFrame, cols: StepCols = DEFAULT_COLS, thresh: float = 0.5)
     )
 
 
-def check_evidence(df: DataFrame, cols: StepCols = DEFAULT_COLS) -> None:
+def check_evidence(df: DataFrame, cols: StepCols = DEFAULT_COLS, rejects: str | None = None) -> None:
     """Q3: evidence that is NULL or NaN counts as 0 on a masked channel only; on
-    an unmasked one, and for a weight, it is an error that lists the counts."""
+    an unmasked one, and for a weight, it is an error that lists the counts.
+    ``rejects`` names a column that is not NULL for rows that could not be read;
+    these are counted in the same pass and are an error too."""
     gone = {}
+    fine = F.lit(True)
+    if rejects:
+        fine = F.col(rejects).isNull()
+        gone["rows that cannot be read"] = F.count_if(~fine)
     for e, m in ((cols.gui, cols.m_gui), (cols.code, cols.m_code), (cols.noresp, cols.m_noresp)):
         if ev.has_col(df, e):
             seen = ev.mask(F.col(m) if ev.has_col(df, m) else None) == 0
-            gone[e] = F.count_if(ev.nan_to_null(e).isNull() & seen)
+            gone[e] = F.count_if(ev.nan_to_null(e).isNull() & seen & fine)
     if ev.has_col(df, cols.weight):
-        gone[cols.weight] = F.count_if(ev.nan_to_null(cols.weight).isNull())
+        gone[cols.weight] = F.count_if(ev.nan_to_null(cols.weight).isNull() & fine)
     if gone:
         got = df.agg(*[c.alias(k) for k, c in gone.items()]).first().asDict()
         if any(got.values()):

@@ -1,4 +1,4 @@
-"""Batch jobs (H14, H15, A10): training and prediction end to end.
+"""Batch jobs (H14, H15, H16, A10): training and prediction end to end.
 
 Paths are shared storage (the cluster's file system); params are one small
 JSON document written through Spark.
@@ -7,22 +7,38 @@ JSON document written through Spark.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from judgefuse.operators import assembly as A
+from judgefuse.operators import baseline_lr as LR
 from judgefuse.operators import cases as C
 from judgefuse.operators import em as EM
 from judgefuse.operators import metrics as M
 from judgefuse.operators.model import RUN_WEIGHTS, ChannelWeights, EMParams
-from judgefuse.operators.steps import check_evidence, prepare
+from judgefuse.operators.steps import apply_defaults, check_evidence, check_order, prepare
 from judgefuse.session import checkpoint_dir
-from judgefuse.sources.records import load_table, write_results
+from judgefuse.sources.records import BAD, good_rows, load_typed, reject_rows, write_results
+
+
+def load_steps(spark: SparkSession, path: str, rejects_path: str | None = None) -> DataFrame:
+    """A2 + Q1 + Q3 for a step table of any format: typed, with all evidence and an order without ties.
+
+    Rows that cannot be read are an error, or go to ``rejects_path`` as JSON.
+    """
+    loaded = load_typed(spark, path, "steps")
+    if rejects_path:
+        write_results(reject_rows(loaded), rejects_path, "json")
+    check_evidence(good_rows(loaded) if rejects_path else loaded, rejects=None if rejects_path else BAD)
+    steps = good_rows(loaded)
+    check_order(apply_defaults(steps))
+    return steps
 
 
 def train(spark: SparkSession, data_path: str, out_dir: str,
-          cfg: EM.EMConfig = EM.EMConfig(max_iter=500, tol=1e-4, weights=RUN_WEIGHTS, temp=0.8)) -> EM.EMResult:
+          cfg: EM.EMConfig = EM.EMConfig(max_iter=500, tol=1e-4, weights=RUN_WEIGHTS, temp=0.8),
+          rejects_path: str | None = None) -> EM.EMResult:
     """Load -> defaults -> fit on all rows -> save params JSON."""
-    raw = load_table(spark, data_path)
-    check_evidence(raw)
-    steps = prepare(raw)
+    steps = prepare(load_steps(spark, data_path, rejects_path))
     res = EM.fit(steps, cfg)
     EM.save_params(spark, res.params, f"{out_dir}/em_params")
     return res
@@ -39,13 +55,11 @@ def predict(raw_steps: DataFrame, params: EMParams, weights: ChannelWeights = RU
 
 
 def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_dir: str,
-                   fmt: str = "csv") -> DataFrame:
+                   fmt: str = "csv", rejects_path: str | None = None) -> DataFrame:
     """H15 with sinks: step posteriors, corrected cases (sorted by case, F4)
     and flip / confusion summaries."""
     params = EM.load_params(spark, params_path)
-    raw = load_table(spark, data_path)
-    check_evidence(raw)
-    step_post, cases = predict(raw, params)
+    step_post, cases = predict(load_steps(spark, data_path, rejects_path), params)
     write_results(step_post, f"{out_dir}/pred_step", fmt)
     checkpoint_dir(spark)
     cases = cases.checkpoint()  # scored once for the three sinks
@@ -53,3 +67,44 @@ def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_di
     write_results(M.flip_analysis(cases), f"{out_dir}/flip_summary", fmt)
     write_results(M.confusion(cases), f"{out_dir}/confusion", fmt)
     return cases
+
+
+# ---- H16: the logistic baseline ------------------------------------------------------------
+def lr_summary(corrected: DataFrame) -> DataFrame:
+    """E3, E4 and E7 of corrected cases in one row; cases without verdict or label are left out."""
+    v = corrected.filter(F.col("agent_original").isNotNull() & F.col("human_gt").isNotNull())
+    return M.accuracy(v).crossJoin(M.confusion(v)).crossJoin(M.flip_analysis(v))  # of one row each
+
+
+def train_lr(spark: SparkSession, data_path: str, out_dir: str, val_ratio: float = 0.2, seed: int = 42, reg: float = 1.0,
+             tau_agentfail: float = 0.75, tau_envfail: float = 0.75, fmt: str = "parquet",
+             rejects_path: str | None = None) -> LR.LRParams:
+    """Load -> split by case -> fit on train -> save params -> correct the validation cases -> sinks.
+
+    Writes ``lr_params`` (JSON), ``split_counts``, ``val_corrected_cases`` (with flip flags) and ``summary``.
+    """
+    checkpoint_dir(spark)
+    steps = A.grouped_split(prepare(load_steps(spark, data_path, rejects_path)), "test_case_id", val_ratio, seed)
+    features = LR.case_features(steps, extra=("split",)).checkpoint()   # steps are aggregated once for all that follows
+    params = LR.fit(features.filter("split = 'train'"), C=reg)
+    LR.save_params(spark, params, f"{out_dir}/lr_params")
+    write_results(features.groupBy("split").agg(F.count(F.lit(1)).alias("n_cases"), F.sum("step_count").cast("long").alias("n_rows")),
+                  f"{out_dir}/split_counts", fmt)
+    _lr_sinks(features.filter("split = 'val'"), params, out_dir, "val_corrected_cases", tau_agentfail, tau_envfail, fmt)
+    return params
+
+
+def run_lr_prediction(spark: SparkSession, data_path: str, params_path: str, out_dir: str, tau_agentfail: float = 0.75,
+                      tau_envfail: float = 0.75, fmt: str = "parquet", rejects_path: str | None = None) -> DataFrame:
+    """H12 + H13 with saved params: every case of a step table, corrected, with sinks."""
+    features = LR.case_features(prepare(load_steps(spark, data_path, rejects_path)))
+    return _lr_sinks(features, LR.load_params(spark, params_path), out_dir, "pred_corrected_cases", tau_agentfail, tau_envfail, fmt)
+
+
+def _lr_sinks(features: DataFrame, params: LR.LRParams, out_dir: str, name: str, tau_agentfail: float, tau_envfail: float,
+              fmt: str) -> DataFrame:
+    checkpoint_dir(features.sparkSession)
+    cases = M.flip_flags(LR.correct(LR.score(features, params), tau_agentfail, tau_envfail)).checkpoint()
+    write_results(cases.orderBy("case_id"), f"{out_dir}/{name}", fmt)
+    write_results(lr_summary(cases), f"{out_dir}/summary", fmt)
+    return cases

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pathlib import PurePath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,90 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError(f"Unsupported file: {path}")
 
 
+# ---- A2: typed tables ------------------------------------------------------------------
+#: Declared types of the known columns of a table, by its role; other columns stay as they are.
+ROLES = {
+    "steps": {
+        "test_case_id": "text", "ord": "whole", "step": "text", "phi": "whole", "is_reflection": "whole",
+        **dict.fromkeys(("E1_gui", "E2_code", "E3_reflect", "E4_noresp", "M_gui", "M_code", "M_reflect", "M_noresp", "weight",
+                         "agent_testcase_score", "agent_testcase_score_x"), "number"),
+        "delta_label": "label", "delta_label_updated": "label"},
+    "cases": {
+        "case_id": "text", "human_gt": "whole", "agent_original": "number", "P_case_EnvFail": "number",
+        "P_case_AgentFail": "number", "corrected_label": "whole", "action": "text"},
+    "predictions": {"case_name": "text", "os_agent_score": "whole", "evidence": "text"},
+    "ground_truth": {"web_id": "text", "task_id": "text", "label": "whole", "test_case_name": "text", "GT_value": "whole"},
+}
+# The texts that stand for a missing value in a CSV.
+MISSING = ["", "nan", "na", "n/a", "#n/a", "<na>", "null", "none"]
+BAD = "_bad_columns"
+
+
+def _typed(c: Column, kind: str) -> tuple[Column, Column | None]:
+    """(value, whether the text is there but is no such value)."""
+    raw = F.btrim(c, F.lit(" \t\n\r"))
+    low = F.lower(raw)
+    there = ~F.coalesce(low, F.lit("")).isin(*MISSING)
+    number = F.when(there, F.when(low.isin("true", "false"), (low == "true").cast("double")).otherwise(raw.try_cast("double")))
+    if kind == "number":
+        return number, there & number.isNull()
+    if kind == "whole":
+        # exact for every long; "1.0" is a whole number too
+        near = F.when((number == F.floor(number)) & (F.abs(number) < 2.0 ** 53), number.cast("long"))
+        value = F.when(there, F.coalesce(raw.try_cast("long"), near))
+        return value, there & value.isNull()
+    if kind == "label":
+        word = F.when(low.startswith("env"), 0.0).when(low.startswith("agent"), 1.0)
+        return F.coalesce(F.when(number.isin(0.0, 1.0), number), word), None
+    return c, None
+
+
+def load_typed(spark: SparkSession, path: str, role: str) -> DataFrame:
+    """A2 with types: the rows of a table of ``ROLES`` and ``_bad_columns`` (array, NULL for a good row).
+
+    A CSV's values are text: numbers are read as numbers wherever the role
+    declares one (also "1.0" for a whole number and "true"), and a label column
+    takes 0 and 1 as well as its words.  A file whose header differs from the
+    first one's is an error.  Rows with too many or too few fields, or with text
+    where a number is declared, keep their raw values in ``_raw`` and the names of
+    the columns at fault; ``good_rows`` and ``reject_rows`` part them.
+    Columns of other formats that have a type of their own keep it.
+    """
+    if PurePath(path.rstrip("/")).suffix.lower() == ".csv":
+        read = spark.read.options(header="true", **CSV_TEXT)
+        names = read.csv(path).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_raw"]])
+        df = (read.options(enforceSchema="false", mode="PERMISSIVE", columnNameOfCorruptRecord="_raw").schema(schema).csv(path))
+        broken = F.col("_raw").isNotNull()
+    else:
+        df = load_table(spark, path)
+        names, broken = df.columns, F.lit(False)
+    kinds = {k.lower(): v for k, v in ROLES[role].items()}
+    cols, bad = [], [F.when(broken, F.lit("_record"))]
+    for n in names:
+        kind = kinds.get(n.lower(), "text")
+        if kind == "text" or not isinstance(df.schema[n].dataType, T.StringType):
+            cols.append(F.col(n))
+            continue
+        value, fault = _typed(F.col(n), kind)
+        cols.append(value.alias(n))
+        if fault is not None:
+            bad.append(F.when(fault, F.lit(n)))
+    faults = F.array_compact(F.array(*bad))
+    raw = F.to_json(F.struct(*[F.col(n) for n in names])) if names else F.lit(None).cast("string")
+    return df.select(*cols, F.when(F.size(faults) > 0, faults).alias(BAD),
+                     F.when(F.size(faults) > 0, F.coalesce("_raw", raw) if "_raw" in df.columns else raw).alias("_raw"))
+
+
+def good_rows(loaded: DataFrame) -> DataFrame:
+    return loaded.filter(F.col(BAD).isNull()).drop(BAD, "_raw")
+
+
+def reject_rows(loaded: DataFrame) -> DataFrame:
+    """(columns at fault, raw record) of the rows that are no rows of their role."""
+    return loaded.filter(F.col(BAD).isNotNull()).select(F.col(BAD).alias("bad_columns"), F.col("_raw").alias("raw"))
+
+
 # ---- A3 / A4 / A5: predictions and ground truth -------------------------------------------
 def prediction_scan(df: DataFrame) -> DataFrame:
     """A3: keep case_name, os_agent_score, evidence."""

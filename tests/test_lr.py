@@ -1,4 +1,4 @@
-"""LR baseline: Spark ML fit equals an independent Newton solve of the same objective."""
+"""LR baseline: the fit equals an independent Newton solve of the same objective."""
 
 import numpy as np
 import pytest
@@ -50,5 +50,16 @@ def test_fit_matches_newton(spark):
     got = np.array([p.coefficients[f] for f in LR.FEATURES])
     assert np.allclose(p.scaler_mean, mu, atol=1e-12)
     assert np.allclose(p.scaler_scale, sd, atol=1e-12)
-    assert np.allclose(got, coef, atol=1e-4)
-    assert p.intercept == pytest.approx(icpt, abs=1e-4)
+    assert np.allclose(got, coef, atol=1e-9)
+    assert p.intercept == pytest.approx(icpt, abs=1e-9)
+
+
+def test_fit_needs_both_classes_and_bears_separable_ones(spark):
+    rows = [(f"c{i}", i, float(i % 2), 1.0, 0.0, 1.0, i % 2) for i in range(40)]
+    cols = "test_case_id string, ord long, E1_gui double, E2_code double, E4_noresp double, agent double, phi int"
+    feats = LR.case_features(spark.createDataFrame(rows, cols))
+    p = LR.fit(feats)   # a perfectly separating channel, and channels without any spread
+    assert max(abs(v) for v in LR.optimality(feats, p).values()) < 1e-8
+    for some in (feats.filter("label = 1"), feats.limit(0)):
+        with pytest.raises(ValueError, match="both classes"):
+            LR.fit(some)

@@ -86,3 +86,90 @@ def test_read_logs_whole_text(spark, tmp_path):
     assert r.project_name.endswith("/proj_a.txt") and r.text.startswith("head")
     its = TL.log_iterations(logs).orderBy("seg").collect()
     assert [i.iter_num for i in its] == [1, 2]
+
+
+STEPS_CSV = """test_case_id,ord,E1_gui,E2_code,M_gui,agent_testcase_score,phi,delta_label,note
+c1,9,1.0,1,0,0,0.0,1,"a ""quoted"", note"
+c1,10,0,1,0,1,1,0,x
+c2,1,True,0.0,0,,1.0, Agent x,
+c2,2,nan,0,1,1,NaN,,y
+"""
+
+
+def test_typed_csv_equals_typed_columns(spark, tmp_path):
+    p = tmp_path / "steps.csv"
+    p.write_text(STEPS_CSV)
+    rows = R.good_rows(R.load_typed(spark, str(p), "steps"))
+    kinds = dict(rows.dtypes)
+    assert (kinds["ord"], kinds["E1_gui"], kinds["phi"], kinds["delta_label"], kinds["note"]) == ("bigint", "double", "bigint", "double", "string")
+    got = {(r.test_case_id, r.ord): (r.E1_gui, r.agent_testcase_score, r.phi, r.delta_label) for r in rows.collect()}
+    assert got == {("c1", 9): (1.0, 0.0, 0, 1.0), ("c1", 10): (0.0, 1.0, 1, 0.0), ("c2", 1): (1.0, None, 1, 1.0), ("c2", 2): (None, 1.0, None, None)}
+    from judgefuse.operators import steps as S
+    assert S.prepare(rows).groupBy("test_case_id").agg(S.last_non_null("agent").alias("a")).filter("test_case_id = 'c1'").first().a == 1.0
+
+
+def test_rows_that_cannot_be_read_are_rejects(spark, tmp_path):
+    p = tmp_path / "steps.csv"
+    p.write_text(STEPS_CSV + "c3,1.5,1,1,0,0,0,0,whole numbers only\nc4,2,high,1,0,0,0,0,no number\nc5,3,1\n")
+    loaded = R.load_typed(spark, str(p), "steps")
+    assert R.good_rows(loaded).count() == 4
+    rejects = {tuple(r.bad_columns): r.raw for r in R.reject_rows(loaded).collect()}
+    assert set(rejects) == {("ord",), ("E1_gui",), ("_record",)} and rejects[("_record",)] == "c5,3,1" and "high" in rejects[("E1_gui",)]
+    other = tmp_path / "two.csv"
+    other.mkdir()
+    (other / "a.csv").write_text("ord,phi\n1,0\n")
+    (other / "b.csv").write_text("phi,ord\n1,7\n")   # columns in another order are not mixed up
+    with pytest.raises(Exception, match="header"):
+        R.load_typed(spark, str(other), "steps").collect()
+
+
+def test_order_must_be_numbers_without_ties(spark):
+    from judgefuse.operators import steps as S
+    text = spark.createDataFrame([("a", "9", 1.0, 1.0)], "test_case_id string, ord string, E1_gui double, E2_code double")
+    with pytest.raises(ValueError, match="holds text"):
+        S.prepare(text)
+    cols = "test_case_id string, ord long"
+    S.check_order(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], cols))
+    with pytest.raises(ValueError, match="3 rows share 1 places of their case, 1 rows have none"):
+        S.check_order(spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), ("b", 1), ("b", None)], cols))
+
+
+def test_jobs_from_csv_equal_jobs_from_parquet(spark, tmp_path):
+    from judgefuse.operators import em as EM
+    from judgefuse.plans import fixtures as fx
+    from judgefuse.plans import jobs
+    base = str(tmp_path)
+    raw = fx.steps_raw(spark, "/root/testdata/sf0.001")
+    for fmt in ("csv", "parquet"):
+        R.write_results(raw, f"{base}/steps.{fmt}", fmt)
+        jobs.train(spark, f"{base}/steps.{fmt}", f"{base}/{fmt}")
+        jobs.run_prediction(spark, f"{base}/steps.{fmt}", f"{base}/{fmt}/em_params", f"{base}/{fmt}/out", "parquet")
+        jobs.train_lr(spark, f"{base}/steps.{fmt}", f"{base}/{fmt}/lr", val_ratio=0.25)
+    assert EM.load_params(spark, f"{base}/csv/em_params").to_json() == EM.load_params(spark, f"{base}/parquet/em_params").to_json()
+    for name in ("out/pred_step", "out/pred_corrected_cases", "out/flip_summary", "lr/val_corrected_cases", "lr/summary", "lr/split_counts"):
+        one, two = (spark.read.parquet(f"{base}/{fmt}/{name}") for fmt in ("csv", "parquet"))
+        assert one.count() and one.exceptAll(two.select(one.columns)).count() == 0, name
+    # a case file that the job wrote as CSV is read back with numbers
+    R.write_results(spark.read.parquet(f"{base}/csv/out/pred_corrected_cases"), f"{base}/cases.csv", "csv")
+    cases = dict(R.good_rows(R.load_typed(spark, f"{base}/cases.csv", "cases")).dtypes)
+    assert cases["human_gt"] == "bigint" and cases["P_case_AgentFail"] == "double"
+    broken = f"{base}/broken.csv"
+    R.write_results(raw.limit(20).withColumn("phi", F.when(F.col("ord") % 2 == 0, F.lit("?")).otherwise(F.col("phi").cast("string"))), broken, "csv")
+    with pytest.raises(ValueError, match="cannot be read"):
+        jobs.train(spark, broken, f"{base}/x")
+    jobs.train(spark, broken, f"{base}/x", rejects_path=f"{base}/x/rejects")
+    assert spark.read.json(f"{base}/x/rejects").count() > 0
+
+
+def test_lr_prediction_from_saved_params(spark, tmp_path):
+    from judgefuse.plans import fixtures as fx
+    from judgefuse.plans import jobs
+    base = str(tmp_path)
+    R.write_results(fx.steps_raw(spark, "/root/testdata/sf0.001"), f"{base}/steps.parquet")
+    p = jobs.train_lr(spark, f"{base}/steps.parquet", f"{base}/lr", val_ratio=0.5)
+    from judgefuse.operators import baseline_lr as LR
+    assert LR.load_params(spark, f"{base}/lr/lr_params") == p
+    cases = jobs.run_lr_prediction(spark, f"{base}/steps.parquet", f"{base}/lr/lr_params", f"{base}/pred")
+    val = spark.read.parquet(f"{base}/lr/val_corrected_cases")
+    both = val.alias("v").join(cases.alias("c"), "case_id").filter("abs(v.P_case_AgentFail - c.P_case_AgentFail) < 1e-12")
+    assert both.count() == val.count() > 0 and cases.count() > val.count()
