@@ -177,8 +177,10 @@ def audits(faults: DataFrame) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string())
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["__key", "piece", "enter", "leave", "cost", "audit"])
 
-    piece = F.shiftright("__ord", PIECE_BITS).alias("__piece")
-    solved = checkpoint(faults.select("*", piece).groupBy("__piece").applyInArrow(
+    # narrow rows, much work: dealt by number, so that they are not gathered in few tasks for their size
+    n = int(faults.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = faults.select("*", F.shiftright("__ord", PIECE_BITS).alias("__piece")).repartition(n, "__piece")
+    solved = checkpoint(pieces.groupBy("__piece").applyInArrow(
         solve, "__key string, piece long, enter int, leave int, cost long, audit string"))
 
     def fold(batches):

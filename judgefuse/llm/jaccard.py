@@ -117,13 +117,19 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
                        percent: int = 80) -> DataFrame:
     """One row per row of ``df``: key, n_shingles, component_id (smallest key reachable by links).
 
-    A text below ``n`` words is one shingle; null and empty texts have none and
+    Rows that share a key but hold different texts are documents of their own.  A text below ``n`` words is one shingle; null and empty texts have none and
     link with nothing, nor do rows with a null key (component null).  Repeated
     rows are copies.  Extra columns are ignored; an empty table stays empty.
     """
+    return linked_rows(df, key, text, n, percent).select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+
+
+def linked_rows(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """(id, h: hash of the text, n, c, g: the component itself, since two may have one smallest key) of every row; see ``jaccard_components``.  Inside, a class goes by the hash of its set."""
     import pyarrow as pa
 
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     known = df.sparkSession.sparkContext.broadcast(frequent_words(docs))
 
     def sign(batches):
@@ -151,15 +157,15 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
                 rare.append(u[np.lexsort((u, expected, least))[:p]].astype(np.int64))
                 parts.append(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
                  pa.array(low, pa.int64()), pa.array(rare, pa.list_(pa.int64())),
                  pa.array(parts, pa.list_(pa.int32()))],
-                names=["id", "n", "s1", "s2", "low", "rare", "parts"])
+                names=["id", "h", "n", "s1", "s2", "low", "rare", "parts"])
 
-    signed = checkpoint(docs.mapInArrow(sign, "id long, n long, s1 long, s2 long, low long, rare array<long>, parts array<int>"))
-    members = signed.select("id", "n", "s1", "s2")
+    signed = checkpoint(docs.mapInArrow(sign, "id long, h long, n long, s1 long, s2 long, low long, rare array<long>, parts array<int>"))
+    members = signed.select("id", "h", "n", "s1", "s2")
     classes = checkpoint(signed.filter("s1 is not null and id is not null").groupBy("s1", "s2").agg(
-        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "rare", "parts")]))
+        F.min("id").alias("key"), F.col("s1").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "rare", "parts")]))
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))  # tokens that a partner's prefix shares
     tokens = classes.select("rep", least.alias("least"), F.explode("rare").alias("token"))
     shared = checkpoint(tokens.withColumn("in", F.count("*").over(Window.partitionBy("token"))).filter(F.col("in") > 1).drop("in"))
@@ -189,14 +195,14 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
         F.when(swap, F.col("m2")).otherwise(F.col("m1")).alias("m")))
     live = (facts.filter("m > 1").select("gid").unionByName(asks.select(F.col("q").alias("gid")))
             .unionByName(asks.select(F.col("t").alias("gid"))).distinct())
-    wanted = checkpoint(grouped.select("gid", F.col("rep").alias("id"), F.col("s1").alias("mark")).join(live, "gid"))
-    contents = checkpoint(docs.join(small_side(wanted), "id").select("gid", "id", "mark", "text"))
+    wanted = checkpoint(grouped.select("gid", F.col("key").alias("id"), F.col("rep").alias("mark")).join(live, "gid"))
+    contents = checkpoint(docs.drop("h").join(small_side(wanted), "id").select("gid", "id", "mark", "text"))
     slices = asks.groupBy("t").agg(F.ceil(F.sum("m") / GROUP).alias("slices"))
     targets = (contents.join(slices.withColumnRenamed("t", "gid"), "gid", "left")
                .withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1)))
                .drop("slices"))
     queries = (contents.withColumnRenamed("gid", "q").join(asks.select("q", "t"), "q").join(slices, "t")
-               .select(F.col("t").alias("qgid"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("qslice"),
+               .select(F.col("t").alias("qgid"), F.pmod(F.xxhash64("mark"), F.col("slices")).alias("qslice"),
                        *[F.col(c).alias("q" + c) for c in ("id", "mark", "text")]))
 
     def compare(held: pa.Table, asked: pa.Table) -> pa.Table:
@@ -204,12 +210,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
 
         def sets(t: pa.Table, q: str = "") -> dict[int, np.ndarray]:
             out = {}
-            for i, mark, chunk in zip(t.column(q + "id").to_pylist(), t.column(q + "mark").to_pylist(),
-                                      (x for c in t.column(q + "text").chunks for x in text_bytes(c))):
-                if i not in out:
+            for mark, chunk in zip(t.column(q + "mark").to_pylist(), (x for c in t.column(q + "text").chunks for x in text_bytes(c))):
+                if mark not in out:
                     s = shingles(chunk, hasher, n)
                     if set_mark(s)[0] == mark:  # of rows that share an id, the class's own text
-                        out[i] = s
+                        out[mark] = s
             return out
 
         forest = Forest()
@@ -228,18 +233,27 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", n
 
     edges = targets.groupBy("gid", "slice").cogroup(queries.groupBy("qgid", "qslice")).applyInArrow(compare, "a long, b long")
     whole = components(edges).withColumnRenamed("node", "rep")
-    labels = checkpoint(classes.select("s1", "s2", "rep").join(whole, "rep", "left")
-                        .select("s1", "s2", F.coalesce("component", "rep").alias("c")))
-    linked = members.filter("s1 is not null and id is not null").join(labels, ["s1", "s2"]).select("id", "n", "c")
-    alone = members.filter("s1 is null or id is null").select("id", "n", F.col("id").alias("c"))
-    return linked.unionByName(alone).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    joined = checkpoint(classes.select("s1", "s2", "key", "rep").join(whole, "rep", "left")
+                        .select("s1", "s2", "key", "component"))
+    # written, so that a component with very many classes can be split in the join
+    least_key = checkpoint(joined.filter("component is not null").groupBy("component").agg(F.min("key").alias("c")))
+    labels = checkpoint(joined.join(least_key, "component", "left").select(
+        "s1", "s2", F.coalesce("c", "key").alias("c"), F.coalesce("component", "s1").alias("g")))
+    linked = members.filter("s1 is not null and id is not null").join(labels, ["s1", "s2"]).select("id", "h", "n", "c", "g")
+    alone = members.filter("s1 is null or id is null").select("id", "h", "n", F.col("id").alias("c"), F.col("s1").alias("g"))
+    return linked.unionByName(alone)
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` with one document of each component: the one of the smallest key.
-    Rows with a null key stay; of rows that repeat a key one stays."""
-    found = jaccard_components(df, key, text, n, percent)
-    stay = found.filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    return (df.join(stay, key, "left_semi").dropDuplicates([key]).select(*df.columns)
+    """``df`` with one document of each component: one with the smallest key.
+
+    Rows with a null key stay.  Of rows that repeat key and text one stays; rows
+    that share a key but hold different texts are documents of their own, each
+    judged by its own component.  Texts without words are no copies of each other.
+    """
+    found = linked_rows(df, key, text, n, percent).filter("id = c")
+    stay = (found.filter("n > 0").groupBy("g").agg(F.min("h").alias("__h"), F.first("id").alias("__id")).drop("g")
+            .unionByName(found.filter("n = 0").select(F.col("h").alias("__h"), F.col("id").alias("__id"))).distinct())
+    own = df.withColumns({"__id": F.col(key).cast("long"), "__h": F.xxhash64(text)})
+    return (own.join(stay, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*df.columns)
             .unionByName(df.filter(F.col(key).isNull())))

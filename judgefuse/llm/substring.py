@@ -11,14 +11,12 @@ so a passage in a third of all rows costs one row per block.
    each recurring one gets its first start (smallest id, then position).
 3. *Automata*: every block joins its recurring windows into passages, compiles
    them into one automaton (its shard) and streams all its texts through it.
-   Words are spelled as fixed-length codes, so a match is exact.  A located
+   Words are spelled as fixed-length codes of their 63-bit hashes.  A located
    passage loses all words that start later than its first occurrence.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,13 +42,20 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """The texts of one block as word hashes."""
+    """The texts of one block as word hashes; words are held only one text at a time."""
 
     def __init__(self, table, key: str, text: str):
         self.ids = [NO_KEY if k is None else k for k in table.column(key).to_pylist()]
-        hasher = WordHash()
-        self.words = [t.split() for chunk in table.column(text).chunks for t in text_bytes(chunk)]
-        self.hashes = [hasher.of(w) for w in self.words]
+        self.column = table.column(text)
+        hasher = WordHash(200_000)
+        self.hashes = [hasher.of(w) for w in self.words()]
+
+    def words(self):
+        """The words of every text, in turn."""
+        for chunk in self.column.chunks:
+            for low in range(0, len(chunk), 64):
+                for t in text_bytes(chunk.slice(low, 64)):
+                    yield t.split()
 
     def runs(self, window: int):
         """(document, first window of each run of windows with one anchor, that anchor, number of windows)."""
@@ -140,14 +145,13 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
 
     def cut(docs: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(docs, key, text)
-        gone: list[list[tuple[int, int]]] = [[] for _ in block.words]
-        if len(docs) and len(found):
-            automaton, how, holders = compile_passages(block, found, window)
-            for d in holders:  # a text without a recurring window holds no passage
-                gone[d] = located(automaton, how, block.words[d], block.ids[d])
-        n_removed, spans, texts = [], [], []
-        for words, cuts in zip(block.words, gone):
+        automaton, how, holders = compile_passages(block, found, window) if len(docs) and len(found) else (None, None, set())
+        n_words, n_removed, spans, texts = [], [], [], []
+        for d, words in enumerate(block.words()):
+            # a text without a recurring window holds no passage
+            cuts = located(automaton, how, block.hashes[d], block.ids[d]) if d in holders else []
             spans.append([{"from": a, "to": b} for a, b in cuts])
+            n_words.append(len(words))
             n_removed.append(sum(b - a for a, b in cuts))
             kept, at = [], 0
             for a, b in cuts:
@@ -156,7 +160,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             kept += words[at:] if at else words
             texts.append(b" ".join(kept).decode("utf-8", "replace"))
         out = docs.drop_columns(["__block"])
-        out = out.append_column("n_words", pa.array([len(w) for w in block.words], pa.int64()))
+        out = out.append_column("n_words", pa.array(n_words, pa.int64()))
         out = out.append_column("n_removed", pa.array(n_removed, pa.int64()))
         out = out.append_column("removed", pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))))
         return out.append_column("kept_text", pa.array(texts, pa.string()))
@@ -169,7 +173,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         hashes = hashes[order]
         first_id, first_at = found.column("id").to_numpy()[order], found.column("start").to_numpy()[order]
         passages: dict[tuple[int, int, int, int], tuple[int, int]] = {}  # first id, first start, words, hash: ids may be shared
-        holders = []
+        holders = set()
         for d, h in enumerate(block.hashes):
             if len(h) < window:
                 continue
@@ -178,7 +182,7 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
             at = np.flatnonzero(hashes[i] == w)
             if not len(at):
                 continue
-            holders.append(d)
+            holders.add(d)
             fi, fs = first_id[i[at]], first_at[i[at]]
             new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(fi) != 0) | (np.diff(fs) != 1)])
             for a, b in zip(new, np.r_[new[1:], len(at)]):
@@ -186,17 +190,16 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
                     mark = hash(w[at[a:b]].tobytes())
                     passages.setdefault((int(fi[a]), int(fs[a]), int(b - a) + window - 1, mark), (d, int(at[a])))
         if not passages:
-            return None, None, []
-        codes: dict[bytes, int] = {}
-        for (_, _, n, _), (d, s) in passages.items():
-            for w in block.words[d][s:s + n]:
-                codes.setdefault(w, len(codes) + 1)
+            return None, None, set()
+        # the passages' words by number, in the order of their hashes
+        codes = np.unique(np.concatenate([block.hashes[d][s:s + n] for (_, _, n, _), (d, s) in passages.items()]))
         digits = 1
         while 64 ** digits <= len(codes) + 1:
             digits += 1
 
-        def spell(words: list[bytes]) -> str:
-            ids = np.fromiter(map(codes.get, words, repeat(0)), np.int64, len(words))  # 0: in no passage
+        def spell(h: np.ndarray) -> str:
+            i = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+            ids = np.where(codes[i] == h, i + 1, 0)  # 0: in no passage
             out = np.empty((len(ids), digits), np.uint32)
             for k in range(digits):
                 out[:, k] = 0x100 + (ids >> (6 * k) & 63)
@@ -204,15 +207,15 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
 
         automaton = ahocorasick.Automaton()
         for (fi, fs, n, _), (d, s) in passages.items():
-            automaton.add_word(spell(block.words[d][s:s + n]), (fi, fs, n))
+            automaton.add_word(spell(block.hashes[d][s:s + n]), (fi, fs, n))
         automaton.make_automaton()
         return automaton, (spell, digits), holders
 
-    def located(automaton, how, words: list[bytes], own: int) -> list[tuple[int, int]]:
-        """Word spans of ``words`` that a passage with an earlier start covers."""
+    def located(automaton, how, hashes: np.ndarray, own: int) -> list[tuple[int, int]]:
+        """Word spans of a text that a passage with an earlier start covers."""
         spell, digits = how
         spans = []
-        for end, (fi, fs, n) in automaton.iter(spell(words)):
+        for end, (fi, fs, n) in automaton.iter(spell(hashes)):
             if (end + 1) % digits == 0:
                 stop = (end + 1) // digits
                 if (fi, fs) < (own, stop - n):

@@ -62,3 +62,19 @@ def test_group_bound():
     assert g.partners(np.array([1, 2, 3, 4, 5], np.uint64), 90).tolist() == [0]
     assert g.partners(np.array([1, 2, 3, 4, 5], np.uint64), 60).tolist() == [0, 1]
     assert g.partners(np.array([1, 20, 50, 60, 70], np.uint64), 60).tolist() == []
+
+
+def test_rows_that_share_a_key_are_documents_of_their_own(spark, make_docs):
+    rng = random.Random(4)
+    a, b, c = ([rng.choice("abcdefgh") + str(rng.randrange(99)) for _ in range(60)] for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "end"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, " ".join(c)), (4, ""), (4, ""), (4, " "), (5, None), (5, "")]
+    kept = sorted((r.doc_id, r.text or "") for r in J.keep_one(make_docs(rows)).collect())
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, " ".join(c)), (4, ""), (4, " "), (5, ""), (5, "")])
+    # a key whose one text is a copy of a smaller key's: only that text goes
+    rows = [(0, near(b)), (1, " ".join(a)), (1, " ".join(b)), (2, near(a))]
+    found = sorted((r.doc_id, r.component_id) for r in J.jaccard_components(make_docs(rows)).collect())
+    assert found == [(0, 0), (1, 0), (1, 1), (2, 1)]
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(make_docs(rows)).collect()) == sorted([(0, near(b)), (1, " ".join(a))])
+    # two near copies under one key: one stays
+    assert J.keep_one(make_docs([(7, " ".join(a)), (7, near(a)), (8, near(a))])).count() == 1
