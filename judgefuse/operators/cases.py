@@ -85,7 +85,19 @@ def step_posterior(steps: DataFrame, params: EMParams,
     Output: test_case_id, ord, step, P_<cause> for every cause, and for K > 2
     also P_AgentFail = Σ agent causes.
     """
-    s = case_value_broadcast(steps, ("agent",))
+    return _posterior_rows(case_value_broadcast(steps, ("agent",)), params, weights)
+
+
+def step_posterior_of(steps: DataFrame, scored: DataFrame, params: EMParams,
+                      weights: ChannelWeights = ChannelWeights()) -> DataFrame:
+    """``step_posterior`` with the verdicts of a scored case table (case_id, agent_original),
+    so that cases are not aggregated again.  One exchange of the steps; where
+    ``scored`` was written before, a hot case's part of it can be split."""
+    verdicts = scored.select(F.col("case_id").alias("test_case_id"), F.col("agent_original").alias("agent_case"))
+    return _posterior_rows(steps.join(verdicts, "test_case_id", "left"), params, weights)
+
+
+def _posterior_rows(s: DataFrame, params: EMParams, weights: ChannelWeights) -> DataFrame:
     post = _posterior_with_c(params, weights, F.col("agent_case"))
     out = [F.col("test_case_id"), F.col("ord"), F.col("step")]
     out += [p.alias(f"P_{name}") for p, name in zip(post, params.causes)]

@@ -9,7 +9,7 @@ without a shuffle, and blocks that repeat an iteration number never mix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from judgefuse.functions import text as TX
@@ -87,12 +87,44 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
     """A9 for logs of any size: one row per iteration block, so that Spark splits
     a large file: (project_name = the file's path, seg = (start of the file's
-    split, row in it), content).  ``parse_blocks`` reads them."""
-    rows = spark.read.option("lineSep", ITER_MARK).text(path)
-    return rows.select(
+    split, row in it), content).  ``parse_blocks`` reads them.
+
+    A marker without a number is text: the row behind it is stitched to the block
+    before it, wherever that began.  Blocks without such rows are not moved.
+    """
+    read = spark.read.option("lineSep", ITER_MARK).text(path).select(
         F.col("_metadata.file_path").alias("project_name"),
         F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")).alias("seg"),
         F.col("value").alias("content"))
+    loose = ~F.col("content").rlike(r"^\d")
+    # A file's first row is what stands before its first marker; it counts as the block before a loose row.
+    heads = read.groupBy("project_name").agg(
+        F.min("seg").alias("head"), (F.count_if(loose) - F.min_by(loose.cast("int"), "seg")).alias("n"))
+    if not heads.filter("n > 0").limit(1).count():
+        return read
+    from judgefuse.session import checkpoint_dir
+    checkpoint_dir(spark)
+    read = read.checkpoint()      # a row's number and split must be the same for all that follows
+    heads = read.filter("seg.start = 0").groupBy("project_name").agg(F.min("seg").alias("head"))
+    rows = read.select("project_name", "seg", loose.alias("loose")).join(heads, "project_name", "left").select(
+        "project_name", "seg", (F.col("loose") & ~F.col("seg").eqNullSafe(F.col("head"))).alias("loose")).checkpoint()
+    own = F.when(~F.col("loose"), F.col("seg"))
+    last = rows.join(rows.filter("loose").select("project_name").distinct(), "project_name", "left_semi")
+    # the last block that begins in a split is carried over to the splits behind it: one row per split
+    splits = last.groupBy("project_name", F.col("seg.start").alias("start")).agg(F.max(own).alias("last"))
+    before = Window.partitionBy("project_name").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("project_name", "start", F.max("last").over(before).alias("carried"))
+    within = Window.partitionBy("project_name", "seg.start").orderBy("seg").rowsBetween(Window.unboundedPreceding, 0)
+    owners = (last.withColumn("owner", F.max(own).over(within)).filter("loose").withColumn("start", F.col("seg.start"))
+              .join(carried, ["project_name", "start"])
+              .select("project_name", "seg", F.coalesce("owner", "carried").alias("owner")).checkpoint())
+    open_ = owners.select("project_name", F.col("owner").alias("seg")).distinct()
+    parts = (read.join(owners, ["project_name", "seg"]).select("project_name", "owner", "seg", "content")
+             .unionByName(read.join(open_, ["project_name", "seg"], "left_semi").select("project_name", F.col("seg").alias("owner"), "seg", "content")))
+    whole = parts.groupBy("project_name", "owner").agg(F.sort_array(F.collect_list(F.struct("seg", "content"))).alias("p"))
+    whole = whole.select("project_name", F.col("owner").alias("seg"), F.array_join(F.transform("p", lambda r: r["content"]), ITER_MARK).alias("content"))
+    moved = owners.select("project_name", "seg").unionByName(open_)
+    return read.join(moved, ["project_name", "seg"], "left_anti").select("project_name", "seg", "content").unionByName(whole)
 
 
 # ---- B6 ---------------------------------------------------------------------------------------
@@ -354,7 +386,9 @@ def trace_log_pipeline(logs: DataFrame, has_image: DataFrame | None = None,
     iters = iters.withColumn("n_elements", F.coalesce(F.size("_els"), F.lit(0))).drop("info", "_els").checkpoint()
     rec = iters.drop("history")
     if has_image is not None:
-        rec = rec.join(has_image, ["project_name", "iter_num"], "left")
+        # repeated image rows must not multiply records
+        images = has_image.groupBy("project_name", "iter_num").agg(F.bool_or("has_image").alias("has_image"))
+        rec = rec.join(images, ["project_name", "iter_num"], "left")
     else:
         rec = rec.withColumn("has_image", F.lit(True))
     gate, img = analysis_gate(condition), F.coalesce(F.col("has_image"), F.lit(False))

@@ -107,12 +107,14 @@ def positional_pairing(trajectories: DataFrame, compact: bool = True) -> DataFra
 
 
 def natural_sort_keys(case: Column) -> tuple[Column, Column]:
-    """(X, Y) of 'web_X_Y', (0, 0) when the name does not match."""
+    """(X, Y) of 'web_X_Y', (0, 0) when the name does not match.  A number
+    beyond a long counts as the largest one."""
     pat = r"^web_(\d+)_(\d+)"
-    ok = case.rlike(pat)
-    x = F.when(ok, F.regexp_extract(case, pat, 1).cast("long")).otherwise(F.lit(0))
-    y = F.when(ok, F.regexp_extract(case, pat, 2).cast("long")).otherwise(F.lit(0))
-    return x, y
+
+    def part(i: int) -> Column:
+        number = F.regexp_extract(case, pat, i).try_cast("long")
+        return F.when(case.rlike(pat), F.coalesce(number, F.lit((1 << 63) - 1))).otherwise(F.lit(0))
+    return part(1), part(2)
 
 
 def trajectory_steps(trajectories: DataFrame, tasks: DataFrame, elements: DataFrame, compact: bool = True,

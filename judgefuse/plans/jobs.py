@@ -45,13 +45,21 @@ def train(spark: SparkSession, data_path: str, out_dir: str,
 
 
 def predict(raw_steps: DataFrame, params: EMParams, weights: ChannelWeights = RUN_WEIGHTS,
-            tau_agentfail: float = 0.75, tau_envfail: float = 0.75, alpha: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """Defaults -> step posteriors and corrected cases (τ_envfail_high = τ_envfail)."""
+            tau_agentfail: float = 0.75, tau_envfail: float = 0.75, alpha: float = 0.75,
+            both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Defaults -> step posteriors and corrected cases (τ_envfail_high = τ_envfail).
+
+    Cases are aggregated once and give the steps their verdicts.  Nothing runs
+    before a result is used; with ``both`` the scored cases are written first, so
+    that steps are read once for the cases and once for the step rows.
+    """
     steps = prepare(raw_steps)
-    step_post = C.step_posterior(steps, params, weights)
-    cases = C.correct_threshold(C.case_noisy_or(steps, params, weights, alpha),
-                                tau_agentfail, tau_envfail, tau_envfail)
-    return step_post, cases
+    scored = C.case_noisy_or(steps, params, weights, alpha)
+    if both:
+        checkpoint_dir(raw_steps.sparkSession)
+        scored = scored.checkpoint()
+    return (C.step_posterior_of(steps, scored, params, weights),
+            C.correct_threshold(scored, tau_agentfail, tau_envfail, tau_envfail))
 
 
 def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_dir: str,
@@ -59,10 +67,8 @@ def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_di
     """H15 with sinks: step posteriors, corrected cases (sorted by case, F4)
     and flip / confusion summaries."""
     params = EM.load_params(spark, params_path)
-    step_post, cases = predict(load_steps(spark, data_path, rejects_path), params)
+    step_post, cases = predict(load_steps(spark, data_path, rejects_path), params, both=True)
     write_results(step_post, f"{out_dir}/pred_step", fmt)
-    checkpoint_dir(spark)
-    cases = cases.checkpoint()  # scored once for the three sinks
     write_results(cases.orderBy("case_id"), f"{out_dir}/pred_corrected_cases", fmt)
     write_results(M.flip_analysis(cases), f"{out_dir}/flip_summary", fmt)
     write_results(M.confusion(cases), f"{out_dir}/confusion", fmt)

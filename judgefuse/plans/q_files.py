@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from judgefuse.operators import cases as C
 from judgefuse.operators import codeevidence as CE
 from judgefuse.operators import em as EM
+from judgefuse.operators.model import RUN_WEIGHTS
 from judgefuse.plans import fixtures as fx
 from judgefuse.plans import oracle as O
 from judgefuse.plans.q_em import RUN_CFG
@@ -105,3 +106,13 @@ def q_predict_pipeline(spark, sf):
     from judgefuse.plans.jobs import predict
     _, cases = predict(fx.steps_raw(spark, sf), fx.LIT_PARAMS)
     return cases
+
+
+@register("predict_steps", ops="H15 H5", doubles=("P_EnvFail", "P_AgentFail"), sql=O.with_ctes(
+    O.STEPS_RAW, O.CASE_VALUES, O.posterior_ctes(fx.LIT_PARAMS, RUN_WEIGHTS.w, RUN_WEIGHTS.agent_weight)) +
+    " SELECT test_case_id, ord, step, p0 AS P_EnvFail, p1 AS P_AgentFail FROM step_post")
+def q_predict_steps(spark, sf):
+    """The job's step rows: their verdicts come from the scored cases."""
+    from judgefuse.plans.jobs import predict
+    steps, _ = predict(fx.steps_raw(spark, sf), fx.LIT_PARAMS, both=True)
+    return steps

@@ -8,11 +8,14 @@ parses), so the round trip text -> parsed fields is checked end to end.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from judgefuse.operators import tracelog as TL
 from judgefuse.plans import fixtures as fx
 from judgefuse.plans.registry import register
+from judgefuse.session import shared_folder
 
 PARAMS_SQL = """
 WITH it AS (
@@ -101,6 +104,22 @@ def q_log_iterations(spark, sf):
     return TL.log_iterations(_logs(spark, sf)).select("project_name", "iter_num", "history")
 
 
+@register("log_blocks", ops="A9 B6", sql=PARAMS_SQL + """
+SELECT iter_num, md5(replace(op_block, 'Click item', 'Click #### iter:item')) AS operation_md5, action_own AS action FROM own""")
+def q_log_blocks(spark, sf):
+    """Logs written as text files and read in small splits; every operation holds a marker without a number."""
+    folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    logs = _logs(spark, sf).select(F.replace("text", F.lit("Click item"), F.lit("Click #### iter:item")).alias("text"))
+    logs.write.text(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        blocks = TL.read_log_blocks(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return TL.parse_blocks(blocks).select("iter_num", F.md5("operation").alias("operation_md5"), F.col("action_content").alias("action"))
+
+
 @register("history_steps", ops="B7", sql=PARAMS_SQL + """
 SELECT project_name, CAST(iter_num AS INTEGER) AS step_num, concat('hist op ', iter_num, ' of ', e) AS h_operation,
        CASE WHEN iter_num % 2 = 1 THEN concat('pyautogui.click(', (e + iter_num * 11) % 1000, ', ', (e + iter_num * 17) % 700, ')')

@@ -66,3 +66,12 @@ def test_answer_validity(spark):
     v, x = TL.answer_validity("a")
     assert [(r.v, r.x) for r in df.select(v.alias("v"), x.alias("x")).collect()] == [
         (True, 1), (True, 0), (False, 1), (False, 0)]
+
+
+def test_natural_sort_bears_any_number(spark):
+    from judgefuse.operators.trajectory import natural_sort_keys
+    names = ["web_10_2", "web_9_3", "web_99999999999999999999_1", "other", "web_9_x"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    x, y = natural_sort_keys(F.col("n"))
+    got = [r.n for r in df.orderBy(x, y, "n").collect()]
+    assert got == ["other", "web_9_x", "web_9_3", "web_10_2", "web_99999999999999999999_1"]

@@ -173,3 +173,28 @@ def test_lr_prediction_from_saved_params(spark, tmp_path):
     val = spark.read.parquet(f"{base}/lr/val_corrected_cases")
     both = val.alias("v").join(cases.alias("c"), "case_id").filter("abs(v.P_case_AgentFail - c.P_case_AgentFail) < 1e-12")
     assert both.count() == val.count() > 0 and cases.count() > val.count()
+
+
+@pytest.mark.parametrize("split", [64, 300, 1 << 20])
+def test_log_blocks_in_small_splits_equal_whole_logs(spark, tmp_path, split):
+    """Markers without a number are text, in one split and across several."""
+    blocks = "".join(f"#### iter:{i}\n######################## output_action:\n### Action ###\npyautogui.click({i}, 2)\n"
+                     f"### Operation ###\nclick {i} #### iter:x {'é y' * (i * 9)}\n#### iter: again\n### Task List ###\n"
+                     "######################## output_action end\n" for i in range(1, 30))
+    texts = {"a.txt": "head #### iter:\n" + blocks, "b.txt": blocks + "#### iter:", "c.txt": "no marker", "d.txt": "#### iter:7\nlast",
+             "e.txt": "x\n#### iter:1\n### History operations ###\nStep-1: Operation: do\nAction: a\n#### iter:2\nend"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        read = TL.read_log_blocks(spark, str(tmp_path))
+        fields = ("project_name", "iter_num", "operation", "action_content", "click_x", "history")
+        got = sorted((tuple(r[f] for f in fields) for r in TL.parse_blocks(read).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = sorted((tuple(r[f] for f in fields) for r in TL.parse_iterations(TL.read_logs(spark, str(tmp_path))).collect()), key=str)
+    keep = lambda rows: [r for r in rows if "e.txt" not in r[0]]
+    assert keep(got) == keep(want) and len(want) == 29 + 29 + 1 + 2
+    assert any("#### iter:x" in r[2] and "#### iter: again" in r[2] for r in got if r[2])
