@@ -47,14 +47,14 @@ class Block:
     def __init__(self, table, key: str, text: str):
         self.ids = [NO_KEY if k is None else k for k in table.column(key).to_pylist()]
         self.column = table.column(text)
-        hasher = WordHash(200_000)
+        hasher = WordHash()
         self.hashes = [hasher.of(w) for w in self.words()]
 
     def words(self):
         """The words of every text, in turn."""
         for chunk in self.column.chunks:
-            for low in range(0, len(chunk), 64):
-                for t in text_bytes(chunk.slice(low, 64)):
+            for low in range(0, len(chunk), 256):
+                for t in text_bytes(chunk.slice(low, 256)):
                     yield t.split()
 
     def runs(self, window: int):
