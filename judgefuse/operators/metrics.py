@@ -51,6 +51,23 @@ def flip_flags(cases: DataFrame, gt: str = "human_gt") -> DataFrame:
             .withColumn("is_flipped", ~_eq("agent_original", "corrected_label")))
 
 
+def flip_frames(cases: DataFrame, gt: str = "human_gt") -> DataFrame:
+    """E7 detail frames in one pass: each case once per ``frame`` it belongs to.
+
+    ``subset_A_original_v``: right before, verdict v; ``misflipped_original_v``:
+    those of them that were flipped; ``subset_B_corrected``: wrong before, right
+    after.  Other cases are in no frame.  Write it partitioned by ``frame``.
+    """
+    f = flip_flags(cases, gt)
+    right, flipped, o = F.col("is_correct_before"), F.col("is_flipped"), F.col("agent_original")
+    rules = {"subset_B_corrected": ~right & F.col("is_correct_after")}
+    for v in (0, 1):
+        rules[f"subset_A_original_{v}"] = right & (o == v)
+        rules[f"misflipped_original_{v}"] = right & flipped & (o == v)
+    named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return f.withColumn("frame", F.explode(named))
+
+
 def flip_analysis(cases: DataFrame, gt: str = "human_gt") -> DataFrame:
     """Subset A (agent right) misflip counts/rates split by original label;
     subset B (agent wrong) corrected count/rate.  Zero denominators → 0.0."""

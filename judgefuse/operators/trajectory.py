@@ -80,6 +80,12 @@ def tell_text(result: Column, evidence: Column) -> Column:
         result.alias("result"), evidence.alias("evidence")))), F.lit(")"))
 
 
+def step_count() -> Column:
+    """Steps of a document: the smaller number of assistant messages and screenshots (NULL lists are empty)."""
+    said = F.filter("messages", lambda m: m["role"] == "assistant")
+    return F.least(F.coalesce(F.size(said), F.lit(0)), F.coalesce(F.size("screens"), F.lit(0)))
+
+
 def positional_pairing(trajectories: DataFrame, compact: bool = True) -> DataFrame:
     """Assistant message i <-> screenshot i (steps = min of both counts)
     <-> code click i; coordinates from the action, else from the code.

@@ -1,4 +1,4 @@
-"""Batch jobs (H14, H15, H16, A10): training and prediction end to end.
+"""Batch jobs (H14, H15, H16, H19, A10, E16): training, prediction and trajectory records end to end.
 
 Paths are shared storage (the cluster's file system); params are one small
 JSON document written through Spark.
@@ -6,7 +6,7 @@ JSON document written through Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from judgefuse.operators import assembly as A
@@ -14,10 +14,12 @@ from judgefuse.operators import baseline_lr as LR
 from judgefuse.operators import cases as C
 from judgefuse.operators import em as EM
 from judgefuse.operators import metrics as M
+from judgefuse.operators import trajectory as TR
 from judgefuse.operators.model import RUN_WEIGHTS, ChannelWeights, EMParams
 from judgefuse.operators.steps import apply_defaults, check_evidence, check_order, prepare
 from judgefuse.session import checkpoint_dir
 from judgefuse.sources.records import BAD, good_rows, load_typed, reject_rows, write_results
+from judgefuse.sources.sinks import append_batches
 
 
 def load_steps(spark: SparkSession, path: str, rejects_path: str | None = None) -> DataFrame:
@@ -64,13 +66,14 @@ def predict(raw_steps: DataFrame, params: EMParams, weights: ChannelWeights = RU
 
 def run_prediction(spark: SparkSession, data_path: str, params_path: str, out_dir: str,
                    fmt: str = "csv", rejects_path: str | None = None) -> DataFrame:
-    """H15 with sinks: step posteriors, corrected cases (sorted by case, F4)
-    and flip / confusion summaries."""
+    """H15 with sinks: step posteriors, corrected cases (sorted by case, F4),
+    flip / confusion summaries and the flip frames (one folder each)."""
     params = EM.load_params(spark, params_path)
     step_post, cases = predict(load_steps(spark, data_path, rejects_path), params, both=True)
     write_results(step_post, f"{out_dir}/pred_step", fmt)
     write_results(cases.orderBy("case_id"), f"{out_dir}/pred_corrected_cases", fmt)
     write_results(M.flip_analysis(cases), f"{out_dir}/flip_summary", fmt)
+    write_results(M.flip_frames(cases), f"{out_dir}/flip_frames", fmt, by=("frame",))
     write_results(M.confusion(cases), f"{out_dir}/confusion", fmt)
     return cases
 
@@ -114,3 +117,49 @@ def _lr_sinks(features: DataFrame, params: LR.LRParams, out_dir: str, name: str,
     write_results(cases.orderBy("case_id"), f"{out_dir}/{name}", fmt)
     write_results(lr_summary(cases), f"{out_dir}/summary", fmt)
     return cases
+
+
+# ---- H19 + E16 + A10: trajectory records ---------------------------------------------------
+def record_trajectories(documents: DataFrame, tasks: DataFrame, elements: DataFrame, out_dir: str,
+                        batches: int = 8) -> dict[str, int]:
+    """H19 as a job that can be taken up again: one nested record per task appended to ``out_dir``/records.
+
+    ``documents``: project_name, task, messages, screens, codes, bad_document
+    (raw text of an unreadable one, else NULL).  Unreadable documents and those
+    without a step are failed tasks.  Returns E16's counts of this call, taken
+    by the passes that write (``observe``): n_tasks, n_processed, n_failed,
+    n_iters, n_coordinate_cases.  Tasks of finished batches are not done again;
+    failed ones are tried again.  ``n_tasks`` and ``n_failed`` are counted where
+    the documents are read, so a stage that is run again counts its rows twice.
+    """
+    read, wrote = [], []
+
+    def work(part: DataFrame) -> DataFrame:
+        read.append(Observation())
+        wrote.append(Observation())
+        failed = F.col("bad_document").isNotNull() | (TR.step_count() == 0)
+        part = part.observe(read[-1], F.count(F.lit(1)).alias("n_tasks"), F.count_if(failed).alias("n_failed"))
+        records = TR.nested_records(TR.trajectory_steps(part.filter(~failed), tasks, elements))
+        return records.observe(wrote[-1], F.count(F.lit(1)).alias("n_processed"),
+                               F.sum("summary.total_iters").alias("n_iters"),
+                               F.sum("summary.coordinate_cases").alias("n_coordinate_cases"))
+
+    total = dict.fromkeys(("n_tasks", "n_processed", "n_failed", "n_iters", "n_coordinate_cases"), 0)
+    if documents.isEmpty():
+        return total
+    # a batch of failed tasks only has no records; its plan must still be run to the end for its counts
+    rule = "spark.sql.adaptive.optimizer.excludedRules"
+    spark = documents.sparkSession
+    before = spark.conf.get(rule, "")
+    spark.conf.set(rule, ",".join(filter(None, (before, "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"))))
+    try:
+        append_batches(documents, work, f"{out_dir}/records", "project_name", batches)
+    finally:
+        if before:
+            spark.conf.set(rule, before)
+        else:
+            spark.conf.unset(rule)
+    for seen in (*read, *wrote):
+        for name, n in seen.get.items():
+            total[name] += n or 0
+    return total

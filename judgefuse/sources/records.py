@@ -212,9 +212,9 @@ def gui_evidence_flatten(df: DataFrame, with_ord: bool = False) -> DataFrame:
 
 
 # ---- A10: sinks ------------------------------------------------------------------------------------
-def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    """A10: CSV (header), JSON lines or Parquet through Spark's writers."""
-    w = df.write.mode(mode)
+def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
+    """A10: CSV (header), JSON lines or Parquet through Spark's writers, in folders by the columns ``by``."""
+    w = df.write.mode(mode).partitionBy(*by) if by else df.write.mode(mode)
     if fmt == "csv":
         w.options(header="true", quoteAll="true", **CSV_TEXT).csv(path)
     elif fmt in ("json", "jsonl"):
