@@ -1,8 +1,8 @@
 """Exact Jaccard self-join on word shingles with a token-group matrix.
 
 Documents with one shingle set are one class.  Classes are partitioned into
-groups of similar ones (by their smallest shingle hash; crowded groups are cut
-into parts of about ``GROUP`` classes).  The matrix holds, per group, the union
+groups of similar ones (by the smallest hash among their prefix tokens that other
+classes have too; crowded groups are cut into parts of about ``GROUP`` classes).  The matrix holds, per group, the union
 of its members' *prefix* tokens: two sets that reach the threshold share ``SHARED``
 tokens (or all they need, if fewer) among the rarest ``n - need + SHARED`` of
 each, in any order that all sets follow.
@@ -136,13 +136,13 @@ def linked_rows(df: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
         words, docs_of = known.value
         hasher = WordHash()
         for batch in batches:
-            size, one, two, low, rare, parts = [], [], [], [], [], []
+            size, one, two, rare, parts = [], [], [], [], []
             for t in text_bytes(batch.column(1)):
                 h = hasher.of(t.lower().split())
                 u, at = np.unique(gram_hashes(h, n), return_index=True)
                 size.append(len(u))
                 if not len(u):
-                    one.append(None), two.append(None), low.append(None), rare.append(None), parts.append(None)
+                    one.append(None), two.append(None), rare.append(None), parts.append(None)
                     continue
                 f = np.zeros(len(h))
                 if len(words):
@@ -153,23 +153,24 @@ def linked_rows(df: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
                 least, expected = np.minimum.reduce(around), np.add.reduce(around)
                 p = len(u) - needed(len(u), percent) + SHARED
                 a, b = set_mark(u)
-                one.append(a), two.append(b), low.append(int(u[0].astype(np.int64)))
+                one.append(a), two.append(b)
                 rare.append(u[np.lexsort((u, expected, least))[:p]].astype(np.int64))
                 parts.append(np.bincount((u >> np.uint64(59)).astype(np.int64), minlength=PARTS).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                 pa.array(low, pa.int64()), pa.array(rare, pa.list_(pa.int64())),
-                 pa.array(parts, pa.list_(pa.int32()))],
-                names=["id", "h", "n", "s1", "s2", "low", "rare", "parts"])
+                 pa.array(rare, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))],
+                names=["id", "h", "n", "s1", "s2", "rare", "parts"])
 
-    signed = checkpoint(docs.mapInArrow(sign, "id long, h long, n long, s1 long, s2 long, low long, rare array<long>, parts array<int>"))
+    signed = checkpoint(docs.mapInArrow(sign, "id long, h long, n long, s1 long, s2 long, rare array<long>, parts array<int>"))
     members = signed.select("id", "h", "n", "s1", "s2")
     classes = checkpoint(signed.filter("s1 is not null and id is not null").groupBy("s1", "s2").agg(
-        F.min("id").alias("key"), F.col("s1").alias("rep"), *[F.first(c).alias(c) for c in ("n", "low", "rare", "parts")]))
+        F.min("id").alias("key"), F.col("s1").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "parts")]))
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))  # tokens that a partner's prefix shares
     tokens = classes.select("rep", least.alias("least"), F.explode("rare").alias("token"))
     shared = checkpoint(tokens.withColumn("in", F.count("*").over(Window.partitionBy("token"))).filter(F.col("in") > 1).drop("in"))
-    alive = shared.groupBy("rep", "least").count().filter(F.col("count") >= F.col("least")).select("rep")
+    # near copies have most of their shared tokens in common, so one hash order gives most of them one smallest token
+    alive = shared.groupBy("rep", "least").agg(F.count("*").alias("met"), F.min("token").alias("low")) \
+        .filter(F.col("met") >= F.col("least")).select("rep", "low")
     kept = checkpoint(classes.drop("rare").join(alive, "rep"))
     crowded = kept.groupBy("low").count().filter(F.col("count") > GROUP).select(
         "low", F.ceil(F.col("count") / GROUP).alias("cuts"))
