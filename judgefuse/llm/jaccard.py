@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgefuse.llm.common import Forest, WordHash, checkpoint, components, gram_hashes, small_side, text_bytes
@@ -167,7 +167,9 @@ def linked_rows(df: DataFrame, key: str, text: str, n: int, percent: int) -> Dat
         F.min("id").alias("key"), F.col("s1").alias("rep"), *[F.first(c).alias(c) for c in ("n", "rare", "parts")]))
     least = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))  # tokens that a partner's prefix shares
     tokens = classes.select("rep", least.alias("least"), F.explode("rare").alias("token"))
-    shared = checkpoint(tokens.withColumn("in", F.count("*").over(Window.partitionBy("token"))).filter(F.col("in") > 1).drop("in"))
+    # counts that combine before the shuffle, then a join that can be split: no token's classes meet in one task
+    often = tokens.groupBy("token").count().filter(F.col("count") > 1).select("token")
+    shared = checkpoint(tokens.join(often, "token", "left_semi"))
     # near copies have most of their shared tokens in common, so one hash order gives most of them one smallest token
     alive = shared.groupBy("rep", "least").agg(F.count("*").alias("met"), F.min("token").alias("low")) \
         .filter(F.col("met") >= F.col("least")).select("rep", "low")
