@@ -31,6 +31,31 @@ NEVER = 1 << 60         # the rank of a pair that no merge joins
 # The letters, numbers and spaces below U+0180, for the quick pattern.
 LOW_LETTERS, LOW_NUMBERS, LOW_SPACES = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾", "\\x09-\\x0D\\x20\\x85\\xA0"
 BEYOND_LOW = re.compile("[^\\x00-\u017F]")
+# Fixed values: (first, last, first lower) of capitals that the library lowers and Python's tables do not know.
+LATE_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+                 (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B),
+                 (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+LATE_LOWER = {c: low + c - first for first, last, low in LATE_CAPITALS for c in range(first, last + 1)}
+
+
+# Letters and numbers that ``regex`` knows and the library's tables do not; to the library they are neither.
+LATE_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D,
+    0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1,
+    0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE),
+    (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475,
+    0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123,
+    0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0,
+    0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+    (0x3D000, 0x3FC3F),
+]
+
+
+def ranges_class(ranges) -> str:
+    """The inside of a character class for (first, last, ...) ranges."""
+    return "".join(f"\\U{r[0]:08X}-\\U{r[1]:08X}" for r in ranges)
 
 
 def byte_symbols() -> list[str]:
@@ -149,6 +174,12 @@ class Encoder:
         import regex
         self.vocab = vocab
         self.find = regex.compile(vocab.pattern.replace(r"\s", r"\p{White_Space}")).findall
+        late = ranges_class(LATE_LETTERS)
+        self.late = re.compile(f"[{late}{ranges_class(LATE_CAPITALS)}]").search
+        self.find_late = regex.compile(
+            vocab.pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{late}])")
+            .replace(r"[\p{L}]", rf"[\p{{L}}--[{late}]]").replace(r"[\p{N}]", rf"[\p{{N}}--[{late}]]"),
+            regex.V1).findall
         low = (vocab.pattern.replace(r"[\p{L}]", f"[{LOW_LETTERS}]").replace(r"[\p{N}]", f"[{LOW_NUMBERS}]")
                .replace(r"\p{L}", LOW_LETTERS).replace(r"\p{N}", LOW_NUMBERS).replace(r"\s", LOW_SPACES))
         self.find_low = re.compile(low).findall
@@ -171,7 +202,9 @@ class Encoder:
         if text.isascii():
             return self.find_low(text.lower())
         text = unicodedata.normalize("NFC", text).replace("\u03A3", "\u03C3").lower()
-        return self.find(text) if BEYOND_LOW.search(text) else self.find_low(text)
+        if not BEYOND_LOW.search(text):
+            return self.find_low(text)
+        return self.find_late(text.translate(LATE_LOWER)) if self.late(text) else self.find(text)
 
     def encode(self, texts: list[bytes]) -> list[list[str]]:
         """Pre-tokens of each text; afterwards ``ids`` holds all of them."""

@@ -32,6 +32,14 @@ def test_equals_library(text):
     assert ENCODER.vocab.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_library():
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for low in range(0, len(points), 2000):  # letters, numbers, others and spaces beside each of them
+        text = "".join(f"a{chr(c)}1 {chr(c)}! " for c in points[low:low + 2000])
+        assert encoded(text) == LIBRARY.encode(text, add_special_tokens=False).ids, hex(points[low])
+        ENCODER.reset()
+
+
 @pytest.mark.parametrize("text", ["", " \n", "aaaaaaa aaa", "x<|endoftext|>y <|startoftext|><|endoftext|", "It's WE'LL",
                                   "ΑΣ ΣΑΣ", "hahahahahahaha", "a" * 5000])
 def test_special_cases(text):
