@@ -1,4 +1,12 @@
-from judgefuse.llm.html_text import extract, main_text
+import html
+import random
+import re
+import time
+
+import pytest
+
+from judgefuse.llm import html_text as H
+from judgefuse.llm.html_text import blocks_of, extract, main_text
 
 LONG = "The house of the king is on a hill and it was built by the people who lived in the town for many years. " * 3
 
@@ -74,3 +82,144 @@ def test_unknown_language():
     text = "Talon ikkunat avautuvat merelle ja illalla valo lankeaa lattialle pitkinä raitoina kunnes aurinko laskee. " * 3
     page = f"<body><div>{text}</div><div>Lyhyt rivi.</div><div>{text}</div><div><a href=/1>{text}</a></div></body>"
     assert main_text(page) == "\n".join([text.strip(), "Lyhyt rivi.", text.strip()])
+
+
+def test_names_are_a_prior():
+    prose = LONG.strip()
+    assert main_text(f'<body><div id="social-history"><h1>The guild</h1><p>{LONG}</p></div></body>') == f"The guild\n{prose}"
+    assert main_text(f'<body><div class="notice-board"><p>{LONG}</p><p>{LONG}</p></div></body>') == f"{prose}\n{prose}"
+    assert main_text(f'<article><h1>The guild</h1><div class="social-text"><p>{LONG}</p></div></article>') == f"The guild\n{prose}"
+    page = f'<body><div class="notice-board"><p>{LONG}</p><div class="widget"><p>{LONG}</p></div><p>{LONG}</p></div></body>'
+    assert main_text(page) == f"{prose}\n{prose}"          # the named part of a released one is judged by itself
+    assert main_text(f'<body><div class="sidebar"><p>{LONG}</p></div><div><p>{LONG}</p><p>{LONG}</p></div></body>') == f"{prose}\n{prose}"
+    assert main_text(f'<div style="overflow: hidden" aria-hidden="false"><p>{LONG}</p></div>') == prose
+    assert main_text(f'<div><p>{LONG}</p><p hidden>{LONG}</p></div>') == prose
+
+
+def test_optional_end_tags():
+    prose = LONG.strip()
+    row = f"<tr><td class=ad>Buy now<td><p>{LONG}<td>{LONG}"
+    assert main_text(f"<article><table>{row}{row}</table></article>") == "\n".join([prose] * 4)
+    assert main_text(f"<article><ul><li class=promo>Buy<li>{LONG}</ul><p>{LONG}</article>") == f"{prose}\n{prose}"
+    assert main_text(f"<article><dl><dt class=ad>Buy<dd>{LONG}</dl></article>") == prose
+
+
+@pytest.mark.parametrize("unit", ["<li>item", "<tr><td>cell", "<div>text ", "<div class=widget>text ", "<a href=\"x y ", "<a b='c \"d ",
+                                  "<svg> x ", "<a ", "<p class='", "</div", "<!", "<article><li>x", "<span class=ad>y"])
+def test_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    begin = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - begin < 15  # quadratic scans took hours
+
+
+def plain_blocks(page):
+    """The same blocks by definition: tag ends by character, every fact by a walk over the open elements."""
+    out, stack, parts, at, begin, linked, links = [], [], [], 0, 0, 0, 0
+    state = (False, False, 0, False, False)
+    number = 0
+
+    def close():
+        nonlocal parts, linked
+        text = re.sub(r"\s+", " ", "".join(parts)).strip()
+        if text:
+            out.append((text, linked, *state))
+        parts, linked = [], 0
+
+    def facts():
+        soft = [x[3] for x in stack if x[1] == H.SOFT]
+        return (any(x[1] == H.FIRM for x in stack), any(x[2] for x in stack), soft[-1] if soft else 0,
+                any(x[0] in H.HEADINGS for x in stack), any(x[0] == "li" for x in stack))
+
+    def last(tags):
+        return max((k for k, x in enumerate(stack) if x[0] in tags), default=-1)
+
+    def tag_end(k):
+        first, quote = k, ""
+        while k < len(page):
+            c = page[k]
+            if quote:
+                quote = "" if c == quote else quote
+            elif c == ">":
+                return k
+            elif c in "\"'":
+                quote = c
+            k += 1
+        return page.find(">", first)
+
+    def text_upto(k):
+        nonlocal linked
+        if k > begin:
+            piece = html.unescape(page[begin:k])
+            parts.append(piece)
+            linked += len(re.sub(r"\s+", " ", piece).strip()) if links else 0
+
+    while True:
+        m = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)").search(page, at)
+        if not m:
+            text_upto(len(page))
+            break
+        if not m[2]:
+            text_upto(m.start())
+            mark = "-->" if m[0] == "<!--" else ">"
+            end = page.find(mark, m.end())
+            at = begin = len(page) if end < 0 else end + len(mark)
+            continue
+        end = tag_end(m.end())
+        if end < 0:
+            at = m.end()
+            continue
+        text_upto(m.start())
+        at = begin = end + 1
+        tag, attributes, closing = m[2].lower(), page[m.end():end], bool(m[1])
+        if not closing and tag in H.NO_TEXT and not attributes.rstrip().endswith("/"):
+            e = re.compile(rf"</{tag}\b[^<>]*>", re.I).search(page, at)
+            at = begin = e.end() if e else len(page) if tag in ("script", "style") else at
+            if tag in H.BLOCK:
+                close()
+            continue
+        if tag == "a":
+            links = 0 if closing else 1
+        if tag in H.BLOCK:
+            close()
+            links = 0
+        if tag in H.VOID or tag not in H.BLOCK and not closing and not attributes:
+            continue
+        if closing:
+            k = last((tag,))
+            if k < 0 or tag in ("p", "li", "div") and last(H.SECTIONS) > k:
+                continue
+            if stack[k][1] or stack[k][2]:
+                close()
+            del stack[k:]
+        else:
+            if tag in H.BLOCK and last(("p",)) > last(H.PARAGRAPH_EDGES):
+                del stack[last(("p",)):]
+            ended, edges = H.ENDS.get(tag, ((), ()))
+            while ended and last(ended) > last(edges):
+                del stack[last(ended):]
+            furniture = H.is_furniture(tag, attributes, any(x[2] for x in stack))
+            if furniture:
+                close()
+            if not attributes.rstrip().endswith("/"):
+                number += 1
+                stack.append((tag, furniture, tag in ("article", "main") and not furniture, number))
+        if facts()[:3] != state[:3]:
+            close()
+        state = facts()
+    close()
+    return out
+
+
+def test_blocks_against_plain_version():
+    rng = random.Random(5)
+    pieces = ["<div>", "</div>", "<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<table>", "</table>", "<tr>", "<td>", "<th>", "</td>",
+              "<article>", "</article>", "<main>", "</main>", "<div class='ad'>", "<p class=widget>", "<span id=sidebar>", "</span>",
+              "<nav>", "</nav>", "<aside>", "</aside>", "<h2>", "</h2>", "<a href=x>", "</a>", "<a href=\"q", "<b c='", "\"", "'", ">", "<", "<br>",
+              "<br/>", "<!-- c", "-->", "<!x>", "<svg>", "</svg>", "<script>", "</script>", "<dt>", "<dd>", "<dl>", "</dl>", "<option>", "&amp;",
+              "word ", "two words ", "\n", "x" * 80, "<header>", "</header>", "<section hidden>", "</section>", "<tbody>", "<div/>"]
+    for _ in range(4000):
+        page = "".join(rng.choices(pieces, k=rng.randint(1, 40)))
+        got, around = blocks_of(page)
+        assert [(b.text, b.linked, b.bad, b.inside, b.soft, b.heading, b.item) for b in got] == plain_blocks(page), page
+        assert all(outer < k for k, outer in around.items())
