@@ -19,7 +19,7 @@ from judgefuse.operators.spatial import CONTAINER_TYPES, DROPPED_TYPES, FUNCTION
 ITER_MARK = "#### iter:"
 ITER_SPLIT = r"#### iter:(?=\d)"
 ITER_RE = r"^(\d+)"
-HISTORY_RE = r"(?s)### History operations ###(.*?)(?=### Last Task List ###|$)"
+HISTORY_MARK, HISTORY_END = "### History operations ###", "### Last Task List ###"
 STEP_RE = r"(?s)Step-(\d+):(.*?)(?=Step-\d+:|$)"
 STEP_OPERATION_RE = r"(?s)Operation:\s*(.*?)(?=Action:|$)"
 STEP_ACTION_RE = r"(?s)Action:\s*(.*?)(?=Reflection_thought:|$)"
@@ -72,6 +72,13 @@ def _first_line(c: Column) -> Column:
     return F.substring_index(c, "\n", 1)
 
 
+def _last_history(c: Column) -> Column:
+    """The last history section; NULL without any.  A section runs from the first mark behind the
+    section before it to the next end mark, so it is the last piece between end marks that has a mark."""
+    pieces = F.filter(F.split(c, "\\Q" + HISTORY_END + "\\E"), lambda p: p.contains(HISTORY_MARK))
+    return F.when(c.contains(HISTORY_MARK), TX.after(F.try_element_at(pieces, F.lit(-1)), HISTORY_MARK))
+
+
 def _info_block(c: Column) -> Column:
     return TX.strip_ws(_section(_section(c, "screenshot"), "info"))
 
@@ -145,7 +152,7 @@ def parse_iterations(logs: DataFrame) -> DataFrame:
     reflection_thought, click_x, click_y, operation_desc, info, history.
     Empty sections are NULL; numbers beyond an int are no coordinates.
     """
-    hist = F.try_element_at(F.regexp_extract_all(F.col("text"), F.lit(HISTORY_RE), 1), F.lit(-1))
+    hist = _last_history(F.col("text"))
     # split once; the optimizer keeps a non-cheap expression used twice
     # (size and transform) in its own projection instead of inlining it
     x = logs.select("project_name", hist.alias("_hist"), F.split(F.col("text"), ITER_SPLIT).alias("_cut"))
@@ -168,7 +175,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
     before a log's first marker is its first row and no block."""
     one = F.array(F.struct(F.col("content").alias("c"), F.col("seg").alias("s")))
     its = F.transform(F.transform(F.transform(one, lambda b: _cut_block(b["c"], b["s"])), _read_block), _block_fields)
-    hist = F.try_element_at(F.regexp_extract_all("content", F.lit(HISTORY_RE), 1), F.lit(-1))
+    hist = _last_history(F.col("content"))
     heads = blocks.groupBy("project_name").agg(F.min("seg").alias("seg"))
     x = blocks.select("project_name", "seg", its.getItem(0).alias("_it"), hist.alias("_h"))  # the text ends here
     x = x.filter(F.col("_it.iter_num").isNotNull()).join(heads, ["project_name", "seg"], "left_anti")
@@ -262,27 +269,43 @@ def parsed_elements(info: Column) -> Column:
 
 def cleaned_elements(elements: Column) -> Column:
     """C12 (no images), I1 (of one box the first named element, at the place of
-    the box's first) and D8 (no containers) inside one block's array.  A single
+    the box's first) and D8 (no containers) inside one block's array, by sorting it.  A single
     element stays whatever it is."""
     kept = F.filter(elements, lambda e: ~e["control_type"].isin(*DROPPED_TYPES))
-    box = lambda e: F.struct(e["x1"], e["y1"], e["x2"], e["y2"])
-    same = lambda e, b: (e["x1"] == b["x1"]) & (e["y1"] == b["y1"]) & (e["x2"] == b["x2"]) & (e["y2"] == b["y2"])
+    box = ("x1", "y1", "x2", "y2")
     named = lambda e: e["ui_name"] != ""
 
-    def one(group: Column) -> Column:
-        best = F.coalesce(F.get(F.filter(group, named), F.lit(0)), F.get(group, F.lit(0)))
-        return best.withField("pos", F.get(group, F.lit(0))["pos"])
+    def runs(sorted_: Column) -> Column:
+        """The first entry of each box in a list sorted by box."""
+        return _let(sorted_, lambda r: F.filter(r, lambda e, i: (i == 0) | ~F.struct(*[e[c] for c in box]).eqNullSafe(
+            F.struct(*[F.get(r, i - 1)[c] for c in box]))))
 
-    single = _let(kept, lambda es: F.transform(
-        F.array_distinct(F.transform(es, box)), lambda b: _let(F.filter(es, lambda e: same(e, b)), one)))
+    def one_per_box(es: Column) -> Column:
+        best = runs(F.sort_array(F.transform(es, lambda e: F.struct(*[e[c] for c in box], (~named(e)).alias("unnamed"),
+                                                                    e["pos"].alias("pos"), e.alias("e")))))
+        first = runs(F.sort_array(F.transform(es, lambda e: F.struct(*[e[c] for c in box], e["pos"].alias("pos")))))
+        return F.zip_with(best, first, lambda b, f: b["e"].withField("pos", f["pos"]))
 
     def holds(a: Column, b: Column) -> Column:
-        return ((a["el_id"] != b["el_id"]) & (a["x1"] <= b["x1"]) & (a["y1"] <= b["y1"]) & (a["x2"] >= b["x2"])
+        return ((a["x1"] <= b["x1"]) & (a["y1"] <= b["y1"]) & (a["x2"] >= b["x2"])
                 & (a["y2"] >= b["y2"]) & (~named(a) | (b["control_type"].isin(*FUNCTIONAL_TYPES)
                                                        & ~a["control_type"].isin(*FUNCTIONAL_TYPES))))
 
-    return _let(single, lambda es: F.when(F.size(es) < 2, es).otherwise(F.filter(
-        es, lambda a: ~a["control_type"].isin(*CONTAINER_TYPES) & ~F.exists(es, lambda b: holds(a, b)))))
+    def without_containers(es: Column) -> Column:
+        """Sorted from the top, larger boxes first, a box holds only later ones that begin above its lower
+        edge; where these end comes from one list of all upper and lower edges in order."""
+        tops = F.transform(es, lambda r: F.struct(r["y1"].alias("y"), F.lit(0).alias("lower"), F.lit(-1).alias("i")))
+        lows = F.transform(es, lambda r, i: F.struct(r["e"]["y2"].alias("y"), F.lit(1).alias("lower"), i.alias("i")))
+        edges = F.transform(F.sort_array(F.concat(tops, lows)), lambda r, p: F.struct(r["i"].alias("i"), p.alias("p")))
+        until = F.transform(F.filter(edges, lambda r: r["i"] >= 0), lambda r, j: F.struct(r["i"].alias("i"), (r["p"] - j).alias("n")))
+        kept = _let(F.sort_array(until), lambda u: F.filter(es, lambda r, i: ~r["e"]["control_type"].isin(*CONTAINER_TYPES) & ~F.exists(
+            F.slice(es, i + 2, F.greatest(F.get(u, i)["n"] - i - 1, F.lit(0))), lambda o: holds(r["e"], o["e"]))))
+        return F.transform(F.sort_array(F.transform(kept, lambda r: F.struct(r["e"]["pos"].alias("pos"), r["e"].alias("e")))), lambda r: r["e"])
+
+    ordered = lambda e: F.struct(e["y1"].alias("y1"), (-e["y2"]).alias("y2"), e["x1"].alias("x1"),
+                                 (-e["x2"]).alias("x2"), e["pos"].alias("pos"), e.alias("e"))
+    return _let(_let(kept, one_per_box), lambda es: F.when(F.size(es) < 2, es).otherwise(
+        _let(F.sort_array(F.transform(es, ordered)), without_containers)))
 
 
 def element_lines(iters: DataFrame) -> DataFrame:
@@ -383,7 +406,8 @@ def trace_log_pipeline(logs: DataFrame, has_image: DataFrame | None = None,
     iters = iters.withColumn("_els", cleaned_elements(parsed_elements(F.col("info"))))
     iters = iters.withColumn("_sorted", F.when(F.col("click_x").isNotNull(),
                                                by_distance(F.col("_els"), F.col("click_x"), F.col("click_y"))))
-    iters = iters.withColumn("n_elements", F.coalesce(F.size("_els"), F.lit(0))).drop("info", "_els").checkpoint()
+    iters = iters.withColumn("n_elements", F.coalesce(F.size("_els"), F.lit(0))) \
+        .drop("info", "_els", "operation").checkpoint()  # ``operation_desc`` is the operation of a click
     rec = iters.drop("history")
     if has_image is not None:
         # repeated image rows must not multiply records

@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a small file, from each of which long texts are built, over all cores.  Only the given
+    columns move; a fixed number of partitions is neither coalesced nor dealt again by a join on ``key``."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def steps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence steps in the reference's column names (one row per event)."""
     ev = table(spark, sf_dir, "events")
@@ -308,7 +315,7 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """project_name = log_<event_id>, one to six iterations with the sections the
     parsers read; operations carry the whole text of the document of that id."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("doc"))
-    ev = table(spark, sf_dir, "events").select("event_id").join(docs, "event_id", "left")
+    ev = dealt(table(spark, sf_dir, "events").select("event_id"), "event_id").join(docs, "event_id", "left")
     e = F.col("event_id")
     n = (e % 6 + 1).cast("int")
     told = F.coalesce(F.concat(F.lit("\n"), F.col("doc")), F.lit(""))

@@ -238,13 +238,18 @@ _ANS = ["' 1 '", "concat('0', chr(10))", "'10'", "'yes'", "'1 1'", "concat(chr(1
 
 
 @register("answer_validity", ops="B17", sql=f"""
-WITH a AS (SELECT event_id, list_extract([{', '.join(_ANS)}], CAST(event_id % 6 + 1 AS INTEGER)) AS answer FROM events),
+WITH a AS (SELECT event_id, concat(list_extract([{', '.join(_ANS)}], CAST(event_id % 6 + 1 AS INTEGER)),
+      CASE WHEN event_id % 4 <> 0 THEN concat(chr(10), coalesce(text, '')) ELSE '' END) AS answer
+    FROM events LEFT JOIN documents ON doc_id = event_id),
 c AS (SELECT *, replace(replace(regexp_replace(answer, '^\\s+|\\s+$', '', 'g'), chr(10), ''), ' ', '') AS clean FROM a)
-SELECT event_id, answer, contains(clean, '1') <> contains(clean, '0') AS valid,
+SELECT event_id, md5(answer) AS answer_md5, contains(clean, '1') <> contains(clean, '0') AS valid,
        CASE WHEN contains(clean, '1') THEN 1 ELSE 0 END AS value FROM c""")
 def q_answer_validity(spark, sf):
-    ev = fx.table(spark, sf, "events")
+    """The answers of three events of four go on with the whole text of the document of that id, digits included."""
+    docs = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("event_id"), "text")
     answers = F.array(F.lit(" 1 "), F.lit("0\n"), F.lit("10"), F.lit("yes"), F.lit("1 1"), F.lit("\n 0 0"))
-    a = ev.select("event_id", F.element_at(answers, (F.col("event_id") % 6 + 1).cast("int")).alias("answer"))
+    more = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.lit(""))
+    a = fx.table(spark, sf, "events").select("event_id").join(docs, "event_id", "left").select("event_id", F.concat(
+        F.element_at(answers, (F.col("event_id") % 6 + 1).cast("int")), more).alias("answer"))
     valid, value = TL.answer_validity("answer")
-    return a.select("event_id", "answer", valid.alias("valid"), value.alias("value"))
+    return a.select("event_id", F.md5("answer").alias("answer_md5"), valid.alias("valid"), value.alias("value"))

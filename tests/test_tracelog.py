@@ -1,5 +1,9 @@
 """Trace logs on literal texts: repeated iterations, field rules, bad numbers."""
 
+import random
+import re
+import time
+
 from judgefuse.operators import tracelog as TL
 
 
@@ -69,3 +73,65 @@ def test_large_logs_are_split_by_block(spark, tmp_path):
     want = TL.trace_log_pipeline(TL.read_logs(spark, str(tmp_path / "*"))).drop("seg").collect()
     assert len(got) == 80 and sorted(map(str, got)) == sorted(map(str, want))
     assert {r.operation_desc for r in got if r.iter_num == 2} == {"told"}
+
+
+def plain_cleaned(elements):
+    """I1 and D8 of a list of dicts, by all pairs."""
+    kept, out = [e for e in elements if e["control_type"] not in TL.DROPPED_TYPES], {}
+    for e in kept:
+        out.setdefault((e["x1"], e["y1"], e["x2"], e["y2"]), []).append(e)
+    single = [{**next((e for e in same if e["ui_name"]), same[0]), "pos": same[0]["pos"]} for same in out.values()]
+    if len(single) < 2:
+        return single
+
+    def holds(a, b):
+        inside = a["x1"] <= b["x1"] and a["y1"] <= b["y1"] and a["x2"] >= b["x2"] and a["y2"] >= b["y2"]
+        return a is not b and inside and (not a["ui_name"] or b["control_type"] in TL.FUNCTIONAL_TYPES
+                                          and a["control_type"] not in TL.FUNCTIONAL_TYPES)
+    return [a for a in single if a["control_type"] not in TL.CONTAINER_TYPES and not any(holds(a, b) for b in single)]
+
+
+ELEMENTS = "id int, els array<struct<el_id:string,pos:int,cx:int,cy:int,ui_name:string,control_type:string,x1:int,y1:int,x2:int,y2:int>>"
+
+
+def element_list(rng, n, span, side):
+    types = [*TL.DROPPED_TYPES, *TL.CONTAINER_TYPES, *TL.FUNCTIONAL_TYPES, "Text", "Text", "Text", "Group", "Edit"]
+    out = []
+    for k in range(n):
+        x, y = rng.randint(0, span), rng.randint(0, span)
+        out.append(dict(el_id=f"element_{k}", pos=k, cx=0, cy=0, ui_name=rng.choice(["", "a"]), control_type=rng.choice(types),
+                        x1=x, y1=y, x2=x + rng.randint(0, side), y2=y + rng.randint(0, side)))
+    return out
+
+
+def test_elements_of_a_block_against_all_pairs(spark):
+    rng = random.Random(3)
+    lists = [element_list(rng, rng.randint(0, 25), rng.choice([2, 6, 40]), rng.choice([2, 8, 60])) for _ in range(400)]
+    rows = [(k, [tuple(e.values()) for e in es]) for k, es in enumerate(lists)] + [(-1, None)]
+    df = spark.createDataFrame(rows, ELEMENTS)
+    got = {r.id: r.c for r in df.select("id", TL.cleaned_elements(df.els).alias("c")).collect()}
+    assert not got.pop(-1)
+    for k, es in enumerate(lists):
+        assert [e.asDict() for e in got[k]] == plain_cleaned(es), es
+
+
+def test_large_block(spark):
+    rng = random.Random(4)
+    es = element_list(rng, 5000, 20000, 60)
+    df = spark.createDataFrame([(0, [tuple(e.values()) for e in es])], ELEMENTS).cache()
+    df.count()
+    out = df.select(TL.cleaned_elements(df.els).alias("c"))
+    out.collect()
+    begin = time.perf_counter()
+    got = out.first().c
+    assert time.perf_counter() - begin < 4
+    assert [e.el_id for e in got] == [e["el_id"] for e in plain_cleaned(es)]
+
+
+def test_last_history_section(spark):
+    h, e = TL.HISTORY_MARK, TL.HISTORY_END
+    texts = [f"x{h}a{e}b", f"{h}a{e}{h}b{h}c{e}d{e}", f"{h}a", f"a{e}b", "", f"{e}{h}a{e}{e}t", f"{h}a{e}x{h}", f"{h}{e}"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.h for r in df.orderBy("k").select(TL._last_history(df.t).alias("h")).collect()]
+    want = [(re.findall(f"(?s){re.escape(h)}(.*?)(?={re.escape(e)}|$)", t) or [None])[-1] for t in texts]
+    assert got == want
