@@ -38,12 +38,20 @@ def let(value: Column, body) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words covered by a 3-word window that the text holds more than once."""
+    """Words covered by a 3-word window that the text holds more than once.
+
+    Windows of equal hash are looked for first; only these are then sorted by their three words.
+    """
 
     def covered(p: Column) -> Column:
         step = F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long"))))
         return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
+    def beside(s: Column, key) -> Column:
+        """Entries of a sorted list that a neighbour equals in ``key``."""
+        same = lambda x, i: F.coalesce(key(F.get(s, i)) == key(x), F.lit(False))
+        return F.filter(s, lambda x, i: same(x, i + 1) | same(x, i - 1))
+
     def window(h: Column, i: Column) -> Column:
         return F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2))
 
@@ -51,35 +59,58 @@ def repeated_words(words: Column) -> Column:
         # 48 bits of a window's hash above 16 bits of its position: sorting brings equal windows together
         spots = F.sequence(F.lit(0), F.size(h) - 3)
         packed = F.transform(spots, lambda i: F.shiftleft(window(h, i), 16).bitwiseOR(i.cast("long")))
-        return let(F.sort_array(packed), lambda s: let(F.sort_array(F.transform(
-            F.filter(s, lambda x, i: F.coalesce(F.shiftright(F.get(s, i + 1), 16) == F.shiftright(x, 16), F.lit(False))
-                     | F.coalesce(F.shiftright(F.get(s, i - 1), 16) == F.shiftright(x, 16), F.lit(False))),
-            lambda x: x.bitwiseAND(F.lit(65535).cast("long")))), covered))
+        return let(F.sort_array(packed), lambda s: F.transform(
+            beside(s, lambda x: F.shiftright(x, 16)), lambda x: x.bitwiseAND(F.lit(65535).cast("long"))))
 
     def long(h: Column) -> Column:
         spots = F.sequence(F.lit(0), F.size(h) - 3)
         pairs = F.transform(spots, lambda i: F.struct(window(h, i).alias("h"), i.cast("long").alias("i")))
-        return let(F.sort_array(pairs), lambda s: let(F.sort_array(F.transform(
-            F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))
-                     | F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"])), covered))
+        return let(F.sort_array(pairs), lambda s: F.transform(beside(s, lambda x: x["h"]), lambda x: x["i"]))
+
+    def equal(p: Column) -> Column:
+        at = lambda i, k: F.get(words, i.cast("int") + k)
+        full = F.transform(p, lambda i: F.struct(F.struct(at(i, 0), at(i, 1), at(i, 2)).alias("w"), i.alias("i")))
+        return let(F.sort_array(full), lambda s: F.sort_array(F.transform(beside(s, lambda x: x["w"]), lambda x: x["i"])))
+
+    none = F.array().cast("array<bigint>")
+    alike = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h:
+                F.when(F.size(h) < 3, none).when(F.size(h) < WIDE, short(h)).otherwise(long(h)))
+    return let(let(alike, equal), covered)
+
+
+BASE = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` that are not called like one of ``names``."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def packed(df: DataFrame, keep: list[str]) -> Column:
+    """``keep`` as one struct, out of the way of the columns added here."""
+    return F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(None).cast("string").alias("_"))
+
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h:
-               F.when(F.size(h) < 3, F.lit(0).cast("long")).when(F.size(h) < WIDE, short(h)).otherwise(long(h)))
+def unpacked(keep: list[str]) -> list[Column]:
+    return [F.col("__row").getField(c).alias(c) for c in keep]
 
 
 def base_statistics(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (all long)."""
+    """``df`` plus ``BASE`` (all long), in place of columns that are called so."""
     raw = F.coalesce(F.col(text), F.lit(""))
-    d = df.withColumn("__words", F.array_remove(F.split(raw, r"[\x20\x09-\x0D]+"), ""))
+    keep = others(df, *BASE)
     lines = F.filter(F.split(raw, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.withColumn("__lines", lines)
-    return d.select(
-        *df.columns, F.size("__words").cast("long").alias("n_words"),
+    d = df.select(packed(df, keep).alias("__row"), raw.alias("__raw"),
+                  F.array_remove(F.split(raw, r"[\x20\x09-\x0D]+"), "").alias("__words"), lines.alias("__lines"))
+    d = d.select(
+        "__row", F.size("__words").cast("long").alias("n_words"),
         F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(raw, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("__raw", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__words")).alias("n_repeat_words"))
+    return d.select(*unpacked(keep), *BASE)
 
 
 def transformed() -> list[Column]:
@@ -199,13 +230,17 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     Null texts count as empty (base_failed); null languages and sources are
     groups of their own; constant statistics are held up by ``FLOORS``; where
     nothing passes the base rules there is no estimate and nothing is kept.
-    Repeated rows are judged alike; an empty table stays empty.
+    Repeated rows are judged alike; an empty table stays empty.  Columns called like an
+    output are replaced; all others are returned as they came, whatever their names.
     """
-    facts = checkpoint(base_statistics(df, text).drop(text).withColumn(
+    out = [*BASE, "base_failed", "distance", "kept"]
+    keep = others(df, text, *out)
+    plain = df.select(packed(df, keep).alias("__row"), F.col(text).alias("__text"), F.col(lang).alias("__l"), F.col(source).alias("__s"))
+    facts = checkpoint(base_statistics(plain, "__text").drop("__text").withColumn(
         "base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
         .select("*", *transformed()))
-    by_lang = F.concat(F.lit("l"), F.coalesce(F.col(lang), F.lit("\0")))
-    keys = {"source": F.concat(by_lang, F.lit("\1"), F.coalesce(F.col(source), F.lit("\0"))), "lang": by_lang, "all": F.lit("*")}
+    by_lang = F.concat(F.lit("l"), F.coalesce(F.col("__l"), F.lit("\0")))
+    keys = {"source": F.concat(by_lang, F.lit("\1"), F.coalesce(F.col("__s"), F.lit("\0"))), "lang": by_lang, "all": F.lit("*")}
     rows = (facts.filter("not base_failed").select(F.explode(F.array(*keys.values())).alias("key"), *STATS))
     params = estimates(rows)
     names = [c for c in params.columns if c not in ("key", "n")]
@@ -219,5 +254,6 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     best = F.coalesce(F.col("__p_source"), F.col("__p_lang"), everyone)
     judged = judged.withColumn("__p", best).select(*facts.columns, *[F.col("__p")[c].alias(c) for c in names])
     cut = chi2_quantile(1 - TAIL, len(STATS))
-    return with_distance(judged, "distance").drop(*names, *STATS).withColumn(
+    judged = with_distance(judged, "distance").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(False)))
+    return judged.select(*unpacked(keep), *out)

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from judgefuse.llm import rules
 
@@ -103,3 +104,25 @@ def test_fixed_point_of_smallest_determinant(spark):
             c, v = step(c, v)
         ends.append(np.linalg.slogdet(v)[1])
     assert np.linalg.slogdet(cov)[1] <= min(ends) + 0.05
+
+
+def test_clashing_columns(spark, make_docs):
+    rng = random.Random(4)
+    docs = make_docs([(i, prose(rng, rng.randint(60, 400)), "en", "a") for i in range(60)])
+    want = {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in rules.judge(docs).collect()}
+    out = [*rules.BASE, "base_failed", "distance", "KEPT"]
+    own = ["__row", "__words", "__text", "__l", "x_words", "m_0", "l_0_0", "key", "start", "__p", "__source", "a.b"]
+    clash = docs.select("*", *[F.lit("old").alias(c) for c in out + own])
+    got = rules.judge(clash)
+    assert set(own) < set(got.columns) and len({c.lower() for c in got.columns}) == len(got.columns)
+    rows = got.collect()
+    assert {r.doc_id: (r.n_words, r.n_repeat_words, r.base_failed, r.kept) for r in rows} == want
+    assert all(r[c] == "old" for r in rows for c in own)
+    assert {r.doc_id: r.n_words for r in rules.base_statistics(clash.drop("a.b")).collect()} == {k: v[0] for k, v in want.items()}
+
+
+def test_windows_are_compared_by_words(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(rules.F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # every window collides
+    rows = [(i, t) for i, t in enumerate(texts()[:-1])]
+    got = {r.doc_id: r.n_repeat_words for r in rules.base_statistics(make_docs(rows)).collect()}
+    assert got == {i: base(t)[4] for i, t in rows}
