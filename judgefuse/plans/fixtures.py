@@ -321,13 +321,14 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.coalesce(F.concat(F.lit("\n"), F.col("doc")), F.lit(""))
 
     def block(i):
+        """Block ``i`` (a number, so that Spark compiles the texts instead of interpreting a lambda)."""
         x = (e * 97 + i * 13) % 1500 + 100
         y = (e * 61 + i * 7) % 800 + 100
         ak = (e * 3 + i) % 3
         action = (F.when(ak == 0, F.concat(F.lit("pyautogui.click("), _s(x), F.lit(", "), _s(y), F.lit(")")))
                    .when(ak == 1, F.lit("pyautogui.typewrite('abc')"))
                    .otherwise(F.lit('Tell ({"0": {"result": "Pass", "evidence": "ok"}})')))
-        op = F.when((e + i) % 5 != 0, F.concat(F.lit("### Operation ###\nClick item "), _s(i), F.lit(" of "), _s(e),
+        op = F.when((e + i) % 5 != 0, F.concat(F.lit(f"### Operation ###\nClick item {i} of "), _s(e),
                                                told, F.lit("\n"))).otherwise(F.lit(""))
         out_action = F.concat(F.lit("######################## output_action:\n### Action ###\n"), action, F.lit("\n"),
                               op, F.lit("### Task List ###\n- do stuff\n######################## output_action end\n"))
@@ -340,10 +341,9 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         tk = (e + 2 * i) % 3
         thought = (F.when(tk == 0, F.concat(
             F.lit("### Reflection Thought ###\nAnalyze whether the screen content and state match the expected outcome of step "),
-            _s(i), F.lit(".\n### Thought ###\nthinking\n### Reflection Thought ###\nPage "), _s(e),
-            F.lit(" changed after step "), _s(i), F.lit(".\n### Thought ###\nmore\n")))
-            .when(tk == 1, F.concat(F.lit("### Reflection Thought ###\n\nButton "), _s(i),
-                                    F.lit(" now enabled.\nsecond line\n### Action ###\nnext\n")))
+            F.lit(f"{i}.\n### Thought ###\nthinking\n### Reflection Thought ###\nPage "), _s(e),
+            F.lit(f" changed after step {i}.\n### Thought ###\nmore\n")))
+            .when(tk == 1, F.lit(f"### Reflection Thought ###\n\nButton {i} now enabled.\nsecond line\n### Action ###\nnext\n"))
             .otherwise(F.lit("")))
         hit = (e + i) % 2 == 0
         bx1 = F.when(hit, x - 10).otherwise(x + 200)
@@ -352,17 +352,15 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         by2 = F.when(hit, y + 20).otherwise(y + 180)
         rect = lambda a, b, c, d: F.concat(F.lit("rect: ("), _s(a), F.lit(", "), _s(b), F.lit(", "), _s(c),
                                            F.lit(", "), _s(d), F.lit(")"))
-        extra = F.array_join(F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(2)), lambda j: j < (e + i) % 4),
-            lambda j: F.concat(F.lit("(1, 1); text:extra"), _s(j), F.lit("; control_type:Button; "),
-                               rect(j * 10 + 12, F.lit(1050), j * 10 + 17, F.lit(1060)), F.lit("\n"))), "")
+        extra = F.concat(*[F.when((e + i) % 4 > j, F.lit(
+            f"(1, 1); text:extra{j}; control_type:Button; rect: ({j * 10 + 12}, 1050, {j * 10 + 17}, 1060)\n")).otherwise(F.lit(""))
+            for j in range(3)])
         lines = F.concat(
-            F.lit("("), _s(x), F.lit(", "), _s(y), F.lit("); text:btn"), _s(i), F.lit("; control_type:Button; "),
+            F.lit("("), _s(x), F.lit(", "), _s(y), F.lit(f"); text:btn{i}; control_type:Button; "),
             rect(bx1, by1, bx2, by2), F.lit("\n"),
             F.lit("("), _s(x), F.lit(", "), _s(y), F.lit("); text:; control_type:Text; "), rect(bx1, by1, bx2, by2),
             F.lit("\n\n(960, 540); text:; control_type:Pane; rect: (0, 0, 1920, 1080)\n"),
-            F.lit("("), _s(x + 90), F.lit(", "), _s(y + 50), F.lit("); text:label"), _s(i),
-            F.lit("; control_type:Text; "), rect(x + 60, y + 40, x + 120, y + 60), F.lit("\n"),
+            F.lit("("), _s(x + 90), F.lit(", "), _s(y + 50), F.lit(f"); text:label{i}; control_type:Text; "), rect(x + 60, y + 40, x + 120, y + 60), F.lit("\n"),
             F.lit("("), _s(x + 90), F.lit(", "), _s(y + 50), F.lit("); text:; control_type:Group; "),
             rect(x + 55, y + 35, x + 130, y + 70),
             F.lit("\njunk line without format\n(1, 1); text:logo; control_type:Image; rect: (0, 0, 10, 10)\n"), extra)
@@ -371,17 +369,16 @@ def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("Please note that this information is not necessarily accurate\n### Hints ###\n"))).otherwise(F.lit(""))
 
         def hstep(k):
-            hact = F.when(k % 2 == 1, F.concat(F.lit("pyautogui.click("), _s((e + k * 11) % 1000), F.lit(", "),
-                                               _s((e + k * 17) % 700), F.lit(")"))).otherwise(F.lit("pyautogui.press('enter')"))
-            return F.concat(F.lit("Step-"), _s(k), F.lit(": Operation: hist op "), _s(k), F.lit(" of "), _s(e),
-                            F.lit("\nAction: "), hact, F.lit("\nReflection_thought: hist refl "), _s(k),
-                            F.lit("\n\tMemory: mem "), _s(k), F.lit("\n"))
-        history = F.when((i == n) & (e % 8 != 0), F.concat(
-            F.lit("### History operations ###\n"), F.array_join(F.transform(F.sequence(F.lit(1), n), hstep), ""),
+            hact = (F.concat(F.lit("pyautogui.click("), _s((e + k * 11) % 1000), F.lit(", "), _s((e + k * 17) % 700), F.lit(")"))
+                    if k % 2 else F.lit("pyautogui.press('enter')"))
+            return F.concat(F.lit(f"Step-{k}: Operation: hist op {k} of "), _s(e), F.lit("\nAction: "), hact,
+                            F.lit(f"\nReflection_thought: hist refl {k}\n\tMemory: mem {k}\n"))
+        history = F.when((n == i) & (e % 8 != 0), F.concat(
+            F.lit("### History operations ###\n"), *[hstep(k) for k in range(1, i + 1)],
             F.lit("### Last Task List ###\n- done\n"))).otherwise(F.lit(""))
-        return F.concat(F.lit("#### iter:"), _s(i), F.lit("\n"), out_action, refl, thought, screen, history)
+        return F.concat(F.lit(f"#### iter:{i}\n"), out_action, refl, thought, screen, history)
 
-    text = F.concat(F.lit("log header\n"), F.array_join(F.transform(F.sequence(F.lit(1), n), block), ""))
+    text = F.when(e.isNotNull(), F.concat(F.lit("log header\n"), *[F.when(n >= i, block(i)).otherwise(F.lit("")) for i in range(1, 7)]))
     return ev.select(F.concat(F.lit("log_"), _s(e)).alias("project_name"), text.alias("text"))
 
 

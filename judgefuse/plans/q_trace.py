@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from judgefuse.operators import tracelog as TL
 from judgefuse.plans import fixtures as fx
 from judgefuse.plans.registry import register
-from judgefuse.session import shared_folder
+from judgefuse.session import checkpoint_dir, shared_folder
 
 PARAMS_SQL = """
 WITH it AS (
@@ -111,13 +111,16 @@ def q_log_blocks(spark, sf):
     folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
     logs = _logs(spark, sf).select(F.replace("text", F.lit("Click item"), F.lit("Click #### iter:item")).alias("text"))
     logs.write.text(folder)
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    # The split size follows the size of the files (Spark's own rule) from 256k on; it is fixed when the files are
+    # read, so that the digests (not the texts) are checkpointed here.
+    checkpoint_dir(spark)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "256k")
     try:
-        blocks = TL.read_log_blocks(spark, folder)
+        blocks = TL.parse_blocks(TL.read_log_blocks(spark, folder))
+        return blocks.select("iter_num", F.md5("operation").alias("operation_md5"), F.col("action_content").alias("action")).checkpoint()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    return TL.parse_blocks(blocks).select("iter_num", F.md5("operation").alias("operation_md5"), F.col("action_content").alias("action"))
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
 
 
 @register("history_steps", ops="B7", sql=PARAMS_SQL + """

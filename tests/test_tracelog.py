@@ -135,3 +135,35 @@ def test_last_history_section(spark):
     got = [r.h for r in df.orderBy("k").select(TL._last_history(df.t).alias("h")).collect()]
     want = [(re.findall(f"(?s){re.escape(h)}(.*?)(?={re.escape(e)}|$)", t) or [None])[-1] for t in texts]
     assert got == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fields_nobody_reads_are_not_parsed(spark):
+    logs = spark.createDataFrame([("p", "head\n" + block(1))], "project_name string, text string")
+    plan = plan_of(TL.parse_iterations(logs).select("iter_num", "reflection"))
+    assert "### Answer ###" in plan and "Reflection Thought" not in plan and "Screenshot information" not in plan
+
+
+def test_records_of_whole_logs_are_not_moved(spark):
+    history = "### History operations ###\nStep-1: Operation: told\nAction: a\n### Last Task List ###\n"
+    logs = spark.createDataFrame([("p", "head\n" + block(1, history=history))], "project_name string, text string")
+    out = TL.trace_log_pipeline(logs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r.operation_desc, r.action_content) for r in out.collect()] == [("told", "a")]
+
+
+def test_log_blocks_of_loose_markers_are_not_checkpointed(spark, tmp_path):
+    text = "head\n" + "".join(block(n, op=f"press #### iter:it #### iter: {n}") for n in range(1, 31))
+    (tmp_path / "a.txt").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        blocks = TL.read_log_blocks(spark, str(tmp_path))
+        assert "LogicalRDD" not in plan_of(blocks)  # a checkpoint of the texts
+        got = sorted((r.iter_num, r.operation) for r in TL.parse_blocks(blocks).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(n, f"press #### iter:it #### iter: {n}") for n in range(1, 31)]
