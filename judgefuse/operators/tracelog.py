@@ -58,6 +58,11 @@ def _first(c: Column, pat: str, i: int = 1) -> Column:
     return F.regexp_extract(c, pat, i)
 
 
+def _int(c: Column) -> Column:
+    """try_cast to int, NULL for '' at once (a failed cast raises and catches an error with its whole stack)."""
+    return _non_empty(c).try_cast("int")
+
+
 def _section(c: Column, name: str) -> Column:
     """A delimited section (``SECTION_MARKERS``), '' without any: one search for the start
     marker, then for the end marker; without an end marker nothing is searched again."""
@@ -212,7 +217,7 @@ def parse_blocks(blocks: DataFrame) -> DataFrame:
 def _parsed(blocks: DataFrame, *keep: str) -> DataFrame:
     """The fields of (project_name, seg, content) rows, the text left out."""
     c = F.col("content")
-    x = blocks.select("project_name", "seg", F.nullif(_first(_first_line(c), ITER_RE), F.lit("")).try_cast("int").alias("iter_num"),
+    x = blocks.select("project_name", "seg", _int(_first(_first_line(c), ITER_RE)).alias("iter_num"),
                       _section(c, "output_action").alias("_out"), TX.strip_ws(_answer(_section(c, "reflection_output"))).alias("_ans"),
                       reflection_text(c).alias("reflection_thought"), _info_block(c).alias("info"), *keep)
     out = F.col("_out")
@@ -220,7 +225,7 @@ def _parsed(blocks: DataFrame, *keep: str) -> DataFrame:
         "project_name", "seg", "iter_num", reflection_of(F.col("_ans")).alias("reflection"),
         _non_empty(TX.strip_ws(_section(out, "operation"))).alias("operation"),
         _non_empty(TX.strip_ws(_section(out, "action"))).alias("action_content"), "reflection_thought",
-        _first(out, CLICK_RE, 1).try_cast("int").alias("_cx"), _first(out, CLICK_RE, 2).try_cast("int").alias("_cy"), "info", *keep)
+        _int(_first(out, CLICK_RE, 1)).alias("_cx"), _int(_first(out, CLICK_RE, 2)).alias("_cy"), "info", *keep)
     both = F.col("_cx").isNotNull() & F.col("_cy").isNotNull() & F.col("operation").isNotNull()
     return x.select("project_name", "seg", "iter_num", "reflection", "operation", "action_content", "reflection_thought",
                     F.when(both, F.col("_cx")).alias("click_x"), F.when(both, F.col("_cy")).alias("click_y"),
@@ -234,7 +239,7 @@ def step_list(history: Column) -> Column:
     several times is cut once."""
     def cut(s: Column, k: Column) -> Column:
         act = TX.strip_ws(_first(s, STEP_ACTION_RE))
-        return F.struct(k.alias("k"), _first(s, r"^Step-(\d+):").try_cast("int").alias("n"), act.alias("act"),
+        return F.struct(k.alias("k"), _int(_first(s, r"^Step-(\d+):")).alias("n"), act.alias("act"),
                         TX.strip_ws(_first(s, STEP_OPERATION_RE)).alias("op"), TX.strip_ws(_first(s, STEP_REFLECTION_RE)).alias("refl"))
 
     def fields(r: Column) -> Column:
@@ -243,7 +248,7 @@ def step_list(history: Column) -> Column:
         return F.struct(
             r["k"].alias("k"), r["n"].alias("step_num"), _non_empty(r["op"]).alias("h_operation"), _non_empty(r["act"]).alias("h_action"),
             _non_empty(F.regexp_replace(refl, r"[\n\t ]+$", "")).alias("h_reflection"),
-            _first(r["act"], CLICK_RE, 1).try_cast("int").alias("h_x"), _first(r["act"], CLICK_RE, 2).try_cast("int").alias("h_y"))
+            _int(_first(r["act"], CLICK_RE, 1)).alias("h_x"), _int(_first(r["act"], CLICK_RE, 2)).alias("h_y"))
 
     return F.transform(F.transform(F.regexp_extract_all(history, F.lit(STEP_RE), 0), cut), fields)
 
