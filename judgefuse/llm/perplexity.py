@@ -1,183 +1,396 @@
-"""Quality classifier: interpolated modified Kneser-Ney n-grams, perplexity, language quantiles.
-
-The symbols are characters folded to 64 classes, so an n-gram of order 4 is a
-24-bit code and the distinct n-grams of a block of texts stay few, however long
-the texts are: a block asks for each of its n-grams once.
-
-*Training* counts the n-grams of all trusted texts, combined per task and then
-summed in a shuffle sharded by code.  Discounts come from the counts of counts,
-continuation counts and context totals from aggregations of the count tables.
-*Scoring* joins the distinct requested codes with the count tables of every
-order, giving each its interpolated probability, joins those back to the blocks'
-requests, and each block sums up its documents.  A document passes where its
-perplexity is at most a high quantile of the trusted texts of its language; a
-short text's mean is steadied with some symbols of that language's median.
+"""Quality classifier: interpolated modified Kneser-Ney over words, perplexity, language quantiles.
+
+The symbols are words (``common.WORD_PATTERN``, unchanged) and n-grams have order 3;
+two marks stand before every text.  Texts are packed into chunks once.  The n-grams
+go by their first or last two words: a shard holds all trigrams that follow its pairs
+and all words that stand before them, so that counts, continuation counts and context
+totals are complete in it.  Each chunk asks a shard once for each of its different pairs
+and trigrams and gets their whole counts back; the probabilities are worked out in
+the chunk.  Shards are done in ``PASSES`` turns, so that the disk holds one part of the
+n-grams at a time; they get their answers in ``PARTS`` turns for the same reason.
+
+A word is told by 40 bits of a hash, a pair or trigram by 48.  A part of the trusted
+texts (``HELD_OUT``) is not counted: a document passes where its perplexity is at most a
+high quantile of those texts of its language; a short text's mean is steadied
+with some words of that language's median.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgefuse.llm.common import block_of, checkpoint, n_blocks, small_side, text_bytes
-
-ORDER = 4
-BITS = 6
-QUANTILE, SLACK = 0.995, 1.1     # of the trusted texts' perplexity; tolerance above it
-STEADY = 40                      # symbols of the language's median that steady a short text's mean
-SMALL_LANGUAGE = 50              # languages with fewer trusted texts use the quantile of all
-FOLLOW = 1 << BITS
-# Characters with a class of their own, in this order from class 1 on.
-SINGLE = "abcdefghijklmnopqrstuvwxyzäöüßéèêçàâîñóíáúùœ.,'-"
-SPACE, UPPER, DIGIT, SIGN, OTHER = 0, 45, 46, 47, 48   # 49 to 63: other letters, by code point
-
-
-def class_table() -> np.ndarray:
-    """Class of every code point below 65536; beyond that OTHER."""
-    table = np.full(1 << 16, OTHER, np.uint8)
-    for c in range(1 << 16):
-        ch = chr(c)
-        if ch in SINGLE:
-            table[c] = 1 + SINGLE.index(ch)
-        elif ch.isspace():
-            table[c] = SPACE
-        elif ch.isupper():
-            table[c] = UPPER
-        elif ch.isdigit():
-            table[c] = DIGIT
-        elif ch.isalpha():
-            table[c] = 49 + c % 15
-        elif c < 128:
-            table[c] = SIGN
-    return table
-
-
-def codes(raw: bytes, table: np.ndarray) -> np.ndarray:
-    """Order-4 codes, one per character; the text starts after three spaces."""
-    cp = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    c = np.where(cp < (1 << 16), table[np.minimum(cp, (1 << 16) - 1)], OTHER).astype(np.int32)
-    c = np.concatenate([np.full(ORDER - 1, SPACE, np.int32), c])
-    out = np.zeros(len(cp), np.int32)
-    for k in range(ORDER):
-        out = (out << BITS) | c[k:k + len(cp)]
-    return out
-
-
-def count_codes(texts: DataFrame, text: str) -> DataFrame:
-    """(code, n) of all texts: combined in each task, then summed by shard."""
+from judgefuse.llm.common import M1, M2, WordHash, checkpoint, mix, small_side, text_bytes
+
+QUANTILE, SLACK = 0.995, 1.1     # of the held-out trusted texts' perplexity; tolerance above it
+HELD_OUT = 10                    # one trusted text in so many is not counted
+STEADY = 2                       # words of the language's median that steady a short text's mean
+SMALL_LANGUAGE = 50              # languages with fewer held-out texts use the quantile of all
+CHUNK_BYTES = 8 << 20            # of text in a chunk
+PASSES = 12                      # turns in which the shards are done
+PARTS = 4                        # turns in which the chunks get their answers
+START = 0                        # the mark before a text, as a word
+WORD_BYTES, KEY_BYTES = 5, 6
+WORD_MASK, KEY_MASK, LOW = np.uint64((1 << 40) - 1), np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1)
+COUNTS = "n long, total long, once long, twice long, more long"
+STATS = ("n", "total", "once", "twice", "more")
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * M2 + b + np.uint64(2)) & KEY_MASK
+
+
+def trigram_key(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """It begins with the bits of its first two words, so that it lies in their shard."""
+    return (pair & ~LOW) | (mix(pair * M1 + word + np.uint64(3)) & LOW)
+
+
+def pack(a: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, byte by byte: equal high bytes compress."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    if raw:
+        out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view("<u8").ravel()
+
+
+def split(raw: bytes, k: int) -> list[np.ndarray]:
+    """The ``k`` lists of one length that lie packed behind each other."""
+    size = len(raw) // k
+    return [unpack(raw[i * size:(i + 1) * size], WORD_BYTES) for i in range(k)]
+
+
+def words_of(packed: dict) -> tuple[np.ndarray, ...]:
+    """(u, v, w, size): every word of a chunk with the two before it, and the number of words of each text."""
     import pyarrow as pa
 
-    def run(batches):
-        table, seen = class_table(), np.zeros(1 << (ORDER * BITS), np.int64)
-        for batch in batches:
-            for t in text_bytes(batch.column(0)):
-                if t:
-                    code, n = np.unique(codes(t, table), return_counts=True)
-                    seen[code] += n
-        some = np.flatnonzero(seen)
-        for low in range(0, len(some), 1 << 16):
-            part = some[low:low + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], names=["code", "n"])
-
-    return texts.select(text).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more."""
-    got = {r["n"]: r["k"] for r in counts.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
-    n1, n2, n3, n4 = (float(got.get(i, 0)) for i in (1, 2, 3, 4))
+    open_ = lambda c, width: unpack(pa.decompress(packed[c], packed[f"n_{c}"], "zstd", asbytes=True), width)
+    size, words = open_("sizes", WORD_BYTES).astype(np.int64), np.r_[np.uint64(START), open_("vocabulary", WORD_BYTES)]
+    own = np.arange(size.sum()) + 2 * np.repeat(np.arange(1, len(size) + 1), size)
+    seq = np.zeros(size.sum() + 2 * len(size), np.uint64)
+    seq[own] = words[open_("numbers", 3 if len(words) < 1 << 24 else WORD_BYTES).astype(np.int64) + 1]
+    return seq[own - 2], seq[own - 1], seq[own], size
+
+
+def runs(sorted_: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def found(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """The values of the wanted keys in a sorted list of keys; 0 where it lacks them."""
+    if not len(keys):
+        return [np.zeros(len(wanted), np.int64) for _ in values]
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[i] == wanted
+    return [np.where(hit, v[i], 0) for v in values]
+
+
+def classes(n: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Per run: sum of the counts, and how many are 1, 2, 3 or more."""
+    return [np.add.reduceat(x.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+            for x in (n, n == 1, n == 2, n > 2)]
+
+
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, of how many counts are 1, 2, 3, 4."""
     y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
     d = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
     return [min(max(x, 0.1), k + 0.9) for k, x in enumerate(d)]
 
 
-class KneserNey:
-    """Count tables of all orders: codes with discounted counts, contexts with totals and weights."""
-
-    def __init__(self, top: DataFrame):
-        self.grams: dict[int, DataFrame] = {}
-        self.contexts: dict[int, DataFrame] = {}
-        counts = checkpoint(top)
-        for order in range(ORDER, 0, -1):
-            d = discounts(counts)
-            cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-            own = counts.withColumn("context", F.shiftright("code", BITS)).withColumn("cut", cut)
-            self.grams[order] = checkpoint(own.select("code", (F.col("n") - F.col("cut")).alias("rest")))
-            self.contexts[order] = checkpoint(own.groupBy("context").agg(
-                F.sum("n").cast("double").alias("total"), F.sum("cut").alias("freed")))
-            if order > 1:  # continuation counts: how many symbols an n-gram's tail has followed
-                tail = F.col("code").bitwiseAND(F.lit((1 << (BITS * (order - 1))) - 1))
-                counts = checkpoint(counts.select(tail.alias("code")).groupBy("code").agg(F.count("*").alias("n")))
-
-    def log_probability(self, wanted: DataFrame) -> DataFrame:
-        """(code, logp) of distinct order-4 codes: p = rest/total + freed/total * p of the next lower order."""
-        out = wanted
-        p: Column = F.lit(1.0 / FOLLOW)
-        for order in range(1, ORDER + 1):
-            tail = F.col("code").bitwiseAND(F.lit((1 << (BITS * order)) - 1))
-            out = out.withColumns({"__tail": tail, "__context": F.shiftright(tail, BITS)})
-            out = out.join(self.grams[order].withColumnRenamed("code", "__tail"), "__tail", "left")
-            out = out.join(self.contexts[order].withColumnRenamed("context", "__context"), "__context", "left")
-            p = F.when(F.col("total").isNull(), p).otherwise(
-                (F.coalesce("rest", F.lit(0.0)) + F.col("freed") * p) / F.col("total"))
-            out = out.withColumn(f"__p{order}", p).drop("rest", "total", "freed", "__tail", "__context")
-            p = F.col(f"__p{order}")
-        return out.select("code", F.log(p).cast("float").alias("logp"))
-
-
-def perplexities(df: DataFrame, model: KneserNey, text: str = "text", key: str = "doc_id",
-                 keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
-    """Columns ``keep`` plus n_symbols and perplexity (null for null and empty texts)."""
+def rest(n: np.ndarray, d: list[float]) -> np.ndarray:
+    """Counts without their discounts."""
+    return np.where(n > 0, n - np.array([0.0, *d])[np.minimum(n, 3)], 0.0)
+
+
+CHUNK = "block long, docs binary, vocabulary binary, n_vocabulary long, numbers binary, n_numbers long, sizes binary, n_sizes long"
+
+
+def chunks_of(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """Some rows each: the columns ``keep`` as an Arrow stream, the words' hashes, the texts as numbers of words, and
+    their sizes in words; written once, compressed."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    def run(batches):
+        at, held, rows, size, hasher = TaskContext.get().partitionId() << 32, [], [], 0, WordHash()
+
+        def flush():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in held:
+                    out.write_batch(b)
+            words, numbers, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+            often = np.argsort(-n, kind="stable")  # frequent words get small numbers
+            place = np.empty(len(often), np.int64)
+            place[often] = np.arange(len(often))
+            row = {"block": at, "docs": sink.getvalue().to_pybytes()}
+            for c, x, width in (("vocabulary", words[often], WORD_BYTES), ("numbers", place[numbers], 3 if len(words) < (1 << 24) - 1 else WORD_BYTES),
+                                ("sizes", np.fromiter(map(len, rows), np.int64, len(rows)), WORD_BYTES)):
+                raw = pack(x, width)
+                row |= {c: pa.compress(raw, "zstd", asbytes=True), f"n_{c}": len(raw)}
+            return pa.RecordBatch.from_pylist([row])
+
+        for batch in batches:
+            column = batch.schema.get_field_index("__text")
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                texts = text_bytes(part.column(column))
+                done = 0
+                for k, t in enumerate(texts, 1):
+                    rows.append(hasher.of(t.split()) & WORD_MASK)
+                    size += len(t)
+                    if size >= CHUNK_BYTES or k == len(texts):
+                        held.append(part.slice(done, k - done).select(keep))
+                        done = k
+                    if size >= CHUNK_BYTES:
+                        yield flush()
+                        at, held, rows, size = at + 1, [], [], 0
+        if held:
+            yield flush()
+
+    return checkpoint(df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, CHUNK))
+
+
+def replies(name: str, got: list[list[np.ndarray]]) -> dict:
+    """Columns ``name`` (the lists of each row, packed and compressed) and n_``name`` (bytes before that)."""
+    import pyarrow as pa
+
+    raw = [b"".join(pack(x, WORD_BYTES) for x in row) for row in got]
+    return {name: pa.array([pa.compress(x, "zstd", asbytes=True) for x in raw], pa.binary()),
+            f"n_{name}": pa.array(list(map(len, raw)), pa.int64())}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A checkpoint whose shuffles are dropped as soon as it is written."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return checkpoint(df.select("*"))
+    finally:
+        conf.set(name, before)
+
+
+def opened(raw: bytes):
+    import pyarrow as pa
+    return pa.ipc.open_stream(raw).read_all()
+
+
+def exchanged(chunks: DataFrame, fit: str, bits: int, turn: int) -> DataFrame:
+    """The shards of one turn: rows (block, shard, pairs, trigrams) with the counts asked for, and rows (word, counts)
+    with a shard's part of each word's counts; word -3 and -2: how many trigrams and pairs have counts 1 to 4."""
+    import pyarrow as pa
+
+    def parts(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(48 - bits)).astype(np.int64)
+
+    def cut(keys: np.ndarray, *more: np.ndarray) -> dict[int, tuple]:
+        """Keys by shard, in their order."""
+        shard = parts(keys)
+        order = np.argsort(shard, kind="stable")
+        first = runs(shard[order])
+        return {int(shard[i[0]]): tuple(a[i] for a in (keys, *more)) for i in np.split(order, first[1:]) if len(i)}
+
+    def send(batches):
+        for batch in batches:
+            for packed in batch.to_pylist():
+                block, docs = packed["block"], opened(packed["docs"])
+                u, v, w, size = words_of(packed)
+                trusted = np.repeat(docs.column(fit).to_numpy().astype(bool), size)
+                before, after = pair_key(u, v), pair_key(v, w)
+                # words whose trigram lies in a shard of this turn, and those whose pair does
+                a, b = (np.flatnonzero(parts(x) % PASSES == turn) for x in (before, after))
+                before, after = before[a], after[b]
+                three = trigram_key(before, w[a])
+                pairs, trigrams = cut(np.unique(np.concatenate([before, after]))), cut(np.unique(three))
+                good = np.flatnonzero(trusted[a])
+                _, first, n = np.unique(three[good], return_index=True, return_counts=True)
+                one = good[first]
+                follow = cut(before[one], u[a[one]], v[a[one]], w[a[one]], n)
+                good = np.flatnonzero(trusted[b])
+                _, first = np.unique(trigram_key(after[good], u[b[good]]), return_index=True)
+                one = good[first]
+                lead = cut(after[one], u[b[one]], v[b[one]], w[b[one]])
+                shards = sorted(pairs.keys() | trigrams.keys() | follow.keys() | lead.keys())
+                binary = lambda of, low, width: pa.array(
+                    [b"".join(pack(a, width) for a in of.get(k, ())[low:]) for k in shards], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shards, pa.int32()), pa.array([block] * len(shards), pa.int64()), binary(pairs, 0, KEY_BYTES),
+                     binary(trigrams, 0, KEY_BYTES), binary(follow, 1, WORD_BYTES), binary(lead, 1, WORD_BYTES)],
+                    names=["shard", "block", "pairs", "trigrams", "follow", "lead"])
+
+    def read(column, k: int) -> list[np.ndarray]:
+        return [np.concatenate(c) for c in zip(*(split(r, k) for r in column.to_pylist()))]
+
+    def count(group: pa.Table) -> pa.Table:
+        u, v, w, n = read(group.column("follow"), 4)
+        before = pair_key(u, v)
+        three = trigram_key(before, w)
+        order = np.argsort(three, kind="stable")
+        first = runs(three[order])
+        trigrams, before = three[order][first], before[order][first]
+        n3 = np.add.reduceat(n[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        order = np.argsort(before, kind="stable")
+        first = runs(before[order])
+        contexts, totals = before[order][first], classes(n3[order], first)
+
+        u, v, w = read(group.column("lead"), 3)
+        _, first = np.unique(trigram_key(pair_key(v, w), u), return_index=True)
+        v, w = v[first], w[first]
+        after = pair_key(v, w)
+        order = np.argsort(after, kind="stable")
+        first = runs(after[order])
+        pairs, n2 = after[order][first], np.diff(np.r_[first, len(after)])
+        v, w = v[order][first], w[order][first]
+
+        p = [unpack(x, KEY_BYTES) for x in group.column("pairs").to_pylist()]
+        t = [unpack(x, KEY_BYTES) for x in group.column("trigrams").to_pylist()]
+        asked = pa.table({"block": group.column("block"), "shard": group.column("shard")} | replies(
+            "pairs", [[*found(pairs, x, n2), *found(contexts, x, *totals)] for x in p]) | replies(
+            "trigrams", [found(trigrams, x, n3) for x in t]))
+
+        order = np.argsort(v, kind="stable")
+        first = runs(v[order])
+        kinds = [np.array([np.count_nonzero(x == i) for i in range(1, 5)]) for x in (n3, n2)]
+        leads, ends, times = v[order][first], *np.unique(w, return_counts=True)
+        none = [np.zeros(len(x), np.int64) for x in (leads, ends)]
+        share = pa.table({"block": pa.nulls(1, pa.int64()), "shard": group.column("shard")[:1]} | replies("words", [[np.r_[leads, ends], np.r_[none[0], times], *(np.r_[x, none[1]] for x in classes(n2[order], first))]])
+                         | {"kinds": pa.array([np.concatenate(kinds).tolist()], pa.list_(pa.int64()))})
+        return pa.concat_tables([asked, share], promote_options="default")
+
+    sent = chunks.mapInArrow(send, "shard int, block long, pairs binary, trigrams binary, follow binary, lead binary")
+    return sent.groupBy("shard").applyInArrow(
+        count, "block long, shard int, pairs binary, n_pairs long, trigrams binary, n_trigrams long, words binary, n_words long, kinds array<long>")
+
+
+def word_counts(shares: DataFrame, bits: int) -> DataFrame:
+    """(word, shard, counts): the shards' shares of each word's counts put together, by ranges of words."""
+    import pyarrow as pa
+
+    def deal(batches):
+        for batch in batches:
+            for raw, n in zip(*(c.to_pylist() for c in batch.columns)):
+                word, *counts = split(pa.decompress(raw, n, "zstd", asbytes=True), 1 + len(STATS))
+                order = np.argsort(word, kind="stable")
+                shard = (word[order] >> np.uint64(40 - bits)).astype(np.int32)
+                first = runs(shard)
+                rows = [b"".join(pack(a[i], WORD_BYTES) for a in (word, *counts)) for i in np.split(order, first[1:])] if len(word) else []
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), pa.array(rows, pa.binary())], names=["shard", "share"])
+
+    def add(group: pa.Table) -> pa.Table:
+        word, *counts = (np.concatenate(c) for c in zip(*(split(r, 1 + len(STATS)) for r in group.column("share").to_pylist())))
+        order = np.argsort(word, kind="stable")
+        first = runs(word[order])
+        return pa.table({"word": word[order][first].astype(np.int64), "shard": pa.array([group.column("shard")[0].as_py()] * len(first), pa.int32())}
+                        | {c: np.add.reduceat(x[order].astype(np.int64), first) for c, x in zip(STATS, counts)})
+
+    return shares.mapInArrow(deal, "shard int, share binary").groupBy("shard").applyInArrow(add, f"word long, shard int, {COUNTS}")
+
+
+def perplexities(df: DataFrame, fit: str, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """Columns ``keep`` plus n_symbols (words) and perplexity (null without words) under the model of the rows
+    whose column ``fit`` is true."""
     import pyarrow as pa
 
     keep = list(keep)
-    src = df.select(*keep, F.col(text).alias("__text"))
-    blocks = max(n_blocks(src, "__text"), 2 * df.sparkSession.sparkContext.defaultParallelism)
-    dealt = src.withColumn("__block", block_of(F.struct(key, F.length("__text")), blocks)).repartition(blocks, "__block")
-    by_block = dealt.groupBy("__block")
-
-    def ask(group: pa.Table) -> pa.Table:
-        table, seen = class_table(), np.zeros(1 << (ORDER * BITS), bool)
-        for chunk in group.column("__text").chunks:
-            for t in text_bytes(chunk):
-                seen[codes(t, table)] = True
-        some = np.flatnonzero(seen).astype(np.int32)
-        return pa.table({"block": np.full(len(some), group.column("__block")[0].as_py(), np.int32), "code": some})
-
-    asked = by_block.applyInArrow(ask, "block int, code int")
-    known = model.log_probability(asked.select("code").distinct())
-    answered = asked.join(known, "code").select("block", "code", "logp")
+    chunks = chunks_of(df, text, [*keep, fit])
+    # Shards of about two chunks' size; their number is a power of two and not below the number of turns.
+    bits = min(16, max(PASSES.bit_length(), int(chunks.count()).bit_length() - 1))
+    answers = reduce(DataFrame.unionByName, [written(exchanged(chunks, fit, bits, turn)) for turn in range(PASSES)])
+    shares = answers.filter("words is not null")
+    words = written(word_counts(shares.select("words", "n_words"), bits))
+    kinds = [float(x or 0) for x in shares.agg(*[F.sum(F.col("kinds")[k]) for k in range(8)]).first()]
+    d3, d2 = discounts(*kinds[:4]), discounts(*kinds[4:])
+    whole = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("words"), *[
+        F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)], F.count_if(F.col("n") > 2).alias("many")).first()
+    d1 = discounts(*[float(whole[f"n{k}"]) for k in range(1, 5)])
+    total = float(whole["n"] or 0)
+    freed = d1[0] * whole["n1"] + d1[1] * whole["n2"] + d1[2] * whole["many"]
+    floor = 1.0 / (whole["words"] + 1)  # unknown words are one more
+
+    def ask(batches):
+        for batch in batches:
+            for packed in batch.to_pylist():
+                _, v, w, _ = words_of(packed)
+                own = np.unique(np.concatenate([v, w]))
+                shard = (own >> np.uint64(40 - bits)).astype(np.int32)
+                first = runs(shard)
+                mine = [pack(x, WORD_BYTES) for x in np.split(own, first[1:])] if len(own) else []
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), pa.array([packed["block"]] * len(first), pa.int64()),
+                                                  pa.array(mine, pa.binary())], names=["shard", "block", "own"])
+
+    def tell(group: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by("word")
+        names, counts = known.column("word").to_numpy().astype(np.uint64), [known.column(c).to_numpy() for c in STATS]
+        return pa.table({"block": group.column("block"), "shard": group.column("shard")} | replies(
+            "words", [found(names, unpack(x, WORD_BYTES), *counts) for x in group.column("own").to_pylist()]))
+
+    told = written(chunks.mapInArrow(ask, "shard int, block long, own binary").groupBy("shard").cogroup(words.groupBy("shard")).applyInArrow(
+        tell, "block long, shard int, words binary, n_words long"))
+    answers = answers.filter("block is not null").drop("words", "n_words", "kinds").unionByName(told, allowMissingColumns=True)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields)
 
-    def add(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        table, logp = class_table(), np.zeros(1 << (ORDER * BITS), np.float32)
-        if len(answers):
-            logp[answers.column("code").to_numpy()] = answers.column("logp").to_numpy()
-        size, value = [], []
-        for chunk in docs.column("__text").chunks:
-            for t in text_bytes(chunk):
-                c = codes(t, table)
-                size.append(len(c))
-                value.append(float(np.exp(-logp[c].astype(np.float64).mean())) if len(c) else None)
+    def judge(held: pa.Table, got: pa.Table) -> pa.Table:
+        packed = held.to_pylist()[0]
+        docs = opened(packed["docs"])
+        u, v, w, size = words_of(packed)
+        got = got.sort_by("shard")
+
+        def whole_of(column: str, k: int) -> list[np.ndarray]:
+            """The shards' answers behind each other: those to the chunk's keys in their order."""
+            rows = zip(got.column(column).to_pylist(), got.column(f"n_{column}").to_pylist())
+            cut = [split(pa.decompress(r, n, "zstd", asbytes=True), k) for r, n in rows if n]
+            return [np.concatenate(c).astype(np.int64) for c in zip(*cut)] or [np.zeros(0, np.int64)] * k
+
+        before, after = pair_key(u, v), pair_key(v, w)
+        three = trigram_key(before, w)
+        pairs, trigrams, names = np.unique(np.concatenate([before, after])), np.unique(three), np.unique(np.concatenate([v, w]))
+        n2, *context = whole_of("pairs", 5)
+        n3, = whole_of("trigrams", 1)
+        times, *following = whole_of("words", 5)
+
+        def interpolated(n, d, total_, once, twice, more, low):
+            return np.where(total_ > 0, (rest(n, d) + (d[0] * once + d[1] * twice + d[2] * more) * low) / np.maximum(total_, 1), low)
+
+        n1, = found(names, w, times)
+        p = (rest(n1, d1) + freed * floor) / total if total else np.full(len(w), floor)
+        p = interpolated(found(pairs, after, n2)[0], d2, *found(names, v, *following), p)
+        p = interpolated(found(trigrams, three, n3)[0], d3, *found(pairs, before, *context), p)
+        ends = np.cumsum(size)
+        done = np.r_[0.0, np.cumsum(np.log(p))]
+        mean = (done[ends] - done[ends - size]) / np.maximum(size, 1)
         return docs.select(keep).append_column("n_symbols", pa.array(size, pa.int64())).append_column(
-            "perplexity", pa.array(value, pa.float64()))
+            "perplexity", pa.array(np.exp(-mean), pa.float64(), mask=size == 0))
 
-    return by_block.cogroup(answered.groupBy("block")).applyInArrow(add, f"{fields}, n_symbols long, perplexity double")
+    mine = lambda df, part: df.filter(F.pmod(F.xxhash64("block"), F.lit(PARTS)) == part).groupBy("block")
+    return reduce(DataFrame.unionByName, [written(mine(chunks, part).cogroup(mine(answers, part)).applyInArrow(
+        judge, f"{fields}, n_symbols long, perplexity double")) for part in range(PARTS)])
 
 
 def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row: key, lang, n_symbols, perplexity, steadied, threshold, kept.
 
     ``trusted`` holds the keys of trusted rows.  Null languages form a group;
-    languages with few trusted texts use the quantile of all.  Texts without a
-    character are not kept; without any trusted text the rest is kept (no
+    languages with few held-out texts use the quantile of all.  Texts without a
+    word are not kept; without any trusted text the rest is kept (no
     threshold).  Repeated rows are judged alike; an empty table stays empty.
     """
     good = small_side(checkpoint(trusted.select(key).filter(F.col(key).isNotNull()).distinct()))
-    model = KneserNey(count_codes(df.join(good, key, "left_semi"), text))
-    scored = checkpoint(perplexities(df, model, text, key, (key, lang)))
-    sure = scored.join(good, key, "left_semi").filter("perplexity is not null")
+    marked = df.join(good.withColumn("__good", F.lit(True)), key, "left").withColumn("__good", F.coalesce("__good", F.lit(False)))
+    marked = marked.withColumn("__held", F.col("__good") & (F.pmod(F.xxhash64(text), F.lit(HELD_OUT)) == 0))
+    marked = marked.withColumn("__fit", F.col("__good") & ~F.col("__held"))
+    scored = perplexities(marked, "__fit", text, (key, lang, "__good", "__held"))
+    sure = scored.filter("__good and perplexity is not null")
+    held = sure.filter("__held")
+    sure = held if held.limit(1).count() else sure
     name = F.coalesce(F.col(lang), F.lit("\0"))
     half, high = (F.percentile_approx("perplexity", q, 10000) for q in (0.5, QUANTILE))
     whole = sure.agg(half.alias("median"), (high * SLACK).alias("threshold")).first()

@@ -4,18 +4,17 @@ from collections import Counter, defaultdict
 
 from judgefuse.llm import perplexity as P
 
-TABLE = P.class_table()
-
-
 def grams(text):
-    return P.codes(text.encode(), TABLE).tolist()
+    """(u, v, w) of every word, with the two words before it."""
+    words = [None, None, *text.encode().split()]
+    return list(zip(words, words[1:], words[2:]))
 
 
 def brute_model(texts):
-    """Interpolated modified Kneser-Ney in plain Python."""
-    counts = {P.ORDER: Counter(c for t in texts for c in grams(t))}
-    for k in range(P.ORDER - 1, 0, -1):
-        counts[k] = Counter(c & ((1 << (P.BITS * k)) - 1) for c in counts[k + 1])
+    """Interpolated modified Kneser-Ney over words in plain Python."""
+    counts = {3: Counter(g for t in texts for g in grams(t))}
+    for k in (2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
     cuts, totals, freed = {}, {}, {}
     for k, table in counts.items():
         n = Counter(table.values())
@@ -24,21 +23,20 @@ def brute_model(texts):
              3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
         cuts[k] = [min(max(x, 0.1), i + 0.9) for i, x in enumerate(d)]
         totals[k], freed[k] = defaultdict(float), defaultdict(float)
-        for c, m in table.items():
-            totals[k][c >> P.BITS] += m
-            freed[k][c >> P.BITS] += cuts[k][min(m, 3) - 1]
+        for g, m in table.items():
+            totals[k][g[:-1]] += m
+            freed[k][g[:-1]] += cuts[k][min(m, 3) - 1]
 
-    def p(code, k):
+    def p(gram):
+        k = len(gram)
         if k == 0:
-            return 1 / P.FOLLOW
-        c = code & ((1 << (P.BITS * k)) - 1)
-        low = p(code, k - 1)
-        ctx = c >> P.BITS
+            return 1 / (len(counts[1]) + 1)
+        low, ctx = p(gram[1:]), gram[:-1]
         if ctx not in totals[k]:
             return low
-        m = counts[k].get(c, 0)
+        m = counts[k].get(gram, 0)
         return ((m - cuts[k][min(m, 3) - 1] if m else 0) + freed[k][ctx] * low) / totals[k][ctx]
-    return lambda text: math.exp(-sum(math.log(p(c, P.ORDER)) for c in grams(text)) / len(grams(text)))
+    return lambda text: math.exp(-sum(math.log(p(g)) for g in grams(text)) / len(grams(text)))
 
 
 def corpus():
@@ -55,7 +53,8 @@ def test_against_brute_force(spark, make_docs):
     df = make_docs([(i, t, None if i % 7 == 0 else "en", "s") for i, t in rows])
     trusted = spark.createDataFrame([(i,) for i in range(0, 120, 2)] + [(None,), (0,)], "doc_id long")
     out = P.classify(df, trusted).collect()
-    model = brute_model([t for i, t in rows if i < 120 and i % 2 == 0])  # id 0 twice, as in the rows
+    held = {r.doc_id for r in df.filter(f"pmod(xxhash64(text), {P.HELD_OUT}) = 0").collect()}
+    model = brute_model([t for i, t in rows if i < 120 and i % 2 == 0 and i not in held])  # id 0 twice, as in the rows
     for r in out:
         text = dict(rows)[r.doc_id] or ""
         assert (r.perplexity is None) == (not text)
@@ -67,6 +66,29 @@ def test_against_brute_force(spark, make_docs):
     assert len(out) == len(rows)
 
 
+def test_word_order_counts(spark, make_docs):
+    """Valid words in senseless order, and words of other letters, are worse than sentences."""
+    rng = random.Random(5)
+    who, does, what = ["The old man", "A young girl", "My friend"], ["reads a long", "writes a short", "buys the new"], ["book", "letter", "story"]
+    good = [" ".join(f"{rng.choice(who)} {rng.choice(does)} {rng.choice(what)} ." for _ in range(20)) for _ in range(60)]
+    mixed = [" ".join(rng.sample(t.split(), len(t.split()))) for t in good[:20]]
+    rows = [(i, t, "en", "s") for i, t in enumerate(good + mixed)] + [(200, "漢字 仮名 " * 40), (201, " \n\t")]
+    out = {r.doc_id: r for r in P.classify(make_docs(rows), spark.createDataFrame([(i,) for i in range(60)], "doc_id long")).collect()}
+    assert max(out[i].perplexity for i in range(60)) * 3 < min(out[i].perplexity for i in (*range(60, 80), 200))
+    assert all(out[i].kept for i in range(60)) and not any(out[i].kept for i in (*range(60, 80), 200, 201))
+    assert out[0].n_symbols == len(good[0].split()) and out[201].perplexity is None
+
+
+def test_chunks_are_judged_alike(spark, make_docs, monkeypatch):
+    good, _ = corpus()
+    rows = [(i, t, "en", "s") for i, t in enumerate(good)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "doc_id long")
+    whole = {r.doc_id: r.perplexity for r in P.classify(make_docs(rows), trusted).collect()}
+    monkeypatch.setattr(P, "CHUNK_BYTES", 700)  # some texts, more chunks than turns
+    parts = {r.doc_id: r.perplexity for r in P.classify(make_docs(rows), trusted).collect()}
+    assert whole.keys() == parts.keys() and all(abs(parts[i] - whole[i]) < 1e-9 * whole[i] for i in whole)
+
+
 def test_empty(spark, make_docs):
     df = make_docs([(1, "some text"), (2, None)])
     none = spark.createDataFrame([], "doc_id long")
