@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgefuse.llm.common import text_bytes
+from judgefuse.llm.common import give_back, text_bytes
 
 FLUSH_BYTES = 2 << 20   # texts per output batch
 REMEMBER = 250_000      # pre-tokens remembered per task; then forgotten, never skipped
@@ -240,6 +240,7 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
     schema = df.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
 
     def run(batches):
+        give_back()  # of the tasks this worker ran before
         encoder = Encoder(Vocabulary(json.loads(spec.value)))
         gc.disable()  # many small objects, no cycles
         try:
@@ -259,6 +260,8 @@ def encode_text(df: DataFrame, path: str, text: str = "text", ids: str = "token_
                     yield pa.RecordBatch.from_arrays([*part.columns, out_ids, out_text], names=[*keep, ids, decoded])
         finally:
             gc.enable()  # the worker goes on to other tasks
+            del encoder
+            give_back()
 
     return df.select(*keep).mapInArrow(run, schema)
 

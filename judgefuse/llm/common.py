@@ -44,6 +44,20 @@ def text_bytes(array) -> list[bytes]:
     return [b or b"" for b in array.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the machine: it goes on to other tasks, and an idle one would
+    hold its largest block's memory beside them."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * M1
     h = (h ^ (h >> np.uint64(27))) * M2

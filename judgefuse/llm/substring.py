@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgefuse.llm.common import WordHash, block_of, gram_hashes, n_blocks, text_bytes
+from judgefuse.llm.common import WordHash, block_of, give_back, gram_hashes, n_blocks, text_bytes
 
 ANCHOR_WORDS = 5
 NO_KEY = -(1 << 63)   # rows without a key count as the smallest
@@ -163,7 +163,10 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window:
         out = out.append_column("n_words", pa.array(n_words, pa.int64()))
         out = out.append_column("n_removed", pa.array(n_removed, pa.int64()))
         out = out.append_column("removed", pa.array(spans, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))))
-        return out.append_column("kept_text", pa.array(texts, pa.string()))
+        out = out.append_column("kept_text", pa.array(texts, pa.string()))
+        del block, automaton, how, holders, texts, spans
+        give_back()
+        return out
 
     def compile_passages(block: Block, found: pa.Table, window: int):
         """The block's automaton (each passage's value: first id, first start, words), how

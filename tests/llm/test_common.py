@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from judgefuse.llm.common import Forest, WordHash, components, gram_hashes
+from judgefuse.llm.common import Forest, WordHash, components, give_back, gram_hashes
 
 
 def test_components_against_union_find(spark):
@@ -26,3 +26,16 @@ def test_gram_hashes():
     assert len(g) == 4 and g[0] == g[2] and len(np.unique(g)) == 3
     assert len(gram_hashes(h, 7)) == 1 and len(gram_hashes(h[:0], 3)) == 0
     assert gram_hashes(h[:2], 3) != gram_hashes(h[:1], 3)
+
+
+def test_freed_memory_is_given_back():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    small = [np.ones(8000) for _ in range(8000)]  # 512 MB in pieces of the allocator's heap
+    last = small[-1]
+    del small
+    held = resident()
+    give_back()
+    assert held - resident() > 300 << 20 and len(last) == 8000
