@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgefuse.llm.common import Forest, WordHash, checkpoint, components, gram_hashes, small_side, text_bytes
+from judgefuse.llm.common import Forest, WordHash, checkpoint, components, give_back, gram_hashes, small_side, text_bytes
 
 GROUP = 128            # classes of a group, and queries that meet it in one task
 FREQUENT = 500_000     # words whose frequency the order knows: the bound of the broadcast table
@@ -81,10 +81,13 @@ def frequent_words(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if total > FREQUENT:
             break
         least = k
-    top = counts.filter(step >= least).toPandas()
-    w, n = top["w"].to_numpy(np.int64).astype(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(w)
-    return w[order], n[order]
+    top = counts.filter(step >= least).toArrow()  # two columns of numbers, without rows of Python or a data frame
+    w, n = (top.column(c).to_numpy() for c in ("w", "n"))
+    order = np.argsort(w.astype(np.uint64))
+    w, n = w.astype(np.uint64)[order], n[order]
+    del top, order
+    give_back()
+    return w, n
 
 
 class Group:

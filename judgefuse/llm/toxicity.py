@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgefuse.llm.common import text_bytes
+from judgefuse.llm.common import give_back, text_bytes
 from judgefuse.llm.languages import LANGUAGES, STOP_WORDS
 
 CUT = 0.7
@@ -303,7 +303,10 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
                      np.zeros(len(WIDTHS), np.float32), 0.0, {"": CUT})
     labels, texts = [r.y for r in got], [r.t.encode() for r in got]
     del got
-    return train(texts, labels, seed=seed)
+    model = train(texts, labels, seed=seed)
+    del texts
+    give_back()  # the driver goes on to other stages, beside its JVM
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
