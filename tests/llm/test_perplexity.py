@@ -89,6 +89,45 @@ def test_chunks_are_judged_alike(spark, make_docs, monkeypatch):
     assert whole.keys() == parts.keys() and all(abs(parts[i] - whole[i]) < 1e-9 * whole[i] for i in whole)
 
 
+def test_frequent_words_are_dealt_by_their_pairs(spark, make_docs, monkeypatch):
+    """Words over a shard's share: counts, context totals and continuation counts come from several shards."""
+    rng = random.Random(6)
+    monkeypatch.setattr(P, "CHUNK_BYTES", 900)
+    texts = [" ".join(rng.choice(["the", "of", f"w{rng.randint(0, 9)}", f"x{rng.randint(0, 60)}"]) for _ in range(30)) for _ in range(60)]
+    df = make_docs(list(enumerate(texts)))
+    held = {r.doc_id for r in df.filter(f"pmod(xxhash64(text), {P.HELD_OUT}) = 0").collect()}
+    trusted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    used = []
+    before = P.exchanged
+    monkeypatch.setattr(P, "exchanged", lambda *a: used.append(a[-1]) or before(*a))
+    out = {r.doc_id: r.perplexity for r in P.classify(df, trusted).collect()}
+    model = brute_model([t for i, t in enumerate(texts) if i % 2 == 0 and i not in held])
+    assert all(abs(out[i] - model(t)) < 1e-9 * out[i] for i, t in enumerate(texts))
+    assert 2 <= len(used[0]) <= 4 and len(used) == P.PASSES  # both sorts of words were there
+
+
+def test_each_ngram_is_sent_once():
+    import pyarrow as pa
+
+    packed = {}
+    numbers, words = [0, 1, 0, 1, 0, 2, 0, 1], [9 << 32, 5 << 20, 77]  # two texts of five and three words
+    for c, x, k in (("vocabulary", words, 5), ("numbers", numbers, 3), ("sizes", [5, 3], 5)):
+        raw = P.pack(P.np.array(x), k)
+        packed |= {c: pa.compress(raw, "zstd", asbytes=True), f"n_{c}": len(raw)}
+    for dealt in ([], [9 << 32]):
+        g = P.Grams(packed, 2, P.np.array(dealt, "u8"))
+        assert len(g.a) == len(set(zip(g.a.tolist(), g.b.tolist()))) == 6 and len(g.i) == 7
+        halves = [P.Grams(packed, 2, P.np.array(dealt, "u8"), (k, k + 2)) for k in (0, 2)]
+        assert set(halves[0].at) | set(halves[1].at) == set(range(8)) and (dealt or not set(halves[0].at) & set(halves[1].at))
+        u, v, w = g.a[g.before][g.i], g.b[g.before][g.i], g.b[g.behind][g.j]
+        assert (v == g.a[g.behind][g.j]).all()
+        assert [(int(u[k]), int(v[k]), int(w[k])) for k in g.which] == [
+            (0, 0, 1), (0, 1, 2), (1, 2, 1), (2, 1, 2), (1, 2, 1), (0, 0, 3), (0, 3, 1), (3, 1, 2)]
+    lists = [P.np.arange(k, dtype="u8") for k in range(len(P.CELL))]
+    assert all((a == b).all() for a, b in zip(P.decode(P.encode(lists, P.CELL), P.CELL), lists))
+    assert P.summed(P.steps(P.np.array([5, 2, 9]))).tolist() == [5, 2, 9]
+
+
 def test_empty(spark, make_docs):
     df = make_docs([(1, "some text"), (2, None)])
     none = spark.createDataFrame([], "doc_id long")
