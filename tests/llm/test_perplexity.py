@@ -133,3 +133,32 @@ def test_empty(spark, make_docs):
     none = spark.createDataFrame([], "doc_id long")
     assert {r.doc_id: r.kept for r in P.classify(df, none).collect()} == {1: True, 2: False}
     assert P.classify(df.limit(0), none).count() == 0
+
+
+def test_words_counts_are_not_kept_for_each_chunk(spark, make_docs, monkeypatch):
+    """What chunks are told of their words is only shuffled, and words' counts are kept packed, by shard."""
+    monkeypatch.setattr(P, "CHUNK_BYTES", 700)
+    kept, before = [], P.checkpoint
+    monkeypatch.setattr(P, "checkpoint", lambda df: kept.append(before(df)) or kept[-1])
+    good, _ = corpus()
+    df = make_docs([(i, t, "en", "s") for i, t in enumerate(good)])
+    out = P.classify(df, spark.createDataFrame([(i,) for i in range(0, 120, 2)], "doc_id long"))
+    assert out.filter("perplexity > 0").count() == 120
+    columns = [set(k.columns) for k in kept]
+    assert not any({"block", "words"} <= c and "reply" not in c for c in columns) and not any("word" in c for c in columns)
+
+
+def test_turns_and_orders():
+    for bits in (4, 6, 12, 15):
+        spans = P.spans(bits)
+        sizes = [high - low for low, high in spans]
+        assert len(spans) == P.PASSES and spans[0][0] == 0 and spans[-1][1] == 1 << bits
+        assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and sizes[0] > sizes[-1] > 0
+    rng = P.np.random.default_rng(3)
+    close = (1 << 63) + rng.integers(0, 50, 4000).astype("u8")  # only their low bits differ
+    for keys in (P.np.zeros(0, "u8"), rng.integers(0, 900, 5000), rng.integers(0, 1 << 63, 5000), close):
+        assert (P.order_of(keys) == P.np.argsort(keys, kind="stable")).all()
+    once, twice, more = (rng.integers(0, 9, 100) for _ in range(3))
+    total = once + 2 * twice + 3 * more + (more > 0) * rng.integers(0, 50, 100)
+    over = P.spare(total, once, twice, more)
+    assert (over[more == 0] == 0).all() and (over >= 0).all() and (P.totalled(over, once, twice, more) == total).all()
