@@ -366,7 +366,7 @@ def exchanged(chunks: DataFrame, fit: str, bits: int, turn: int, dealt: np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([packed["block"]] * len(shards), pa.int64()),
                                                   pa.array(cells, pa.binary())], names=["shard", "block", "cell"])
                 del g, cells
-                give_back()
+                give_back(cycles=False)
 
     def count(group: pa.Table) -> pa.Table:
         keys_b, keys_a, v, w, plain, other, lead, sizes = [], [], [], [], [], [], [], [(0, 0, 0)]
@@ -422,7 +422,7 @@ def exchanged(chunks: DataFrame, fit: str, bits: int, turn: int, dealt: np.ndarr
         share = pa.table({"block": pa.nulls(1, pa.int64()), "shard": group.column("shard")[:1]} | replies("words", [[np.r_[leads, ends], np.r_[none[0], times], *(np.r_[x, none[1]] for x in classes(seen[order], first))]])
                          | {"kinds": pa.array([np.concatenate(kinds).tolist()], pa.list_(pa.int64()))})
         del keys_a, keys_b, plain, other, lead, pair_a, pair_b, told, context, whole
-        give_back()
+        give_back(cycles=False)
         return pa.concat_tables([asked, share], promote_options="default").select(["block", "shard", "reply", "words", "n_words", "kinds"])
 
     sent = chunks.select("block", "docs", *[x for c in ("vocabulary", "numbers", "sizes") for x in (c, f"n_{c}")]).mapInArrow(
@@ -525,7 +525,7 @@ def perplexities(df: DataFrame, fit: str, text: str = "text", keep: tuple[str, .
         p = interpolated(n2, d2, *(x[first] for x in following), p[last])
         p = np.log(interpolated(n3, d3, *(x[g.i] for x in context), p[g.j]))[g.which]
         del g, n3, n2, context, following, number
-        give_back()
+        give_back(cycles=False)
         ends = np.cumsum(size)
         done = np.r_[0.0, np.cumsum(p)]
         mean = (done[ends] - done[ends - size]) / np.maximum(size, 1)
