@@ -167,3 +167,26 @@ def test_log_blocks_of_loose_markers_are_not_checkpointed(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == [(n, f"press #### iter:it #### iter: {n}") for n in range(1, 31)]
+
+
+def test_elements_of_blocks_without_a_click_are_not_parsed(spark):
+    text = "head\n" + block(1, op=" ") + block(2, click=(20, 20))
+    logs = spark.createDataFrame([("p", text)], "project_name string, text string")
+    found = TL._log_blocks(logs, clicks_only=True).collect()
+    assert [r.info is not None for r in sorted(found, key=lambda r: r.seg)] == [False, True]
+    assert "CASE WHEN isnotnull(click_x" in plan_of(TL.trace_log_pipeline(logs).select("accuracy")).split("AS _els")[0].split("Project")[-1]
+    assert [r.matched_element_id for r in run(spark, block(1, op=" ") + block(2, click=(20, 20)))] == [None, "element_0"]
+
+
+def test_sections_by_plain_search(spark):
+    rng = random.Random(5)
+    start, end = TL.SECTION_MARKERS["screenshot"]
+    bits = [start, end, "###", "#", " Hints", "\n", "\r", " ", "x", "\u2028", "\U0001F600", "\ud7ff", "\uffff", TL.ANSWER_MARKER, "\n\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k")
+    got = df.select(TL._section(df.t, "screenshot").alias("s"), TL._answer(df.t).alias("a")).collect()
+    for t, r in zip(texts, got):
+        _, found, rest = t.partition(start)
+        assert r.s == (rest.partition(end)[0] if found and end in rest else ""), t
+        answer = re.search(rf"(?s){TL.ANSWER_MARKER}[ \t\n\r\x0b\x0c]*(.*?)(?:\n\n|\Z)", t)
+        assert r.a == (answer[1] if answer else ""), t
