@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt(df: DataFrame, key: str, turns: int = 1) -> DataFrame:
     """The rows of a small file, from each of which long texts are built, over all cores.  Only the given
-    columns move; a fixed number of partitions is neither coalesced nor dealt again by a join on ``key``."""
+    columns move; a fixed number of partitions is neither coalesced nor dealt again by a join on ``key``.
+    One of several ``turns`` has its share of the partitions, all cores at least."""
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+    parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // turns)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, parts), key)
 
 
 def steps_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,11 +313,16 @@ def _s(c):
     return c.cast("string")
 
 
-def trace_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trace_logs(spark: SparkSession, sf_dir: str, turn: int = 0, turns: int = 1) -> DataFrame:
     """project_name = log_<event_id>, one to six iterations with the sections the
-    parsers read; operations carry the whole text of the document of that id."""
+    parsers read; operations carry the whole text of the document of that id.
+    Every log belongs to one of ``turns`` parts by a hash of its id; this is part ``turn``."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), F.col("text").alias("doc"))
-    ev = dealt(table(spark, sf_dir, "events").select("event_id"), "event_id").join(docs, "event_id", "left")
+    ev = table(spark, sf_dir, "events").select("event_id")
+    if turns > 1:
+        mine = F.pmod(F.xxhash64(F.col("event_id").cast("long")), F.lit(turns)) == turn
+        ev, docs = ev.filter(mine), docs.filter(mine)
+    ev = dealt(ev, "event_id", turns).join(docs, "event_id", "left")
     e = F.col("event_id")
     n = (e % 6 + 1).cast("int")
     told = F.coalesce(F.concat(F.lit("\n"), F.col("doc")), F.lit(""))

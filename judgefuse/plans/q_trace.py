@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from judgefuse.operators import tracelog as TL
 from judgefuse.plans import fixtures as fx
 from judgefuse.plans.registry import register
-from judgefuse.session import checkpoint_dir, shared_folder
+from judgefuse.session import shared_folder
+from judgefuse.sources.sinks import drop_folder
 
 PARAMS_SQL = """
 WITH it AS (
@@ -109,18 +110,36 @@ SELECT iter_num, md5(replace(op_block, 'Click item', 'Click #### iter:item')) AS
 def q_log_blocks(spark, sf):
     """Logs written as text files and read in small splits; every operation holds a marker without a number."""
     folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
-    logs = _logs(spark, sf).select(F.replace("text", F.lit("Click item"), F.lit("Click #### iter:item")).alias("text"))
-    logs.write.text(folder)
-    # The split size follows the size of the files (Spark's own rule) from 256k on; it is fixed when the files are
-    # read, so that the digests (not the texts) are checkpointed here.
-    checkpoint_dir(spark)
+    turns = _turns(fx.table(spark, sf, "events").count())
+    for k in range(turns):
+        _blocks_of_files(fx.trace_logs(spark, sf, k, turns), f"{folder}/texts-{k}", f"{folder}/blocks-{k}")
+    return spark.read.parquet(*[f"{folder}/blocks-{k}" for k in range(turns)])
+
+
+# The texts of logs are many times as large as the tables that they are built from: they are written, read and
+# dropped in turns, so that the disk holds one turn's texts.  Few logs take fewer turns.
+TURNS, LOGS_A_TURN = 32, 25_000
+
+
+def _turns(logs: int) -> int:
+    return max(1, min(TURNS, -(-logs // LOGS_A_TURN)))
+
+
+def _blocks_of_files(logs, texts: str, to: str) -> None:
+    """Write ``logs`` as text files below ``texts``, read their blocks from there, write what is compared (the
+    digests, not the texts) to ``to`` and drop the texts."""
+    spark = logs.sparkSession
+    logs.select(F.replace("text", F.lit("Click item"), F.lit("Click #### iter:item")).alias("text")).write.text(texts)
+    # The split size follows the size of the files (Spark's own rule) from 256k on.
     before = spark.conf.get("spark.sql.files.openCostInBytes")
     spark.conf.set("spark.sql.files.openCostInBytes", "256k")
     try:
-        blocks = TL.parse_blocks(TL.read_log_blocks(spark, folder))
-        return blocks.select("iter_num", F.md5("operation").alias("operation_md5"), F.col("action_content").alias("action")).checkpoint()
+        blocks = TL.parse_blocks(TL.read_log_blocks(spark, texts))
+        blocks.select("iter_num", F.md5("operation").alias("operation_md5"), F.col("action_content").alias("action")) \
+            .write.option("compression", "zstd").parquet(to)
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
+        drop_folder(spark, texts)
 
 
 @register("history_steps", ops="B7", sql=PARAMS_SQL + """

@@ -21,6 +21,12 @@ def _folder(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage and all below it."""
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
 # ---- A10: append --------------------------------------------------------------------------------
 def finished_batches(spark: SparkSession, path: str) -> list[str]:
     """Folders of finished batches below ``path``; those of interrupted ones are left out."""

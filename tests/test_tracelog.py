@@ -1,5 +1,6 @@
 """Trace logs on literal texts: repeated iterations, field rules, bad numbers."""
 
+import pathlib
 import random
 import re
 import time
@@ -190,3 +191,27 @@ def test_sections_by_plain_search(spark):
         assert r.s == (rest.partition(end)[0] if found and end in rest else ""), t
         answer = re.search(rf"(?s){TL.ANSWER_MARKER}[ \t\n\r\x0b\x0c]*(.*?)(?:\n\n|\Z)", t)
         assert r.a == (answer[1] if answer else ""), t
+
+
+def test_log_blocks_query_drops_each_turns_texts(spark, tmp_path, monkeypatch):
+    from judgefuse.plans import q_trace
+    from judgefuse.session import shared_folder
+
+    spark.range(60).selectExpr("id AS event_id").union(spark.sql("SELECT 7L")).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(20).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(str(tmp_path / "documents.parquet"))
+    kept = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    texts = lambda: set(kept.glob("logs-*/texts-*"))
+    before, seen, read = texts(), [], TL.read_log_blocks
+
+    def reading(*args):
+        seen.append(len(texts() - before))
+        return read(*args)
+    monkeypatch.setattr(TL, "read_log_blocks", reading)
+
+    def rows():
+        return sorted(map(str, q_trace.q_log_blocks(spark, str(tmp_path)).collect()))
+    whole = rows()
+    monkeypatch.setattr(q_trace, "LOGS_A_TURN", 20)
+    assert rows() == whole and len(whole) == sum(e % 6 + 1 for e in [*range(60), 7])
+    assert seen == [1] * 5 and not texts() - before
+    assert [q_trace._turns(n) for n in (0, 25, 10 ** 9)] == [1, 2, q_trace.TURNS]
